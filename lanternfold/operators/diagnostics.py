@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanternfold import rules
 from lanternfold.functions.arrays import let
 from lanternfold.functions.text import LINE_BREAK, SPACE, collapse, word_count
+from lanternfold.operators.generate import is_approved
 from lanternfold.rules import FUNDS, RulePack
 
 SHORT_LINE = 40
@@ -122,7 +123,7 @@ def retrieval_report(retrieved: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
     """Per question: whether every retrieved chunk comes from an approved address."""
     return retrieved.groupBy("question_id").agg(
         F.count("*").alias("chunks"),
-        F.bool_and(F.col("url").isin(*pack.approved_urls)).alias("all_approved"),
+        F.bool_and(is_approved(F.col("url"), pack)).alias("all_approved"),
     )
 
 
@@ -136,13 +137,13 @@ def contract_violations(responses: DataFrame, pack: RulePack = FUNDS) -> DataFra
     url = F.coalesce("citation_url", F.lit(""))
     date = F.coalesce("last_updated_from_sources", F.lit(""))
     declined = F.coalesce(F.col("debug.reason") == "model_declined", F.lit(False))
-    allowed = (*pack.approved_urls, pack.default_url, pack.scope_url)
+    citable = is_approved(url, pack) | url.isin(pack.default_url, pack.scope_url)
     sentences = F.regexp_count(body, F.lit(rf"[.!?](?=[{SPACE}]|\z)"))
     advice = r"(?iu)(?<![\p{L}\p{N}_])(I recommend|I advise|you should invest|I suggest)(?![\p{L}\p{N}_])"
     answered = ~F.col("refused")
     return responses.select(
         "*",
-        ((url != "") & ~url.isin(*allowed)).alias("bad_citation"),
+        ((url != "") & ~citable).alias("bad_citation"),
         body.rlike(rf"https?://[^{SPACE}]+").alias("url_in_body"),
         (sentences > rules.MAX_SENTENCES).alias("too_long"),
         (answered & body.rlike(advice)).alias("advice_language"),

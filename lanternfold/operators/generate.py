@@ -88,8 +88,15 @@ def context_block(hits: Column) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(blocks, "\n\n")).otherwise(F.lit(rules.NO_CONTEXT))
 
 
+def is_approved(url: Column, pack: RulePack = FUNDS) -> Column:
+    out = url.isin(*pack.approved_urls)
+    for prefix in pack.approved_prefixes:
+        out = out | F.startswith(url, F.lit(prefix))
+    return out
+
+
 def best_url(hits: Column, pack: RulePack = FUNDS) -> Column:
-    approved = F.filter(hits, lambda h: h["url"].isin(*pack.approved_urls))
+    approved = F.filter(hits, lambda h: is_approved(h["url"], pack))
     return (
         F.when(F.size(hits) == 0, F.lit(pack.default_url))
         .when(F.size(approved) > 0, F.get(approved, F.lit(0))["url"])

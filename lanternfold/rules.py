@@ -221,6 +221,8 @@ class RulePack:
 
     name: str = "funds"
     approved_urls: tuple[str, ...] = APPROVED_URLS
+    # Whole sites that may be cited, for corpora too large to list page by page.
+    approved_prefixes: tuple[str, ...] = ()
     default_url: str = FACTSHEETS_URL
     scope_url: str = EXPLORE_URL
     url_schemes: dict[str, str] = field(default_factory=lambda: dict(URL_SCHEMES))

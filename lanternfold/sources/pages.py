@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternfold.functions.spread import spread
 from lanternfold.functions.text import slug, strip, word_count
+from lanternfold.operators.generate import is_approved
 from lanternfold.operators.sections import fetch_columns
 from lanternfold.rules import FUNDS, RulePack
 
@@ -19,7 +20,7 @@ class CorpusFetchError(RuntimeError):
 
 def approved(pages: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
     """Pages of the pack's own list."""
-    return pages.filter(F.col("url").isin(*pack.approved_urls))
+    return pages.filter(is_approved(F.col("url"), pack))
 
 
 def approved_by(pages: DataFrame, allow_list: DataFrame) -> DataFrame:
