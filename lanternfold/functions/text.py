@@ -12,21 +12,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters str.split() / str.splitlines() separate on.
-SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\p{IsWhite_Space}\x{1c}-\x{1f}"
+SPACE_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORD = r"\p{L}\p{N}_"
 EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+EDGE_BEFORE = rf"(?<![{WORD}])"
+EDGE_AFTER = rf"(?![{WORD}])"
 
 
-def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Rewrite a Python ``str`` pattern so Java reads \\b \\s \\d \\w as Python does."""
+def java_regex(pattern: str, ignore_case: bool = False, any_edge: bool = False) -> str:
+    """Rewrite a Python ``str`` pattern so Java reads \\b \\s \\d \\w as Python does.
+
+    A \\b that opens the pattern, a group or an alternative stands before a word
+    character and any other one behind it, so one look-around is enough.
+    ``any_edge`` is for patterns where that does not hold.
+    """
     out = []
     in_class = False
     i = 0
     while i < len(pattern):
         pair = pattern[i:i + 2]
         if pair == r"\b":
-            out.append(EDGE)
+            opens = i == 0 or pattern[i - 1] in "(|:"
+            out.append(EDGE if any_edge else EDGE_BEFORE if opens else EDGE_AFTER)
         elif pair == r"\s":
             out.append(SPACE if in_class else f"[{SPACE}]")
         elif pair == r"\d":
@@ -60,12 +71,12 @@ def name_regex(name: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:
     """Trim, and turn every whitespace run into one blank."""
-    return F.regexp_replace(strip(c), rf"[{SPACE}]+", " ")
+    return F.btrim(F.regexp_replace(c, rf"[{SPACE}]+", " "), F.lit(" "))
 
 
 def word_count(c: Column) -> Column:
@@ -73,12 +84,13 @@ def word_count(c: Column) -> Column:
 
 
 def line_words(c: Column) -> Column:
-    """Word count of an already collapsed, non-empty line."""
-    return F.size(F.split(c, " "))
+    """Word count of an already collapsed, non-empty line: its blanks and one."""
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1
 
 
-def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+def joined_words(c: Column) -> Column:
+    """Word count of collapsed lines joined by line feeds."""
+    return line_words(F.replace(c, F.lit("\n"), F.lit(" ")))
 
 
 def clean_lines(c: Column) -> Column:

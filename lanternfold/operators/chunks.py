@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfold import rules
-from lanternfold.functions.arrays import at, let
+from lanternfold.functions.arrays import at, let, unnest
+from lanternfold.functions.memo import per_session
 from lanternfold.functions.text import (
-    collapse, line_words, split_sentences, strip, word_count, words,
+    joined_words, line_words, split_sentences, strip,
 )
 from lanternfold.operators.sections import OVERVIEW
 from lanternfold.rules import FUNDS, RulePack
@@ -48,7 +49,7 @@ def _open_long_line(block: Column) -> Column:
     return F.when(
         (F.size(block) == 1) & (line_words(at(block, F.lit(0))) > rules.MAX_WORDS),
         let(pieces, lambda p: F.when(
-            F.forall(p, lambda x: word_count(x) <= rules.MAX_WORDS), p).otherwise(block)),
+            F.forall(p, lambda x: line_words(x) <= rules.MAX_WORDS), p).otherwise(block)),
     ).otherwise(block)
 
 
@@ -68,7 +69,7 @@ def overlap_tail(block: Column, overlap: int = rules.OVERLAP_WORDS) -> Column:
     last = F.slice(F.reverse(block), 1, overlap + 1)
 
     def step(acc: Column, line: Column) -> Column:
-        w = word_count(line)
+        w = line_words(line)
         stop = acc["done"] | ((acc["words"] + w > overlap) & (acc["lines"] > 0))
         return F.struct(
             F.when(stop, acc["lines"]).otherwise(acc["lines"] + 1).alias("lines"),
@@ -92,45 +93,39 @@ def section_blocks(lines: Column) -> Column:
 
 
 def is_stop_phrase(text: Column, pack: RulePack = FUNDS) -> Column:
-    flat = F.regexp_replace(collapse(F.lower(text)), r"\A[ .:|]+|[ .:|]+\z", "")
-
-    def test(t: Column) -> Column:
-        one_word_repeated = let(words(t), lambda w: (F.size(w) > 1) & (F.size(F.array_distinct(w)) == 1))
-        return t.isin(*pack.stop_phrases) | one_word_repeated
-
-    return let(flat, test)
+    """Navigation chrome, or one word said again and again. ``text``: collapsed lines."""
+    flat = F.btrim(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), F.lit(" .:|"))
+    return let(flat, lambda t: t.isin(*pack.stop_phrases) | t.rlike(r"\A([^ ]+)(?: \1)+\z"))
 
 
 def drop_reason(heading: Column, text: Column, body: Column, min_words: int, pack: RulePack) -> Column:
     stop = is_stop_phrase(body, pack) | ((heading != OVERVIEW) & is_stop_phrase(text, pack))
-    short = (word_count(text) < min_words) & ~F.lower(strip(heading)).isin(*pack.fact_headings)
+    short = (joined_words(text) < min_words) & ~F.lower(strip(heading)).isin(*pack.fact_headings)
     return F.when(stop, F.lit("boilerplate")).when(short, F.lit(f"under {min_words} words"))
 
 
-def chunk_pages(sections: DataFrame, pack: RulePack = FUNDS, min_words: int = rules.MIN_WORDS) -> DataFrame:
-    """Adds ``blocks``: every candidate chunk of the page with its drop reason (NULL = kept)."""
-
+@per_session
+def _blocks(pack: RulePack, min_words: int) -> Column:
     def candidates(section: Column) -> Column:
         def candidate(block: Column) -> Column:
             body = strip(F.array_join(block, "\n"))
-            heading = section["heading"]
-            return let(body, lambda b: F.struct(
-                heading.alias("heading"), b.alias("body"),
-                F.when(heading != OVERVIEW, F.concat(heading, F.lit("\n"), b)).otherwise(b).alias("text"),
-            ))
+            heading = F.when(section["heading"] == "", F.lit(OVERVIEW)).otherwise(section["heading"])
+
+            def judged(b: Column) -> Column:
+                text = F.when(heading != OVERVIEW, F.concat(heading, F.lit("\n"), b)).otherwise(b)
+                return let(text, lambda t: F.struct(
+                    heading.alias("heading"), b.alias("body"), t.alias("text"),
+                    drop_reason(heading, t, b, min_words, pack).alias("reason")))
+
+            return let(body, judged)
         return F.transform(section_blocks(section["lines"]), candidate)
 
-    return (
-        sections
-        .withColumn("sections", F.transform("sections", lambda s: F.struct(
-            F.when(s["heading"] == "", F.lit(OVERVIEW)).otherwise(s["heading"]).alias("heading"),
-            s["lines"].alias("lines"))))
-        .withColumn("_candidates", F.flatten(F.transform("sections", candidates)))
-        .withColumn("blocks", F.transform("_candidates", lambda c: F.struct(
-            c["heading"].alias("heading"), c["body"].alias("body"), c["text"].alias("text"),
-            drop_reason(c["heading"], c["text"], c["body"], min_words, pack).alias("reason"))))
-        .drop("_candidates")
-    )
+    return F.flatten(F.transform("sections", candidates))
+
+
+def chunk_pages(sections: DataFrame, pack: RulePack = FUNDS, min_words: int = rules.MIN_WORDS) -> DataFrame:
+    """Adds ``blocks``: every candidate chunk of the page with its drop reason (NULL = kept)."""
+    return sections.withColumn("blocks", _blocks(pack, min_words))
 
 
 def chunk_id(url: Column, index: Column) -> Column:
@@ -142,21 +137,21 @@ def kept_chunks(chunked: DataFrame) -> DataFrame:
     carried = [c for c in ("page_no", "url", "title", "scheme", "fetched_at") if c in chunked.columns]
     kept = F.filter("blocks", lambda b: b["reason"].isNull())
     return (
-        chunked.select(*carried, F.posexplode(kept).alias("chunk_index", "b"))
+        unnest(chunked, kept, "chunk_index", "b", *carried)
         .select(
             chunk_id(F.col("url"), F.col("chunk_index")).alias("id"),
             *carried,
             F.col("b.heading").alias("heading"),
             "chunk_index",
             F.col("b.text").alias("text"),
-            word_count(F.col("b.text")).alias("word_count"),
+            joined_words(F.col("b.text")).alias("word_count"),
         )
     )
 
 
 def dropped_chunks(chunked: DataFrame) -> DataFrame:
     gone = F.filter("blocks", lambda b: b["reason"].isNotNull())
-    return chunked.select("url", F.posexplode(gone).alias("drop_no", "b")).select(
+    return unnest(chunked, gone, "drop_no", "b", "url").select(
         "url", "drop_no",
         F.col("b.reason").alias("reason"),
         F.substr(F.col("b.body"), F.lit(1), F.lit(120)).alias("text"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfold import rules
-from lanternfold.functions.arrays import let
+from lanternfold.functions.arrays import let, unnest
 from lanternfold.functions.text import LINE_BREAK, SPACE, collapse, word_count
 from lanternfold.operators.generate import is_approved
 from lanternfold.rules import FUNDS, RulePack
@@ -74,7 +74,7 @@ def text_statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def line_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line) counts. Repeats are combined map-side before the shuffle."""
-    lines = texts.select(key, F.explode(raw_lines(F.col(text))).alias("line"))
+    lines = unnest(texts, raw_lines(F.col(text)), "line_no", "line", key)
     return lines.groupBy(key, "line").agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lanternfold import rules
-from lanternfold.functions.arrays import at
+from lanternfold.functions.arrays import at, let
 from lanternfold.functions.text import SPACE, strip, word_count
 from lanternfold.rules import FUNDS, RulePack
 
@@ -32,44 +32,62 @@ def is_label(line: Column, pack: RulePack = FUNDS) -> Column:
     return F.rtrim(F.lower(strip(line)), F.lit(":")).isin(*pack.label_lines)
 
 
-def is_value(line: Column, dated: Column, pack: RulePack = FUNDS) -> Column:
-    """``dated``: the label above is an inception date, so a bare date is its value."""
+def looks_like_value(line: Column, pack: RulePack = FUNDS) -> Column:
+    """Short, unpunctuated and not chrome. A bare date passes; see ``is_value``."""
     text = strip(line)
     return (
-        (line != "")
+        (F.length(text) <= rules.MAX_VALUE_CHARS)
+        & (line != "")
         & ~is_heading(line)
+        & (word_count(text) <= rules.MAX_VALUE_WORDS)
         & ~F.lower(text).isin(*pack.not_values)
         & ~is_label(text, pack)
-        & (F.length(text) <= rules.MAX_VALUE_CHARS)
-        & (word_count(text) <= rules.MAX_VALUE_WORDS)
-        & (dated | ~text.rlike(AS_ON_DATE))
-        & (text.rlike(NUMERIC_VALUE) | ~text.rlike(r"[.:;]\z"))
+        & (~text.rlike(r"[.:;]\z") | text.rlike(NUMERIC_VALUE))
     )
 
 
+def is_bare_date(line: Column) -> Column:
+    return (F.length(strip(line)) <= rules.MAX_VALUE_CHARS) & strip(line).rlike(AS_ON_DATE)
+
+
+def is_value(line: Column, dated: Column, pack: RulePack = FUNDS) -> Column:
+    """``dated``: the label above is an inception date, so a bare date is its value."""
+    return looks_like_value(line, pack) & (dated | ~is_bare_date(line))
+
+
 def is_qualifier(line: Column, pack: RulePack = FUNDS) -> Column:
     """A short lower-case continuation of a label that is not itself a value."""
+    return _can_qualify(line) & ~is_label(line, pack) & ~is_value(line, F.lit(False), pack)
+
+
+def _can_qualify(line: Column) -> Column:
     return (
-        (line != "")
-        & ~is_heading(line)
+        (F.length(line) <= rules.MAX_QUALIFIER_CHARS)
         & line.rlike(r"^\p{Ll}")
-        & (F.length(line) <= rules.MAX_QUALIFIER_CHARS)
         & (word_count(line) <= rules.MAX_QUALIFIER_WORDS)
-        & ~is_label(line, pack)
-        & ~is_value(line, F.lit(False), pack)
     )
 
 
 def tag_lines(lines: Column, pack: RulePack = FUNDS) -> Column:
     """``array<struct>``: each line with its label / value / qualifier flags."""
-    return F.transform(lines, lambda x: F.struct(
-        x.alias("line"),
-        (~is_heading(x) & is_label(x, pack)).alias("label"),
-        F.contains(F.lower(x), F.lit("inception")).alias("dated"),
-        is_value(x, F.lit(False), pack).alias("value"),
-        is_value(x, F.lit(True), pack).alias("dated_value"),
-        is_qualifier(x, pack).alias("qualifier"),
-    ))
+
+    def tag(x: Column) -> Column:
+        looks = F.struct(x.alias("line"), is_label(x, pack).alias("label"), looks_like_value(x, pack).alias("fits"))
+
+        def finish(s: Column) -> Column:
+            value = s["fits"] & ~is_bare_date(s["line"])
+            return F.struct(
+                s["line"].alias("line"),
+                s["label"].alias("label"),
+                (s["label"] & F.contains(F.lower(s["line"]), F.lit("inception"))).alias("dated"),
+                value.alias("value"),
+                s["fits"].alias("dated_value"),
+                (~s["label"] & _can_qualify(s["line"]) & ~value).alias("qualifier"),
+            )
+
+        return let(looks, finish)
+
+    return F.transform(lines, tag)
 
 
 def _yes(flag: Column) -> Column:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from lanternfold import rules
 from lanternfold.functions.arrays import let
+from lanternfold.functions.memo import per_session
 from lanternfold.functions.text import any_of, java_regex, match_spans, name_regex
 from lanternfold.rules import FUNDS, RulePack
 
 PAN = java_regex(rules.PAN_PATTERN)
 OTP = java_regex(rules.OTP_PATTERN, ignore_case=True)
-EMAIL = java_regex(rules.EMAIL_PATTERN)
+EMAIL = java_regex(rules.EMAIL_PATTERN, any_edge=True)
 PHONE = java_regex(rules.PHONE_PATTERN)
 TWELVE = java_regex(rules.AADHAAR_PATTERN)
 TWELVE_CONTEXT = java_regex(rules.AADHAAR_CONTEXT, ignore_case=True)
@@ -130,34 +131,37 @@ def has_long_run(text: Column, phone: Column, groups: Column) -> Column:
     return F.aggregate(match_spans(text, LONG_RUN), zero, step, lambda acc: acc["hit"])
 
 
+@per_session
+def _pii_types(text: str) -> Column:
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def kinds(phone: Column, groups: Column) -> Column:
+        return F.concat(
+            _kind("phone", phone["start"] >= 0),
+            F.transform(groups, lambda g: g["kind"]),
+            _kind("account", has_long_run(t, phone, groups)),
+        )
+
+    spans = let(first_phone(t), lambda phone: let(twelve_digit_groups(t, phone), lambda groups: kinds(phone, groups)))
+    numeric = t.rlike(r"\A(?:\P{Nd}*+\p{Nd}){10}")
+    return F.concat(
+        _kind("pan", t.rlike(PAN)),
+        _kind("otp", t.rlike(OTP)),
+        _kind("email", F.contains(t, F.lit("@")) & t.rlike(EMAIL)),
+        F.when(numeric, spans).otherwise(F.array().cast("array<string>")),
+    )
+
+
 def detect_pii(df: DataFrame, text: str, out: str = "pii_types") -> DataFrame:
     """Adds the kinds of personal data found, in a fixed order; never the values.
 
-    The span work is skipped for texts that hold no ten digits at all.
+    The span work is skipped for texts that hold fewer than ten digits.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    numeric = F.regexp_count(t, F.lit(r"\p{Nd}")) >= 10
-    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
-    return (
-        df.withColumn("_numeric", numeric)
-        .withColumn("_phone", F.when(F.col("_numeric"), first_phone(t)).otherwise(none))
-        .withColumn("_groups", F.when(F.col("_numeric"), twelve_digit_groups(t, F.col("_phone")))
-                    .otherwise(F.array().cast(f"array<{SPAN}>")))
-        .withColumn(out, F.concat(
-            F.when(t.rlike(PAN), F.array(F.lit("pan"))).otherwise(_no_kind()),
-            F.when(t.rlike(OTP), F.array(F.lit("otp"))).otherwise(_no_kind()),
-            F.when(t.rlike(EMAIL), F.array(F.lit("email"))).otherwise(_no_kind()),
-            F.when(F.col("_phone.start") >= 0, F.array(F.lit("phone"))).otherwise(_no_kind()),
-            F.transform("_groups", lambda g: g["kind"]),
-            F.when(F.col("_numeric") & has_long_run(t, F.col("_phone"), F.col("_groups")),
-                   F.array(F.lit("account"))).otherwise(_no_kind()),
-        ))
-        .drop("_numeric", "_phone", "_groups")
-    )
+    return df.withColumn(out, _pii_types(text))
 
 
-def _no_kind() -> Column:
-    return F.array().cast("array<string>")
+def _kind(name: str, found: Column) -> Column:
+    return F.when(found, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
 
 
 def is_performance(text: Column, pack: RulePack = FUNDS) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lanternfold import rules
 from lanternfold.functions.arrays import string_array
+from lanternfold.functions.memo import per_session
 from lanternfold.functions.text import has_phrase, strip
 from lanternfold.rules import FUNDS, RulePack
 
@@ -55,8 +56,13 @@ def topic_hits(heading: Column, text: Column, pack: RulePack = FUNDS) -> Column:
     return F.array(*levels)
 
 
+@per_session
+def _chunk_hits(pack: RulePack) -> Column:
+    return topic_hits(F.col("heading"), F.col("text"), pack)
+
+
 def with_chunk_features(chunks: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
-    return chunks.withColumn("topic_hits", topic_hits(F.col("heading"), F.col("text"), pack))
+    return chunks.withColumn("topic_hits", _chunk_hits(pack))
 
 
 def with_question_features(questions: DataFrame, column: str, pack: RulePack = FUNDS) -> DataFrame:

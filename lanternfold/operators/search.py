@@ -150,12 +150,13 @@ def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settin
     limit = settings.broadcast_questions
     head = q.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
-        block = q.sparkSession.sparkContext.broadcast(QuestionBlock.from_arrow(head))
+        parts = q.sparkSession.sparkContext.broadcast(vars(QuestionBlock.from_arrow(head)))
 
         def scan(batches):
+            block = QuestionBlock(**parts.value)
             best: list[pa.RecordBatch] = []
             for batch in batches:
-                best = keep_best(best + block_top_k(block.value, batch, k), k)
+                best = keep_best(best + block_top_k(block, batch, k), k)
             yield from best
 
         return c.mapInArrow(scan, CANDIDATE)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternfold.functions.arrays import at, let
 from lanternfold.functions.html import parse_page
+from lanternfold.functions.memo import per_session
 from lanternfold.functions.text import strip
 from lanternfold.operators.facts import is_heading, pair_tagged, tag_lines
 from lanternfold.rules import FUNDS, UNKNOWN_SCHEME, RulePack
@@ -57,15 +58,14 @@ def assemble_sections(lines: Column) -> Column:
     return F.filter(sections, lambda s: F.size(s["lines"]) > 0)
 
 
+@per_session
+def _sections(pack: RulePack) -> Column:
+    return let(tag_lines(F.col("marked"), pack), lambda tagged: let(pair_tagged(tagged), assemble_sections))
+
+
 def to_sections(documents: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
     """Adds ``sections`` (and ``scheme`` unless the input already carries one)."""
-    out = (
-        documents
-        .withColumn("_tagged", tag_lines(F.col("marked"), pack))
-        .withColumn("_paired", pair_tagged(F.col("_tagged")))
-        .withColumn("sections", assemble_sections(F.col("_paired")))
-        .drop("_tagged", "_paired", "marked")
-    )
+    out = documents.withColumn("sections", _sections(pack)).drop("marked")
     if "scheme" not in out.columns:
         out = out.withColumn("scheme", scheme_of(F.col("url"), pack))
     return out
