@@ -10,16 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold import rules
 from lanternfold.functions.arrays import string_array
+from lanternfold.functions.kernel import FACT_HIT, HEADING_HIT, HIT_BOOST, NO_HIT, TEXT_HIT
 from lanternfold.functions.memo import per_session
 from lanternfold.functions.text import has_phrase, strip
 from lanternfold.rules import FUNDS, RulePack
 
-NO_HIT, HEADING_HIT, FACT_HIT, TEXT_HIT = 0, 1, 2, 3
-HIT_BOOST = {HEADING_HIT: rules.HEADING_BOOST, FACT_HIT: rules.FACT_BOOST, TEXT_HIT: rules.TEXT_BOOST}
-HIT_NAME = {HEADING_HIT: "heading", FACT_HIT: "fact", TEXT_HIT: "text"}
-
 
 def matched_topics(question: Column, pack: RulePack = FUNDS) -> Column:
     """``array<int>``: positions of the topics a question raises, in priority order."""

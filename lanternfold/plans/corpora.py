@@ -137,12 +137,16 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns as badly behaved completions: links, labels, figures, declines."""
     c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     turns = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    opening = (
+        F.when(kind == 0, F.lit("This is not in the pages. "))
+        .when(kind == 1, _html("Per https://example.com/", c, ", it is 1,", c, ".5% of ", t, ". "))
+        .when(kind == 2, _html("See [the notes](https://e.org/", c, ") ( ) for more . "))
+        .otherwise(F.lit("It comes from. "))
+    )
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        _html("Per https://example.com/", c, ", it is 1,", c, ".5% of ", t, ". See [the ", t, " notes](https://e.org/",
-              c, ") ( ) for more . ", F.col("text"), " Visit www.example.org/x . Source: https://example.com/", t,
-              F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.lit(" This is not in the pages."))
-              .otherwise(F.lit(" It comes from."))).alias("completion"))
+        _html(opening, F.col("text"), " Visit www.example.org/x . Source: https://example.com/", t).alias("completion"))
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
