@@ -104,22 +104,23 @@ def split_sentences(c: Column) -> Column:
     return F.filter(parts, lambda x: strip(x) != "")
 
 
-def phrase_regex(phrases) -> str | None:
-    """Whole-word match of any phrase on lower-cased text; the last word may take an s."""
-    alternatives = []
+def phrase_text(c: Column) -> Column:
+    """Lower-cased ASCII words of a text, each between single blanks.
+
+    One pass; every phrase test on it is then a plain substring search.
+    """
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def has_phrase(prepared: Column, phrases) -> Column:
+    """Whole-word match of any phrase on ``phrase_text``; the last word may take an s."""
+    found = F.lit(False)
     for phrase in phrases:
         tokens = re.findall(r"[a-z0-9]+", phrase.lower())
         if tokens:
-            alternatives.append("[^a-z0-9]+".join(tokens))
-    if not alternatives:
-        return None
-    return rf"(?:\A|[^a-z0-9])(?:{'|'.join(alternatives)})s?(?:[^a-z0-9]|\z)"
-
-
-def has_phrase(c: Column, phrases) -> Column:
-    """``c`` must be lower-cased already, so that one pass serves many rules."""
-    pattern = phrase_regex(phrases)
-    return F.lit(False) if pattern is None else c.rlike(pattern)
+            needle = " " + " ".join(tokens)
+            found = found | F.contains(prepared, F.lit(needle + " ")) | F.contains(prepared, F.lit(needle + "s "))
+    return found
 
 
 def numbers(c: Column) -> Column:

@@ -10,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.functions.arrays import string_array
+from lanternfold.functions.arrays import let, string_array
 from lanternfold.functions.kernel import FACT_HIT, HEADING_HIT, HIT_BOOST, NO_HIT, TEXT_HIT
 from lanternfold.functions.memo import per_session
-from lanternfold.functions.text import has_phrase, strip
+from lanternfold.functions.text import has_phrase, phrase_text, strip
 from lanternfold.rules import FUNDS, RulePack
 
 
 def matched_topics(question: Column, pack: RulePack = FUNDS) -> Column:
     """``array<int>``: positions of the topics a question raises, in priority order."""
-    lowered = F.lower(question)
-    flags = [F.when(has_phrase(lowered, p), F.lit(i)) for i, p in enumerate(pack.topic_phrases.values())]
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+    def flags(prepared: Column) -> Column:
+        return F.array(*[F.when(has_phrase(prepared, p), F.lit(i)) for i, p in enumerate(pack.topic_phrases.values())])
+
+    return F.filter(let(phrase_text(question), flags), lambda x: x.isNotNull())
 
 
 def topic_names(topics: Column, pack: RulePack = FUNDS) -> Column:
@@ -30,26 +32,29 @@ def topic_names(topics: Column, pack: RulePack = FUNDS) -> Column:
 
 
 def matched_schemes(question: Column, pack: RulePack = FUNDS) -> Column:
-    lowered = F.lower(question)
-    flags = [F.when(has_phrase(lowered, p), F.lit(s)) for s, p in pack.scheme_phrases.items()]
-    if not flags:
+    if not pack.scheme_phrases:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+    def flags(prepared: Column) -> Column:
+        return F.array(*[F.when(has_phrase(prepared, p), F.lit(s)) for s, p in pack.scheme_phrases.items()])
+
+    return F.filter(let(phrase_text(question), flags), lambda x: x.isNotNull())
 
 
 def topic_hits(heading: Column, text: Column, pack: RulePack = FUNDS) -> Column:
     """``array<tinyint>``: per topic, the strongest place it appears in. A heading
     hit hides a fact hit on purpose, although it earns less."""
-    head, body = F.lower(strip(heading)), F.lower(text)
-    levels = []
-    for topic, phrases in pack.topic_phrases.items():
-        levels.append(
+
+    def levels(head: Column, body: Column) -> Column:
+        return F.array(*[
             F.when(has_phrase(head, phrases), F.lit(HEADING_HIT))
             .when(has_phrase(body, pack.topic_labels.get(topic, ())), F.lit(FACT_HIT))
             .when(has_phrase(body, phrases), F.lit(TEXT_HIT))
             .otherwise(F.lit(NO_HIT)).cast("tinyint")
-        )
-    return F.array(*levels)
+            for topic, phrases in pack.topic_phrases.items()
+        ])
+
+    return let(phrase_text(heading), lambda head: let(phrase_text(text), lambda body: levels(head, body)))
 
 
 @per_session

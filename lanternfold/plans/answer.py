@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfold.functions.spread import spread
 from lanternfold.operators import generate, guardrails, search
 from lanternfold.operators.embed import Embedder, choose_embedder, embed
 from lanternfold.rules import FUNDS, RulePack
+from lanternfold.session import stage
 from lanternfold.settings import Settings, load_settings
 from lanternfold.sources.collection import Collection, CorpusEmptyError
 from lanternfold.sources.reports import read_manifest
@@ -30,7 +32,8 @@ def answer_from(questions: DataFrame, collection: DataFrame, *, pack: RulePack =
     """
     settings = settings or Settings()
     embedder = embedder or choose_embedder(settings)
-    decided = screen(questions, pack)
+    # Only redacted text is written: a blocked question has none.
+    decided = stage(screen(spread(questions), pack), "questions")
     allowed = decided.filter("allowed").select("question_id", "question")
     asked = embed(allowed.filter(search.rerank.strip(F.col("question")) != ""), "question", embedder)
     hits = generate.gather(search.retrieve(asked, collection, k, pack, settings))

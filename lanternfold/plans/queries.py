@@ -27,6 +27,7 @@ from lanternfold.plans import corpora as co
 from lanternfold.plans.answer import answer_from, screen
 from lanternfold.plans.ingest import staged_counts
 from lanternfold.rules import FUNDS
+from lanternfold.session import stage
 from lanternfold.settings import Settings
 from lanternfold.sources import collection as cl
 from lanternfold.sources import pages as pg
@@ -55,7 +56,7 @@ def web_chunks(spark, sf) -> DataFrame:
 
 def collection(spark, sf) -> DataFrame:
     """Chunks of the given pages with vectors and re-rank features."""
-    return em.embed(rr.with_chunk_features(web_chunks(spark, sf), co.SAMPLE), "text", EMBEDDER)
+    return stage(em.embed(rr.with_chunk_features(web_chunks(spark, sf), co.SAMPLE), "text", EMBEDDER), "collection")
 
 
 def each_line(documents: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def _(spark, sf):
 
 @query("snk11_guards")
 def _(spark, sf):
-    rows = collection(spark, sf).agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
+    rows = em.embed(web_chunks(spark, sf), "text", EMBEDDER).agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
     return rows.select((F.col("chunks") > 0).alias("not_empty"), (F.col("chunks") == F.col("vectors")).alias("complete"))
 
 
@@ -404,10 +405,10 @@ def _(spark, sf):
 
 
 def phrase_flags(texts: DataFrame, key: str, text: str) -> DataFrame:
-    lowered = F.lower(F.col(text))
-    return texts.select(key, tx.has_phrase(lowered, ("of the",)).alias("of_the"),
-                        tx.has_phrase(lowered, ("ter", "nav", "que")).alias("short_words"),
-                        tx.has_phrase(lowered, ("de la", "est", "ention")).alias("mixed"))
+    prepared = tx.phrase_text(F.col(text))
+    return texts.select(key, tx.has_phrase(prepared, ("of the",)).alias("of_the"),
+                        tx.has_phrase(prepared, ("ter", "nav", "que")).alias("short_words"),
+                        tx.has_phrase(prepared, ("de la", "est", "ention")).alias("mixed"))
 
 
 @query("vec2_phrases")
@@ -434,7 +435,7 @@ def _(spark, sf):
 
 
 def retrieved(spark, sf, k: int | None = None) -> DataFrame:
-    asked = em.embed(co.questions(spark, sf), "question", EMBEDDER)
+    asked = em.embed(spread(co.questions(spark, sf)), "question", EMBEDDER)
     return se.retrieve(asked, collection(spark, sf), k, co.SAMPLE, SETTINGS)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lanternfold", master: str | None = None, **conf) -> SparkSession:
@@ -32,3 +33,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="lanternfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table several later steps read, and read it back.
+
+    Costs one write; saves its work for every reader, also after lost executors.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/lanternfold/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
