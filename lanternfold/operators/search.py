@@ -25,6 +25,7 @@ from lanternfold.operators import rerank
 from lanternfold.rules import FUNDS, RulePack
 from lanternfold.settings import Settings
 
+MAX_BROADCAST_K = 100
 CANDIDATE = ("question_id bigint, id string, distance double, score double, "
              "scheme_hit boolean, topic int, level int")
 
@@ -33,8 +34,9 @@ def _feature_columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """Per task, the k best chunks of every question (a superset of the answer)."""
+def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> tuple[DataFrame, bool]:
+    """Per task, the k best chunks of every question (a superset of the answer), and
+    whether the question count was found to be within the broadcast bound."""
     q = questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics")))
     c = chunks.select(*_feature_columns(chunks, ("id", "embedding", "scheme", "topic_hits")))
     limit = settings.broadcast_questions
@@ -49,7 +51,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settin
                 best = keep_best(best + block_top_k(block, batch, k), k)
             yield from best
 
-        return c.mapInArrow(scan, CANDIDATE)
+        return c.mapInArrow(scan, CANDIDATE), True
 
     cols = math.ceil(q.count() / settings.cell_questions)
     rows = math.ceil(max(c.count(), 1) / settings.cell_chunks)
@@ -63,12 +65,15 @@ def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settin
         return pa.Table.from_batches(found, schema=CANDIDATE_SCHEMA)
 
     keys = ("_row", "_col")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE), False
 
 
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
     """``question_id, rank, id, distance, score, ...``: ascending score, then distance, then id."""
-    found = candidates(questions, chunks, k, settings or Settings())
+    return _best(candidates(questions, chunks, k, settings or Settings())[0], k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy("score", "distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -85,10 +90,15 @@ def retrieve(questions: DataFrame, collection: DataFrame, k: int | None = None,
         questions.filter(rerank.strip(F.col("question")) != ""), "question", pack)
     if "topic_hits" not in collection.columns:
         collection = rerank.with_chunk_features(collection, pack)
-    winners = top_k(asked, collection, k, settings).withColumn(
+    found, bounded = candidates(asked, collection, k, settings)
+    winners = _best(found, k).withColumn(
         "rank_note", rerank.rank_note(F.col("scheme_hit"), F.col("topic"), F.col("level"), pack))
     texts = collection.select("id", "text", "url", "title", "scheme", "heading", "fetched_at", "chunk_index")
-    return winners.drop("scheme_hit", "topic", "level").join(texts, "id")
+    winners = winners.drop("scheme_hit", "topic", "level")
+    if bounded and k <= MAX_BROADCAST_K:
+        # At most broadcast_questions * k narrow rows: the texts stay where they are.
+        winners = F.broadcast(winners)
+    return texts.join(winners, "id")
 
 
 def with_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
