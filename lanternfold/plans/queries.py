@@ -126,7 +126,7 @@ def _(spark, sf):
 
 @query("snk7_dump_blocks")
 def _(spark, sf):
-    pages = chunked(co.web_documents(spark, sf))
+    pages = stage(chunked(co.web_documents(spark, sf)).drop("text"), "pages")
     counts = pages.select("page_no", F.size(F.filter("blocks", lambda b: b["reason"].isNull())).alias("chunks"))
     return rp.dump_blocks(ch.kept_chunks(pages), counts)
 
