@@ -22,7 +22,9 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([^\s/>]+)")
 _MARKED = re.compile(r"""(?:^|[\s"'/])(class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style")}
+# Elements whose content is not markup; for the last two it is still text.
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "iframe", "title", "textarea")}
+_TEXT_ONLY = frozenset(("title", "textarea"))
 _VOID = frozenset("area base br col embed hr img input link meta param".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
 _SIDE_TEXT = frozenset(("rt", "rp", "template"))  # ruby and template text is not page text
@@ -122,9 +124,11 @@ def read_page(page: str) -> tuple[str, list[str], list[str]]:
         flush()
         while stack and name in _CLOSED_BY.get(stack[-1], ()):
             close_to(len(stack) - 1)
+        raw = ""
         if name in _RAW_END:
             end = _RAW_END[name].search(page, pos)
-            pos = end.start() if end else len(page)
+            stop = end.start() if end else len(page)
+            raw, pos = page[pos:stop], stop
         if name in _VOID or text.endswith("/>"):
             continue
         depth = len(stack)
@@ -141,6 +145,8 @@ def read_page(page: str) -> tuple[str, list[str], list[str]]:
                 h1 = (depth, [])
         elif name == "title" and title is None and title_parts is None:
             title = (depth, [])
+        if name in _TEXT_ONLY:
+            pending.append(raw)
     flush()
     close_to(0)
 

@@ -60,6 +60,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def language(url: Column) -> Column:
     code = F.regexp_extract(url, r"/(en|fr|de|es)/", 1)
     return F.when(code == "", F.lit("unknown")).otherwise(code)
@@ -76,7 +80,7 @@ def web_documents(spark: SparkSession, sf: str, fetched_at: str = FETCHED_AT) ->
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The ``documents`` table as pages without markup."""
-    docs = spread(table(spark, sf, "documents"))
+    docs = documents(spark, sf)
     return docs.select(
         F.col("doc_id").alias("page_no"),
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
@@ -173,6 +177,6 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def screened_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Messages and whole documents together."""
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     return messages(spark, sf).unionByName(docs)

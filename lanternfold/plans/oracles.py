@@ -78,13 +78,13 @@ def any_name(e: str, names) -> str:
 
 # --- inputs ---
 
-UNESCAPE = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+UNESCAPE = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"))
 
 
 def unescape(e: str) -> str:
     for a, b in UNESCAPE:
         e = f"replace({e}, {q(a)}, {q(b)})"
-    return e
+    return f"regexp_replace({e}, '&amp;?', '&', 'g')"  # the old entities also count without their semicolon
 
 
 def cleaned(e: str) -> str:

@@ -244,7 +244,7 @@ def _(spark, sf):
 
 @query("chk1_word_count")
 def _(spark, sf):
-    return co.table(spark, sf, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"))
+    return co.documents(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
 def _blocks(documents: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
@@ -267,7 +267,7 @@ def _(spark, sf):
 
 @query("chk4_sentences")
 def _(spark, sf):
-    docs = spread(co.table(spark, sf, "documents"))
+    docs = co.documents(spark, sf)
     return unnest(docs, tx.split_sentences(F.col("text")), "sentence_no", "sentence", "doc_id").select(
         "doc_id", "sentence_no", F.md5("sentence").alias("digest"))
 
@@ -330,7 +330,7 @@ def _(spark, sf):
 @query("emb1_token_window")
 def _(spark, sf):
     codes = em.hash_tokens(F.col("text"), EMBEDDER.dim)
-    docs = co.table(spark, sf, "documents").select("doc_id", codes.alias("codes"))
+    docs = co.documents(spark, sf).select("doc_id", codes.alias("codes"))
     return docs.select("doc_id", F.size("codes").alias("tokens"),
                        F.least(F.size("codes"), F.lit(SETTINGS.max_sequence_length)).alias("in_window"),
                        F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"))
@@ -413,7 +413,7 @@ def phrase_flags(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 @query("vec2_phrases")
 def _(spark, sf):
-    return phrase_flags(co.table(spark, sf, "documents"), "doc_id", "text")
+    return phrase_flags(co.documents(spark, sf), "doc_id", "text")
 
 
 @query("vec3_topics")
@@ -546,7 +546,7 @@ def _(spark, sf):
 @query("grd10_names")
 def _(spark, sf):
     names = ("of the", "de-la", "que", "und")
-    return co.table(spark, sf, "documents").select("doc_id", gr.names_any(F.col("text"), names).alias("named"))
+    return co.documents(spark, sf).select("doc_id", gr.names_any(F.col("text"), names).alias("named"))
 
 
 @query("grd11_performance")
@@ -595,7 +595,7 @@ def _(spark, sf):
 
 @query("gen5_numbers")
 def _(spark, sf):
-    docs = co.table(spark, sf, "documents")
+    docs = co.documents(spark, sf)
     return docs.select("doc_id", F.array_join(F.array_sort(tx.numbers(F.col("text"))), "|").alias("numbers"))
 
 
@@ -708,23 +708,23 @@ def _(spark, sf):
 
 @query("agg5_text_statistics")
 def _(spark, sf):
-    docs = spread(co.table(spark, sf, "documents"))
+    docs = co.documents(spark, sf)
     return dg.text_statistics(docs, "doc_id", "text").drop("longest_short_run")
 
 
 @query("agg6_redundancy")
 def _(spark, sf):
-    return dg.redundancy(co.table(spark, sf, "documents"), "doc_id", "text")
+    return dg.redundancy(co.documents(spark, sf), "doc_id", "text")
 
 
 @query("agg6_top_repeats")
 def _(spark, sf):
-    return dg.top_repeats(co.table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "rank", "line", "n")
+    return dg.top_repeats(co.documents(spark, sf), "doc_id", "text").select("doc_id", "rank", "line", "n")
 
 
 @query("agg7_short_runs")
 def _(spark, sf):
-    docs = spread(co.table(spark, sf, "documents"))
+    docs = co.documents(spark, sf)
     return dg.text_statistics(docs, "doc_id", "text").select("doc_id", "longest_short_run")
 
 

@@ -15,12 +15,10 @@ class Settings:
     top_k: int = 4
     data_dir: str = "lanternfold_data"
     collection: str = "faq_chunks"
-    embedding_model: str = "feature-hashing"
     embedding_dim: int = 384
     models_dir: str = "models"
     max_sequence_length: int = 256
     embed_batch: int = 32
-    model: str = "extractive"
     http_timeout: int = 30
     http_attempts: int = 3
     ingest_deadline_seconds: int = 150

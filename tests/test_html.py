@@ -28,6 +28,11 @@ def test_implied_ends_limit_noise():
     assert read_page("<body class='gdpr'><p>all gone</p></body>")[1] == []
 
 
+def test_title_and_textarea_hold_text_not_markup():
+    title, plain, _ = read_page("<title>a <b>&amp; c</title><textarea><nav>x</textarea><iframe></nav>no</iframe><p>y")
+    assert title == "a <b>& c" and plain == ["a <b>& c", "<nav>x", "y"]
+
+
 def test_title_falls_back_to_h1():
     assert read_page("<title></title><h1>x <i>y</i></h1>")[0] == "xy"
     assert read_page("<p>none</p>")[0] == ""
