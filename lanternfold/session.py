@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -28,11 +29,13 @@ def get_session(app: str = "lanternfold", master: str | None = None, **conf) ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lanternfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or _own_checkpoint_dir()
+
+
+@functools.cache
+def _own_checkpoint_dir() -> str:
+    return tempfile.mkdtemp(prefix="lanternfold-")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
