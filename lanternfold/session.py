@@ -1,14 +1,16 @@
-"""Session builder for the CLI, the tests and the bench."""
+"""Session builder for the CLI, the tests and the bench; staging of intermediate tables."""
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where a session on one machine stages its tables if no folder is named.
+ONE_MACHINE_DIR = "file:///tmp/checkpoints"
+
 
 def get_session(app: str = "lanternfold", master: str | None = None, **conf) -> SparkSession:
     """Session with adaptive execution and UTC. On a cluster, spark-submit's values win."""
@@ -28,21 +30,28 @@ def get_session(app: str = "lanternfold", master: str | None = None, **conf) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_checkpoint_dir()
-
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-@functools.cache
-def _own_checkpoint_dir() -> str:
-    return tempfile.mkdtemp(prefix="lanternfold-")
+    Without that setting there is one only where driver and executors are one process
+    (master local); anywhere else a missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return ONE_MACHINE_DIR
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table several later steps read, and read it back.
 
-    Costs one write; saves its work for every reader, also after lost executors.
+    Costs one write; saves its work for every reader, also after lost executors. The
+    files are removed when the application ends, since returned frames still read them.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/lanternfold/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/lanternfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
