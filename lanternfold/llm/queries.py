@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, packing, quality, token_counts, topk
+from lanternfold.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, token_counts, topk
 from lanternfold.llm.common import table
 
 
@@ -19,10 +19,19 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarise(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_sums(counted)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op5_quality, op8_exact_dedup, op9_token_counts)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_topk, op4_line_dedup, op5_quality, op7_pii, op8_exact_dedup, op9_token_counts, op10_mixing)}
 
 ORACLES = {
     "op2_topk": """
@@ -47,6 +61,23 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                vec_id, score
         FROM scored QUALIFY rank <= 10""",
+    "op4_line_dedup": """
+        WITH l AS (
+          SELECT d.doc_id, u.i, u.line,
+                 translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+          FROM documents d, LATERAL (
+            SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS i) u
+        ), k AS (
+          SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+        ), m AS (
+          SELECT l.doc_id, l.i, l.line, k.last IS NOT NULL AND l.doc_id <> k.last AS gone
+          FROM l LEFT JOIN k ON l.k = k.k
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op8_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -55,4 +86,45 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)""",
+    "op10_mixing": """
+        WITH RECURSIVE u AS (
+          SELECT doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS row,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS words
+          FROM documents
+        ), d AS (
+          SELECT doc_id, source, row, CAST(sum(words) AS BIGINT) AS tokens, count(*) AS n_rows FROM u GROUP BY ALL
+        ), s AS (
+          SELECT source, CAST(sum(tokens) AS BIGINT) AS whole FROM d GROUP BY source
+        ), p AS (
+          SELECT source, whole, sum(whole) OVER () AS every, whole / sum(whole) OVER () AS share FROM s
+        ), ends AS (SELECT min(share) AS least, max(share) AS most FROM p),
+        b AS (
+          SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+          UNION ALL
+          SELECT i + 1, CASE WHEN pow(least / most, (lo + hi) / 2 - 1) <= 2 THEN lo ELSE (lo + hi) / 2 END,
+                 CASE WHEN pow(least / most, (lo + hi) / 2 - 1) <= 2 THEN (lo + hi) / 2 ELSE hi END
+          FROM b, ends WHERE i < 60
+        ), a AS (
+          SELECT CASE WHEN pow(least / most, -1) <= 2 THEN 0 ELSE hi END AS alpha FROM b, ends WHERE i = 60
+        ), w AS (
+          SELECT source, whole, pow(share, alpha) / sum(pow(share, alpha)) OVER () AS weight,
+                 sum(pow(share, alpha)) OVER () / pow(max(share) OVER (), alpha - 1) * every AS total
+          FROM p, a
+        ), q AS (
+          SELECT source, whole, greatest(whole, CAST(round(total * weight, 0) AS BIGINT)) AS quota,
+                 greatest(1, CAST(ceil(CAST(total AS BIGINT) / 1000000.0) AS BIGINT)) AS blocks
+          FROM w
+        ), r AS (
+          SELECT d.*, q.quota, q.blocks, c.copy, md5(d.doc_id || ':' || d.row || ':' || c.copy) AS o
+          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source,
+               LATERAL (SELECT unnest(range(0, (q.quota - 1) // q.whole + 1)) AS copy) c
+        ), t AS (
+          SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY copy, o, doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM r
+        ), f AS (
+          SELECT *, least(blocks - 1, CAST(floor((stop - tokens) * (blocks / quota)) AS BIGINT)) AS block
+          FROM t WHERE stop <= quota
+        )
+        SELECT doc_id, source, n_rows, copy, tokens, block,
+               CAST(row_number() OVER (PARTITION BY block ORDER BY o, doc_id, source) AS INTEGER) AS position
+        FROM f""",
 }
