@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import stage
+from lanternfold.llm.common import ascii_lower, stage
 
 FIRST = 24  # bytes of the first digit after the length
 WIDER = 8  # each next digit is this many times as long
@@ -173,3 +173,12 @@ def duplicates(docs: DataFrame, share: int | None = None) -> DataFrame:
     return members.select("doc_id", "rep", "sha", "n").join(groups, "rep").select(
         "doc_id", keep.alias("keep_id"), "group_size",
         (F.col("n").isNotNull() & (F.col("rep") == F.col("top"))).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with their columns; of rows alike in id and text one."""
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    rows = docs.withColumn("__digest", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

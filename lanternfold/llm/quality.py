@@ -135,24 +135,30 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MOST,
     return model
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id and score (0 to 1) of every row."""
+def score(docs: DataFrame, model: np.ndarray, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns of ``keep`` and the score (0 to 1) of every row."""
     weights = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
     bits = len(model).bit_length() - 1
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    given = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches):
         features, w = Features(bits), weights.value
         for batch in batches:
             found = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(keep)).to_pylist():
                 slots = features.slots(text or "")
                 found.append(float(w[slots].sum(dtype=np.float64)) / np.sqrt(len(slots)))
             scores = 1 / (1 + np.exp(-np.clip(np.array(found, np.float64), -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, out])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, score double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
+    return given.mapInArrow(run, ", ".join([*fields, f"{out} double"]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that the classifier does not reject, with their columns."""
+    model = fit(docs, labels.where(~held_out()), **options)
+    return score(docs, model, tuple(docs.columns), "__score").where(F.col("__score") >= CUT).drop("__score")
 
 
 def held_out(doc_id="doc_id"):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, token_counts, topk
+from lanternfold.llm import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, topk, wrapper
 from lanternfold.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -28,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarise(pii.find(table(spark, sf_dir, "documents")))
 
@@ -46,7 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_topk, op4_line_dedup, op5_quality, op7_pii, op8_exact_dedup, op9_token_counts, op10_mixing)}
+    op1_packing, op2_topk, op3_html, op4_line_dedup, op5_quality, op6_jaccard, op7_pii, op8_exact_dedup, op9_token_counts,
+    op10_mixing)}
 
 ORACLES = {
     "op2_topk": """
