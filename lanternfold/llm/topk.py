@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES = 8192  # per block
+CANDIDATES = 4096  # per block
 QUERIES = 512  # per block
 SCALE = 1024
 
@@ -50,8 +50,9 @@ class SortedLists:
 
     def __init__(self, values: np.ndarray):
         self.values = values  # candidates x dimensions
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0)
+        self.order, self.lists = np.ascontiguousarray(order.T), np.ascontiguousarray(self.sorted.T)
 
     def survivors(self, query: np.ndarray, k: int) -> np.ndarray:
         """Candidates that may be among the k best (every one that could tie included)."""
@@ -61,22 +62,21 @@ class SortedLists:
         dims = np.flatnonzero(query)
         q = query[dims]
         forward = q < 0  # small components contribute most
-        worst = q * np.where(forward, self.sorted[-1, dims], self.sorted[0, dims])
+        worst = (q * np.where(forward, self.sorted[-1, dims], self.sorted[0, dims])).astype(np.float64)
         read = np.zeros(n)  # contributions read so far
-        seen = np.zeros((len(dims), n), bool)
-        depth, step = 0, max(2 * k, n // 16)
+        hidden = np.ones((len(dims), n))  # 1 where a list has not yet shown the candidate
         alive = np.arange(n)
+        depth, step = 0, max(2 * k, n // 8)
         while depth < n and len(alive) > 4 * k:
             stop = min(n, depth + step)
             for row, (j, ascending) in enumerate(zip(dims, forward, strict=True)):
                 at = slice(depth, stop) if ascending else slice(n - stop, n - depth)
-                ids = self.order[at, j]
-                read[ids] += q[row] * self.sorted[at, j]
-                seen[row, ids] = True
-            edge = np.where(forward, self.sorted[stop - 1, dims], self.sorted[n - stop, dims])
-            hidden = (~seen[:, alive]).astype(np.float64)
-            low = read[alive] + worst.astype(np.float64) @ hidden
-            high = read[alive] + (q * edge).astype(np.float64) @ hidden
+                ids = self.order[j, at]
+                read[ids] += q[row] * self.lists[j, at]
+                hidden[row, ids] = 0
+            edge = (q * np.where(forward, self.sorted[stop - 1, dims], self.sorted[n - stop, dims])).astype(np.float64)
+            rest = hidden if len(alive) == n else hidden[:, alive]
+            low, high = read[alive] + worst @ rest, read[alive] + edge @ rest
             bar = np.partition(low, len(low) - k)[len(low) - k]
             alive = alive[high >= bar]
             depth, step = stop, step * 2
@@ -115,6 +115,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
                 out.append(pd.DataFrame({"query_id": name, "vec_id": ids[at], "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
+    tasks = c_blocks * q_blocks  # stated, or small cells would be put together in one task
+    left, right = (side.repartition(tasks, "qb", "cb") for side in (left, right))
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
         cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
