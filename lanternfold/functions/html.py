@@ -125,7 +125,7 @@ def read_page(page: str) -> tuple[str, list[str], list[str]]:
         while stack and name in _CLOSED_BY.get(stack[-1], ()):
             close_to(len(stack) - 1)
         raw = ""
-        if name in _RAW_END:
+        if name in _RAW_END and not text.endswith("/>"):
             end = _RAW_END[name].search(page, pos)
             stop = end.start() if end else len(page)
             raw, pos = page[pos:stop], stop

@@ -92,36 +92,28 @@ def block_top_k(block: QuestionBlock, chunks: pa.RecordBatch | pa.Table, k: int,
             topic_cache[wanted] = (topic, level)
         return topic_cache[wanted]
 
+    alike: dict[tuple, list[int]] = {}  # questions with equal boosts share a score matrix
+    for q, key in enumerate(zip(block.schemes, block.topics)):
+        alike.setdefault(key, []).append(q)
     picked: list[tuple] = []
-    for start in range(0, len(block.ids), rows_at_once):
-        stop = min(start + rows_at_once, len(block.ids))
-        distance = np.round(1.0 - block.vectors[start:stop] @ vectors.T, DECIMALS)
-        for row, q in enumerate(range(start, stop)):
-            in_scheme = scheme_rows(block.schemes[q])
-            topic, level = topic_rows(block.topics[q])
-            boost = boost_of[level] + SCHEME_BOOST * in_scheme
-            score = np.round(distance[row] - boost, DECIMALS)
-            if n > k:
-                cut = np.partition(score, k - 1)[k - 1]
-                near = np.flatnonzero(score <= cut)
-            else:
-                near = np.arange(n)
-            order = np.lexsort((ids[near], distance[row][near], score[near]))[:k]
-            best = near[order]
-            picked.append((np.full(len(best), block.ids[q]), ids[best], distance[row][best], score[best],
-                           in_scheme[best], topic[best], level[best]))
+    for (wanted, raised), members in alike.items():
+        in_scheme = scheme_rows(wanted)
+        topic, level = topic_rows(raised)
+        boost = boost_of[level] + SCHEME_BOOST * in_scheme
+        for start in range(0, len(members), rows_at_once):
+            some = np.array(members[start:start + rows_at_once])
+            distance = np.round(1.0 - block.vectors[some] @ vectors.T, DECIMALS)
+            score = np.round(distance - boost, DECIMALS)
+            cut = np.partition(score, k - 1, axis=1)[:, k - 1:k] if n > k else np.full((len(some), 1), np.inf)
+            row, at = np.nonzero(score <= cut)
+            order = np.lexsort((ids[at], distance[row, at], score[row, at], row))
+            row, at = row[order], at[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[best], at[best]
+            picked.append((block.ids[some][row], ids[at], distance[row, at], score[row, at],
+                           in_scheme[at], topic[at], level[at]))
     columns = [np.concatenate(c) for c in zip(*picked)]
     return [pa.RecordBatch.from_arrays(
         [pa.array(c.tolist() if f.name == "id" else c, f.type) for c, f in zip(columns, CANDIDATE_SCHEMA)],
         schema=CANDIDATE_SCHEMA,
     )]
-
-
-def keep_best(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
-    """Merge candidate batches of one task, k per question."""
-    if len(parts) < 2:
-        return parts
-    frame = pa.Table.from_batches(parts).to_pandas()
-    frame = frame.sort_values(["question_id", "score", "distance", "id"], kind="stable")
-    frame = frame.groupby("question_id", sort=False).head(k)
-    return pa.Table.from_pandas(frame, schema=parts[0].schema, preserve_index=False).combine_chunks().to_batches()

@@ -134,7 +134,7 @@ def chunk_id(url: Column, index: Column) -> Column:
 
 def kept_chunks(chunked: DataFrame) -> DataFrame:
     """One row per kept chunk; the index counts kept chunks only."""
-    carried = [c for c in ("page_no", "url", "title", "scheme", "fetched_at") if c in chunked.columns]
+    carried = [c for c in ("page_no", "url", "title", "scheme", "fetched_at", "first") if c in chunked.columns]
     kept = F.filter("blocks", lambda b: b["reason"].isNull())
     return (
         unnest(chunked, kept, "chunk_index", "b", *carried)

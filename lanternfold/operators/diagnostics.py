@@ -72,31 +72,46 @@ def text_statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def line_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line) counts. Repeats are combined map-side before the shuffle."""
-    lines = unnest(texts, raw_lines(F.col(text)), "line_no", "line", key)
-    return lines.groupBy(key, "line").agg(F.count("*").alias("n"))
+def _runs(lines: Column) -> Column:
+    """``struct<names, redundant>`` of the repeated lines of one text: a fold over the sorted
+    lines, where equal ones are neighbours. A text is one row, so nothing is shuffled."""
+
+    def step(acc: Column, line: Column) -> Column:
+        run = F.when(line == acc["last"], acc["run"] + 1).otherwise(1)
+        counts = F.length(line) >= REPEAT_MIN_CHARS
+        named = counts & (run == REPEATS_ABOVE + 1)
+        return F.struct(
+            line.alias("last"), run.alias("run"),
+            F.when(named, F.array_append(acc["names"], line)).otherwise(acc["names"]).alias("names"),
+            (acc["redundant"] + F.when(named, REPEATS_ABOVE).when(counts & (run > REPEATS_ABOVE), 1).otherwise(0)).alias("redundant"),
+        )
+
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"),
+                    F.array().cast("array<string>").alias("names"), F.lit(0).alias("redundant"))
+    return F.aggregate(F.array_sort(lines), zero, step, lambda acc: F.struct(
+        acc["names"].alias("names"), acc["redundant"].cast("bigint").alias("redundant")))
 
 
-def _is_repeat() -> Column:
-    return (F.col("n") > REPEATS_ABOVE) & (F.length("line") >= REPEAT_MIN_CHARS)
+def _with_runs(texts: DataFrame, key: str, text: str) -> DataFrame:
+    lined = texts.select(key, raw_lines(F.col(text)).alias("_lines")).filter(F.size("_lines") > 0)
+    return lined.withColumn("_runs", _runs(F.col("_lines")))
 
 
 def redundancy(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Repeated lines per text: how many distinct, how many redundant, which share."""
-    counts = line_counts(texts, key, text)
-    return counts.groupBy(key).agg(
-        F.count(F.when(_is_repeat(), 1)).alias("repeated"),
-        F.coalesce(F.sum(F.when(_is_repeat(), F.col("n") - 1)), F.lit(0)).alias("redundant"),
-        F.sum("n").alias("lines"),
+    return _with_runs(texts, key, text).select(
+        key, F.size("_runs.names").cast("bigint").alias("repeated"), F.col("_runs.redundant").alias("redundant"),
+        F.size("_lines").cast("bigint").alias("lines"),
     ).withColumn("share", F.round(F.col("redundant") / F.greatest("lines", F.lit(1)), 4))
 
 
 def top_repeats(texts: DataFrame, key: str, text: str, k: int = TOP_REPEATS) -> DataFrame:
     """The k most repeated lines of each text."""
-    order = Window.partitionBy(key).orderBy(F.desc("n"), F.desc("line"))
-    counts = line_counts(texts, key, text).filter(_is_repeat())
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = _with_runs(texts, key, text).filter(F.size("_runs.names") > 0)
+    counted = F.transform("_runs.names", lambda name: F.struct(
+        F.size(F.filter("_lines", lambda line: line == name)).cast("bigint").alias("n"), name.alias("line")))
+    best = F.slice(F.sort_array(counted, False), 1, k)
+    return unnest(found, best, "pos", "r", key).select(key, (F.col("pos") + 1).alias("rank"), "r.line", "r.n")
 
 
 def heading_tags(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -139,6 +154,7 @@ def contract_violations(responses: DataFrame, pack: RulePack = FUNDS) -> DataFra
     declined = F.coalesce(F.col("debug.reason") == "model_declined", F.lit(False))
     citable = is_approved(url, pack) | url.isin(pack.default_url, pack.scope_url)
     sentences = F.regexp_count(body, F.lit(rf"[.!?](?=[{SPACE}]|\z)"))
+    # Words that count as advice.
     advice = r"(?iu)(?<![\p{L}\p{N}_])(I recommend|I advise|you should invest|I suggest)(?![\p{L}\p{N}_])"
     answered = ~F.col("refused")
     return responses.select(

@@ -43,8 +43,9 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def hash_tokens(text: Column, dim: int) -> Column:
-    """``array<int>``: position of each word's one-hot vector, negative for sign -1 (1-based)."""
+def hash_tokens(text: Column, dim: int, window: int | None = None) -> Column:
+    """``array<int>``: position of each word's one-hot vector, negative for sign -1 (1-based).
+    With a window, words beyond it are left out."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
     def code(token: Column) -> Column:
@@ -52,13 +53,16 @@ def hash_tokens(text: Column, dim: int) -> Column:
         place = (hashed % dim + 1).cast("int")
         return F.when(F.floor(hashed / dim) % 2 == 0, place).otherwise(-place)
 
-    return F.transform(tokens, code)
+    return F.transform(tokens if window is None else F.slice(tokens, 1, window), code)
 
 
 @dataclass(frozen=True)
 class HashingEmbedder:
+    """``max_length`` words count; all of them where it is None."""
+
     dim: int = 384
     name: str = "feature-hashing"
+    max_length: int | None = None
 
     def encode(self, text: Column) -> Column:
         dim = self.dim
@@ -75,7 +79,7 @@ class HashingEmbedder:
             mean = total / np.maximum(sizes, 1)[:, None]
             return pd.Series(list(unit_rows(mean).astype(np.float32)))
 
-        return pool(hash_tokens(text, dim))
+        return pool(hash_tokens(text, dim, self.max_length))
 
 
 @dataclass(frozen=True)

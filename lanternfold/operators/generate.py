@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -19,7 +19,7 @@ _URL = rf"(?:https?://[^{SPACE}]+|www\.[^{SPACE}]+)"
 _LABEL = rf"(?<![{WORD}]){rules.SOURCE_LABELS}(?![{WORD}])[{SPACE}]*[:\-]?[{SPACE}]*"
 _AT_END = r"(?=[.;,]|\n?\z)"
 
-# Order matters. A label goes together with its link, so that it is not stranded;
+# Fixed values. Order matters. A label goes together with its link, so that it is not stranded;
 # one left with nothing behind it goes afterwards (also in prose ending on "from.").
 URL_REWRITES = (
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -154,11 +154,11 @@ class CallableModel:
     """
 
     call: Callable[..., str]
-    system_prompt: str = rules.SYSTEM_PROMPT
+    system_prompt: str | None = None  # None: the rule pack's own
     name: str = "callable"
 
     def complete(self, question: Column, context: Column, hits: Column) -> Column:
-        call, system_prompt = self.call, self.system_prompt
+        call, system_prompt = self.call, self.system_prompt or rules.SYSTEM_PROMPT
 
         @F.pandas_udf(T.StringType())
         def ask(questions: pd.Series, contexts: pd.Series) -> pd.Series:
@@ -168,13 +168,15 @@ class CallableModel:
                     answers.append(None)
                     continue
                 try:
+                    # Fixed value: the frame of the user prompt.
                     text = call(system_prompt, f"CONTEXT:\n{c}\n\nQUESTION: {q}", temperature=0, max_tokens=300)
                 except Exception as exc:
                     raise ModelUnavailableError(f"model request failed: {exc}") from exc
                 answers.append(text if text and text.strip() else "")
             return pd.Series(answers, dtype=object)
 
-        return ask(question, context)
+        # A call costs money. Declared so, no filter or projection above repeats it.
+        return ask.asNondeterministic()(question, context)
 
 
 def _debug(**fields: Column) -> Column:
@@ -192,6 +194,8 @@ def respond(rows: DataFrame, model: AnswerModel, pack: RulePack = FUNDS,
             manifest_stamp: str | None = None) -> DataFrame:
     """``question_id, question, hits`` -> response rows. Gates: confidence, empty
     completion, decline, figures that the retrieved text does not hold."""
+    if isinstance(model, CallableModel) and model.system_prompt is None:
+        model = replace(model, system_prompt=pack.system_prompt)
     hits = F.coalesce(F.col("hits"), F.array().cast(rows.schema["hits"].dataType))
     staged = (
         rows.withColumn("hits", hits)

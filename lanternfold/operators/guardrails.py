@@ -5,6 +5,9 @@ Detection looks at the text as typed; redaction is for whatever goes onward.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +47,22 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"\P{Nd}", "")
 
 
-def _dihedral(i: int, j: int) -> int:
-    """Cell (i, j) of the ten-element check table: rotations 0-4, reflections 5-9."""
-    turn = (i + j) if i < 5 else (i - j)
-    return turn % 5 + (5 if (i < 5) != (j < 5) else 0)
+# Decimal digits of every script, each with its value.
+_ANY_DIGIT = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_ITS_VALUE = "".join(str(unicodedata.decimal(c)) for c in _ANY_DIGIT)
+
+
+def ascii_digits(digits: Column) -> Column:
+    """Digits of any script as 0-9."""
+    return F.translate(digits, _ANY_DIGIT, _ITS_VALUE)
 
 
 def checksum_valid(digits: Column) -> Column:
     """The table cells of the first eleven digits (read backwards) are summed, and
     the check row gives the twelfth. A plain sum, not a chained Verhoeff fold."""
-    table = F.array(*[F.lit(_dihedral(i, j)) for i in range(10) for j in range(10)])
-    digit = lambda pos: F.substr(digits, pos, F.lit(1)).cast("int")
+    table = F.array(*[F.lit(x) for row in rules.CHECK_TABLE for x in row])
+    digits = ascii_digits(digits)
+    digit = lambda pos: F.substr(digits, pos, F.lit(1)).try_cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.get(table, digit(F.lit(11) - i) * 10 + i % 10))
     total = F.aggregate(cells, F.lit(0), lambda acc, x: acc + x)
     check = F.array(*[F.lit(x) for x in rules.CHECK_ROW])

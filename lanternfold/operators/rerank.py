@@ -62,8 +62,13 @@ def _chunk_hits(pack: RulePack) -> Column:
     return topic_hits(F.col("heading"), F.col("text"), pack)
 
 
+def feature_column(pack: RulePack) -> str:
+    """Stored features bear the fingerprint of the rules they were made with."""
+    return f"topic_hits_{pack.fingerprint}"
+
+
 def with_chunk_features(chunks: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
-    return chunks.withColumn("topic_hits", _chunk_hits(pack))
+    return chunks.withColumn(feature_column(pack), _chunk_hits(pack))
 
 
 def with_question_features(questions: DataFrame, column: str, pack: RulePack = FUNDS) -> DataFrame:

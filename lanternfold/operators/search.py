@@ -1,15 +1,11 @@
 """Exact cosine top-k over the whole collection.
 
-Each task scores its share of the chunks against a block of questions with one
-matrix product per Arrow batch and keeps k candidates per question. Pairs never
-leave the task: what is shuffled is at most k narrow rows per question and task,
-and the texts are fetched for the final winners only.
-
-* Few questions (size checked): the question block is broadcast; the collection
-  is read once, in place, without a shuffle.
-* More: questions and chunks are cut into hashed groups and each pair of groups
-  becomes one bounded task. Groups come from row ids, so they stay even however
-  the content is skewed.
+Questions and chunks are cut into groups by a hash of their ids, and each pair of groups
+is one bounded task: one matrix product per pair of blocks. A small batch is one group of
+questions, a small collection one group of chunks; there is no other path. What leaves a
+task is k narrow rows per question. They are merged in two levels, so the last one sees
+k rows for each of a fixed number of shares, however many tasks there were. Texts are
+joined to the final winners.
 """
 
 from __future__ import annotations
@@ -20,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfold.functions.kernel import CANDIDATE_SCHEMA, QuestionBlock, block_top_k, keep_best
+from lanternfold.functions.kernel import CANDIDATE_SCHEMA, QuestionBlock, block_top_k
 from lanternfold.operators import rerank
 from lanternfold.rules import FUNDS, RulePack
+from lanternfold.session import stage
 from lanternfold.settings import Settings
 
-MAX_BROADCAST_K = 100
+SHARES = 256  # of the first merge
 CANDIDATE = ("question_id bigint, id string, distance double, score double, "
              "scheme_hit boolean, topic int, level int")
 
@@ -34,27 +31,15 @@ def _feature_columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> tuple[DataFrame, bool]:
-    """Per task, the k best chunks of every question (a superset of the answer), and
-    whether the question count was found to be within the broadcast bound."""
-    q = questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics")))
+def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> DataFrame:
+    """Per pair of groups, the k best chunks of every question (a superset of the answer).
+
+    The questions' vectors are staged: they are counted here and read by every group.
+    """
+    q = stage(questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics"))), "asked")
     c = chunks.select(*_feature_columns(chunks, ("id", "embedding", "scheme", "topic_hits")))
-    limit = settings.broadcast_questions
-    head = q.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        parts = q.sparkSession.sparkContext.broadcast(vars(QuestionBlock.from_arrow(head)))
-
-        def scan(batches):
-            block = QuestionBlock(**parts.value)
-            best: list[pa.RecordBatch] = []
-            for batch in batches:
-                best = keep_best(best + block_top_k(block, batch, k), k)
-            yield from best
-
-        return c.mapInArrow(scan, CANDIDATE), True
-
-    cols = math.ceil(q.count() / settings.cell_questions)
-    rows = math.ceil(max(c.count(), 1) / settings.cell_chunks)
+    cols = max(1, math.ceil(q.count() / settings.cell_questions))
+    rows = max(1, math.ceil(c.count() / settings.cell_chunks))
     left = (c.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(rows)))
             .withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))))
     right = (q.withColumn("_col", F.pmod(F.xxhash64("question_id"), F.lit(cols)))
@@ -65,40 +50,44 @@ def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settin
         return pa.Table.from_batches(found, schema=CANDIDATE_SCHEMA)
 
     keys = ("_row", "_col")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE), False
+    left, right = (side.select(*[F.col(n).cast("long").alias(n) if n in keys else F.col(n) for n in side.columns]).repartition(
+        rows * cols, *keys) for side in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE)
 
 
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
     """``question_id, rank, id, distance, score, ...``: ascending score, then distance, then id."""
-    return _best(candidates(questions, chunks, k, settings or Settings())[0], k)
+    return _best(candidates(questions, chunks, k, settings or Settings()), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("question_id").orderBy("score", "distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = ("score", "distance", "id")
+    share = F.pmod(F.xxhash64("id"), F.lit(SHARES))
+    first = Window.partitionBy("question_id", "_share").orderBy(*best)
+    kept = found.withColumn("_share", share).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    last = Window.partitionBy("question_id").orderBy(*best)
+    return kept.drop("_share").withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
 
 
 def retrieve(questions: DataFrame, collection: DataFrame, k: int | None = None,
              pack: RulePack = FUNDS, settings: Settings | None = None) -> DataFrame:
     """Re-ranked chunks per question: ``questions(question_id, question, embedding)``.
 
-    Blank questions retrieve nothing. ``k`` of 0 or None means the default.
+    Blank questions retrieve nothing. ``k`` of 0 or None means the default. Stored chunk
+    features are used if they were made with this pack's rules, else made anew.
     """
     settings = settings or Settings()
     k = k or settings.top_k
     asked = rerank.with_question_features(
         questions.filter(rerank.strip(F.col("question")) != ""), "question", pack)
-    if "topic_hits" not in collection.columns:
+    stored = rerank.feature_column(pack)
+    if stored not in collection.columns:
         collection = rerank.with_chunk_features(collection, pack)
-    found, bounded = candidates(asked, collection, k, settings)
+    found = candidates(asked, collection.withColumnRenamed(stored, "topic_hits"), k, settings)
     winners = _best(found, k).withColumn(
         "rank_note", rerank.rank_note(F.col("scheme_hit"), F.col("topic"), F.col("level"), pack))
     texts = collection.select("id", "text", "url", "title", "scheme", "heading", "fetched_at", "chunk_index")
-    winners = winners.drop("scheme_hit", "topic", "level")
-    if bounded and k <= MAX_BROADCAST_K:
-        # At most broadcast_questions * k narrow rows: the texts stay where they are.
-        winners = F.broadcast(winners)
-    return texts.join(winners, "id")
+    return texts.join(winners.drop("scheme_hit", "topic", "level"), "id")
 
 
 def with_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:

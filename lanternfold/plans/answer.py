@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.functions.spread import spread
 from lanternfold.operators import generate, guardrails, search
 from lanternfold.operators.embed import Embedder, choose_embedder, embed
 from lanternfold.rules import FUNDS, RulePack
@@ -15,6 +14,11 @@ from lanternfold.sources.collection import Collection, CorpusEmptyError
 from lanternfold.sources.reports import read_manifest
 
 
+def embedder_of(embedder: Embedder) -> dict:
+    """What a collection keeps of the embedder it was built with."""
+    return {"embedder": embedder.name, "dim": embedder.dim}
+
+
 def screen(questions: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
     """Decision columns and the redacted question. The text as typed ends here."""
     decided = guardrails.classify(questions, "question", pack)
@@ -33,7 +37,7 @@ def answer_from(questions: DataFrame, collection: DataFrame, *, pack: RulePack =
     settings = settings or Settings()
     embedder = embedder or choose_embedder(settings)
     # Only redacted text is written: a blocked question has none.
-    decided = stage(screen(spread(questions), pack), "questions")
+    decided = stage(screen(questions, pack), "questions")
     allowed = decided.filter("allowed").select("question_id", "question")
     asked = embed(allowed.filter(search.rerank.strip(F.col("question")) != ""), "question", embedder)
     hits = generate.gather(search.retrieve(asked, collection, k, pack, settings))
@@ -48,7 +52,8 @@ def answer(questions: DataFrame, *, pack: RulePack = FUNDS, settings: Settings |
     spark = questions.sparkSession
     settings = settings or load_settings(spark)
     try:
-        collection = Collection(spark, settings.collection_path).read()
+        embedder = embedder or choose_embedder(settings)
+        collection = Collection(spark, settings.collection_path).read(embedder_of(embedder))
         if collection.isEmpty():
             raise CorpusEmptyError()
     except CorpusEmptyError:

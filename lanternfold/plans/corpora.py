@@ -12,7 +12,6 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.functions.spread import spread
 from lanternfold.functions.text import clean_lines
 from lanternfold.rules import FUNDS
 from lanternfold.sources.pages import load_documents
@@ -53,6 +52,7 @@ PROBES = (
     "mail me at someone@example.com",
     "Who manages it, and the AUM?",
     "reference 4994226020900891",
+    "मेरा आधार १२३४ ५६७८ ९०१२",
 )
 
 
@@ -60,8 +60,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table, dealt to as many tasks as shuffles use. The tables come as one row group,
+    which no split size divides, and reading a page costs far more than moving it."""
+    return table(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return dealt(spark, sf, "documents")
 
 
 def language(url: Column) -> Column:
@@ -70,7 +76,7 @@ def language(url: Column) -> Column:
 
 
 def web_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    return dealt(spark, sf, "pages").select(
         F.col("page_id").alias("page_no"), "url", "html", language(F.col("url")).alias("scheme"))
 
 
@@ -98,7 +104,7 @@ def card_pages(spark: SparkSession, sf: str) -> DataFrame:
     month = (F.col("p_partkey") % 9 + 1).cast("string")
     html = _html(
         "<html><head><title> ", s("p_name"), " card </title></head><body><nav><a href=\"/\">Home</a></nav>",
-        "<div class=\"Newsletter box\"><p>", s("p_brand"), "</p></div><h2>", s("p_name"), "</h2>",
+        "<iframe src=\"/frame\"/><div class=\"Newsletter box\"><p>", s("p_brand"), "</p></div><script src=\"/x.js\"/><h2>", s("p_name"), "</h2>",
         "<div>NAV</div><div>₹ ", s("p_retailprice"), "</div><div>Returns</div><div>since inception</div><div>",
         s("p_size"), "%</div><div>AUM</div><div>(31/08/2026)</div><div>Inception Date</div><div>01/0", month,
         "/2013</div><div>Riskometer:</div><div>", s("p_type"), "</div><div>TER</div><div>The ", s("p_type"),
@@ -154,7 +160,7 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """One personal-data message per customer, in eight shapes."""
+    """One personal-data message per customer, in eleven shapes."""
     key = F.col("c_custkey")
     four = F.lpad((key % 10000).cast("string"), 4, "0")
     nine = F.lpad(key.cast("string"), 9, "0")
@@ -167,6 +173,9 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         _html("my aadhaar is 1234 5678 ", four),
         _html("see 4321-8765-", four, " or 9876543210"),
         _html("folio number 12345", nine),
+        _html("मेरा आधार १२३४ ५६७८ ", F.translate(four, "0123456789", "०१२३४५६७८९")),
+        _html("رقمي ٢٣٤٥-٥٥٥٥-", F.translate(four, "0123456789", "٠١٢٣٤٥٦٧٨٩")),
+        _html("no １１１１ ２２２２ ", F.translate(four, "0123456789", "０１２３４５６７８９"), " ok"),
         _html("what is the otp of ", F.col("c_mktsegment"), " 9199", nine),
     ]
     pick = F.lit(None).cast("string")

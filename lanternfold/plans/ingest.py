@@ -19,13 +19,13 @@ from lanternfold.operators.diagnostics import drops_by_reason
 from lanternfold.operators.embed import Embedder, choose_embedder, embed
 from lanternfold.operators.rerank import with_chunk_features
 from lanternfold.operators.sections import to_sections
+from lanternfold.plans.answer import embedder_of
 from lanternfold.rules import FUNDS, RulePack
 from lanternfold.settings import Settings, load_settings
 from lanternfold.sources import reports
 from lanternfold.sources.collection import Collection
 from lanternfold.sources.pages import load_documents, require_complete
 
-LISTED_PAGES = 50
 
 
 class IngestTimeout(TimeoutError):
@@ -48,12 +48,15 @@ def staged_counts(staged: DataFrame) -> DataFrame:
 
 
 def newest_pages(staged: DataFrame) -> DataFrame:
-    """One row per address. Repeats are found on two narrow columns, combined
-    map-side; page texts move only when there are any."""
-    newest = staged.groupBy("url").agg(F.max("page_no").alias("page_no"), F.count("*").alias("copies"))
+    """One row per address: of several the one with the highest number, then the highest digest.
+    Repeats are found on narrow columns; page texts move only when there are any."""
+    order = F.struct("page_no", F.xxhash64("title", F.to_json(F.struct("blocks"))).alias("digest"))
+    narrow = staged.select("url", order.alias("_order"))
+    newest = narrow.groupBy("url").agg(F.max("_order").alias("_order"), F.count("*").alias("copies"))
     if newest.filter(F.col("copies") > 1).isEmpty():
         return staged
-    return staged.join(newest.select("url", "page_no"), ["url", "page_no"], "left_semi")
+    kept = staged.withColumn("_order", order).join(newest.select("url", "_order"), ["url", "_order"], "left_semi")
+    return kept.drop("_order").dropDuplicates(["url"])
 
 
 def ingest(spark: SparkSession, pages: DataFrame, *, pack: RulePack = FUNDS, settings: Settings | None = None,
@@ -61,7 +64,8 @@ def ingest(spark: SparkSession, pages: DataFrame, *, pack: RulePack = FUNDS, set
            fetched_at: str | None = None, on_progress: Callable[[str], None] | None = None) -> dict:
     """Build the collection from ``pages(page_no, url, html[, error])``.
 
-    Skips when it is already populated, unless ``reingest`` or ``force``.
+    Skips when it is already populated, unless ``reingest`` or ``force``. Gives up after
+    ``settings.ingest_deadline_seconds`` if that is set.
     """
     settings = settings or load_settings(spark)
     embedder = embedder or choose_embedder(settings)
@@ -70,10 +74,11 @@ def ingest(spark: SparkSession, pages: DataFrame, *, pack: RulePack = FUNDS, set
     if collection.is_populated() and not (reingest or force):
         say("Collection already populated, skipping ingest.")
         return {"skipped": True, "collection_path": settings.collection_path}
-    deadline = time.monotonic() + settings.ingest_deadline_seconds
+    limit = settings.ingest_deadline_seconds
+    deadline = time.monotonic() + limit
 
     def check(stage: str) -> None:
-        if time.monotonic() >= deadline:
+        if limit and time.monotonic() >= deadline:
             raise IngestTimeout(f"Ingest exceeded {settings.ingest_deadline_seconds}s while {stage}.")
 
     if reingest or force:
@@ -84,30 +89,29 @@ def ingest(spark: SparkSession, pages: DataFrame, *, pack: RulePack = FUNDS, set
     check("loading pages")
     staging = f"{settings.data_dir.rstrip('/')}/_staging"
     page_chunks(pages, fetched_at or utc_now(), pack).drop("text").write.mode("overwrite").parquet(staging)
-    staged = newest_pages(require_complete(spark.read.parquet(staging)))
+    staged = newest_pages(require_complete(spark.read.parquet(staging), f"{settings.data_dir.rstrip('/')}/load_failures"))
     counts = staged_counts(staged)
 
     check("chunking pages")
     facts = reports.manifest(counts, utc_now(), settings, embedder.name, embedder.dim)
     totals = facts.first()
-    for row in counts.filter(F.col("chunks") == 0).select("url").take(LISTED_PAGES):
-        say(f"  WARNING: no chunks from {row.url}; questions about it cannot be answered from it.")
+    thin = reports.write_thin_pages(counts, f"{settings.data_dir.rstrip('/')}/thin_pages")
+    if thin:
+        say(f"  WARNING: {thin} pages gave no chunk and cannot answer; they are listed in {settings.data_dir}/thin_pages.")
     if totals.chunk_count == 0:
         raise RuntimeError("No chunks produced; refusing to store an empty corpus.")
 
     check("embedding chunks")
     say(f"Embedding {totals.chunk_count} chunks with {embedder.name}...")
     kept = with_chunk_features(ch.kept_chunks(staged), pack)
-    stored = collection.upsert(embed(kept, "text", embedder))
+    stored = collection.upsert(embed(kept, "text", embedder), embedder_of(embedder))
     if stored < totals.chunk_count:
         raise RuntimeError(f"stored {stored} vectors for {totals.chunk_count} chunks")
     say(f"Stored in {settings.collection}: {stored} chunks")
 
     reasons = [(r.reason, r.n) for r in drops_by_reason(ch.dropped_chunks(staged)).collect()]
-    corpus = [r.url for r in counts.orderBy("page_no").select("url").take(LISTED_PAGES)]
-    header = reports.dump_header(totals.chunk_count, reasons, corpus, totals.ingested_at)
-    reports.write_dump(spark, settings.dump_path, reports.dump_blocks(ch.kept_chunks(staged), counts),
-                       header, totals.chunk_count)
+    reports.write_dump(settings.dump_path, reports.dump_rows(
+        reports.dump_blocks(staged), counts, reasons, totals.chunk_count, totals.ingested_at))
     written = reports.write_manifest(counts, facts, settings.manifest_path)
     say(f"Last source date: {written['max_fetched_at']}")
     return {"skipped": False, **written}

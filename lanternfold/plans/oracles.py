@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from lanternfold import rules
-from lanternfold.operators.guardrails import _dihedral
 from lanternfold.plans.corpora import FETCHED_AT, LATER, PROBES, SAMPLE
 from lanternfold.rules import FUNDS
 
@@ -108,7 +107,8 @@ RAW = {
         coalesce(nullif(regexp_extract(url, '/(en|fr|de|es)/', 1), ''), 'unknown') AS scheme FROM pages""",
     "card": """SELECT p_partkey AS page_no, 'https://cards.example.com/' || p_partkey || '/' AS url, 'unknown' AS scheme,
         '<html><head><title> ' || p_name || ' card </title></head><body><nav><a href="/">Home</a></nav>'
-        || '<div class="Newsletter box"><p>' || p_brand || '</p></div><h2>' || p_name || '</h2>'
+        || '<iframe src="/frame"/><div class="Newsletter box"><p>' || p_brand || '</p></div><script src="/x.js"/><h2>'
+        || p_name || '</h2>'
         || '<div>NAV</div><div>₹ ' || p_retailprice || '</div><div>Returns</div><div>since inception</div><div>'
         || p_size || '%</div><div>AUM</div><div>(31/08/2026)</div><div>Inception Date</div><div>01/0'
         || (p_partkey % 9 + 1) || '/2013</div><div>Riskometer:</div><div>' || p_type
@@ -394,7 +394,7 @@ def gates(answer: str, source: str) -> str:
 
 # --- screening ---
 
-MESSAGES = """message AS (SELECT 'c' || c_custkey AS key, CASE c_custkey % 8
+MESSAGES = """message AS (SELECT 'c' || c_custkey AS key, CASE c_custkey % 11
     WHEN 0 THEN 'my PAN is ' || translate(substr(md5(c_name), 1, 5), '0123456789abcdef', 'ABCDEFGHIJKLMNOP')
         || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || 'X'
     WHEN 1 THEN 'call me on 9' || lpad(c_custkey::VARCHAR, 9, '0') || ' please'
@@ -403,6 +403,9 @@ MESSAGES = """message AS (SELECT 'c' || c_custkey AS key, CASE c_custkey % 8
     WHEN 4 THEN 'my aadhaar is 1234 5678 ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')
     WHEN 5 THEN 'see 4321-8765-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' or 9876543210'
     WHEN 6 THEN 'folio number 12345' || lpad(c_custkey::VARCHAR, 9, '0')
+    WHEN 7 THEN 'मेरा आधार १२३४ ५६७८ ' || translate(lpad((c_custkey % 10000)::VARCHAR, 4, '0'), '0123456789', '०१२३४५६७८९')
+    WHEN 8 THEN 'رقمي ٢٣٤٥-٥٥٥٥-' || translate(lpad((c_custkey % 10000)::VARCHAR, 4, '0'), '0123456789', '٠١٢٣٤٥٦٧٨٩')
+    WHEN 9 THEN 'no １１１１ ２２２２ ' || translate(lpad((c_custkey % 10000)::VARCHAR, 4, '0'), '0123456789', '０１２３４５６７８９') || ' ok'
     ELSE 'what is the otp of ' || c_mktsegment || ' 9199' || lpad(c_custkey::VARCHAR, 9, '0') END AS text FROM customer),
     screened AS (SELECT * FROM message UNION ALL SELECT 'd' || doc_id, text FROM documents)"""
 PAN = f"(?:^|[^{W}])[A-Z]{{5}}[0-9]{{4}}[A-Z](?:[^{W}]|$)"
@@ -412,13 +415,17 @@ EMAIL = f"(^|[^{W}])([{W}][{W}.+-]*@[{W}-]+\\.[{W}.-]*[{W}])"
 PHONE = f"(?:\\+?91[-{S}]?)?0?[6-9](?:[{S}-]?[0-9]){{9}}\\b"
 TWELVE = f"\\b[0-9]{{4}}[{S}]?-?[{S}]?[0-9]{{4}}[{S}]?-?[{S}]?[0-9]{{4}}\\b"
 LONG = f"\\b[0-9][0-9{S}-]{{8,}}[0-9]\\b"
+# Digits of other scripts that the given texts hold: read as ASCII to find spans (one for one).
+OTHER = "٠١٢٣٤٥٦٧٨٩०१२३४५६७८९０１２３４５６７８９"
+GROUP = f"[{OTHER}]{{4}}[{S}]?-?[{S}]?"
 
 
 def spans(source: str, pattern: str, name: str, key: str = "key") -> str:
     """CTE with one row per match: its zero-based start and stop."""
     return f"""
-    {name}_0 AS (SELECT {key} AS key, text, regexp_extract_all(text, {q(pattern)}) AS m,
-        string_split_regex(text, {q(pattern)}) AS g FROM {source}),
+    {name}_a AS (SELECT {key} AS key, translate(text, '{OTHER}', '{'0123456789' * 3}') AS text FROM {source}),
+    {name}_0 AS (SELECT key, text, regexp_extract_all(text, {q(pattern)}) AS m,
+        string_split_regex(text, {q(pattern)}) AS g FROM {name}_a),
     {name}_1 AS (SELECT key, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}_0),
     {name}_2 AS (SELECT key, text, i, m[i] AS match, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
         list_sum(list_transform(g[1:i], lambda x: length(x)))
@@ -427,8 +434,10 @@ def spans(source: str, pattern: str, name: str, key: str = "key") -> str:
 
 
 def check_valid(d: str) -> str:
-    table = "[" + ", ".join(str(_dihedral(i, j)) for i in range(10) for j in range(10)) + "]"
-    row = "[" + ", ".join(map(str, rules.CHECK_ROW)) + "]"
+    # The check table and row, written out here so that the check does not rest on the engine's own.
+    table = ("[0,1,2,3,4,5,6,7,8,9, 1,2,3,4,0,6,7,8,9,5, 2,3,4,0,1,7,8,9,5,6, 3,4,0,1,2,8,9,5,6,7, 4,0,1,2,3,9,5,6,7,8,"
+             " 5,9,8,7,6,0,4,3,2,1, 6,5,9,8,7,1,0,4,3,2, 7,6,5,9,8,2,1,0,4,3, 8,7,6,5,9,3,2,1,0,4, 9,8,7,6,5,4,3,2,1,0]")
+    row = "[8,9,1,6,0,4,3,5,2,7]"
     total = f"list_sum(list_transform(range(0, 11), lambda i: ({table})[substr({d}, 11 - i, 1)::INT * 10 + i % 10 + 1]))"
     return f"(({row})[({total} % 10 + 1)::BIGINT] = substr({d}, 12, 1)::INT)"
 
@@ -462,6 +471,7 @@ def scrub(e: str) -> str:
     for pattern, by in (
         (OTP + r"\b", r"\1[redacted-otp]"), (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[redacted-pan]"),
         (EMAIL, r"\1[redacted-email]"), (PHONE, "[redacted-phone]"), (TWELVE, "[redacted-aadhaar]"),
+        (f"(^|[^{W}]){GROUP}{GROUP}[{OTHER}]{{4}}([^{W}]|$)", r"\1[redacted-aadhaar]\2"),
         (LONG, "[redacted-account]"),
     ):
         e = f"regexp_replace({e}, {q(pattern)}, {q(by)}, 'g')"
@@ -512,10 +522,14 @@ O["snk7_dump_blocks"] = web("""SELECT row_number() OVER (ORDER BY page_no, chunk
     '=== CHUNK ' || row_number() OVER (ORDER BY page_no, chunk_index) || ' ===', 'id: ' || id, 'url: ' || url,
     'title: ' || title, 'scheme: ' || scheme, 'fetched_at: ' || fetched_at, 'heading: ' || heading,
     'chunk_index: ' || chunk_index, 'words: ' || word_count, '---', text], chr(10)) AS block FROM chunk""")
-O["snk8_manifest"] = web(f"""SELECT '{LATER}' AS ingested_at, (SELECT max(fetched_at) FROM doc) AS max_fetched_at,
-    (SELECT count(*) FROM doc) AS url_count, (SELECT count(*) FROM chunk) AS chunk_count,
-    (SELECT count(*) FROM dropped) AS dropped_count, {DIM} AS embedding_dim, 160 AS target_words, 200 AS max_words,
-    12 AS min_words, 30 AS overlap_words""")
+SUMMARY = """SELECT 'max_fetched_at' AS name, NULL::BIGINT AS place, (SELECT max(fetched_at) FROM doc) AS value
+    UNION ALL SELECT 'url_count', NULL, (SELECT count(*) FROM doc)::VARCHAR
+    UNION ALL SELECT 'chunk_count', NULL, (SELECT count(*) FROM chunk)::VARCHAR
+    UNION ALL SELECT 'dropped_count', NULL, (SELECT count(*) FROM dropped)::VARCHAR
+    UNION ALL SELECT 'urls', page_no, url FROM doc"""
+O["snk8_manifest"] = web(f"""{SUMMARY} UNION ALL SELECT unnest(['ingested_at', 'embedding_dim', 'chunk_strategy.target_words',
+    'chunk_strategy.max_words', 'chunk_strategy.min_words', 'chunk_strategy.overlap_words']), NULL,
+    unnest(['{LATER}', '{DIM}', '160', '200', '12', '30'])""")
 O["snk9_raw_dump"] = f"""WITH {docs('web')} SELECT
     replace(trim(replace(replace(url, 'https://www.', ''), 'https://', ''), '/'), '/', '_') AS slug,
     'URL: ' || url || chr(10) || 'TITLE: ' || title || chr(10) || 'FETCHED_AT: ' || fetched_at || chr(10) || 'CHARS: '
@@ -572,10 +586,11 @@ O["chk12_chunks"] = text("""SELECT url, title, scheme, fetched_at, heading, chun
     FROM chunk""")
 O["chk13_empty_pages"] = text("SELECT url FROM doc WHERE url NOT IN (SELECT url FROM chunk)")
 CODE = f"(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) * (h % {DIM} + 1)"
-O["emb1_token_window"] = f"""WITH t0 AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM documents),
+O["emb1_token_window"] = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents),
+    t0 AS (SELECT doc_id, unnest(ts[1:256]) AS t FROM w),
     t1 AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM t0)
-    SELECT d.doc_id, count(h) AS tokens, least(count(h), 256) AS in_window, coalesce(sum({CODE}), 0)::BIGINT AS code_sum
-    FROM documents d LEFT JOIN t1 ON t1.doc_id = d.doc_id GROUP BY d.doc_id"""
+    SELECT w.doc_id, any_value(len(w.ts)) AS tokens, count(h) AS in_window, coalesce(sum({CODE}), 0)::BIGINT AS code_sum
+    FROM w LEFT JOIN t1 ON t1.doc_id = w.doc_id GROUP BY w.doc_id"""
 POOLED = """cell AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
     pooled AS (SELECT label, pos, avg(x) AS x FROM cell GROUP BY label, pos)"""
 O["emb2_mean_pool"] = f"WITH {POOLED} SELECT label, pos, round(x, 6) AS x FROM pooled"
@@ -595,10 +610,11 @@ O["vec1_distance_to_label_mean"] = f"""WITH {POOLED}, v AS (SELECT vec_id, label
     generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT v.vec_id, v.label,
     round(1 - sum(v.x * p.x) / (sqrt(sum(v.x * v.x)) * sqrt(sum(p.x * p.x))), 5) AS distance
     FROM v JOIN pooled p ON p.label = v.label AND p.pos = v.pos GROUP BY v.vec_id, v.label"""
-O["vec8_nearest"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-    n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM e),
-    p AS (SELECT a.vec_id AS question_id, b.vec_id, round(1 - list_dot_product(a.v, b.v) / (a.len * b.len), 9) AS d
-    FROM n a CROSS JOIN n b),
+for _name in ("vec8_nearest", "vec8_grid"):
+    O[_name] = f"""WITH {POOLED}, m AS (SELECT label, list(x ORDER BY pos) AS v FROM pooled GROUP BY label),
+    e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    p AS (SELECT m.label::BIGINT AS question_id, e.vec_id, round(1 - list_dot_product(m.v, e.v)
+        / (sqrt(list_dot_product(m.v, m.v)) * sqrt(list_dot_product(e.v, e.v))), 9) AS d FROM m CROSS JOIN e),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, vec_id) AS rank FROM p)
     SELECT question_id, rank, vec_id, round(d, 5) AS distance FROM r WHERE rank <= 4"""
 O["vec2_phrases"] = f"""SELECT doc_id, {has('lower(text)', ('of the',))} AS of_the,
@@ -658,8 +674,7 @@ O["agg2_word_counts"] = text("""SELECT count(*) AS chunks, min(word_count) AS mi
 O["agg3_page_counts"] = card("""SELECT d.url, (SELECT count(DISTINCT section_no) FROM sl WHERE sl.url = d.url) AS sections,
     (SELECT count(*) FROM chunk c WHERE c.url = d.url) AS chunks, (SELECT count(*) FROM dropped x WHERE x.url = d.url) AS dropped
     FROM doc d""")
-O["agg4_corpus_summary"] = text("""SELECT max(fetched_at) AS max_fetched_at, count(*) AS url_count,
-    (SELECT count(*) FROM chunk) AS chunk_count, (SELECT count(*) FROM dropped) AS dropped_count FROM doc""")
+O["agg4_corpus_summary"] = text(SUMMARY)
 RAW_LINES = f"""ls AS (SELECT doc_id, text, string_split_regex(text, '{BREAK}') AS l0 FROM documents),
     l AS (SELECT doc_id, text, CASE WHEN l0[-1] = '' THEN l0[1:len(l0) - 1] ELSE l0 END AS l FROM ls)"""
 O["agg5_text_statistics"] = f"""WITH {RAW_LINES} SELECT doc_id, length(text) AS chars, {words('text')} AS words, len(l) AS lines,

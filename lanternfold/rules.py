@@ -6,6 +6,7 @@ alternation per rule), so no rule table is ever joined or shipped as a lookup.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
@@ -159,6 +160,18 @@ PHONE_PATTERN = r"(?:\+?91[-\s]?)?0?[6-9](?:[\s-]?\d){9}\b"
 AADHAAR_PATTERN = r"\b\d{4}\s?-?\s?\d{4}\s?-?\s?\d{4}\b"
 AADHAAR_CONTEXT = r"\b(?:aadhaar|uidai|adhaar|aadhar)\b"
 LONG_DIGITS_PATTERN = r"\b\d[\d\s-]{8,}\d\b"
+CHECK_TABLE = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 2, 3, 4, 0, 6, 7, 8, 9, 5),
+    (2, 3, 4, 0, 1, 7, 8, 9, 5, 6),
+    (3, 4, 0, 1, 2, 8, 9, 5, 6, 7),
+    (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
+    (5, 9, 8, 7, 6, 0, 4, 3, 2, 1),
+    (6, 5, 9, 8, 7, 1, 0, 4, 3, 2),
+    (7, 6, 5, 9, 8, 2, 1, 0, 4, 3),
+    (8, 7, 6, 5, 9, 3, 2, 1, 0, 4),
+    (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
+)
 CHECK_ROW = (8, 9, 1, 6, 0, 4, 3, 5, 2, 7)
 
 DECLINE_PATTERN = (
@@ -168,7 +181,6 @@ DECLINE_PATTERN = (
     r"|is not provided\b"
 )
 SOURCE_LABELS = r"(?:source|sources|reference|refer|see|refer to|from|at|per)"
-NUMBER_PATTERN = r"\d[\d,]*(?:\.\d+)?"
 LOW_CONFIDENCE_DISTANCE = 1.0
 MAX_SENTENCES = 3
 
@@ -246,6 +258,11 @@ class RulePack:
     not_in_pages: str = NOT_IN_PAGES
     system_prompt: str = SYSTEM_PROMPT
 
+    @property
+    def fingerprint(self) -> str:
+        """Changes with every rule that a stored chunk feature depends on."""
+        return hashlib.sha1(repr((self.topic_phrases, self.topic_labels)).encode()).hexdigest()[:12]
+
     @property
     def topics(self) -> list[str]:
         return list(self.topic_phrases)

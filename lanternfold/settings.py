@@ -21,11 +21,10 @@ class Settings:
     embed_batch: int = 32
     http_timeout: int = 30
     http_attempts: int = 3
-    ingest_deadline_seconds: int = 150
-    # Largest question batch shipped to every task; beyond it the grid search runs.
-    broadcast_questions: int = 4096
-    cell_questions: int = 4096
-    cell_chunks: int = 50_000
+    ingest_deadline_seconds: int = 0  # 0: none; set where someone waits for the build
+    # Questions and chunks of one search task.
+    cell_questions: int = 1024
+    cell_chunks: int = 16_384
 
     @property
     def collection_path(self) -> str:

@@ -1,20 +1,24 @@
-"""The chunk collection: a versioned Parquet table with upsert by id.
-
-Plain Parquet has no MERGE. Each write makes a new version folder and then
-appends one line to the commit log; readers follow the highest committed version,
-so a job that dies half-way leaves the old version in force.
+"""The chunk collection: a bucketed, versioned Parquet table with upsert by id.
+
+Rows lie in buckets by a hash of their id. A write makes a new folder with the buckets it
+touches; a version is one file in the log that says which folder holds each bucket, and
+what the rows were made with. Readers follow the highest version, so a job that dies
+half-way leaves the old one in force. A version file is created only if it does not exist:
+of two writers one fails and can start again from the version it lost to. Folders that the
+newest version does not name can be removed with ``vacuum``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
-COMMITS = T.StructType([T.StructField("version", T.LongType()), T.StructField("rows", T.LongType())])
+BUCKETS = 64
 
 
 class CorpusEmptyError(RuntimeError):
@@ -22,6 +26,14 @@ class CorpusEmptyError(RuntimeError):
         super().__init__(message)
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer committed the version this one was about to."""
+
+
+class OtherMakerError(RuntimeError):
+    """The collection was built with another embedder than the one it is read with."""
+
+
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     """One row per key, the newest. An aggregate, so copies of one key are combined
     before the shuffle and a hot key costs no more than any other."""
@@ -30,10 +42,18 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.groupBy(key).agg(newest).select(key, "_row.*")
 
 
+def one_per_key(rows: DataFrame, key: str = "id") -> DataFrame:
+    """One row per key: of several the last by the order of their other columns."""
+    others = [c for c in rows.columns if c != key]
+    order = F.struct(*[F.to_json(F.struct(c)) for c in others])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Incoming rows replace those with the same key; the rest stays."""
+    """Incoming rows replace those with the same key; the rest stays. One row per key comes out."""
+    new = one_per_key(incoming, key)
     kept = existing.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 @dataclass
@@ -41,30 +61,48 @@ class Collection:
     spark: SparkSession
     path: str
     distance: str = "cosine"
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMITS).json(f"{self.path}/_commits")
+    buckets: int = BUCKETS
+
+    def _fs(self, path: str):
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return name.getFileSystem(self.spark._jsc.hadoopConfiguration()), name
+
+    def _log(self) -> dict:
+        """The newest version: version, rows, buckets (number -> folder), made_with."""
+        fs, folder = self._fs(f"{self.path}/_commits")
+        if not fs.exists(folder):
+            return {"version": 0, "rows": 0, "buckets": {}, "made_with": {}}
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        newest = max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit()), default=0)
+        if not newest:
+            return {"version": 0, "rows": 0, "buckets": {}, "made_with": {}}
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/_commits/v{newest}.json").first()[0])
 
     def version(self) -> int:
         """Highest committed version, 0 when there is none."""
-        try:
-            return self._commits().agg(F.max("version")).first()[0] or 0
-        except AnalysisException as exc:
-            if exc.getCondition() == "PATH_NOT_FOUND":
-                return 0
-            raise
+        return self._log()["version"]
+
+    def _read(self, log: dict, only: set[str] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{folder}/_bucket={b}" for b, folder in log["buckets"].items() if only is None or b in only]
+        schema = T.StructType.fromJson(json.loads(log["schema"]))
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version == 0:
+    def read(self, made_with: dict | None = None) -> DataFrame:
+        """All rows; an error if ``made_with`` disagrees with what they were made with."""
+        log = self._log()
+        if log["version"] == 0:
             raise CorpusEmptyError()
-        return self.spark.read.parquet(f"{self.path}/v{version}")
+        stored = log["made_with"]
+        other = {k: stored[k] for k, v in (made_with or {}).items() if stored.get(k, v) != v}
+        if other:
+            raise OtherMakerError(f"the collection was built with {other}, it is read with {made_with}")
+        return self._read(log)
 
     def status(self) -> dict:
         """``populated, count, error``: an unreadable store is not reported as an empty one."""
         try:
-            version = self.version()
-            count = self.spark.read.parquet(f"{self.path}/v{version}").count() if version else 0
+            log = self._log()
+            count = self._read(log).count() if log["version"] else 0
             return {"populated": count > 0, "count": count, "error": None}
         except Exception as exc:  # surfaced to the caller
             return {"populated": False, "count": 0, "error": f"{type(exc).__name__}: {exc}"}
@@ -75,25 +113,61 @@ class Collection:
         except CorpusEmptyError:
             return False
 
-    def _commit(self, rows: DataFrame, version: int) -> int:
-        target = f"{self.path}/v{version}"
-        rows.write.mode("overwrite").parquet(target)
-        stored = self.spark.read.parquet(target).count()
-        log = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"),
-                                         F.lit(stored).cast("bigint").alias("rows"))
-        log.write.mode("append").json(f"{self.path}/_commits")
-        return stored
-
-    def replace(self, rows: DataFrame) -> int:
-        return self._commit(rows, self.version() + 1)
-
-    def upsert(self, rows: DataFrame) -> int:
-        version = self.version()
-        if version == 0:
-            return self._commit(rows, 1)
-        return self._commit(upsert(self.read(), rows), version + 1)
+    def _write(self, rows: DataFrame) -> tuple[str, set[str]]:
+        """Rows into a folder of their own; its name and the buckets it holds."""
+        folder = f"data-{uuid.uuid4().hex}"
+        bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+        bucketed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        fs, name = self._fs(f"{self.path}/{folder}")
+        found = {s.getPath().getName().split("=")[1] for s in fs.listStatus(name) if "=" in s.getPath().getName()}
+        return folder, found
+
+    def _commit(self, log: dict, buckets: dict, schema: str, made_with: dict | None) -> int:
+        new = {"version": log["version"] + 1, "buckets": buckets, "schema": schema,
+               "made_with": made_with if made_with is not None else log["made_with"]}
+        new["rows"] = self._read(new).count()  # from the files' footers
+        fs, name = self._fs(f"{self.path}/_commits/v{new['version']}.json")
+        try:
+            out = fs.create(name, False)  # never over an existing file
+        except Exception as exc:
+            if fs.exists(name):
+                raise ConcurrentWriteError(f"version {new['version']} exists already") from exc
+            raise
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        return new["rows"]
+
+    def replace(self, rows: DataFrame, made_with: dict | None = None) -> int:
+        """A version that holds these rows and no others."""
+        log = self._log()
+        folder, found = self._write(one_per_key(rows))
+        return self._commit(log, {b: folder for b in found}, rows.schema.json(), made_with)
+
+    def upsert(self, rows: DataFrame, made_with: dict | None = None) -> int:
+        """Rows in, replacing those of the same id. Only buckets they fall into are rewritten."""
+        log = self._log()
+        if log["version"] == 0:
+            return self.replace(rows, made_with)
+        incoming, touched = self._write(one_per_key(rows))  # staged once
+        new = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{incoming}")
+        old = self._read(log, touched)
+        kept = old.join(new.select("id"), "id", "left_anti")
+        merged = kept.unionByName(new, allowMissingColumns=True)
+        folder, found = self._write(merged)
+        buckets = {**{b: f for b, f in log["buckets"].items() if b not in touched}, **{b: folder for b in found}}
+        return self._commit(log, buckets, merged.schema.json(), made_with)
 
     def reset(self) -> None:
-        """An empty version of the same schema; nothing to do for a new collection."""
-        if self.version():
-            self.replace(self.read().limit(0))
+        """A version without rows; nothing to do for a new collection."""
+        log = self._log()
+        if log["version"]:
+            self._commit(log, {}, log["schema"], None)
+
+    def vacuum(self) -> list[str]:
+        """Remove folders that the newest version does not name; not while someone writes or reads an older one."""
+        fs, name = self._fs(self.path)
+        named = set(self._log()["buckets"].values())
+        gone = [s.getPath() for s in fs.listStatus(name) if s.getPath().getName().startswith("data-") and s.getPath().getName() not in named]
+        for folder in gone:
+            fs.delete(folder, True)
+        return [folder.getName() for folder in gone]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.functions.spread import spread
 from lanternfold.functions.text import slug, strip, word_count
 from lanternfold.operators.generate import is_approved
 from lanternfold.operators.sections import fetch_columns
 from lanternfold.rules import FUNDS, RulePack
 
 RULE = "-" * 60  # separates a raw dump's header from its body
+DUMP_BUCKETS = 256
 
 
 class CorpusFetchError(RuntimeError):
@@ -42,7 +42,7 @@ def require_approved(pages: DataFrame, allow_list: DataFrame) -> DataFrame:
 
 def load_documents(pages: DataFrame, fetched_at: str) -> DataFrame:
     """Parsed documents with an ``error`` column (NULL when the page is readable)."""
-    documents = fetch_columns(spread(pages), fetched_at)
+    documents = fetch_columns(pages, fetched_at)
     failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     return documents.withColumn("error", F.coalesce(
         failed,
@@ -50,13 +50,14 @@ def load_documents(pages: DataFrame, fetched_at: str) -> DataFrame:
     ))
 
 
-def require_complete(documents: DataFrame) -> DataFrame:
-    """Fail loudly instead of returning part of a corpus; lists the failed pages."""
-    failed = documents.filter(F.col("error").isNotNull())
-    shown = failed.select("url", "error").take(20)
-    if shown:
-        lines = "\n".join(f"  - {r.url}: {r.error}" for r in shown)
-        raise CorpusFetchError(f"Corpus load failed for {failed.count()} pages:\n{lines}")
+def require_complete(documents: DataFrame, failures_path: str) -> DataFrame:
+    """Fail loudly instead of returning part of a corpus. Every failed page is written to
+    ``failures_path`` as JSON lines (url, error), and the error names that table."""
+    failed = documents.filter(F.col("error").isNotNull()).select("url", "error")
+    if not failed.isEmpty():
+        failed.write.mode("overwrite").json(failures_path)
+        n = documents.sparkSession.read.schema("url string, error string").json(failures_path).count()
+        raise CorpusFetchError(f"Corpus load failed for {n} pages, all listed in {failures_path}")
     return documents.drop("error")
 
 
@@ -76,9 +77,14 @@ def raw_dump(documents: DataFrame) -> DataFrame:
         slug(F.col("url")).alias("slug"), F.concat(header, F.lit("\n\n"), text, F.lit("\n")).alias("value"))
 
 
+def _dump_bucket(name):
+    return F.pmod(F.xxhash64(name), F.lit(DUMP_BUCKETS)).cast("int")
+
+
 def write_raw_dump(documents: DataFrame, path: str) -> None:
-    """One folder per page, so that a reader can prune to the pages it wants."""
-    raw_dump(documents).write.mode("overwrite").partitionBy("slug").option("lineSep", "\0").text(path)
+    """Bucketed by the page's slug, so that a reader of one page opens one folder of a fixed number."""
+    dumped = raw_dump(documents).withColumn("bucket", _dump_bucket(F.col("slug")))
+    dumped.repartition("bucket").sortWithinPartitions("slug").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def raw_body(value):
@@ -86,6 +92,10 @@ def raw_body(value):
     return strip(F.regexp_replace(value, rf"(?s)\A.*?{RULE}", ""))
 
 
-def read_raw_dump(spark: SparkSession, path: str) -> DataFrame:
-    dumped = spark.read.option("lineSep", "\0").text(path)
+def read_raw_dump(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:
+    """All pages, or the named ones (their buckets only)."""
+    dumped = spark.read.schema("slug string, value string, bucket int").parquet(path)
+    if slugs is not None:
+        wanted = spark.createDataFrame([(s,) for s in slugs], "slug string").select(_dump_bucket(F.col("slug"))).distinct()
+        dumped = dumped.filter(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("slug").isin(slugs))
     return dumped.select("slug", raw_body(F.col("value")).alias("body"))

@@ -10,34 +10,37 @@ from pyspark.sql import types as T
 
 from lanternfold import rules
 from lanternfold.functions.text import word_count
+from lanternfold.operators.chunks import kept_chunks
+from lanternfold.session import stage
 from lanternfold.settings import Settings
 
-PAGES_PER_RANGE = 100_000
-MAX_LISTED_URLS = 1000
 BAR = "=" * 78
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
-    """``page_no, first``: chunks on all earlier pages, for ``pages(page_no, chunks)``.
+    """``page_no, url, first``: chunks on all earlier pages, for ``pages(page_no, url, chunks)``.
 
-    Page ranges are summed first; only their few totals are accumulated in one
-    place, and pages are accumulated within their own range.
+    Pages are range-partitioned by number; the partitions' totals, one row each, are
+    accumulated in one place, and pages within their own partition.
     """
-    ranged = pages.withColumn("_range", F.floor(F.col("page_no") / PAGES_PER_RANGE))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(F.sum("chunks").alias("n"))
-    totals = totals.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(totals, "_range").select(
-        "page_no", (F.col("_base") + F.coalesce(F.sum("chunks").over(inside), F.lit(0))).alias("first"))
+    order = ("page_no", "url")
+    ranged = stage(pages.select(*order, "chunks").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "offsets")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.sum("chunks").alias("n"))
+    totals = totals.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(totals, "_part").select(
+        *order, (F.col("_base") + F.coalesce(F.sum("chunks").over(inside), F.lit(0))).alias("first"))
 
 
-def dump_blocks(chunks: DataFrame, page_counts: DataFrame) -> DataFrame:
+def dump_blocks(pages: DataFrame) -> DataFrame:
     """``position, block``: one readable block per chunk, numbered through the corpus.
 
-    ``page_counts(page_no, chunks)`` is what the chunker already knows per page.
+    ``pages`` are chunked pages: a page's offset is attached before it is split into chunks.
     """
-    placed = chunks.join(page_offsets(page_counts), "page_no").withColumn(
+    kept = F.size(F.filter("blocks", lambda b: b["reason"].isNull()))
+    offsets = page_offsets(pages.select("page_no", "url", kept.alias("chunks")))
+    placed = kept_chunks(pages.join(offsets, ["page_no", "url"])).withColumn(
         "position", F.col("first") + F.col("chunk_index") + 1)
     fields = ("url", "title", "scheme", "fetched_at", "heading", "chunk_index")
     block = F.concat_ws(
@@ -53,38 +56,43 @@ def dump_blocks(chunks: DataFrame, page_counts: DataFrame) -> DataFrame:
     return placed.select("position", block.alias("block"))
 
 
-def dump_header(chunk_count: int, reasons: list[tuple[str, int]], corpus: list[str], generated_at: str,
-                title: str = "") -> str:
-    lines = [
-        BAR,
-        f"CHUNK DUMP - {title}" if title else "CHUNK DUMP",
-        BAR,
-        f"generated_at : {generated_at}",
-        f"chunks       : {chunk_count}",
-        f"strategy     : heading-aware split, target {rules.TARGET_WORDS} words, "
-        f"max {rules.MAX_WORDS}, overlap {rules.OVERLAP_WORDS}",
-        "",
-        "corpus:",
-        *[f"  - {url}" for url in corpus],
-    ]
-    if reasons:
-        lines += ["", f"dropped       : {sum(n for _, n in reasons)}"]
-        lines += [f"  {n:4d}  {reason}" for reason, n in sorted(reasons)]
-    return "\n".join([*lines, BAR])
-
-
-def write_dump(spark: SparkSession, path: str, blocks: DataFrame, header: str, chunk_count: int) -> None:
-    """Part files in reading order: header, blocks by position, footer."""
-    footer = f"\n{BAR}\nEND OF DUMP - {chunk_count} chunks\n{BAR}"
-    ends = spark.createDataFrame([(0, header), (chunk_count + 1, footer)], "position bigint, block string")
-    whole = blocks.unionByName(ends).repartitionByRange("position").sortWithinPartitions("position")
-    whole.select("block").write.mode("overwrite").text(path)
+# The texts around the listed pages and drops of a dump.
+OPENING = "{bar}\n{title}\n{bar}\ngenerated_at : {at}\nchunks       : {n}\nstrategy     : heading-aware split, target {target} words, " \
+          "max {most}, overlap {overlap}\n\ncorpus:"
+PAGE_LINE = "  - "
+DROPPED = "\ndropped       : {n}"
+CLOSING = "\n{bar}\nEND OF DUMP - {n} chunks\n{bar}"
+
+
+def dump_rows(blocks: DataFrame, pages: DataFrame, reasons: list[tuple[str, int]], chunk_count: int, generated_at: str,
+              title: str = "") -> DataFrame:
+    """``section, position, block``: opening, every page of the corpus, drops by reason, blocks, closing."""
+    spark = blocks.sparkSession
+    opening = OPENING.format(bar=BAR, title=f"CHUNK DUMP - {title}" if title else "CHUNK DUMP", at=generated_at, n=chunk_count,
+                             target=rules.TARGET_WORDS, most=rules.MAX_WORDS, overlap=rules.OVERLAP_WORDS)
+    drops = [DROPPED.format(n=sum(n for _, n in reasons)), *[f"  {n:4d}  {r}" for r, n in sorted(reasons)]] if reasons else []
+    ends = [(0, 0, opening), (2, 0, "\n".join([*drops, BAR])), (4, 0, CLOSING.format(bar=BAR, n=chunk_count))]
+    listed = pages.select(F.lit(1).alias("section"), F.col("page_no").alias("position"),
+                          F.concat(F.lit(PAGE_LINE), F.col("url")).alias("block"))
+    return spark.createDataFrame(ends, "section int, position bigint, block string").unionByName(listed).unionByName(
+        blocks.select(F.lit(3).alias("section"), "position", "block"))
+
+
+def write_dump(path: str, rows: DataFrame) -> None:
+    """Part files in reading order."""
+    ordered = rows.repartitionByRange("section", "position").sortWithinPartitions("section", "position")
+    ordered.select("block").write.mode("overwrite").text(path)
+
+
+def write_thin_pages(page_counts: DataFrame, path: str) -> int:
+    """All pages without a chunk, as a table; how many there are."""
+    page_counts.filter(F.col("chunks") == 0).select("page_no", "url").write.mode("overwrite").parquet(path)
+    return page_counts.sparkSession.read.parquet(path).count()
 
 
 MANIFEST = T.StructType([
     T.StructField("ingested_at", T.StringType()),
     T.StructField("max_fetched_at", T.StringType()),
-    T.StructField("urls", T.ArrayType(T.StringType())),
     T.StructField("url_count", T.LongType()),
     T.StructField("chunk_count", T.LongType()),
     T.StructField("dropped_count", T.LongType()),
@@ -122,24 +130,37 @@ def manifest(page_counts: DataFrame, ingested_at: str, settings: Settings, embed
     )
 
 
+def entries(facts: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """``name, place, value``: a summary or manifest as rows, one per fact and one per page
+    address (name ``urls``, place the page number). One layout, however many pages there are."""
+    flat = []
+    for field in facts.schema.fields:
+        inner = field.dataType.fields if isinstance(field.dataType, T.StructType) else None
+        flat += [(f"{field.name}.{f.name}", f"`{field.name}`.`{f.name}`") for f in inner] if inner else [(field.name, f"`{field.name}`")]
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in flat])
+    rows = facts.select(F.explode(pairs).alias("e")).select("e.name", F.lit(None).cast("bigint").alias("place"), "e.value")
+    urls = page_counts.select(F.lit("urls").alias("name"), F.col("page_no").alias("place"), F.col("url").alias("value"))
+    return rows.unionByName(urls)
+
+
 def write_manifest(page_counts: DataFrame, facts: DataFrame, path: str) -> dict:
-    """Manifest row as JSON. Addresses are listed in it for a small corpus; a large
-    one gets them as a table of their own next to it."""
+    """The facts as one JSON row in ``path/facts``, all addresses as a table in ``path/urls``."""
     row = facts.first().asDict(recursive=True)
-    if row["url_count"] <= MAX_LISTED_URLS:
-        order = ["page_no"] if "page_no" in page_counts.columns else ["url"]
-        row["urls"] = [r.url for r in page_counts.orderBy(*order).select("url").take(MAX_LISTED_URLS)]
-    else:
-        page_counts.select("url").write.mode("overwrite").parquet(f"{path}_urls")
+    page_counts.select("page_no", "url").write.mode("overwrite").parquet(f"{path}/urls")
     spark = page_counts.sparkSession
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(path)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/facts")
     return row
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """The manifest, or None when it is missing or unreadable."""
+    """The manifest's facts, or None when they are missing or unreadable."""
     try:
-        row = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path).first()
+        row = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{path}/facts").first()
     except Exception:
         return None
     return json.loads(json.dumps(row.asDict(recursive=True))) if row else None
+
+
+def manifest_urls(spark: SparkSession, path: str) -> DataFrame:
+    """``page_no, url`` of every page of the manifest."""
+    return spark.read.schema("page_no bigint, url string").parquet(f"{path}/urls")

@@ -36,3 +36,11 @@ def test_title_and_textarea_hold_text_not_markup():
 def test_title_falls_back_to_h1():
     assert read_page("<title></title><h1>x <i>y</i></h1>")[0] == "xy"
     assert read_page("<p>none</p>")[0] == ""
+
+
+def test_text_after_self_closed_raw_elements_stays():
+    from lanternfold.functions.html import read_page
+
+    assert read_page('<p>a</p><iframe src="x"/><p>b</p>')[1] == ["a", "b"]
+    assert read_page('<script src="x"/><p>b</p><style/>c')[1] == ["b", "c"]
+    assert read_page("<p>a</p><iframe src=x>inner</iframe><p>b</p>")[1] == ["a", "b"]

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -29,8 +30,8 @@ def brute(qs, cs, k):
     return out
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(broadcast_questions=5, cell_questions=7, cell_chunks=60)])
-def test_top_k_is_exact_on_both_paths_with_copies(spark, settings):
+@pytest.mark.parametrize("settings", [Settings(), Settings(cell_questions=7, cell_chunks=60)])
+def test_top_k_is_exact_whatever_the_grid_with_copies(spark, settings):
     qs, cs = rows(20, 16, 1), rows(300, 16, 2, copies=100)
     q = spark.createDataFrame(list(enumerate(qs)), "question_id bigint, embedding array<float>")
     c = spark.createDataFrame([(f"c{i:05d}", v) for i, v in enumerate(cs)], "id string, embedding array<float>").repartition(3)
@@ -51,7 +52,7 @@ TEXTS = {
 
 def test_boosts_and_notes(spark):
     chunks = spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, heading string, text string, scheme string")
-    hits = {r.id: list(r.topic_hits) for r in rr.with_chunk_features(chunks, FUNDS).collect()}
+    hits = {r.id: list(r[rr.feature_column(FUNDS)]) for r in rr.with_chunk_features(chunks, FUNDS).collect()}
     topic = FUNDS.topics.index
     assert hits["ter"][topic("ter")] == rr.FACT_HIT
     assert hits["term"] == [0] * len(FUNDS.topics)
@@ -131,3 +132,69 @@ def test_phrase_windows_against_brute_force(values):
 
     for phrase in ("ter", "exit load", "nav x"):
         assert values(lambda c: tx.has_phrase(tx.phrase_text(c), (phrase,)), texts) == [window(t, phrase) for t in texts]
+
+
+def test_features_of_other_rules_are_made_anew(spark):
+    """Two packs of equal length: stored features of one are not used for the other."""
+    other = replace(FUNDS, topic_phrases={k: ("never said",) for k in FUNDS.topic_phrases}, topic_labels={})
+    assert len(other.topics) == len(FUNDS.topics) and other.fingerprint != FUNDS.fingerprint
+    embedder = em.HashingEmbedder(64)
+    chunks = spark.createDataFrame(
+        [(k, *v, "https://x/" + k, "T", "2026-01-01", 0) for k, v in TEXTS.items()],
+        "id string, heading string, text string, scheme string, url string, title string, fetched_at string, chunk_index int")
+    plain = em.embed(chunks, "text", embedder)
+    qs = em.embed(spark.createDataFrame([(1, "What is the expense ratio of HDFC Flexi Cap Fund?")],
+                                        "question_id bigint, question string"), "question", embedder)
+    want = [tuple(r) for r in se.retrieve(qs, plain, 5).orderBy("rank").collect()]
+    assert [tuple(r) for r in se.retrieve(qs, rr.with_chunk_features(plain, other), 5).orderBy("rank").collect()] == want
+    assert [tuple(r) for r in se.retrieve(qs, rr.with_chunk_features(plain, FUNDS), 5).orderBy("rank").collect()] == want
+
+
+def _message(field, payload):
+    """One length-delimited protobuf field."""
+    out, n = bytearray([field << 3 | 2]), len(payload)
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out) + bytes([n]) + payload
+
+
+def _number(field, n):
+    return bytes([field << 3, n])
+
+
+def _tiny_model(table):
+    """A model that looks ids up in a table: hidden = Gather(table, input_ids)."""
+    def tensor(name, kind):
+        shape = b"".join(_message(1, _message(2, d)) for d in (b"n", b"s"))
+        return _message(1, name) + _message(2, _message(1, _number(1, kind) + _message(2, shape)))
+
+    weights = b"".join(_number(1, d) for d in table.shape) + _number(2, 1) + _message(8, b"table") + _message(9, table.tobytes())
+    mask = b"".join(_message(1, x) for x in (b"attention_mask",)) + _message(2, b"unused") + _message(4, b"Identity")
+    gather = _message(1, b"table") + _message(1, b"input_ids") + _message(2, b"hidden") + _message(4, b"Gather")
+    out = _message(1, b"hidden") + _message(2, _message(1, _number(1, 1)))
+    graph = (_message(1, gather) + _message(1, mask) + _message(2, b"g") + _message(5, weights) + _message(11, tensor(b"input_ids", 7))
+             + _message(11, tensor(b"attention_mask", 7)) + _message(12, out))
+    return _number(1, 8) + _message(7, graph) + _message(8, _number(2, 13))
+
+
+def test_sentence_encoder_end_to_end(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["[PAD]", "[UNK]", "red", "green", "blue"]
+    tokenizer = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    table = np.array([[0, 0, 0], [1, 1, 1], [1, 0, 0], [0, 1, 0], [0, 0, 1]], np.float32)
+    (tmp_path / "minilm.onnx").write_bytes(_tiny_model(table))
+    embedder = em.OnnxEmbedder(str(tmp_path), dim=3, max_length=4, batch=2)
+    texts = ["red", "red green", "blue " * 4 + "red " * 50, None, "", "odd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.embedding for r in em.embed(df, "t", embedder).collect()}
+    assert got[0] == [1, 0, 0] and got[1] == pytest.approx([0.5 ** 0.5, 0.5 ** 0.5, 0], abs=1e-6)
+    assert got[2] == [0, 0, 1]  # four tokens count
+    assert got[3] == got[4] == [0, 0, 0] and got[5] == pytest.approx([3 ** -0.5] * 3, abs=1e-6)
+    short = em.HashingEmbedder(32, max_length=2)
+    pair = spark.createDataFrame([(0, "alpha beta gamma"), (1, "alpha beta")], "i int, t string")
+    cut = {r.i: r.embedding for r in em.embed(pair, "t", short).collect()}
+    assert cut[0] == cut[1]

@@ -1,20 +1,22 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanternfold.operators import diagnostics as dg
 from lanternfold.operators import embed as em
 from lanternfold.operators import generate as gn
 from lanternfold.plans import answer as an
-from lanternfold.plans import builder as bd
 from lanternfold.plans import ingest as ig
 from lanternfold.rules import EMPTY_CORPUS, FUNDS, NOT_IN_PAGES
+from lanternfold.session import checkpoint_dir, stage
 from lanternfold.settings import Settings, load_settings
 from lanternfold.sources import collection as cl
 from lanternfold.sources import pages as pg
 from lanternfold.sources import reports as rp
-from lanternfold.sources.web import WebPages, fetch_html
+from lanternfold.sources.web import WebPages, backoff, fetch
 
 STAMP = "2026-10-01T16:18:43+00:00"
 CARD = """<html><head><title>Flexi</title></head><body><nav>menu</nav><h2>Key facts</h2>
@@ -39,7 +41,9 @@ def test_ingest_answer_and_reingest(spark, settings):
     lines = []
     out = ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP, on_progress=lines.append)
     assert (out["chunk_count"], out["dropped_count"], out["skipped"]) == (4, 2, False)
-    assert out["urls"] == list(FUNDS.approved_urls[:2]) and out["max_fetched_at"] == STAMP
+    assert out["url_count"] == 2 and out["max_fetched_at"] == STAMP
+    listed = rp.manifest_urls(spark, settings.manifest_path).orderBy("page_no").collect()
+    assert [r.url for r in listed] == list(FUNDS.approved_urls[:2])
     assert ig.ingest(spark, page_rows(spark), settings=settings)["skipped"]
     store = cl.Collection(spark, settings.collection_path)
     assert store.status() == {"populated": True, "count": 4, "error": None}
@@ -92,6 +96,7 @@ def test_empty_corpus(spark, settings):
 def test_nothing_to_store_and_deadline(spark, settings):
     with pytest.raises(RuntimeError, match="No chunks produced"):
         ig.ingest(spark, page_rows(spark, ("<p>too short</p>",)), settings=settings)
+    assert Settings().ingest_deadline_seconds == 0  # none unless asked for
     late = Settings(data_dir=settings.data_dir, ingest_deadline_seconds=-1)
     with pytest.raises(ig.IngestTimeout, match="while loading pages"):
         ig.ingest(spark, page_rows(spark), settings=late)
@@ -105,11 +110,37 @@ def test_repeated_address_keeps_the_newest_page(spark, settings):
     assert out["chunk_count"] == stored.count() == stored.select("id").distinct().count() == 3
 
 
-def test_all_or_nothing_load(spark):
+def test_all_or_nothing_load(spark, tmp_path):
     docs = pg.load_documents(page_rows(spark, (HUB, "<nav>x</nav>")), STAMP)
-    with pytest.raises(pg.CorpusFetchError, match="failed for 1 pages:\n  - .*flexi-cap.*No readable text"):
-        pg.require_complete(docs)
-    assert pg.require_complete(docs.filter("error is null")).count() == 1
+    with pytest.raises(pg.CorpusFetchError, match="failed for 1 pages, all listed in .*failed"):
+        pg.require_complete(docs, str(tmp_path / "failed"))
+    listed = spark.read.json(str(tmp_path / "failed")).collect()
+    assert [r.url for r in listed] == [FUNDS.approved_urls[1]] and "No readable text" in listed[0].error
+    assert pg.require_complete(docs.filter("error is null"), str(tmp_path / "none")).count() == 1
+
+
+def test_lists_are_complete_whatever_their_length(spark, tmp_path):
+    """No list is cut: 60 failures, 1,100 pages in the dump and the manifest, 60 pages without chunks."""
+    bad = spark.range(60).select(F.col("id").alias("page_no"), F.concat(F.lit("u"), "id").alias("url"), F.lit("x").alias("error"))
+    with pytest.raises(pg.CorpusFetchError, match="failed for 60 pages"):
+        pg.require_complete(bad, str(tmp_path / "failed"))
+    assert spark.read.json(str(tmp_path / "failed")).count() == 60
+    counts = spark.range(1100).select(
+        F.col("id").alias("page_no"), F.concat(F.lit("u"), "id").alias("url"), F.lit(STAMP).alias("fetched_at"),
+        F.when(F.col("id") < 60, 0).otherwise(2).alias("chunks"), F.lit(1).alias("dropped"))
+    assert rp.write_thin_pages(counts, str(tmp_path / "thin")) == 60
+    facts = rp.manifest(counts, STAMP, Settings(), "e", 4)
+    rp.write_manifest(counts, facts, str(tmp_path / "manifest"))
+    assert rp.read_manifest(spark, str(tmp_path / "manifest"))["url_count"] == 1100
+    assert rp.manifest_urls(spark, str(tmp_path / "manifest")).count() == 1100
+    none = spark.createDataFrame([], "position bigint, block string")
+    rp.write_dump(str(tmp_path / "dump"), rp.dump_rows(none, counts, [("short", 3)], 0, STAMP))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "dump")).collect()]
+    assert sum(line.startswith("  - u") for line in lines) == 1100 and lines.index("  - u1099") < lines.index("     3  short")
+    offsets = {r.page_no: r.first for r in rp.page_offsets(counts.select("page_no", "url", "chunks")).collect()}
+    assert offsets == {i: max(0, i - 60) * 2 for i in range(1100)}
+    rows = {(r.name, r.place): r.value for r in rp.entries(facts, counts).collect()}
+    assert rows[("urls", 7)] == "u7" and rows[("url_count", None)] == "1100" and rows[("chunk_strategy.max_words", None)] == "200"
 
 
 def test_allow_list(spark):
@@ -138,9 +169,10 @@ def test_upsert_versions_and_latest(spark, tmp_path):
     second = spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int")
     assert store.upsert(first) == 2 and store.upsert(second) == 3 and store.upsert(second) == 3
     assert {r.id: r.v for r in store.read().collect()} == {"a": 1, "b": 2, "c": 2} and store.version() == 3
-    # A write that was never committed is not seen.
-    first.write.parquet(str(tmp_path / "c" / "v9"))
-    assert store.version() == 3
+    # A write that was never committed is not seen, and is what a vacuum removes.
+    first.write.parquet(str(tmp_path / "c" / "data-lost"))
+    assert store.version() == 3 and {r.id for r in store.read().collect()} == {"a", "b", "c"}
+    assert "data-lost" in store.vacuum() and {r.id: r.v for r in store.read().collect()} == {"a": 1, "b": 2, "c": 2}
     store.reset()
     assert not store.is_populated()
     many = spark.range(3000).select((F.col("id") % 3 % 2).alias("k"), F.col("id").alias("v"), F.lit("x").alias("w"))
@@ -149,7 +181,9 @@ def test_upsert_versions_and_latest(spark, tmp_path):
 
 def test_unreadable_store_and_manifest(spark, tmp_path):
     (tmp_path / "c" / "_commits").mkdir(parents=True)
-    (tmp_path / "c" / "_commits" / "x.json").write_text('{"version": 4, "rows": 1}\n')
+    schema = T.StructType().add("id", "string").json()
+    (tmp_path / "c" / "_commits" / "v4.json").write_text(
+        json.dumps({"version": 4, "rows": 1, "buckets": {"0": "data-x"}, "made_with": {}, "schema": schema}))
     status = cl.Collection(spark, str(tmp_path / "c")).status()
     assert not status["populated"] and "AnalysisException" in status["error"]
     assert rp.read_manifest(spark, str(tmp_path / "none")) is None
@@ -157,24 +191,94 @@ def test_unreadable_store_and_manifest(spark, tmp_path):
     assert rp.read_manifest(spark, str(tmp_path / "bad")) is None
 
 
-def test_fetch_retries_transport_errors_only():
-    waits, tries = [], []
-
-    def flaky(url, timeout):
-        tries.append(url)
-        if len(tries) < 3:
-            raise OSError("reset")
-        return "<p>ok</p>"
-
-    assert fetch_html("u", {"u"}, get=flaky, sleep=waits.append) == "<p>ok</p>" and waits == [2, 4]
-    with pytest.raises(ValueError, match="not part of the approved corpus"):
-        fetch_html("v", {"u"}, get=flaky)
+def test_incoming_copies_and_touched_buckets(spark, tmp_path):
+    store = cl.Collection(spark, str(tmp_path / "c"))
+    twice = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "id string, v int")
+    assert store.upsert(twice) == 2
+    before = store._log()["buckets"]
+    assert store.upsert(spark.createDataFrame([("a", 5), ("a", 4)], "id string, v int")) == 2
+    assert {r.id: r.v for r in store.read().collect()} == {"a": 5, "b": 1}
+    after = store._log()["buckets"]
+    assert len(before) == 2 and sum(before[b] == after[b] for b in before) == 1  # the other bucket's files stay
+    merged = cl.upsert(twice, twice).collect()
+    assert sorted((r.id, r.v) for r in merged) == [("a", 2), ("b", 1)]
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    one, two = (cl.Collection(spark, str(tmp_path / "c")) for _ in range(2))
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    one.replace(rows)
+    log = two._log()
+    one.upsert(spark.createDataFrame([("b", 2)], "id string, v int"))
+    folder, found = two._write(rows)
+    with pytest.raises(cl.ConcurrentWriteError):
+        two._commit(log, {b: folder for b in found}, rows.schema.json(), None)
+    assert {r.id for r in one.read().collect()} == {"a", "b"}
+
+
+def test_collection_is_bound_to_its_embedder(spark, settings):
+    ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP, embedder=em.HashingEmbedder(128))
+    qs = spark.createDataFrame([(1, "What is the NAV?")], "question_id bigint, question string")
+    assert an.answer(qs, settings=settings, embedder=em.HashingEmbedder(128)).count() == 1
+    with pytest.raises(cl.OtherMakerError, match="feature-hashing"):
+        an.answer(qs, settings=settings, embedder=em.HashingEmbedder(128, name="another"))
+
+
+@pytest.mark.parametrize("shape", ["filter", "select", "both"])
+def test_model_is_called_once_per_question(spark, settings, tmp_path, shape):
+    ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP)
+    log = tmp_path / f"calls-{shape}"
 
-    def down(url, timeout):
-        raise OSError("down")
+    def record(system, user, temperature, max_tokens):
+        with open(log, "a") as f:
+            f.write(json.dumps(system) + "\n")
+        return "It is listed."
 
-    with pytest.raises(ConnectionError, match="after 3 attempts: down"):
-        fetch_html("u", {"u"}, get=down, sleep=waits.append)
+    pack = replace(FUNDS, system_prompt="Say little.")
+    qs = spark.createDataFrame([(i, f"What is the NAV of plan {i} of Flexi Cap?") for i in range(10)], "question_id bigint, question string")
+    out = an.answer(qs, settings=settings, model=gn.CallableModel(record), pack=pack)
+    if shape != "select":
+        out = out.filter("NOT refused")
+    if shape != "filter":
+        out = out.select("question_id", "answer", F.length("answer").alias("n"), "refused")
+    assert len(out.collect()) == 10
+    calls = log.read_text().splitlines()
+    assert len(calls) == 10 and set(calls) == {json.dumps("Say little.")}
+
+
+def test_staging_needs_a_shared_folder(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Cluster)
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    path = stage(spark.range(3), "test").inputFiles()[0]
+    assert path.replace("file://", "").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_fetch_tries_again_only_after_transport_errors():
+    assert list(backoff(4)) == [0, 2, 4, 8] and list(backoff(0)) == []
+    waits, answers = [], iter([OSError("reset"), TimeoutError("slow"), "<p>ok</p>"])
+
+    def get(url, timeout):
+        found = next(answers)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    got = fetch("u", {"u"}, backoff(3), get=get, sleep=waits.append)
+    assert (got.html, got.error, got.tries, waits) == ("<p>ok</p>", None, 3, [2, 4])
+    assert "allow-list" in fetch("v", {"u"}, backoff(3), get=get).error
+    answers = iter([OSError("one"), OSError("two")])
+    lost = fetch("u", {"u"}, backoff(2), get=get, sleep=waits.append)
+    assert lost.html is None and lost.tries == 2 and lost.error.endswith("two")
+    answers = iter([ValueError("odd"), "never asked for"])
+    assert fetch("u", {"u"}, backoff(3), get=get).tries == 1
 
 
 def test_web_source_reads_and_reports_errors(spark, tmp_path):
@@ -184,28 +288,7 @@ def test_web_source_reads_and_reports_errors(spark, tmp_path):
     got = {r.page_no: r for r in spark.read.format("web_pages").option("urls", json.dumps(urls))
            .option("attempts", "1").load().collect()}
     assert got[0].html == HUB and got[0].error is None
-    assert got[1].html is None and "Failed to fetch" in got[1].error
-
-
-def test_builder(spark):
-    built = []
-
-    def build(force, on_progress):
-        for i in range(20):
-            on_progress(f" line {i} ")
-        built.append(force)
-
-    populated = {"populated": False}
-    b = bd.CorpusBuilder(build, lambda: populated)
-    assert b.start()
-    b.wait(30)
-    shot = b.snapshot()
-    assert shot["done"] and shot["error"] is None and shot["lines"] == [f"line {i}" for i in range(8, 20)] and built == [True]
-    failing = bd.CorpusBuilder(lambda **_: 1 / 0, lambda: populated)
-    failing.start()
-    failing.wait(30)
-    assert failing.snapshot()["error"].startswith("ZeroDivisionError")
-    assert not bd.CorpusBuilder(build, lambda: {"populated": True}).start()
+    assert got[1].html is None and "no answer in 1 tries" in got[1].error
 
 
 def test_settings_sources(spark, monkeypatch):
