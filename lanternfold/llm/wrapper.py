@@ -22,6 +22,7 @@ pattern each; statistics are partial sums. Nothing is kept per host but its patt
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ USUAL = 6_000  # characters of html; the page nearest to it is the host's patter
 FEW_PAGES, MOST = 5, 0.5  # a slot is constant from so many pages on, with one content on this share
 IN_TURN, VALUES = 20, 0.1  # or with so many pages and at most this many contents per page
 ARTICLE_PAGES, ARTICLE_MOST = 20, 0.8  # within an article
+DEEP = 150  # nodes below this depth are not aligned, so they are content
+WIDE = 40_000  # pairs of children above which they are aligned in order of appearance
 
 _TOKEN = re.compile(
     r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>"
@@ -123,21 +126,51 @@ def own_text(node: Node) -> str:
     return " ".join(unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
 
 
-def matching(a: Node, b: Node) -> tuple[int, list]:
+def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list]:
     """Simple tree matching: the number of matched nodes and the matched pairs of children, nested."""
     if a.tag != b.tag or a.label != b.label:
         return 0, []
     xs, ys = a.nodes, b.nodes
-    if not xs or not ys:
+    if not xs or not ys or depth >= DEEP:
         return 1, []
+    # Like leaves at either end match each other in some best matching: no match of a leaf counts more.
+    head, tail, n, m = 0, 0, len(xs), len(ys)
+    while head < n and head < m and _like_leaves(xs[head], ys[head]):
+        head += 1
+    while tail < min(n, m) - head and _like_leaves(xs[n - 1 - tail], ys[m - 1 - tail]):
+        tail += 1
+    pairs = [(x, y, []) for x, y in zip(xs[:head], ys[:head], strict=True)]
+    pairs += [(xs[n - 1 - i], ys[m - 1 - i], []) for i in range(tail)]
+    middle, score = _aligned_lists(xs[head : n - tail], ys[head : m - tail], depth + 1)
+    return 1 + head + tail + score, pairs + middle
+
+
+def _like_leaves(x: Node, y: Node) -> bool:
+    return not x.nodes and not y.nodes and x.tag == y.tag and x.label == y.label
+
+
+def _aligned_lists(xs: list[Node], ys: list[Node], depth: int) -> tuple[list, int]:
     n, m = len(xs), len(ys)
-    cells = [[matching(x, y) for y in ys] for x in xs]
+    if n * m > WIDE:  # in order of appearance
+        pairs, j, score = [], 0, 0
+        at: dict[tuple, list[int]] = {}
+        for k, y in enumerate(ys):
+            at.setdefault((y.tag, y.label), []).append(k)
+        for x in xs:
+            places = at.get((x.tag, x.label), [])
+            k = bisect_left(places, j)
+            if k < len(places):
+                j = places[k] + 1
+                gain, below = matching(x, ys[places[k]], depth)
+                pairs.append((x, ys[places[k]], below))
+                score += gain
+        return pairs, score
+    cells = [[matching(x, y, depth) for y in ys] for x in xs]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
         row, above, own = best[i + 1], best[i], cells[i]
         for j in range(m):
-            score = above[j] + own[j][0]
-            row[j + 1] = max(score, above[j + 1], row[j])
+            row[j + 1] = max(above[j] + own[j][0], above[j + 1], row[j])
     pairs, i, j = [], n, m
     while i and j:
         gain = cells[i - 1][j - 1][0]
@@ -148,7 +181,7 @@ def matching(a: Node, b: Node) -> tuple[int, list]:
             i -= 1
         else:
             j -= 1
-    return best[n][m] + 1, pairs
+    return pairs, best[n][m]
 
 
 def aligned(pattern: Node, page: Node) -> list[tuple[Node, Node]]:

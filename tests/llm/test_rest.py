@@ -221,6 +221,31 @@ def test_tree_matching():
     assert len(wrapper.aligned(a, b)) == 5
 
 
+def test_deep_and_wide_trees():
+    deep, wide = "<div>" * 3000 + "x", "<ul>" + "<li><b>1</b>" * 3000 + "</ul>"
+    assert wrapper.matching(wrapper.parse(deep), wrapper.parse(deep))[0] == wrapper.DEEP + 1
+    assert wrapper.matching(wrapper.parse(wide), wrapper.parse(wide))[0] == 6002
+    assert wrapper.main_text(wrapper.parse(deep), set()) == "x"
+    rng = random.Random(5)
+
+    def plain(a, b):  # the definition, without shortcuts
+        if a.tag != b.tag or a.label != b.label:
+            return 0
+        best = {}
+        for i in range(len(a.nodes) + 1):
+            for j in range(len(b.nodes) + 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + plain(a.nodes[i - 1], b.nodes[j - 1])) if i and j else 0
+        return best[len(a.nodes), len(b.nodes)] + 1
+
+    def page(n):
+        return "<div>" if n == 0 else "".join(rng.choice(["<p>t</p>", "<i>t</i>", "<div><p>a</p><i>b</i></div>", "<div></div>"]) for _ in range(n))
+
+    for _ in range(200):
+        a, b = wrapper.parse(page(rng.randrange(7))), wrapper.parse(page(rng.randrange(7)))
+        assert wrapper.matching(a, b)[0] == plain(a, b)
+        assert len(wrapper.aligned(a, b)) == plain(a, b)
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("plain", "plain"), ("a&amp;b &lt; c", "a&b < c"), ("<p>a<p>b<br>c</p>d", "a\n\nb c\n\nd"),
     ("<b>b<i>o</b>ld</i>", "bold"), ("<script>var a='<p>x</p>'</script>y", "y"), ("<div class='ad'>x</div>y", "y"),
