@@ -47,11 +47,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table several later steps read, and read it back.
 
     Costs one write; saves its work for every reader, also after lost executors. The
-    files are removed when the application ends, since returned frames still read them.
+    files are removed by ``release``, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lanternfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, folder = _files(spark, path)
+    files.deleteOnExit(folder)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the files of staged tables. Nothing that reads them may run afterwards."""
+    for df in staged:
+        files, folder = _files(df.sparkSession, df.staged_at)
+        files.delete(folder, True)
+
+
+def _files(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder

@@ -1,4 +1,5 @@
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -11,7 +12,7 @@ from lanternfold.operators import generate as gn
 from lanternfold.plans import answer as an
 from lanternfold.plans import ingest as ig
 from lanternfold.rules import EMPTY_CORPUS, FUNDS, NOT_IN_PAGES
-from lanternfold.session import checkpoint_dir, stage
+from lanternfold.session import checkpoint_dir, release, stage
 from lanternfold.settings import Settings, load_settings
 from lanternfold.sources import collection as cl
 from lanternfold.sources import pages as pg
@@ -257,8 +258,11 @@ def test_staging_needs_a_shared_folder(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(Cluster)
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    path = stage(spark.range(3), "test").inputFiles()[0]
-    assert path.replace("file://", "").startswith(spark.conf.get("spark.checkpoint.dir"))
+    staged = stage(spark.range(3), "test")
+    path = staged.inputFiles()[0].replace("file://", "")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.exists(path) and staged.count() == 3
+    release(staged)
+    assert not os.path.exists(path)
 
 
 def test_fetch_tries_again_only_after_transport_errors():
