@@ -110,7 +110,8 @@ def _(spark, sf):
 def _(spark, sf):
     stored = web_chunks(spark, sf)
     again = co.web_documents(spark, sf, co.LATER).filter(F.startswith("url", F.lit("https://")))
-    return cl.upsert(stored, ch.kept_chunks(chunked(again))).select("id", "url", "chunk_index", "fetched_at")
+    incoming = stage(ch.kept_chunks(chunked(again)), "incoming")  # read for its ids and for its rows
+    return cl.upsert(stored, incoming).select("id", "url", "chunk_index", "fetched_at")
 
 
 @query("snk3_latest_by_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +57,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files.deleteOnExit(folder)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
+    for tables in _OPEN:
+        tables.append(staged)
     return staged
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def short_lived():
+    """Tables staged in this block are removed at its end: for work that is over by then."""
+    tables: list[DataFrame] = []
+    _OPEN.append(tables)
+    try:
+        yield
+    finally:
+        _OPEN.remove(tables)
+        release(*tables)
+
+
 def release(*staged: DataFrame) -> None:
     """Remove the files of staged tables. Nothing that reads them may run afterwards."""
     for df in staged:

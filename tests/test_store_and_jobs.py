@@ -311,7 +311,10 @@ def test_stream(spark, settings, tmp_path):
     source = spark.readStream.schema("question_id bigint, question string").json(str(tmp_path / "q"))
     target = str(tmp_path / "answers")
     writer = answer_stream(source, lambda df, i: df.write.mode("append").parquet(target), settings=settings)
+    folder = spark.conf.get("spark.checkpoint.dir") + "/lanternfold"
+    before = set(os.listdir(folder))
     writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert set(os.listdir(folder)) == before
     assert {r.question_id: r.refused for r in spark.read.parquet(target).collect()}[2] is True
 
 
