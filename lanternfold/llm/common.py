@@ -9,12 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.session import stage
+from lanternfold.session import release, stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-__all__ = ["LOWER", "UPPER", "WordEncoder", "ascii_lower", "stage", "table"]
+__all__ = ["LOWER", "UPPER", "WordEncoder", "ascii_lower", "release", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import ascii_lower, stage
+from lanternfold.llm.common import ascii_lower, release, stage
 
 FIRST = 24  # bytes of the first digit after the length
 WIDER = 8  # each next digit is this many times as long
@@ -168,9 +168,12 @@ def duplicates(docs: DataFrame, share: int | None = None) -> DataFrame:
             break
         width *= WIDER
         rows = digits(found.where("text IS NOT NULL").select(F.col("top").alias("rep"), "keep", "n", "text"), width)
+    # what is left is narrow: the texts are not needed any more
+    narrow = stage(members.select("doc_id", "rep", "sha", "n"), "radix-members")
+    release(members)
     groups = links.join(settled.withColumnRenamed("n", "group_size").withColumnRenamed("keep", "best"), "top")
     keep = F.when(F.col("best") != LEAST, F.col("best"))
-    return members.select("doc_id", "rep", "sha", "n").join(groups, "rep").select(
+    return narrow.join(groups, "rep").select(
         "doc_id", keep.alias("keep_id"), "group_size",
         (F.col("n").isNotNull() & (F.col("rep") == F.col("top"))).alias("kept"), F.col("sha").alias("text_sha256"))
 
