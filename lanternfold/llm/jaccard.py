@@ -3,21 +3,23 @@
 A document's tokens are its distinct runs of five words, as 64-bit hashes. Documents with
 80 % or more of their joint tokens in common are linked; the result is who is connected.
 
-1. Groups. Documents with the same smallest token are likely alike; each such bucket is
-   partitioned around leaders, and a group is a leader with documents linked to it. So a
+1. Groups. Documents with the same smallest token (of those mostly made of common tokens: the
+   smallest of these) are likely alike; each such bucket is partitioned around leaders, and
+   a group is a leader with documents linked to it. So a
    group is connected from the start, whatever its size. Buckets that are more than a
    task's share of the bytes (fewer than there are partitions) are dealt to several tasks.
 2. Matrix. Two linked documents differ in at most a fifth of the tokens of either, hence
    share one of the first fifth (plus one) under any common order of tokens. The matrix has
    these first tokens of all members, united by group. In the order used, tokens that
-   begin many documents come last, so that passages shared by many do not pair them.
-   "Many" is looked up in a bitmap of fixed size; a false hit only moves a token.
-3. Bounds. Pairs of groups that share a token of the matrix, and whose sizes allow it, are
-   looked at: leaders first. Linked leaders connect their groups. As Jaccard distance obeys
+   many documents have come late, so that passages shared by many do not pair them. How
+   many is looked up in bitmaps of fixed size; a false hit only moves a token.
+3. Bounds. Pairs of groups whose sizes allow a link, and that share as many tokens of the
+   matrix as a link implies, are looked at: leaders first. Linked leaders connect their groups. As Jaccard distance obeys
    the triangle inequality, leaders further apart than both groups' radii and the allowed
    distance together exclude every link.
-4. Opening. Other pairs of groups, unless connected by then, are opened: members that the
-   inequality does not exclude are compared until a link is found.
+4. Opening. Other pairs of groups, unless connected by then, are opened: the smaller group's
+   members that the inequality does not exclude are compared with those of the larger one,
+   which is read once for all its pairs, until a link is found.
 
 No pair is left out: groups are joined or excluded by exact sets. Null and empty texts and
 texts without words have no tokens and are linked with nothing. Texts of fewer words are
@@ -30,48 +32,97 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import stage
+from lanternfold.llm.common import release, stage
 from lanternfold.llm.components import components
 
 WORDS = 5
-MANY = 40  # documents that a token begins, above which it comes last
-BITS = 26  # size of the bitmap
+MANY, LEVELS = 10, 5  # tokens come later the more documents have them: above 10, 100, ... 100,000
+COUNTED = 0.45  # share of a document's tokens that is counted: those that may move up as well
+BITS = 26  # of the bitmap's size; about the logarithm of the number of first tokens
+BUCKETS = 10  # bits of the slot by which counting is dealt out
 CELL = 400  # documents of a bucket compared with one another at a time
 FAR = 0.2 + 1e-9
-_MULTIPLY, _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
-_TOP = np.uint64(64 - BITS)
+AT_ONCE = 1 << 20  # bytes hashed together
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
+_MIX, _SHIFT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> _SHIFT)) * _MIX
+    return values ^ (values >> np.uint64(32))
+
+
+def _byte_values() -> np.ndarray:
+    low = np.arange(256, dtype=np.uint64)
+    low[65:91] += np.uint64(32)  # A-Z as a-z
+    return _mixed((low + np.uint64(1)) * _BASE)
 
 
 class Shingler:
-    """Token sets of texts; remembers hashes of words within a task."""
+    """Token sets of texts, many bytes at a time.
 
-    KEEP = 300_000
+    A word's hash is a polynomial in its bytes, from differences of running sums over the
+    joined texts; a run's hash combines those of its words in order.
+    """
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct 64-bit tokens."""
-        words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > self.KEEP:
-            self.known = {}
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(WORDS, len(values))
-        runs = values[: len(values) - size + 1] + np.uint64(size)
-        for k in range(1, size):
-            runs = (runs ^ (runs >> _SHIFT)) * _MULTIPLY + values[k : len(values) - size + 1 + k]
-        runs = (runs ^ (runs >> _SHIFT)) * _MIX
-        return np.unique(runs ^ (runs >> _SHIFT))
+        self.bytes = _byte_values()
+        self.powers = self.inverse = np.ones(0, np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, AT_ONCE + (AT_ONCE >> 2))
+            self.powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE)]))
+            back = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            self.inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, back)]))
+
+    def _some(self, texts: list[bytes]) -> list[np.ndarray]:
+        blob = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        self._tables(len(blob))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes[blob] * self.powers[: len(blob)], dtype=np.uint64)])
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[blob]])))
+        starts, ends = edges[::2], edges[1::2]  # the blob ends in a space
+        words = _mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        runs = words.copy()
+        if len(words) >= WORDS:
+            runs = words[: len(words) - WORDS + 1] + np.uint64(WORDS)
+            for k in range(1, WORDS):
+                runs = (runs ^ (runs >> _SHIFT)) * _BASE + words[k : len(words) - WORDS + 1 + k]
+            runs = _mixed(runs)
+        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        first = np.searchsorted(starts, at)
+        out = []
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if j - i >= WORDS:
+                found = np.sort(runs[i : j - WORDS + 1])
+                out.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+            elif j > i:
+                whole = np.array([j - i], np.uint64)
+                for k in range(i, j):
+                    whole = (whole ^ (whole >> _SHIFT)) * _BASE + words[k : k + 1]
+                out.append(_mixed(whole))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        return out
+
+    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Sorted distinct 64-bit tokens of each text."""
+        out, some, size = [], [], 0
+        for text in texts:
+            text = text or b""
+            if some and size + len(text) > AT_ONCE:
+                out += self._some(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text) + 1
+        return out + self._some(some) if some else out
 
 
 def needed(n: int) -> int:
@@ -90,46 +141,88 @@ def _digest(tokens: np.ndarray) -> int:
     return int(((tokens ^ (tokens >> np.uint64(31))) * _MIX).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), kind))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def _outline(docs: DataFrame) -> DataFrame:
-    """doc_id, n, least (token), bytes and slots (bitmap slots of the n-th part that comes first)."""
+def _outline(docs: DataFrame, bits: int) -> DataFrame:
+    """Rows of two kinds. Of documents: doc_id, n and bytes. Of batches: bucket and block, the
+    bitmap slots of the documents' lower tokens, a bucket's together."""
+    inner = bits - BUCKETS
+    kind = np.uint16 if inner <= 16 else np.uint32
+    names = ["doc_id", "n", "bytes", "bucket", "block"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
     def run(batches):
         shingler = Shingler()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sets = [shingler.tokens(t) for t in texts]
+            sets = shingler.sets(texts)
+            n = len(texts)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([int(s[0].astype(np.int64)) if len(s) else None for s in sets], pa.int64()),
-                pa.array([len(t or b"") for t in texts], pa.int64()),
-                _lists([(s[: needed(len(s))] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32)
-                        for s in sets], pa.int32())], names=["doc_id", "n", "least", "bytes", "slots"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, least long, bytes long, slots array<int>")
-
-
-def _bitmap(outline: DataFrame, many: int) -> np.ndarray:
-    """Bits of tokens that begin more than ``many`` documents: 2**BITS of them, whatever the input."""
-    counts = outline.select(F.explode("slots").alias("slot")).groupBy("slot").count().where(F.col("count") > many)
-    place = F.expr(f"shiftrightunsigned(slot, {32 - BITS})")
-    words = counts.groupBy((place / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(slot, {32 - BITS}) % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+                pa.array([len(t or b"") for t in texts], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            slots = np.sort(np.concatenate([np.zeros(0, np.uint64), *[s[: int(COUNTED * len(s)) + 1] for s in sets]]) >> np.uint64(64 - bits))
+            ends = np.searchsorted(slots >> np.uint64(inner), np.arange((1 << BUCKETS) + 1, dtype=np.uint64))
+            inside = (slots & np.uint64((1 << inner) - 1)).astype(kind)
+            full = np.flatnonzero(np.diff(ends)).tolist()
+            blocks = [inside[ends[i] : ends[i + 1]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(full), t) for t in types[:3]], pa.array(full, pa.int32()),
+                                              pa.array(blocks, pa.binary())], names=names)
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, bytes long, bucket int, block binary")
+
+
+def _bitmap(outline: DataFrame, bits: int, many: int) -> np.ndarray:
+    """For each level the bits of slots that more documents have: 2**bits of them, whatever the
+    input. A task counts one bucket after another, in as many counters as a bucket has slots."""
+    inner = bits - BUCKETS
+    kind = np.uint16 if inner <= 16 else np.uint32
+    bounds = [many * 10**level for level in range(LEVELS)]
+
+    def count(batches):
+        at, counts = None, None
+
+        def done():
+            planes = b"".join(np.packbits(counts > bound, bitorder="little").tobytes() for bound in bounds)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([planes])], names=["bucket", "bits"])
+
+        for batch in batches:
+            for bucket, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != at:
+                    if at is not None and (counts > many).any():
+                        yield done()
+                    at, counts = bucket, np.zeros(1 << inner, np.int64)
+                counts += np.bincount(np.frombuffer(block, kind), minlength=1 << inner)
+        if at is not None and (counts > many).any():
+            yield done()
+
+    blocks = outline.where("bucket IS NOT NULL").select("bucket", "block").repartition("bucket").sortWithinPartitions("bucket")
+    out = np.zeros((LEVELS, 1 << BUCKETS, 1 << (inner - 6)), np.uint64)
+    for row in blocks.mapInArrow(count, "bucket int, bits binary").toPandas().itertuples():
+        out[:, row.bucket] = np.frombuffer(row.bits, np.uint64).reshape(LEVELS, -1)
+    return out.reshape(LEVELS, -1)
+
+
+def _levels(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    slots = tokens >> np.uint64(65 - (common.shape[1] * 64).bit_length())
+    return ((common[:, (slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)).sum(axis=0)
+
+
+def _key(tokens: np.ndarray, common: np.ndarray) -> int | None:
+    """The token by which a document finds its bucket: the smallest; of a document that is mostly
+    common tokens the smallest of these. A copy with changes then misses the bucket only if the
+    change hit that very token, not whenever it made a smaller one, so large families stay together."""
+    if not len(tokens):
+        return None
+    low = tokens[: int(COUNTED * len(tokens)) + 1]
+    often = _levels(low, common) > 0
+    return int((low[often] if 2 * often.sum() >= len(low) else low)[0].astype(np.int64))
 
 
 def _first_tokens(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    slots = tokens >> _TOP
-    late = (common[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+    """The tokens that a set needs, in the order of levels and then of hashes."""
+    late = _levels(tokens, common)
     return tokens[np.argsort(late, kind="stable")[: needed(len(tokens))]]
 
 
@@ -178,18 +271,17 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
     def keyed(batches):
         shingler = Shingler()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            least = [int(s[0].astype(np.int64)) if len(s := shingler.tokens(t)) else None for t in texts]
+            least = [_key(s, bitmap.value) for s in shingler.sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "least"])
 
-    sizes = outline.where("least IS NOT NULL").groupBy("least").agg(F.sum("bytes").alias("held"), F.count("*").alias("rows"))
+    texts = _texts(docs).mapInArrow(keyed, "doc_id long, text binary, least long").where("least IS NOT NULL")
+    sizes = texts.groupBy("least").agg(F.sum(F.octet_length("text")).alias("held"), F.count("*").alias("rows"))
     if share is None:
         total = outline.agg(F.sum("bytes")).first()[0] or 0
         share = max(1, total // max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
     # each holds more than a partition's share, so there are fewer of them than partitions
     large = stage(sizes.where((F.col("held") > share) & (F.col("rows") > CELL)).select(
         "least", F.least(F.ceil(F.col("held") / share), F.ceil(F.col("rows") / CELL)).cast("long").alias("parts")), "large")
-    texts = _texts(docs).mapInArrow(keyed, "doc_id long, text binary, least long").where("least IS NOT NULL")
     cells = texts.join(F.broadcast(large), "least", "left").select(
         "least", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).alias("part"), "doc_id", "text")
 
@@ -199,7 +291,7 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
 
         def settle(members):
             nonlocal at
-            sets = [shingler.tokens(text) for _, text in members]
+            sets = shingler.sets([text for _, text in members])
             leaders = lead(sets)
             groups: dict[int, list[int]] = {}
             for i, (j, _) in enumerate(leaders):
@@ -236,6 +328,59 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
     return stage(dealt.mapInArrow(cluster, _GROUPED), "groups")
 
 
+_PAIR = "ga long, gb long, shared long, least_a long, most_a long, least_b long, most_b long"
+
+
+def _pairs(batches):
+    """Pairs of groups, the smaller number first, from rows that come ordered by token and group:
+    how many tokens they share here, and their sizes. Sizes that rule a link out are left out."""
+    rest = [np.zeros(0, np.int64)] * 4
+
+    def made(token, grp, least, most):
+        ends = np.flatnonzero(np.concatenate([token[1:] != token[:-1], [True]])) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        lengths = ends - starts
+        for k in np.unique(lengths[lengths > 1]).tolist():
+            of = starts[lengths == k]
+            for i in range(1, k):  # each member with the one i places further on
+                for at in range(0, len(of), max(1, (1 << 18) // (k - i))):
+                    x = (of[at : at + max(1, (1 << 18) // (k - i)), None] + np.arange(k - i)[None, :]).reshape(-1)
+                    y = x + i
+                    x, y = (v[(10 * most[x] >= 8 * least[y]) & (10 * most[y] >= 8 * least[x]) & (grp[x] != grp[y])] for v in (x, y))
+                    if len(x):
+                        yield np.stack([grp[x], grp[y], least[x], most[x], least[y], most[y]])
+
+    def out(columns):
+        seen: list[np.ndarray] = []
+        size = 0
+        for some in made(*columns):
+            seen.append(some)
+            size += some.shape[1]
+            if size > 1 << 19:
+                yield batch_of(seen)
+                seen, size = [], 0
+        if seen:
+            yield batch_of(seen)
+
+    def batch_of(seen):
+        found = np.concatenate(seen, axis=1)
+        found = found[:, np.lexsort((found[1], found[0]))]
+        new = np.flatnonzero(np.concatenate([[True], (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])]))
+        columns = [found[0, new], found[1, new], np.diff(np.append(new, found.shape[1])), *found[2:, new]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in _PAIR.split(", ")])
+
+    for batch in batches:
+        columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        token = columns[0]
+        if not len(token):
+            continue
+        cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
+        yield from out([c[:cut] for c in columns]) if cut else ()
+        rest = [c[cut:] for c in columns]
+    if len(rest[0]):
+        yield from out(rest)
+
+
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, digest and text of the documents whose ids ``wanted`` has (few others slip in)."""
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << BITS))
@@ -251,7 +396,7 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             hit = (bitmap.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             some = batch.filter(pa.array(hit.astype(bool)))
-            digests = [_digest(shingler.tokens(t)) for t in some.column(1).to_pylist()]
+            digests = [_digest(t) for t in shingler.sets(some.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests, pa.int64()), some.column(1)], names=["doc_id", "digest", "text"])
 
     return _texts(docs).withColumn("place", place).mapInArrow(run, "doc_id long, digest long, text binary").dropDuplicates(["doc_id", "digest"])
@@ -262,22 +407,23 @@ def _with_text(rows: DataFrame, texts: DataFrame, doc: str, digest: str, out: st
     return rows.join(found, F.col(doc).eqNullSafe(F.col("__d")) & (F.col(digest) == F.col("__g"))).drop("__d", "__g")
 
 
-def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row. ``share`` replaces the bytes that a
-    task may get. Jobs run while the steps are set up; the result reads staged tables."""
-    outline = stage(_outline(docs), "outline")
-    grouped = _grouped(docs, outline, _bitmap(outline, many), share)
+    task may get. Jobs run in here; the result is a staged table, all others are removed."""
+    outline = stage(_outline(docs, bits), "outline")
+    grouped = _grouped(docs, outline, _bitmap(outline, bits, many), share)
     leaders = grouped.where("leads").select("grp", "doc_id", "digest", "radius", "least_n", "most_n", "first")
 
     # groups that share a token of the matrix
-    matrix = leaders.select("grp", "least_n", "most_n", F.explode("first").alias("token"))
-    shared = matrix.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    matrix = stage(matrix.join(shared, "token", "left_semi"), "matrix")
-    a, b = matrix.alias("a"), matrix.alias("b")
-    pairs = a.join(b, F.expr("a.token = b.token AND a.grp < b.grp AND 10 * a.most_n >= 8 * b.least_n"
-                             " AND 10 * b.most_n >= 8 * a.least_n")).select(
-        F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
-    pairs = stage(pairs, "pairs")
+    matrix = leaders.select(F.explode("first").alias("token"), "grp", "least_n", "most_n")
+    ordered = matrix.repartition("token").sortWithinPartitions("token", "grp")
+    met = ordered.mapInArrow(_pairs, _PAIR).groupBy("ga", "gb").agg(
+        F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("least_a", "most_a", "least_b", "most_b")])
+    # Two linked sets of m <= M tokens share 4/9 (m + M). Those beyond the first tokens of the one whose
+    # first tokens end earlier are at most 0.8 M; so first tokens share 4/9 (m + M) - 4/5 M at least.
+    enough = F.expr("45 * shared >= least(20 * least_a - 16 * least(most_b, least_a * 5 div 4),"
+                    " 20 * least_b - 16 * least(most_a, least_b * 5 div 4))")
+    pairs = stage(met.where(enough).select("ga", "gb"), "pairs")
 
     # leaders
     heads = leaders.select("grp", "doc_id", "digest", "radius")
@@ -291,13 +437,16 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY)
     def compare(batches):
         shingler = Shingler()
         for batch in batches:
-            found = [linked(shingler.tokens(x), shingler.tokens(y))
-                     for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            found = []
+            for at in range(0, batch.num_rows, 500):
+                x, y = (shingler.sets(batch.column(c).slice(at, 500).to_pylist()) for c in (4, 5))
+                found += map(linked, x, y)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())],
                 names=["ga", "gb", "ra", "rb", "linked", "apart"])
 
     seen = stage(met.mapInArrow(compare, "ga long, gb long, ra double, rb double, linked boolean, apart double"), "seen")
+    tables = [outline, grouped, pairs, heads, texts, seen]
     links = seen.where("linked").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     labels = components(links)
 
@@ -308,34 +457,43 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY)
         unsure = unsure.join(named, f"g{side}", "left")
     unsure = stage(unsure.where("coalesce(la, ga) <> coalesce(lb, gb)").select("ga", "gb", "ra", "rb", "apart"), "unsure")
     if not unsure.isEmpty():
+        # The larger group stays, whole and once; of the other the members that may hold a link come to it.
+        held = grouped.groupBy("grp").agg(F.count("*").alias("held"))
+        for side in "ab":
+            unsure = unsure.join(held.select(F.col("grp").alias(f"g{side}"), F.col("held").alias(f"h{side}")), f"g{side}")
+        stays = F.col("ha") >= F.col("hb")
+        visits = unsure.select(F.when(stays, F.col("ga")).otherwise(F.col("gb")).alias("home"),
+                               F.when(stays, F.col("gb")).otherwise(F.col("ga")).alias("guest"),
+                               (F.col("apart") - F.when(stays, F.col("ra")).otherwise(F.col("rb")) - FAR).alias("least"))
+        visits = stage(visits, "visits")
         members = grouped.select("grp", "doc_id", "digest", "distance")
-        opened = None
-        for side, mine, other in (("a", "ga", "rb"), ("b", "gb", "ra")):
-            part = unsure.join(members, F.col(mine) == F.col("grp")).where(
-                F.col("distance") >= F.col("apart") - F.col(other) - FAR).select(
-                "ga", "gb", F.lit(side).alias("side"), "doc_id", "digest")
-            opened = part if opened is None else opened.unionByName(part)
-        opened = stage(opened.distinct(), "opened")
-        sets = _with_text(opened, _only(docs, opened), "doc_id", "digest", "text").select("ga", "gb", "side", "text")
+        at_home = visits.select("home").distinct().join(members, F.col("home") == F.col("grp")).select(
+            "home", F.lit(None).cast("long").alias("guest"), "doc_id", "digest")
+        coming = visits.join(members, (F.col("guest") == F.col("grp")) & (F.col("distance") >= F.col("least"))).select(
+            "home", "guest", "doc_id", "digest")
+        opened = stage(at_home.unionByName(coming).distinct(), "opened")
+        tables += [visits, opened]
+        sets = _with_text(opened, _only(docs, opened), "doc_id", "digest", "text").select("home", "guest", "text")
 
         def search(batches):
-            shingler = Shingler()
-            pair, first, hit = None, [], False
+            shingler, home, inside, met = Shingler(), None, [], set()
             for batch in batches:
                 out = []
-                for ga, gb, side, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if (ga, gb) != pair:
-                        pair, first, hit = (ga, gb), [], False
-                    tokens = shingler.tokens(text)
-                    if side == "a":
-                        first.append(tokens)
-                    elif not hit and any(linked(tokens, other)[0] for other in first):
-                        hit = True
-                        out.append(pair)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        more = stage(sets.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "side").mapInArrow(search, "a long, b long"), "more")
+                tokens = shingler.sets(batch.column(2).to_pylist())
+                for at, guest, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens, strict=True):
+                    if at != home:
+                        home, inside, met = at, [], set()
+                    if guest is None:
+                        inside.append(found)
+                    elif guest not in met and any(
+                            10 * len(x) >= 8 * len(found) and 10 * len(found) >= 8 * len(x) and linked(found, x)[0] for x in inside):
+                        met.add(guest)
+                        out.append((home, guest))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        ordered = sets.repartition("home").sortWithinPartitions("home", F.col("guest").asc_nulls_first())
+        more = stage(ordered.mapInArrow(search, "a long, b long"), "more")
+        tables.append(more)
         labels = components(links.unionByName(more))
 
     # a component may hold a third of all rows; a group holds CELL at most
@@ -345,7 +503,9 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY)
     found = grouped.select("grp", "doc_id", F.col("n").alias("n_shingles")).join(
         named.join(lowest, "label").select("grp", "component_id"), "grp").select("doc_id", "n_shingles", "component_id")
     empty = outline.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(empty)
+    result = stage(found.unionByName(empty), "components")
+    release(*tables)
+    return result
 
 
 def representatives(docs: DataFrame) -> DataFrame:
