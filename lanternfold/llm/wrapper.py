@@ -2,9 +2,10 @@
 
 Pages of one host share a template. One page per host (the one nearest a usual length)
 serves as the host's pattern, and every page's tree is aligned with it by simple tree
-matching. Nodes of the pattern are slots: a slot with one content on most pages, or few
-contents in turn, is template; slots whose content varies are content. Statistics count
-different pages, so copies of a page make nothing look constant.
+matching. Nodes of the pattern are slots: a content that a slot has on most of the host's
+pages, or one of few that it has in turn, is template; any other content of the slot is
+kept. Pages that agree in nearly all of their text count as one, so neither copies nor near
+copies of a page make anything look constant.
 
 A page's text is what its content slots and unaligned nodes hold, within the article (or
 main) element where there is one, without what names itself as menu, header, footer,
@@ -16,7 +17,8 @@ Null and empty pages have an empty text. Pages without a host in their address f
 group, as does a null address. Repeated rows give repeated results; an empty table an
 empty one. Only page_id, url and html are read. Hosts with more than a task's share of the
 pages (fewer than there are partitions) are dealt to several tasks, with a copy of their
-pattern each; statistics are partial sums. Nothing is kept per host but its pattern.
+pattern each; statistics are partial sums. Nothing is kept per host but its pattern and its
+constant contents, each of them on at least a hundredth of its pages.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import re
 from bisect import bisect_left
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 from lanternfold.llm.common import stage
 
 USUAL = 6_000  # characters of html; the page nearest to it is the host's pattern
-FEW_PAGES, MOST = 5, 0.5  # a slot is constant from so many pages on, with one content on this share
-IN_TURN, VALUES = 20, 0.1  # or with so many pages and at most this many contents per page
+FEW_PAGES, MOST = 5, 0.5  # a content is constant from so many pages on, on this share of the host's
+IN_TURN, VALUES = 20, 0.1  # or in a slot with so many pages and at most this many contents per page,
+RECURS = 0.01  # if it is on 1 / VALUES pages and on this share of the host's
 ARTICLE_PAGES, ARTICLE_MOST = 20, 0.8  # within an article
+BANDS, PICKS = 8, 12  # pages with one equal band count as one: likely from nine tenths of their text on
 DEEP = 150  # nodes below this depth are not aligned, so they are content
 WIDE = 40_000  # pairs of children above which they are aligned in order of appearance
 
@@ -302,40 +307,95 @@ class _Patterns:
         return self.tree, self.slots
 
 
+_SEEDS = np.arange(1, BANDS * PICKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 63)
+
+
+def bands(texts: list[str]) -> list[int]:
+    """Weighted min-hashes of a set of texts in bands; a text weighs the root of its length."""
+    weights = {xxhash.xxh64_intdigest(t): len(t) ** 0.5 for t in texts}
+    if not weights:
+        return []
+    prints = np.array(list(weights), np.uint64)
+    mixed = prints[:, None] ^ _SEEDS
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    draws = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / np.array(list(weights.values()))[:, None]
+    picks = prints[draws.argmin(axis=0)].reshape(BANDS, PICKS)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes())) for row in picks]
+
+
+def contents(tree: Node, numbers: dict[int, int], page: Node) -> list[tuple[Node, int, bool, int]]:
+    """Nodes of a page with text of their own: place, whether it is within an article, place and content."""
+    inner, out = _articles(page), []
+    for slot, node in aligned(tree, page):
+        if text := own_text(node):
+            within = id(node) in inner
+            place = xxhash.xxh64_intdigest(f"{numbers[id(slot)]} {within}")
+            out.append((node, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
+    return out
+
+
+def _texts(page: Node) -> list[str]:
+    """Texts of a page's nodes without those that name themselves as something else."""
+    out, todo = [], [page]
+    while todo:
+        node = todo.pop()
+        if not node.out:
+            if text := own_text(node):
+                out.append(text)
+            todo.extend(node.nodes)
+    return out
+
+
+def _told_apart(seen: DataFrame) -> DataFrame:
+    """host, page and label: one label for pages that share a band."""
+    pages = seen.select("host", "page", "bands").dropDuplicates(["host", "page"])
+    each = pages.select("host", "page", F.posexplode("bands").alias("band", "value"))
+    shared = each.groupBy("host", "band", "value").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = each.join(shared.drop("n"), ["host", "band", "value"]).groupBy("host", "page").agg(F.min("first").alias("first"))
+    return pages.select("host", "page").join(joined, ["host", "page"], "left").select(
+        "host", "page", F.coalesce("first", "page").alias("label"))
+
+
 def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
-    """host and template, the slots of its pattern that are constant."""
-    names = ["host", "slot", "within", "content", "page"]
+    """host and template, the places and contents that are constant."""
+    fields = {"host": pa.string(), "page": pa.int64(), "bands": pa.list_(pa.int64()), "places": pa.list_(pa.int64()),
+              "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64())}
 
     def read(batches):
-        known, inner, of = _Patterns(), set(), None
+        known = _Patterns()
         for batch in batches:
-            hosts, at, within, contents, prints = [], [], [], [], []
+            rows = []
             for host, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                tree, numbers = known.of(pattern)
-                if of is not tree:
-                    inner, of = _articles(tree), tree
-                page = xxhash.xxh64_intdigest(html) - (1 << 63)
-                for slot, node in aligned(tree, parse(html)):
-                    if text := own_text(node):
-                        hosts.append(host)
-                        at.append(numbers[id(slot)])
-                        within.append(id(slot) in inner)
-                        contents.append(xxhash.xxh64_intdigest(text) - (1 << 63))
-                        prints.append(page)
+                page = parse(html)
+                found = contents(*known.of(pattern), page)
+                rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page)), [f[1] for f in found],
+                             [f[2] for f in found], [f[3] for f in found]))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(at, pa.int32()), pa.array(within, pa.bool_()),
-                 pa.array(contents, pa.int64()), pa.array(prints, pa.int64())], names=names)
+                [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
 
     paired = dealt.join(patterns, ["host", "part"]).select("host", "pattern", "html")
-    seen = paired.mapInArrow(read, "host string, slot int, within boolean, content long, page long")
-    counts = seen.groupBy("host", "slot", "within", "content").agg(F.count_distinct("page").alias("pages"))
-    of = counts.groupBy("host", "slot", "within").agg(
-        F.sum("pages").alias("pages"), F.max("pages").alias("most"), F.count("*").alias("contents"))
+    seen = stage(paired.mapInArrow(
+        read, "host string, page long, bands array<long>, places array<long>, inner array<boolean>, keys array<long>"), "seen")
+    labels = stage(_told_apart(seen), "labels")
+    all_pages = labels.groupBy("host").agg(F.count_distinct("label").alias("all"))
+    rows = seen.drop("bands").join(labels, ["host", "page"]).select(
+        "host", "label", F.explode(F.arrays_zip("places", "inner", "keys")).alias("at"))
+    counts = rows.groupBy("host", F.col("at.places").alias("place"), F.col("at.inner").alias("within"), F.col("at.keys").alias("key")).agg(
+        F.count_distinct("label").alias("most"))
+    places = counts.groupBy("host", "place").agg(F.sum("most").alias("pages"), F.count("*").alias("contents"))
+    often = counts.where(F.col("most") >= FEW_PAGES).join(places.where(F.col("pages") >= FEW_PAGES), ["host", "place"]).join(all_pages, "host")
     outer = ~F.col("within") & (
-        ((F.col("pages") >= FEW_PAGES) & (F.col("most") >= MOST * F.col("pages")))
-        | ((F.col("pages") >= IN_TURN) & (F.col("contents") <= VALUES * F.col("pages"))))
-    inner = F.col("within") & (F.col("pages") >= ARTICLE_PAGES) & (F.col("most") >= ARTICLE_MOST * F.col("pages"))
-    return of.where(outer | inner).groupBy("host").agg(F.collect_list("slot").alias("template"))
+        (F.col("most") >= MOST * F.col("all"))
+        | ((F.col("pages") >= IN_TURN) & (F.col("contents") <= VALUES * F.col("pages"))
+           & (F.col("most") >= 1 / VALUES) & (F.col("most") >= RECURS * F.col("all"))))
+    inner = F.col("within") & (F.col("most") >= ARTICLE_PAGES) & (F.col("most") >= ARTICLE_MOST * F.col("all"))
+    return often.where(outer | inner).groupBy("host").agg(F.collect_list("key").alias("template"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -352,7 +412,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 if of is not tree:
                     template, of = set(gone or ()), tree
                 page = parse(html)
-                found = {id(n) for slot, n in aligned(tree, page) if numbers[id(slot)] in template} if template else set()
+                found = {id(n) for n, _, _, key in contents(tree, numbers, page) if key in template} if template else set()
                 texts.append(main_text(page, found))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -272,3 +272,23 @@ def test_copies_of_a_page_make_no_template(spark):
     pages = [(i, "https://h.x/", "<body><div>Once written, often served</div></body>") for i in range(50)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.text for r in wrapper.main_texts(frame).collect()} == {"Once written, often served"}
+
+
+def _main_texts(spark, bodies, host="h.x"):
+    rows = [(i, f"https://{host}/{i}", b) for i, b in enumerate(bodies)]
+    found = wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_only_the_constant_content_of_a_slot_is_dropped(spark):
+    notes = [f"Written by reader {i} alone" if i % 5 == 0 else "Common notice of this host" for i in range(40)]
+    bodies = [f"<body><div>{n}</div><div>Story number {i} by hand</div></body>" for i, n in enumerate(notes)]
+    expected = [f"Written by reader {i} alone\n\nStory number {i} by hand" if i % 5 == 0 else f"Story number {i} by hand" for i in range(40)]
+    assert _main_texts(spark, bodies) == expected
+
+
+def test_near_copies_count_as_one_page(spark):
+    story = "".join(f"<p>{f'Sentence {k} of the one long article. ' * 9}</p>" for k in range(12))
+    for tag in ("article", "div"):
+        found = _main_texts(spark, [f"<body><nav>track {i}</nav><{tag}>{story}<p>offer {i}</p></{tag}></body>" for i in range(30)])
+        assert all(f.count("\n\n") == 12 and f.startswith("Sentence 0 of") and f.endswith(f"offer {i}") for i, f in enumerate(found))
