@@ -9,7 +9,10 @@ copies of a page make anything look constant.
 
 A page's text is what its content slots and unaligned nodes hold, within the article (or
 main) element where there is one, without what names itself as menu, header, footer,
-sidebar, notice, advert, form, script, style or comments. Blocks are the texts between
+sidebar, notice, advert, form, script, style or comments, by its element or by a whole token
+of its class, id or role. Such a token never cuts the page, its body, main, headings, or what
+holds most of the page's text: on most of the host's pages that have a node of that path,
+or, where they are few, on the page itself if no article or main stands beside it. Blocks are the texts between
 block elements, in page order: character references decoded, white space turned into one
 space, empty ones left out, joined by an empty line.
 
@@ -48,7 +51,6 @@ _TOKEN = re.compile(
     r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_PARTS = re.compile(r"[a-z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noscript xmp".split())
 _BLOCKS = frozenset(
@@ -60,6 +62,7 @@ _INLINE_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 _HOLDS = frozenset("ul ol dl table body html article section div".split())  # an implied end looks no further up
 _OUT_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea head "
                       "svg canvas object menu dialog".split())
+_NEVER_MARKED = frozenset("#root html body main h1 h2 h3 h4 h5 h6".split())
 _OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb "
     "breadcrumbs header footer sidebar aside cookie cookies consent notice notices alert popup modal newsletter subscribe "
@@ -68,10 +71,10 @@ _OUT_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "children", "nodes")
+    __slots__ = ("tag", "label", "out", "marked", "children", "nodes")
 
-    def __init__(self, tag: str, label: str = "", out: bool = False):
-        self.tag, self.label, self.out = tag, label, out
+    def __init__(self, tag: str, label: str = "", out: bool = False, marked: bool = False):
+        self.tag, self.label, self.out, self.marked = tag, label, out, marked
         self.children: list = []  # texts and nodes
         self.nodes: list[Node] = []
 
@@ -112,7 +115,8 @@ def parse(html: str) -> Node:
                 break
         attributes = m.group(3) or m.group(6) or ""
         marks = " ".join(v.strip("\"'") for v in _CLASS.findall(attributes)).lower() if "=" in attributes else ""
-        node = Node(tag, marks, tag in _OUT_TAGS or (bool(marks) and not _OUT_WORDS.isdisjoint(_PARTS.findall(marks))))
+        marked = bool(marks) and tag not in _NEVER_MARKED and not _OUT_WORDS.isdisjoint(marks.split())
+        node = Node(tag, marks, tag in _OUT_TAGS, marked)
         stack[-1].children.append(node)
         stack[-1].nodes.append(node)
         if tag in _RAW and not attributes.endswith("/"):
@@ -209,15 +213,73 @@ def slots(pattern: Node) -> dict[int, int]:
     return out
 
 
-def _article(node: Node) -> Node | None:
+def paths(page: Node) -> dict[int, int]:
+    """Number of the path of tags and labels from the root to each node, by the node's identity."""
+    out, todo = {id(page): 0}, [page]
+    while todo:
+        node = todo.pop()
+        for below in node.nodes:
+            out[id(below)] = xxhash.xxh64_intdigest(f"{below.tag} {below.label}", out[id(node)])
+        todo.extend(node.nodes)
+    return out
+
+
+def lengths(page: Node, template: set[int] = frozenset(), cut: set[int] = frozenset()) -> dict[int, int]:
+    """Characters of text in and below each node, by its identity, without elements that are out,
+    nodes in ``cut`` and own text of nodes in ``template``."""
+    order, sums = [page], {}
+    for node in order:
+        if not node.out and id(node) not in cut:
+            order.extend(node.nodes)
+    for node in reversed(order):
+        if node.out or id(node) in cut:
+            sums[id(node)] = 0
+        else:
+            own = 0 if id(node) in template else len(own_text(node))
+            sums[id(node)] = own + sum(sums[id(n)] for n in node.nodes)
+    return sums
+
+
+def marks(page: Node) -> list[tuple[Node, bool]]:
+    """Marked nodes that are not below an element that is out, and whether they hold most of the page's text."""
+    found, todo = [], [page]
+    while todo:
+        node = todo.pop()
+        if not node.out:
+            if node.marked:
+                found.append(node)
+            todo.extend(node.nodes)
+    sums = lengths(page) if found else {}
+    return [(node, sums[id(node)] > sums[id(page)] / 2) for node in found]
+
+
+def cuts(page: Node, known: dict[int, bool] | None = None) -> set[int]:
+    """Identities of marked nodes to cut. ``known`` tells by path whether such nodes hold most of a page's text."""
+    found = marks(page)
+    if not found:
+        return set()
+    places = paths(page) if known else {}
+    voted = {id(node): known.get(places[id(node)]) if known else None for node, _ in found}
+    cut = {id(node) for node, most in found if not (most if voted[id(node)] is None else voted[id(node)])}
+    unsure = {id(node) for node, most in found if most and voted[id(node)] is None}
+    if unsure:
+        scope = _article(page, cut | unsure)
+        if scope and sum(map(lengths(page, cut=cut | unsure).get, map(id, scope.nodes))):
+            cut |= unsure
+    return cut
+
+
+def _article(node: Node, cut: set[int]) -> Node | None:
     for wanted in ("article", "main"):
         todo = [node]
         found = []
         while todo:
             at = todo.pop()
+            if at.out or id(at) in cut:
+                continue
             if at.tag == wanted:
                 found.append(at)
-            elif not at.out:
+            else:
                 todo.extend(reversed(at.nodes))
         if found:
             whole = Node("#articles")
@@ -226,8 +288,9 @@ def _article(node: Node) -> Node | None:
     return None
 
 
-def main_text(page: Node, template: set[int]) -> str:
+def main_text(page: Node, template: set[int], known: dict[int, bool] | None = None) -> str:
     """The text of a page's article without nodes whose identity is in ``template``."""
+    cut = cuts(page, known)
     blocks, run = [], []
 
     def close():
@@ -236,14 +299,14 @@ def main_text(page: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [_article(page) or page]
+    todo: list = [_article(page, cut) or page]
     while todo:
         at = todo.pop()
         if at is None:
             close()
         elif isinstance(at, str):
             run.append(at)
-        elif at.out:
+        elif at.out or id(at) in cut:
             if at.tag in _BLOCKS:
                 close()
         elif at.tag == "br":
@@ -259,9 +322,9 @@ def main_text(page: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def _articles(pattern: Node) -> set[int]:
-    """Identities of nodes within an article of the pattern."""
-    out, found = set(), _article(pattern)
+def _articles(page: Node) -> set[int]:
+    """Identities of nodes within an article of a page."""
+    out, found = set(), _article(page, cuts(page))
     todo = [found] if found else []
     while todo:
         node = todo.pop()
@@ -341,10 +404,10 @@ def contents(tree: Node, numbers: dict[int, int], page: Node) -> list[tuple[Node
 
 def _texts(page: Node) -> list[str]:
     """Texts of a page's nodes without those that name themselves as something else."""
-    out, todo = [], [page]
+    out, todo, cut = [], [page], cuts(page)
     while todo:
         node = todo.pop()
-        if not node.out:
+        if not node.out and id(node) not in cut:
             if text := own_text(node):
                 out.append(text)
             todo.extend(node.nodes)
@@ -362,9 +425,9 @@ def _told_apart(seen: DataFrame) -> DataFrame:
 
 
 def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
-    """host and template, the places and contents that are constant."""
+    """host, template, the places and contents that are constant, and voted, by path whether its marked nodes hold most."""
     fields = {"host": pa.string(), "page": pa.int64(), "bands": pa.list_(pa.int64()), "places": pa.list_(pa.int64()),
-              "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64())}
+              "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "most": pa.list_(pa.bool_())}
 
     def read(batches):
         known = _Patterns()
@@ -372,20 +435,23 @@ def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
             rows = []
             for host, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 page = parse(html)
-                found = contents(*known.of(pattern), page)
+                found, marked = contents(*known.of(pattern), page), marks(page)
+                at = paths(page) if marked else {}
                 rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page)), [f[1] for f in found],
-                             [f[2] for f in found], [f[3] for f in found]))
+                             [f[2] for f in found], [f[3] for f in found],
+                             [_signed(at[id(node)]) for node, _ in marked], [most for _, most in marked]))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
 
     paired = dealt.join(patterns, ["host", "part"]).select("host", "pattern", "html")
     seen = stage(paired.mapInArrow(
-        read, "host string, page long, bands array<long>, places array<long>, inner array<boolean>, keys array<long>"), "seen")
+        read, "host string, page long, bands array<long>, places array<long>, inner array<boolean>, keys array<long>, "
+              "marks array<long>, most array<boolean>"), "seen")
     labels = stage(_told_apart(seen), "labels")
     all_pages = labels.groupBy("host").agg(F.count_distinct("label").alias("all"))
-    rows = seen.drop("bands").join(labels, ["host", "page"]).select(
-        "host", "label", F.explode(F.arrays_zip("places", "inner", "keys")).alias("at"))
+    labelled = seen.drop("bands").join(labels, ["host", "page"])
+    rows = labelled.select("host", "label", F.explode(F.arrays_zip("places", "inner", "keys")).alias("at"))
     counts = rows.groupBy("host", F.col("at.places").alias("place"), F.col("at.inner").alias("within"), F.col("at.keys").alias("key")).agg(
         F.count_distinct("label").alias("most"))
     places = counts.groupBy("host", "place").agg(F.sum("most").alias("pages"), F.count("*").alias("contents"))
@@ -395,7 +461,13 @@ def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
         | ((F.col("pages") >= IN_TURN) & (F.col("contents") <= VALUES * F.col("pages"))
            & (F.col("most") >= 1 / VALUES) & (F.col("most") >= RECURS * F.col("all"))))
     inner = F.col("within") & (F.col("most") >= ARTICLE_PAGES) & (F.col("most") >= ARTICLE_MOST * F.col("all"))
-    return often.where(outer | inner).groupBy("host").agg(F.collect_list("key").alias("template"))
+    template = often.where(outer | inner).groupBy("host").agg(F.collect_list("key").alias("template"))
+    marked = labelled.select("host", "label", F.explode(F.arrays_zip("marks", "most")).alias("at")).groupBy(
+        "host", F.col("at.marks").alias("path"), "label").agg(F.max("at.most").alias("most"))
+    votes = marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("most").alias("most")).where(
+        F.col("n") >= FEW_PAGES).join(all_pages, "host").where(F.col("n") >= RECURS * F.col("all"))
+    voted = votes.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.col("most") > F.col("n") / 2))).alias("voted"))
+    return template.join(voted, "host", "full_outer")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -404,18 +476,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
     templates = stage(induce(dealt, patterns), "templates")
 
     def read(batches):
-        known, template, of = _Patterns(), set(), None
+        known, template, voted, of = _Patterns(), set(), {}, None
         for batch in batches:
             texts = []
-            for html, pattern, gone in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+            for host, html, pattern, gone, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
                 tree, numbers = known.of(pattern)
-                if of is not tree:
-                    template, of = set(gone or ()), tree
+                if of != host:
+                    template, voted, of = set(gone or ()), {k + (1 << 63): v for k, v in votes or ()}, host
                 page = parse(html)
                 found = {id(n) for n, _, _, key in contents(tree, numbers, page) if key in template} if template else set()
-                texts.append(main_text(page, found))
+                texts.append(main_text(page, found, voted))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     patterns = patterns.join(templates, "host", "left")
-    paired = dealt.join(patterns, ["host", "part"]).select("page_id", "url", "html", "pattern", "template")
+    paired = dealt.join(patterns, ["host", "part"]).select("page_id", "url", "host", "html", "pattern", "template", "voted")
     return paired.mapInArrow(read, "page_id long, url string, text string")

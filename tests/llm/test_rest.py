@@ -292,3 +292,26 @@ def test_near_copies_count_as_one_page(spark):
     for tag in ("article", "div"):
         found = _main_texts(spark, [f"<body><nav>track {i}</nav><{tag}>{story}<p>offer {i}</p></{tag}></body>" for i in range(30)])
         assert all(f.count("\n\n") == 12 and f.startswith("Sentence 0 of") and f.endswith(f"offer {i}") for i, f in enumerate(found))
+
+
+LONG = "The whole story of the page, told at some length. " * 4
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<html class='no-js ads'><body class='single right-sidebar'><p>{LONG}", LONG.strip()),
+    (f"<div class='content-with-sidebar'><p>{LONG}</p></div><div class='sidebar'>x</div>", LONG.strip()),
+    (f"<article class='post has-comments'><p>{LONG}</article>", LONG.strip()),
+    ("<article><h2 id='search'>Search</h2><p>x<h3 id='form-validation'>Form</h3></article>", "Search\n\nx\n\nForm"),
+    (f"<div class='widget'><p>{LONG}</p><div class='share'>x</div></div><p>y", f"{LONG.strip()}\n\ny"),
+    (f"<article>x</article><div class='ad'>{LONG}</div>", "x"),
+])
+def test_class_words_cut_no_story(html, text):
+    assert wrapper.main_text(wrapper.parse(html), set()) == text
+
+
+def test_statistics_confirm_what_a_class_word_cuts(spark):
+    long = [f"Story {i} of the host. " * 9 for i in range(12)]
+    body = [f"<body><p>Told {i}</p><div class='widget'>{long[i]}</div></body>" for i in range(12)]
+    assert _main_texts(spark, body) == [f"Told {i}\n\n{long[i].strip()}" for i in range(12)]
+    body = [f"<body><p>{long[i]}</p><div class='comments'>Told {i} {long[i] * 2 if i == 3 else ''}</div></body>" for i in range(12)]
+    assert _main_texts(spark, body) == [x.strip() for x in long]
