@@ -27,8 +27,8 @@ constant contents, each of them on at least a hundredth of its pages.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,7 @@ IN_TURN, VALUES = 20, 0.1  # or in a slot with so many pages and at most this ma
 RECURS = 0.01  # if it is on 1 / VALUES pages and on this share of the host's
 ARTICLE_PAGES, ARTICLE_MOST = 20, 0.8  # within an article
 BANDS, PICKS = 8, 12  # pages with one equal band count as one: likely from nine tenths of their text on
-DEEP = 150  # nodes below this depth are not aligned, so they are content
-WIDE = 40_000  # pairs of children above which they are aligned in order of appearance
+DEEP = 150  # levels that matching() counts unless told otherwise; pages are aligned at every level
 
 _TOKEN = re.compile(
     r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>"
@@ -135,72 +134,159 @@ def own_text(node: Node) -> str:
     return " ".join(unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
 
 
-def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list]:
-    """Simple tree matching: the number of matched nodes and the matched pairs of children, nested."""
-    if a.tag != b.tag or a.label != b.label:
-        return 0, []
-    xs, ys = a.nodes, b.nodes
-    if not xs or not ys or depth >= DEEP:
-        return 1, []
-    # Like leaves at either end match each other in some best matching: no match of a leaf counts more.
-    head, tail, n, m = 0, 0, len(xs), len(ys)
-    while head < n and head < m and _like_leaves(xs[head], ys[head]):
+class _Shapes:
+    """Trees by their shape: nodes of equal tags, labels and children have one number, and scores
+    of pairs of numbers are remembered."""
+
+    REMEMBERED = 4_000_000  # gains of one list's shapes; more are computed again
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.kinds: list[tuple] = []
+        self.below: list[tuple] = []
+        self.sizes: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def of(self, root: Node, deep: int | None = None) -> dict[int, int]:
+        """Numbers of the nodes of a tree by their identity, without levels below ``deep``."""
+        out, order = {}, [(root, 0)]
+        for node, depth in order:
+            if deep is None or depth < deep:
+                order.extend((c, depth + 1) for c in node.nodes)
+        for node, depth in reversed(order):
+            below = tuple(out[id(c)] for c in node.nodes) if deep is None or depth < deep else ()
+            kind = (node.tag, node.label)
+            number = self.known.setdefault((kind, below), len(self.sizes))
+            if number == len(self.sizes):
+                self.kinds.append(kind)
+                self.below.append(below)
+                self.sizes.append(1 + sum(self.sizes[b] for b in below))
+            out[id(node)] = number
+        return out
+
+    def gain(self, x: int, y: int) -> int | None:
+        """The number of nodes matched in the best matching of two trees, None if it is still to be computed."""
+        if x == y:
+            return self.sizes[x]
+        if self.kinds[x] != self.kinds[y]:
+            return 0
+        if not self.below[x] or not self.below[y]:
+            return 1
+        return self.scores.get((x, y))
+
+    def score(self, x: int, y: int) -> int:
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if self.gain(x, y) is not None:
+                todo.pop()
+                continue
+            xs, ys = self.below[x], self.below[y]
+            head, tail = ends(xs, ys)
+            middle = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+            others = set(middle[1])
+            missing = [(a, b) for a in set(middle[0]) for b in others if self.gain(a, b) is None]
+            if missing:
+                todo.extend(missing)
+                continue
+            same = sum(self.sizes[a] for a in xs[:head]) + sum(self.sizes[a] for a in xs[len(xs) - tail :])
+            for row in self._rows(*middle):
+                pass
+            self.scores[x, y] = 1 + same + int(row[-1])
+        return self.gain(x, y)
+
+    def _gains(self, ys):
+        """Of a shape, what it gains with each of ``ys``."""
+        others, known = list(dict.fromkeys(ys)), {}
+        places = {y: i for i, y in enumerate(others)}
+        at = np.array([places[y] for y in ys], np.int64)
+
+        def gains(x: int) -> np.ndarray:
+            if x not in known:
+                if len(known) * len(ys) > self.REMEMBERED:
+                    known.clear()
+                known[x] = np.array([self.gain(x, y) for y in others], np.int64)[at]
+            return known[x]
+
+        return gains
+
+    @staticmethod
+    def _next(row: np.ndarray, gains: np.ndarray) -> np.ndarray:
+        best = row.copy()
+        np.maximum(best[1:], row[:-1] + gains, out=best[1:])
+        return np.maximum.accumulate(best, out=best)
+
+    def _rows(self, xs, ys):
+        """Rows of the table of best matchings of the first of ``xs`` with the first of ``ys``."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
+        if len(ys):
+            gains = self._gains(ys)
+            for x in xs:
+                row = self._next(row, gains(x))
+                yield row
+
+    def pairs(self, xs, ys) -> list[tuple[int, int]]:
+        """Places in two lists of trees that a best matching pairs. Some rows of the table are kept, the others made again."""
+        if not len(xs) or not len(ys):
+            return []
+        step, gains = max(64, isqrt(len(xs)) + 1), self._gains(ys)
+        kept = [row for i, row in enumerate(self._rows(xs, ys)) if i % step == 0]
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for x in xs[first:i]:
+                rows.append(self._next(rows[-1], gains(x)))
+            while i > first and j:
+                row, above, gain = rows[i - first], rows[i - first - 1], gains(xs[i - 1])[j - 1]
+                if gain and row[j] == above[j - 1] + gain:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+                elif row[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out
+
+
+def ends(xs, ys) -> tuple[int, int]:
+    """How many trees at the head and at the tail of two lists have equal shapes. They match each other
+    in some best matching: no match counts more than that of a whole tree."""
+    least = min(len(xs), len(ys))
+    head = tail = 0
+    while head < least and xs[head] == ys[head]:
         head += 1
-    while tail < min(n, m) - head and _like_leaves(xs[n - 1 - tail], ys[m - 1 - tail]):
+    while tail < least - head and xs[-1 - tail] == ys[-1 - tail]:
         tail += 1
-    pairs = [(x, y, []) for x, y in zip(xs[:head], ys[:head], strict=True)]
-    pairs += [(xs[n - 1 - i], ys[m - 1 - i], []) for i in range(tail)]
-    middle, score = _aligned_lists(xs[head : n - tail], ys[head : m - tail], depth + 1)
-    return 1 + head + tail + score, pairs + middle
-
-
-def _like_leaves(x: Node, y: Node) -> bool:
-    return not x.nodes and not y.nodes and x.tag == y.tag and x.label == y.label
-
-
-def _aligned_lists(xs: list[Node], ys: list[Node], depth: int) -> tuple[list, int]:
-    n, m = len(xs), len(ys)
-    if n * m > WIDE:  # in order of appearance
-        pairs, j, score = [], 0, 0
-        at: dict[tuple, list[int]] = {}
-        for k, y in enumerate(ys):
-            at.setdefault((y.tag, y.label), []).append(k)
-        for x in xs:
-            places = at.get((x.tag, x.label), [])
-            k = bisect_left(places, j)
-            if k < len(places):
-                j = places[k] + 1
-                gain, below = matching(x, ys[places[k]], depth)
-                pairs.append((x, ys[places[k]], below))
-                score += gain
-        return pairs, score
-    cells = [[matching(x, y, depth) for y in ys] for x in xs]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        row, above, own = best[i + 1], best[i], cells[i]
-        for j in range(m):
-            row[j + 1] = max(above[j] + own[j][0], above[j + 1], row[j])
-    pairs, i, j = [], n, m
-    while i and j:
-        gain = cells[i - 1][j - 1][0]
-        if gain and best[i][j] == best[i - 1][j - 1] + gain:
-            pairs.append((xs[i - 1], ys[j - 1], cells[i - 1][j - 1][1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return pairs, best[n][m]
+    return head, tail
 
 
-def aligned(pattern: Node, page: Node) -> list[tuple[Node, Node]]:
-    """Pairs of nodes of the pattern and of the page."""
-    out, todo = [(pattern, page)], list(matching(pattern, page)[1])
+def matching(a: Node, b: Node, deep: int | None = DEEP) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching of two trees down to a level (None: all of them): the number of matched nodes and their pairs."""
+    shapes = _Shapes()
+    first, second = shapes.of(a, deep), shapes.of(b, deep)
+    score = shapes.score(first[id(a)], second[id(b)])
+    if not score:
+        return 0, []
+    out, todo = [], [(a, b)]
     while todo:
-        a, b, below = todo.pop()
+        a, b = todo.pop()
         out.append((a, b))
-        todo.extend(below)
-    return out
+        xs, ys = a.nodes, b.nodes
+        mine, other = [first.get(id(x)) for x in xs], [second.get(id(y)) for y in ys]
+        if not xs or not ys or mine[0] is None or other[0] is None:
+            continue
+        head, tail = ends(mine, other)
+        todo += zip(xs[:head], ys[:head], strict=True)
+        todo += zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)
+        todo += [(xs[head + i], ys[head + j]) for i, j in shapes.pairs(mine[head : len(xs) - tail], other[head : len(ys) - tail])]
+    return score, out
+
+
+def aligned(pattern: Node, page: Node) -> list[tuple[Node, Node]]:
+    """Pairs of nodes of the pattern and of the page."""
+    return matching(pattern, page, None)[1]
 
 
 def slots(pattern: Node) -> dict[int, int]:

@@ -315,3 +315,22 @@ def test_statistics_confirm_what_a_class_word_cuts(spark):
     assert _main_texts(spark, body) == [f"Told {i}\n\n{long[i].strip()}" for i in range(12)]
     body = [f"<body><p>{long[i]}</p><div class='comments'>Told {i} {long[i] * 2 if i == 3 else ''}</div></body>" for i in range(12)]
     assert _main_texts(spark, body) == [x.strip() for x in long]
+
+
+def test_every_node_of_deep_and_wide_trees_is_aligned():
+    deep = "<div>" * 3000 + "<b>x</b>"
+    assert len(wrapper.aligned(wrapper.parse(deep), wrapper.parse(deep + "<i>y</i>"))) == 3002
+    rng = random.Random(6)
+    words = [rng.choice("abcd") for _ in range(400)]
+    a = wrapper.parse("<h1>x</h1>" + "".join(f"<p class={w}>x</p>" for w in words))
+    b = wrapper.parse("".join(f"<p class={w}>x</p>" for w in words[3:]) + "<h1>x</h1>")
+    assert len(wrapper.aligned(a, b)) == 1 + 397
+    xs, ys = [rng.randrange(4) for _ in range(300)], [rng.randrange(4) for _ in range(290)]
+    row = [0] * (len(ys) + 1)
+    for x in xs:
+        above, row = row, [0]
+        for j, y in enumerate(ys):
+            row.append(max(above[j] + 1 + min(x, y), above[j + 1], row[j]))
+    a, b = (wrapper.parse("".join(f"<p>{'<b></b>' * n}</p>" for n in ns)) for ns in (xs, ys))
+    score, pairs = wrapper.matching(a, b)
+    assert score == len(pairs) == 1 + row[-1]
