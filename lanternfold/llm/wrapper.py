@@ -2,7 +2,8 @@
 
 Pages of one host share a template. One page per host (the one nearest a usual length)
 serves as the host's pattern, and every page's tree is aligned with it by simple tree
-matching. Nodes of the pattern are slots: a content that a slot has on most of the host's
+matching. Nodes of the pattern are slots; so are the paths of tags and labels of all pages, by
+which the pattern grows by what its page lacks. A content that a slot has on most of the host's
 pages, or one of few that it has in turn, is template; any other content of the slot is
 kept. Pages that agree in nearly all of their text count as one, so neither copies nor near
 copies of a page make anything look constant.
@@ -70,12 +71,13 @@ _OUT_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "marked", "children", "nodes")
+    __slots__ = ("tag", "label", "out", "marked", "children", "nodes", "own")
 
     def __init__(self, tag: str, label: str = "", out: bool = False, marked: bool = False):
         self.tag, self.label, self.out, self.marked = tag, label, out, marked
         self.children: list = []  # texts and nodes
         self.nodes: list[Node] = []
+        self.own: str | None = None  # text, once asked for
 
 
 def parse(html: str) -> Node:
@@ -131,7 +133,9 @@ def parse(html: str) -> Node:
 
 def own_text(node: Node) -> str:
     """A node's text without that of nodes below it, white space made one space."""
-    return " ".join(unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
+    if node.own is None:
+        node.own = " ".join(unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
+    return node.own
 
 
 class _Shapes:
@@ -478,13 +482,21 @@ def bands(texts: list[str]) -> list[int]:
 
 
 def contents(tree: Node, numbers: dict[int, int], page: Node) -> list[tuple[Node, int, bool, int]]:
-    """Nodes of a page with text of their own: place, whether it is within an article, place and content."""
-    inner, out = _articles(page), []
-    for slot, node in aligned(tree, page):
+    """Nodes of a page with text of their own: place (path, and slot if aligned), whether it is within an article,
+    place and content."""
+    inner, at, out = _articles(page), paths(page), []
+    slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page)}
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        todo.extend(node.nodes)
         if text := own_text(node):
             within = id(node) in inner
-            place = xxhash.xxh64_intdigest(f"{numbers[id(slot)]} {within}")
-            out.append((node, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
+            places = [f"path {at[id(node)]} {within}"]
+            if id(node) in slot_of:
+                places.append(f"{slot_of[id(node)]} {within}")
+            for place in map(xxhash.xxh64_intdigest, places):
+                out.append((node, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
     return out
 
 

@@ -334,3 +334,11 @@ def test_every_node_of_deep_and_wide_trees_is_aligned():
     a, b = (wrapper.parse("".join(f"<p>{'<b></b>' * n}</p>" for n in ns)) for ns in (xs, ys))
     score, pairs = wrapper.matching(a, b)
     assert score == len(pairs) == 1 + row[-1]
+
+
+def test_template_that_the_pattern_page_lacks(spark):
+    notice = "<section><p>Join the club of this host today</p></section>"
+    story = [f"Story number {i} {'of some length ' * (10 + 400 * (i == 0))}by hand" for i in range(20)]
+    bodies = [f"<body>{notice if i % 5 else ''}<div>{story[i]}</div></body>" for i in range(20)]
+    assert abs(len(bodies[0]) - wrapper.USUAL) == min(abs(len(b) - wrapper.USUAL) for b in bodies)
+    assert _main_texts(spark, bodies) == story
