@@ -8,8 +8,9 @@ pages, or one of few that it has in turn, is template; any other content of the
 kept. Pages that agree in nearly all of their text count as one, so neither copies nor near
 copies of a page make anything look constant.
 
-A page's text is what its content slots and unaligned nodes hold, within the article (or
-main) element where there is one, without what names itself as menu, header, footer,
+A page's text is what its content slots and unaligned nodes hold, within its article elements
+where they hold two thirds of it, else within main where that holds text and no less than the
+articles, else anywhere; without what names itself as menu, header, footer,
 sidebar, notice, advert, form, script, style or comments, by its element or by a whole token
 of its class, id or role. Such a token never cuts the page, its body, main, headings, or what
 holds most of the page's text: on most of the host's pages that have a node of that path,
@@ -44,6 +45,7 @@ FEW_PAGES, MOST = 5, 0.5  # a content is constant from so many pages on, on this
 IN_TURN, VALUES = 20, 0.1  # or in a slot with so many pages and at most this many contents per page,
 RECURS = 0.01  # if it is on 1 / VALUES pages and on this share of the host's
 ARTICLE_PAGES, ARTICLE_MOST = 20, 0.8  # within an article
+SCOPE = 2 / 3  # share of a page's varying text in its articles from which on nothing else is its text
 BANDS, PICKS = 8, 12  # pages with one equal band count as one: likely from nine tenths of their text on
 DEEP = 150  # levels that matching() counts unless told otherwise; pages are aligned at every level
 
@@ -353,33 +355,40 @@ def cuts(page: Node, known: dict[int, bool] | None = None) -> set[int]:
     cut = {id(node) for node, most in found if not (most if voted[id(node)] is None else voted[id(node)])}
     unsure = {id(node) for node, most in found if most and voted[id(node)] is None}
     if unsure:
-        scope = _article(page, cut | unsure)
-        if scope and sum(map(lengths(page, cut=cut | unsure).get, map(id, scope.nodes))):
+        sums = lengths(page, cut=cut | unsure)
+        if any(sums[id(n)] for tag in ("article", "main") for n in _elements(page, tag, cut | unsure)):
             cut |= unsure
     return cut
 
 
-def _article(node: Node, cut: set[int]) -> Node | None:
-    for wanted in ("article", "main"):
-        todo = [node]
-        found = []
-        while todo:
-            at = todo.pop()
-            if at.out or id(at) in cut:
-                continue
-            if at.tag == wanted:
-                found.append(at)
-            else:
-                todo.extend(reversed(at.nodes))
-        if found:
-            whole = Node("#articles")
-            whole.children = whole.nodes = found
-            return whole
-    return None
+def _elements(page: Node, tag: str, cut: set[int]) -> list[Node]:
+    """The outermost elements of a kind that are neither out nor cut, in page order."""
+    found, todo = [], [page]
+    while todo:
+        at = todo.pop()
+        if at.out or id(at) in cut:
+            continue
+        if at.tag == tag:
+            found.append(at)
+        else:
+            todo.extend(reversed(at.nodes))
+    return found
+
+
+def _scope(page: Node, template: set[int], cut: set[int]) -> list[Node]:
+    """The elements that hold a page's text."""
+    articles, mains = _elements(page, "article", cut), _elements(page, "main", cut)
+    if not articles and not mains:
+        return [page]
+    sums = lengths(page, template, cut)
+    told, held = (sum(sums[id(n)] for n in nodes) for nodes in (articles, mains))
+    if told and told >= SCOPE * sums[id(page)]:
+        return articles
+    return mains if held and held >= told else [page]
 
 
 def main_text(page: Node, template: set[int], known: dict[int, bool] | None = None) -> str:
-    """The text of a page's article without nodes whose identity is in ``template``."""
+    """The text of a page's articles, main or whole without nodes whose identity is in ``template``."""
     cut = cuts(page, known)
     blocks, run = [], []
 
@@ -389,7 +398,7 @@ def main_text(page: Node, template: set[int], known: dict[int, bool] | None = No
         if text:
             blocks.append(text)
 
-    todo: list = [_article(page, cut) or page]
+    todo: list = _scope(page, template, cut)[::-1]
     while todo:
         at = todo.pop()
         if at is None:
@@ -412,10 +421,9 @@ def main_text(page: Node, template: set[int], known: dict[int, bool] | None = No
     return "\n\n".join(blocks)
 
 
-def _articles(page: Node) -> set[int]:
-    """Identities of nodes within an article of a page."""
-    out, found = set(), _article(page, cuts(page))
-    todo = [found] if found else []
+def _articles(page: Node, cut: set[int]) -> set[int]:
+    """Identities of nodes within an article of a page, or its main element if it has none."""
+    out, todo = set(), _elements(page, "article", cut) or _elements(page, "main", cut)
     while todo:
         node = todo.pop()
         out.add(id(node))
@@ -481,10 +489,10 @@ def bands(texts: list[str]) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes())) for row in picks]
 
 
-def contents(tree: Node, numbers: dict[int, int], page: Node) -> list[tuple[Node, int, bool, int]]:
+def contents(tree: Node, numbers: dict[int, int], page: Node, cut: set[int]) -> list[tuple[Node, int, bool, int]]:
     """Nodes of a page with text of their own: place (path, and slot if aligned), whether it is within an article,
     place and content."""
-    inner, at, out = _articles(page), paths(page), []
+    inner, at, out = _articles(page, cut), paths(page), []
     slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page)}
     todo = [page]
     while todo:
@@ -500,9 +508,9 @@ def contents(tree: Node, numbers: dict[int, int], page: Node) -> list[tuple[Node
     return out
 
 
-def _texts(page: Node) -> list[str]:
+def _texts(page: Node, cut: set[int]) -> list[str]:
     """Texts of a page's nodes without those that name themselves as something else."""
-    out, todo, cut = [], [page], cuts(page)
+    out, todo = [], [page]
     while todo:
         node = todo.pop()
         if not node.out and id(node) not in cut:
@@ -533,9 +541,10 @@ def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
             rows = []
             for host, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 page = parse(html)
-                found, marked = contents(*known.of(pattern), page), marks(page)
+                marked, cut = marks(page), cuts(page)
+                found = contents(*known.of(pattern), page, cut)
                 at = paths(page) if marked else {}
-                rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page)), [f[1] for f in found],
+                rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page, cut)), [f[1] for f in found],
                              [f[2] for f in found], [f[3] for f in found],
                              [_signed(at[id(node)]) for node, _ in marked], [most for _, most in marked]))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
@@ -582,7 +591,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 if of != host:
                     template, voted, of = set(gone or ()), {k + (1 << 63): v for k, v in votes or ()}, host
                 page = parse(html)
-                found = {id(n) for n, _, _, key in contents(tree, numbers, page) if key in template} if template else set()
+                found = {id(n) for n, _, _, key in contents(tree, numbers, page, cuts(page)) if key in template} if template else set()
                 texts.append(main_text(page, found, voted))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -342,3 +342,16 @@ def test_template_that_the_pattern_page_lacks(spark):
     bodies = [f"<body>{notice if i % 5 else ''}<div>{story[i]}</div></body>" for i in range(20)]
     assert abs(len(bodies[0]) - wrapper.USUAL) == min(abs(len(b) - wrapper.USUAL) for b in bodies)
     assert _main_texts(spark, bodies) == story
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<main><p>story</p><div class='discussion'><article class='comment'>..</article></div></main>", "story"),
+    (f"<main><p>story</p><article class='comment'>{LONG}</article></main>", "story"),
+    ("<main><p>story</p><div class='more'><article><h3>teaser</h3></article></div></main>", "story\n\nteaser"),
+    (f"<div><p>{LONG}</p></div><article><h3>teaser</h3></article>", f"{LONG.strip()}\n\nteaser"),
+    (f"<article>{LONG}</article><p>tail<article>more</article>", f"{LONG.strip()}\n\nmore"),
+    (f"<main>x</main><p>tail<article>{LONG}</article>", LONG.strip()),
+    (f"<main></main><p>{LONG}", LONG.strip()),
+])
+def test_articles_hold_the_text_only_if_most_of_it(html, text):
+    assert wrapper.main_text(wrapper.parse(html), set()) == text
