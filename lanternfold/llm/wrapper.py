@@ -268,10 +268,11 @@ def ends(xs, ys) -> tuple[int, int]:
     return head, tail
 
 
-def matching(a: Node, b: Node, deep: int | None = DEEP) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching of two trees down to a level (None: all of them): the number of matched nodes and their pairs."""
-    shapes = _Shapes()
-    first, second = shapes.of(a, deep), shapes.of(b, deep)
+def matching(a: Node, b: Node, deep: int | None = DEEP, known: tuple[_Shapes, dict[int, int]] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching of two trees down to a level (None: all of them): the number of matched nodes and their pairs.
+    ``known`` has shapes and their numbers of the first tree."""
+    shapes = known[0] if known else _Shapes()
+    first, second = known[1] if known else shapes.of(a, deep), shapes.of(b, deep)
     score = shapes.score(first[id(a)], second[id(b)])
     if not score:
         return 0, []
@@ -290,9 +291,9 @@ def matching(a: Node, b: Node, deep: int | None = DEEP) -> tuple[int, list[tuple
     return score, out
 
 
-def aligned(pattern: Node, page: Node) -> list[tuple[Node, Node]]:
+def aligned(pattern: Node, page: Node, known: tuple[_Shapes, dict[int, int]] | None = None) -> list[tuple[Node, Node]]:
     """Pairs of nodes of the pattern and of the page."""
-    return matching(pattern, page, None)[1]
+    return matching(pattern, page, None, known)[1]
 
 
 def slots(pattern: Node) -> dict[int, int]:
@@ -345,9 +346,9 @@ def marks(page: Node) -> list[tuple[Node, bool]]:
     return [(node, sums[id(node)] > sums[id(page)] / 2) for node in found]
 
 
-def cuts(page: Node, known: dict[int, bool] | None = None) -> set[int]:
+def cuts(page: Node, known: dict[int, bool] | None = None, found: list | None = None) -> set[int]:
     """Identities of marked nodes to cut. ``known`` tells by path whether such nodes hold most of a page's text."""
-    found = marks(page)
+    found = marks(page) if found is None else found
     if not found:
         return set()
     places = paths(page) if known else {}
@@ -387,9 +388,9 @@ def _scope(page: Node, template: set[int], cut: set[int]) -> list[Node]:
     return mains if held and held >= told else [page]
 
 
-def main_text(page: Node, template: set[int], known: dict[int, bool] | None = None) -> str:
+def main_text(page: Node, template: set[int], known: dict[int, bool] | None = None, marked: list | None = None) -> str:
     """The text of a page's articles, main or whole without nodes whose identity is in ``template``."""
-    cut = cuts(page, known)
+    cut = cuts(page, known, marked)
     blocks, run = [], []
 
     def close():
@@ -458,14 +459,19 @@ def _dealt(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 class _Patterns:
     """The parsed pattern of the host at hand: rows of a host follow one another."""
 
+    SHAPES = 100_000  # shapes and scores remembered from page to page
+
     def __init__(self):
-        self.html, self.tree, self.slots = None, None, {}
+        self.html, self.tree, self.slots, self.shapes = None, None, {}, None
 
     def of(self, html: str):
         if html != self.html:
             self.html, self.tree = html, parse(html)
-            self.slots = slots(self.tree)
-        return self.tree, self.slots
+            self.slots, self.shapes = slots(self.tree), None
+        if self.shapes is None or len(self.shapes[0].sizes) + len(self.shapes[0].scores) > self.SHAPES:
+            shapes = _Shapes()
+            self.shapes = shapes, shapes.of(self.tree)
+        return self.tree, self.slots, self.shapes
 
 
 _SEEDS = np.arange(1, BANDS * PICKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -489,11 +495,11 @@ def bands(texts: list[str]) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes())) for row in picks]
 
 
-def contents(tree: Node, numbers: dict[int, int], page: Node, cut: set[int]) -> list[tuple[Node, int, bool, int]]:
+def contents(tree: Node, numbers: dict[int, int], shapes, page: Node, cut: set[int]) -> list[tuple[Node, int, bool, int]]:
     """Nodes of a page with text of their own: place (path, and slot if aligned), whether it is within an article,
     place and content."""
     inner, at, out = _articles(page, cut), paths(page), []
-    slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page)}
+    slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page, shapes)}
     todo = [page]
     while todo:
         node = todo.pop()
@@ -541,7 +547,8 @@ def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
             rows = []
             for host, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 page = parse(html)
-                marked, cut = marks(page), cuts(page)
+                marked = marks(page)
+                cut = cuts(page, None, marked)
                 found = contents(*known.of(pattern), page, cut)
                 at = paths(page) if marked else {}
                 rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page, cut)), [f[1] for f in found],
@@ -587,12 +594,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for host, html, pattern, gone, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
-                tree, numbers = known.of(pattern)
                 if of != host:
                     template, voted, of = set(gone or ()), {k + (1 << 63): v for k, v in votes or ()}, host
                 page = parse(html)
-                found = {id(n) for n, _, _, key in contents(tree, numbers, page, cuts(page)) if key in template} if template else set()
-                texts.append(main_text(page, found, voted))
+                marked, found = marks(page), set()
+                if template:
+                    held = contents(*known.of(pattern), page, cuts(page, None, marked))
+                    found = {id(n) for n, _, _, key in held if key in template}
+                texts.append(main_text(page, found, voted, marked))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     patterns = patterns.join(templates, "host", "left")
