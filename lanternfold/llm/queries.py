@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfold.llm import exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, topk, wrapper
+from lanternfold.llm import ball_tree, chat, divergence, exact_dedup, jaccard, line_dedup, mixing, packing, pii, quality, token_counts, topk, wrapper
 from lanternfold.llm.common import table
 
 
@@ -53,9 +53,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer, tricky = public_tokenizers.path("byte_bpe_50k.json"), "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.format_conversations(rows, tokenizer), tokenizer)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_topk, op3_html, op4_line_dedup, op5_quality, op6_jaccard, op7_pii, op8_exact_dedup, op9_token_counts,
-    op10_mixing)}
+    op10_mixing, op11_chat, op12_divergence, op13_lexical)}
 
 ORACLES = {
     "op2_topk": """
@@ -136,4 +151,78 @@ ORACLES = {
         SELECT doc_id, source, n_rows, copy, tokens, block,
                CAST(row_number() OVER (PARTITION BY block ORDER BY o, doc_id, source) AS INTEGER) AS position
         FROM f""",
+    "op11_chat": """
+        WITH r AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e AS (
+          SELECT *, len(regexp_extract_all(role || chr(0) || text, '<~*/s>|<~*s>|<~*<SYS>>|<~*</SYS>>|<~*\\|(role|text|end|endoftext)\\|>|\\[~*/?INST\\]'))
+                      - CASE WHEN role IN ('user', 'system', 'assistant')
+                             THEN len(regexp_extract_all(role, '<~*/s>|<~*s>')) ELSE 0 END AS escapes
+          FROM r
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(text) + escapes + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7
+                                                      ELSE length(role) + 23 END) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op12_divergence": """
+        WITH d AS (
+          SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), w AS (
+          SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+        ), k AS (
+          SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 3
+        ), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        cl AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL),
+        nl AS (SELECT lang, sum(c) AS n FROM c GROUP BY ALL),
+        p AS (
+          SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+                 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1) // CAST(n.n + v.v AS HUGEINT) AS p
+          FROM n JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), q AS (
+          SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (cl.c + 1) // CAST(nl.n + v.v AS HUGEINT) AS q
+          FROM cl JOIN nl USING (lang) JOIN v USING (lang)
+        ), f AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ), terms AS (
+          SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+          FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p > q
+        ), every AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        SELECT lang, source, part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM every QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_lexical": """
+        WITH d AS (
+          SELECT doc_id, row_number() OVER () AS i,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents
+        ), b AS (
+          SELECT item_id, row_number() OVER () AS j,
+                 unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+        ), s AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+        w AS (SELECT i, unnest(t) AS term FROM d),
+        tf AS (SELECT i, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+        df AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, n),
+        m AS (SELECT i, doc_id, 25 + (75 * len(t) * n) // l AS m FROM d, s WHERE len(t) > 0),
+        r AS (
+          SELECT b.j, b.item_id, m.i, m.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+          FROM b JOIN tf USING (term) JOIN df USING (term) JOIN m USING (i) GROUP BY ALL HAVING score > 0
+        ), o AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r
+        )
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }
