@@ -8,8 +8,9 @@
    count, from the top. Terms of the classes below are counted per task by spelling, come to the task that
    holds their shard, and are looked up there in the same way.
 3. Recount. The second pass looks every term up, verifies the stored key, and increments a slot of
-   the dense counts of its (language, source) and shard. Counts that fill a task's memory are
-   handed on and begun anew; partial counts are added up per source and shard.
+   the dense counts of its (language, source) and shard (a group that is seen rarely so far keeps its
+   occurrences instead). Counts that fill a task's memory are handed on and begun anew; partial counts
+   are added up per source and shard.
 4. Divergence. A cell is a shard of terms and two blocks of sources; sums over the shards give
    the pairs. The most divergent terms of each source are taken per shard, then overall.
 
@@ -36,10 +37,10 @@ from lanternfold.llm.perfect_hash import PerfectHash, hashes, padded
 
 MIN_DOCS = 3
 SENT = 48 << 20  # bytes of keys sent to all tasks
-PER_SHARD = 1 << 14  # terms, about
+PER_SHARD = 1 << 16  # terms, about
 BLOCK = 128  # sources of a block, about
 AT_ONCE = 1 << 21  # bytes of text looked up together
-DENSE = 64 << 20  # bytes of dense counts a task holds
+DENSE = 128 << 20  # bytes of counts a task holds
 KEPT_ROWS = 400_000  # terms a task counts before it hands them on
 TOP = 200
 
@@ -140,38 +141,70 @@ _COUNTED_ARROW = pa.schema([
     ("slots", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("term", pa.binary()), ("count", pa.int64())])
 
 
-def _slots(lang, source, whole, cold, shard, counts: np.ndarray) -> dict:
-    at = np.flatnonzero(counts)
+def _packed(counts: np.ndarray) -> bytes:
+    """In the least width that holds them; ``_unpacked`` tells it by the length."""
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if counts.max() <= np.iinfo(t).max)).tobytes() if len(counts) else b""
+
+
+def _unpacked(slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(slots, "<i4")
+    width = len(counts) // max(1, len(at))
+    return at, np.frombuffer(counts, {0: "<u1", 1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[width]).astype(np.int64)
+
+
+def _slots(lang, source, whole, cold, shard, at: np.ndarray, counts: np.ndarray) -> dict:
     return {"lang": lang, "source": source, "whole": whole, "cold": cold, "shard": shard, "slots": at.astype("<i4").tobytes(),
-            "counts": counts[at].astype("<i8").tobytes(), "total": int(counts.sum())}
+            "counts": _packed(counts), "total": int(counts.sum())}
 
 
 class _Slots:
-    """Dense counts of the groups a task meets, by language, source and shard."""
+    """Counts of the groups a task meets, by language, source and shard: a slot for each kept term once a
+    group has half as many occurrences as the shard has terms, until then the occurrences themselves."""
 
     def __init__(self):
         self.counts: dict[tuple, np.ndarray] = {}
+        self.few: dict[tuple, list[np.ndarray]] = {}
+        self.sizes: dict[tuple, int] = {}
         self.bytes = 0
 
-    def add(self, group: tuple, shard: int, n: int, slots: np.ndarray, by=1) -> None:
-        counts = self.counts.get((*group, shard))
+    def add(self, group: tuple, shard: int, n: int, slots: np.ndarray, by: int = 1) -> None:
+        key = (*group, shard)
+        counts = self.counts.get(key)
         if counts is None:
-            counts = self.counts[*group, shard] = np.zeros(n, np.int64)
-            self.bytes += n * 8
+            held = self.sizes.get(key, 0) + len(slots)
+            if by == 1 and 2 * held < n:
+                self.few.setdefault(key, []).append(slots.astype(np.int32))
+                self.sizes[key], self.bytes = held, self.bytes + 4 * len(slots)
+                return
+            counts = self.counts[key] = np.zeros(n, np.int64)
+            self.bytes += 8 * n - 4 * self.sizes.pop(key, 0)
+            for some in self.few.pop(key, ()):
+                np.add.at(counts, some, 1)
+            self.sizes.pop(key, None)
         np.add.at(counts, slots, by)
 
     def rows(self, cold: bool) -> list[dict]:
         """One row for each group and shard, and one for the language as a whole."""
         whole: dict[tuple, np.ndarray] = {}
         out = []
+
+        def put(lang, source, shard, at, counts):
+            out.append(_slots(lang, source, False, cold, shard, at, counts))
+            total = whole.get((lang, shard), np.zeros(0, np.int64))
+            if len(at) and at[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
+            total[at] += counts
+            whole[lang, shard] = total
+
         for (lang, source, shard), counts in self.counts.items():
-            out.append(_slots(lang, source, False, cold, shard, counts))
-            if (lang, shard) in whole:
-                whole[lang, shard] += counts
-            else:
-                whole[lang, shard] = counts.copy()
-        out += [_slots(lang, None, True, cold, shard, counts) for (lang, shard), counts in whole.items()]
-        self.counts, self.bytes = {}, 0
+            at = np.flatnonzero(counts)
+            put(lang, source, shard, at, counts[at])
+        for (lang, source, shard), some in self.few.items():
+            put(lang, source, shard, *np.unique(np.concatenate(some), return_counts=True))
+        for (lang, shard), counts in whole.items():
+            at = np.flatnonzero(counts)
+            out.append(_slots(lang, None, True, cold, shard, at, counts[at]))
+        self.counts, self.few, self.sizes, self.bytes = {}, {}, {}, 0
         return out
 
 
@@ -299,20 +332,24 @@ def _merged(partial: DataFrame, shards: DataFrame) -> DataFrame:
         def grown(n):
             return np.concatenate([total, np.zeros(max(0, n - len(total)), np.int64)])
 
+        def summed():
+            where = np.flatnonzero(total)
+            return _slots(*at, where, total[where])
+
         for batch in batches:
             rows = []
             for *key, slots, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key != at:
                     if at is not None:
-                        rows.append(_slots(at[0], at[1], at[2], at[3], at[4], total))
+                        rows.append(summed())
                     at, total = key, np.zeros(0, np.int64)
-                where = np.frombuffer(slots, "<i4")
+                where, more = _unpacked(slots, counts)
                 if len(where):
                     total = grown(int(where[-1]) + 1)
-                    total[where] += np.frombuffer(counts, "<i8")
+                    total[where] += more
             yield from _batches(rows)
         if at is not None:
-            yield from _batches([_slots(at[0], at[1], at[2], at[3], at[4], total)])
+            yield from _batches([summed()])
 
     key = ["lang", "source", "whole", "cold", "shard"]
     dealt = partial.where("slots IS NOT NULL").select(*key, "slots", "counts").repartition(*key).sortWithinPartitions(*key)
@@ -365,7 +402,7 @@ def _cells(tables: DataFrame, groups: DataFrame, merged: DataFrame, top: int) ->
                     place = [{g[0]: k for k, g in enumerate(side)} for side in sides]
                     whole = np.zeros(row["n"], np.int64)
                     continue
-                slots, found = np.frombuffer(row["slots"], "<i4"), np.frombuffer(row["counts"], "<i8")
+                slots, found = _unpacked(row["slots"], row["counts"])
                 for into in [whole] if row["whole"] else [counts[s][place[s][row["source"]]] for s in (0, 1) if row["source"] in place[s]]:
                     into[slots] = found
         if at is not None:
