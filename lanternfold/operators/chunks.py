@@ -128,6 +128,25 @@ def chunk_pages(sections: DataFrame, pack: RulePack = FUNDS, min_words: int = ru
     return sections.withColumn("blocks", _blocks(pack, min_words))
 
 
+@per_session
+def _reasons(pack: RulePack, min_words: int) -> Column:
+    def candidates(section: Column) -> Column:
+        heading = F.when(section["heading"] == "", F.lit(OVERVIEW)).otherwise(section["heading"])
+
+        def reason(block: Column) -> Column:
+            def judged(b: Column) -> Column:
+                return drop_reason(heading, F.when(heading != OVERVIEW, F.concat(heading, F.lit("\n"), b)).otherwise(b), b, min_words, pack)
+            return let(strip(F.array_join(block, "\n")), judged)
+        return F.transform(section_blocks(section["lines"]), reason)
+
+    return F.flatten(F.transform("sections", candidates))
+
+
+def candidate_reasons(sections: DataFrame, pack: RulePack = FUNDS, min_words: int = rules.MIN_WORDS) -> DataFrame:
+    """``reasons`` of a page's candidate chunks (NULL = kept), without their texts."""
+    return sections.select(_reasons(pack, min_words).alias("reasons"))
+
+
 def chunk_id(url: Column, index: Column) -> Column:
     return F.substr(F.sha1(F.concat(url, F.lit("#"), index.cast("string"))), F.lit(1), F.lit(16))
 

@@ -17,8 +17,12 @@ REPEAT_MIN_CHARS = 9
 TOP_REPEATS = 6
 
 
-def drops_by_reason(drops: DataFrame) -> DataFrame:
-    return drops.groupBy("reason").agg(F.count("*").alias("n"))
+def drops_by_reason(pages: DataFrame) -> DataFrame:
+    """How many candidates were dropped for each reason, over chunked pages or over pages with ``reasons``
+    alone. Only the short reasons leave the page's row."""
+    reasons = F.col("reasons") if "reasons" in pages.columns else F.transform("blocks", lambda b: b["reason"])
+    dropped = pages.select(F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"))
+    return dropped.select(F.explode_outer("reasons").alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def word_count_summary(chunks: DataFrame) -> DataFrame:

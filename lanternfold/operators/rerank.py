@@ -68,7 +68,9 @@ def feature_column(pack: RulePack) -> str:
 
 
 def with_chunk_features(chunks: DataFrame, pack: RulePack = FUNDS) -> DataFrame:
-    return chunks.withColumn(feature_column(pack), _chunk_hits(pack))
+    """Adds the features of this pack's rules; rows that have them already keep them."""
+    name = feature_column(pack)
+    return chunks.withColumn(name, F.coalesce(name, _chunk_hits(pack)) if name in chunks.columns else _chunk_hits(pack))
 
 
 def with_question_features(questions: DataFrame, column: str, pack: RulePack = FUNDS) -> DataFrame:

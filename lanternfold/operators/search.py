@@ -1,22 +1,25 @@
 """Exact cosine top-k over the whole collection.
 
-Questions and chunks are cut into groups by a hash of their ids, and each pair of groups
-is one bounded task: one matrix product per pair of blocks. A small batch is one group of
-questions, a small collection one group of chunks; there is no other path. What leaves a
-task is k narrow rows per question. They are merged in two levels, so the last one sees
-k rows for each of a fixed number of shares, however many tasks there were. Texts are
+Chunks lie in balls (``balls``); a question opens its most promising balls first, then those
+that may still hold one of its k best rows, and no others. A small collection is one ball. What is opened is
+dealt to cells, each a bounded number of questions against a bounded part of one ball: one matrix
+product per cell. The number of tasks is that of any shuffle. What leaves a
+cell is k narrow rows per question. They are merged in two levels, so the last one sees
+k rows for each of a fixed number of shares, however many cells there were. Texts are
 joined to the final winners.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfold.functions.kernel import CANDIDATE_SCHEMA, QuestionBlock, block_top_k
+from lanternfold.operators import balls as bl
 from lanternfold.operators import rerank
 from lanternfold.rules import FUNDS, RulePack
 from lanternfold.session import stage
@@ -31,33 +34,65 @@ def _feature_columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """Per pair of groups, the k best chunks of every question (a superset of the answer).
-
-    The questions' vectors are staged: they are counted here and read by every group.
-    """
-    q = stage(questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics"))), "asked")
-    c = chunks.select(*_feature_columns(chunks, ("id", "embedding", "scheme", "topic_hits")))
-    cols = max(1, math.ceil(q.count() / settings.cell_questions))
-    rows = max(1, math.ceil(c.count() / settings.cell_chunks))
-    left = (c.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(rows)))
-            .withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))))
-    right = (q.withColumn("_col", F.pmod(F.xxhash64("question_id"), F.lit(cols)))
-             .withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
+def _cells(asked: DataFrame, balls: bl.Balls, visits: DataFrame, k: int, settings: Settings) -> DataFrame:
+    """The k best chunks of each question in each part of the balls it visits."""
+    spark = asked.sparkSession
+    sizes = {r.ball: r.n for r in visits.groupBy("ball").agg(F.count("*").alias("n")).collect()}  # a row per ball, CENTRES at most
+    plan = [(int(b), math.ceil(n / settings.cell_questions), math.ceil(max(1, int(balls.rows[b])) / settings.cell_chunks)) for b, n in sizes.items()]
+    parts = F.broadcast(spark.createDataFrame(plan, "ball int, _cols int, _rows int"))
+    left = (balls.members.join(parts, "ball").withColumn("_row", F.pmod(F.xxhash64("id"), F.col("_rows")))
+            .withColumn("_col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1))))
+    right = (asked.join(visits.join(parts, "ball"), "question_id").withColumn("_col", F.pmod(F.xxhash64("question_id"), F.col("_cols")))
+             .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1))))
 
     def cell(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
         found = block_top_k(QuestionBlock.from_arrow(question_table), chunk_table, k)
         return pa.Table.from_batches(found, schema=CANDIDATE_SCHEMA)
 
-    keys = ("_row", "_col")
-    left, right = (side.select(*[F.col(n).cast("long").alias(n) if n in keys else F.col(n) for n in side.columns]).repartition(
-        rows * cols, *keys) for side in (left, right))
+    keys = ("ball", "_row", "_col")
+    left, right = (side.drop("_rows", "_cols").select(*[F.col(n).cast("long").alias(n) if n in keys else F.col(n) for n in side.columns if n not in ("_rows", "_cols")])
+                   for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE)
 
 
+@dataclass
+class Search:
+    """Questions against a collection that lies in balls. ``opened`` has the (question_id, ball) pairs."""
+
+    balls: bl.Balls
+    found: DataFrame
+    opened: DataFrame
+
+
+def run_search(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings, balls: bl.Balls | None = None) -> Search:
+    """The k best chunks of every question in each opened cell (a superset of the answer).
+
+    The questions' vectors are staged: every step reads them. ``balls`` made earlier spare the partition.
+    """
+    q = stage(questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics"))), "asked")
+    if balls is None:
+        c = chunks.select(*_feature_columns(chunks, ("id", "embedding", "scheme", "topic_hits")))
+        balls = bl.partition(c, c.count(), settings.cell_chunks)
+    if len(balls.rows) == 1:
+        first = q.select("question_id", F.lit(0).alias("ball"))
+        return Search(balls, _cells(q, balls, first, k, settings), first)
+    first = stage(bl.visits(balls, q, k), "first-visits")
+    found = stage(_cells(q, balls, first, k, settings), "first-found")
+    ranked = _best(found, k).groupBy("question_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
+    known = ranked.select("question_id", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
+    more = stage(bl.visits(balls, q, k, known), "more-visits")
+    return Search(balls, found.unionByName(_cells(q, balls, more, k, settings)), first.unionByName(more))
+
+
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
     """``question_id, rank, id, distance, score, ...``: ascending score, then distance, then id."""
-    return _best(candidates(questions, chunks, k, settings or Settings()), k)
+    return _best(run_search(questions, chunks, k, settings or Settings()).found, k)
+
+
+def opened(search: Search) -> DataFrame:
+    """``question_id, opened, balls``: how many of the balls a question had to open."""
+    return search.opened.groupBy("question_id").agg(F.count("*").alias("opened")).withColumn(
+        "balls", F.lit(int((search.balls.rows > 0).sum())))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -74,16 +109,15 @@ def retrieve(questions: DataFrame, collection: DataFrame, k: int | None = None,
     """Re-ranked chunks per question: ``questions(question_id, question, embedding)``.
 
     Blank questions retrieve nothing. ``k`` of 0 or None means the default. Stored chunk
-    features are used if they were made with this pack's rules, else made anew.
+    features are used where they were made with this pack's rules, else made anew.
     """
     settings = settings or Settings()
     k = k or settings.top_k
     asked = rerank.with_question_features(
         questions.filter(rerank.strip(F.col("question")) != ""), "question", pack)
     stored = rerank.feature_column(pack)
-    if stored not in collection.columns:
-        collection = rerank.with_chunk_features(collection, pack)
-    found = candidates(asked, collection.withColumnRenamed(stored, "topic_hits"), k, settings)
+    collection = rerank.with_chunk_features(collection, pack)
+    found = run_search(asked, collection.withColumnRenamed(stored, "topic_hits"), k, settings).found
     winners = _best(found, k).withColumn(
         "rank_note", rerank.rank_note(F.col("scheme_hit"), F.col("topic"), F.col("level"), pack))
     texts = collection.select("id", "text", "url", "title", "scheme", "heading", "fetched_at", "chunk_index")

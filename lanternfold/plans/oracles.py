@@ -515,6 +515,7 @@ O["src9_raw_body"] = f"""WITH {docs('web')} SELECT replace(trim(replace(replace(
     AS slug, text AS body, length(text) AS chars FROM doc"""
 O["snk3_upsert"] = web(f"""SELECT id, url, chunk_index, CASE WHEN url LIKE 'https://%' THEN '{LATER}' ELSE fetched_at END
     AS fetched_at FROM chunk""")
+O["snk3_upsert_rows"] = O["snk3_upsert"]
 O["snk3_latest_by_key"] = """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
     arg_max(value, event_id) AS value FROM events GROUP BY user_id"""
 O["snk6_population"] = web("SELECT count(*) > 0 AS populated, count(*) AS n FROM chunk")
@@ -625,6 +626,11 @@ O["vec4_schemes"] = f"WITH {QUESTIONS} SELECT question_id, array_to_string({sche
 O["vec5_topic_hits"] = web(f"SELECT id, array_to_string({hits('heading', 'text')}, '') AS hits FROM chunk")
 O["vec6_rerank"] = retrieval("""SELECT question_id, rank, id, url, rank_note, round(distance, 5) AS distance,
     round(score, 5) AS score FROM hit""")
+O["vec8_pruned"] = web(f""", {vectors('chunk', 'id', 'text', 'cv')}, pair AS (SELECT a.page_no AS question_id, b.k AS id,
+    round(1 - CASE WHEN va.len * b.len > 0 THEN list_dot_product(va.v, b.v) / (va.len * b.len) ELSE 0 END, 9) AS d
+    FROM chunk a JOIN cv va ON va.k = a.id CROSS JOIN cv b WHERE a.chunk_index = 0)
+    SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY d, id) AS INT) AS rank, id, round(d, 5) + 0 AS distance
+    FROM pair QUALIFY rank <= 5""")
 O["vec7_boost"] = retrieval("SELECT rank_note, count(*) AS n, round(max(distance - score), 4) AS boost FROM hit GROUP BY rank_note")
 O["vec9_blank_questions"] = retrieval("SELECT question_id, n AS chunks FROM gathered")
 O["vec10_context"] = retrieval(f"SELECT question_id, md5(coalesce(context, {q(rules.NO_CONTEXT)})) AS digest FROM gathered")

@@ -24,10 +24,10 @@ from lanternfold.operators import rerank as rr
 from lanternfold.operators import search as se
 from lanternfold.operators import sections as sc
 from lanternfold.plans import corpora as co
-from lanternfold.plans.answer import answer_from, screen
+from lanternfold.plans.answer import answer_from, embedder_of, screen
 from lanternfold.plans.ingest import staged_counts
 from lanternfold.rules import FUNDS
-from lanternfold.session import stage
+from lanternfold.session import shared_folder, stage
 from lanternfold.settings import Settings
 from lanternfold.sources import collection as cl
 from lanternfold.sources import pages as pg
@@ -54,9 +54,23 @@ def web_chunks(spark, sf) -> DataFrame:
     return ch.kept_chunks(chunked(co.web_documents(spark, sf)))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf) -> cl.Collection:
+    """The collection of the given pages, with vectors and re-rank features: built once for each
+    session and table folder, in the session's shared folder, and removed with the application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = shared_folder(spark, "collection")
+        rows = em.embed(rr.with_chunk_features(web_chunks(spark, sf), co.SAMPLE), "text", EMBEDDER)
+        cl.Collection(spark, path).replace(rows, embedder_of(EMBEDDER))
+        _STORED[key] = path
+    return cl.Collection(spark, _STORED[key])
+
+
 def collection(spark, sf) -> DataFrame:
-    """Chunks of the given pages with vectors and re-rank features."""
-    return stage(em.embed(rr.with_chunk_features(web_chunks(spark, sf), co.SAMPLE), "text", EMBEDDER), "collection")
+    return stored(spark, sf).read(embedder_of(EMBEDDER))
 
 
 def each_line(documents: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def _(spark, sf):
 
 @query("src7_collection_scan")
 def _(spark, sf):
-    return web_chunks(spark, sf).select("id", "text", "url", "scheme", "heading", "chunk_index")
+    return collection(spark, sf).select("id", "text", "url", "scheme", "heading", "chunk_index")
 
 
 @query("src9_raw_body")
@@ -108,6 +122,17 @@ def _(spark, sf):
 
 @query("snk3_upsert")
 def _(spark, sf):
+    """The pages' chunks, then those of the secure pages again at a later date, through a collection."""
+    store = cl.Collection(spark, shared_folder(spark, "upsert"), bucket_bytes=1 << 20)
+    store.replace(web_chunks(spark, sf))
+    again = co.web_documents(spark, sf, co.LATER).filter(F.startswith("url", F.lit("https://")))
+    store.upsert(ch.kept_chunks(chunked(again)))
+    return store.read().select("id", "url", "chunk_index", "fetched_at")
+
+
+@query("snk3_upsert_rows")
+def _(spark, sf):
+    """The same replacement of one table's rows by another's, as a join."""
     stored = web_chunks(spark, sf)
     again = co.web_documents(spark, sf, co.LATER).filter(F.startswith("url", F.lit("https://")))
     incoming = stage(ch.kept_chunks(chunked(again)), "incoming")  # read for its ids and for its rows
@@ -122,7 +147,10 @@ def _(spark, sf):
 
 @query("snk6_population")
 def _(spark, sf):
-    return web_chunks(spark, sf).agg((F.count("*") > 0).alias("populated"), F.count("*").alias("n"))
+    found = stored(spark, sf).status()
+    if found["error"]:
+        raise RuntimeError(found["error"])
+    return spark.createDataFrame([(found["populated"], found["count"])], "populated boolean, n bigint")
 
 
 @query("snk7_dump_blocks")
@@ -132,8 +160,9 @@ def _(spark, sf):
 
 @query("snk8_manifest")
 def _(spark, sf):
-    counts = stage(staged_counts(chunked(co.web_documents(spark, sf))), "counts")
-    facts = rp.manifest(counts, co.LATER, SETTINGS, EMBEDDER.name, EMBEDDER.dim)
+    pages = stage(chunked(co.web_documents(spark, sf)).drop("text"), "pages", **rp.summary_columns())
+    counts = staged_counts(pages)
+    facts = rp.manifest(rp.summary_row(spark, pages.observed), co.LATER, SETTINGS, EMBEDDER.name, EMBEDDER.dim)
     return rp.entries(facts.drop("collection", "embedding_model", "collection_path", "chunks_txt"), counts)
 
 
@@ -149,8 +178,10 @@ def _(spark, sf):
 
 @query("snk11_guards")
 def _(spark, sf):
-    rows = em.embed(web_chunks(spark, sf), "text", EMBEDDER).agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
-    return rows.select((F.col("chunks") > 0).alias("not_empty"), (F.col("chunks") == F.col("vectors")).alias("complete"))
+    rows = stage(em.embed(web_chunks(spark, sf), "text", EMBEDDER), "guarded", chunks=F.count("*"), vectors=F.count("embedding"))
+    n, vectors = rows.observed["chunks"], rows.observed["vectors"]
+    kept = cl.Collection(spark, shared_folder(spark, "guarded")).upsert(rows, embedder_of(EMBEDDER))
+    return spark.createDataFrame([(n > 0, n == vectors == kept)], "not_empty boolean, complete boolean")
 
 
 # --- page parsing ---
@@ -408,6 +439,27 @@ def _(spark, sf):
     return _nearest(spark, sf, replace(SETTINGS, cell_questions=3, cell_chunks=120))
 
 
+PRUNED = replace(SETTINGS, cell_chunks=16)
+
+
+def _first_chunks(spark, sf) -> DataFrame:
+    """The vector of each page's first chunk, as a question."""
+    return collection(spark, sf).where("chunk_index = 0").select(F.col("page_no").cast("bigint").alias("question_id"), "embedding")
+
+
+@query("vec8_pruned")
+def _(spark, sf):
+    """What is nearest to each page's first chunk, with small balls, so that many of them stay closed."""
+    found = se.top_k(_first_chunks(spark, sf), collection(spark, sf).select("id", "embedding"), 5, PRUNED)
+    return found.select("question_id", "rank", "id", (F.round("distance", 5) + 0.0).alias("distance"))
+
+
+@query("vec8_opened")
+def _(spark, sf):
+    """How many balls each question opened for that."""
+    return se.opened(se.run_search(_first_chunks(spark, sf), collection(spark, sf).select("id", "embedding"), 5, PRUNED))
+
+
 def phrase_flags(texts: DataFrame, key: str, text: str) -> DataFrame:
     prepared = tx.phrase_text(F.col(text))
     return texts.select(key, tx.has_phrase(prepared, ("of the",)).alias("of_the"),
@@ -691,7 +743,7 @@ def _(spark, sf):
 
 @query("agg1_drop_reasons")
 def _(spark, sf):
-    both = [ch.dropped_chunks(chunked(d)) for d in (co.card_documents(spark, sf), co.text_documents(spark, sf))]
+    both = [ch.candidate_reasons(sc.to_sections(d, FUNDS), FUNDS) for d in (co.card_documents(spark, sf), co.text_documents(spark, sf))]
     return dg.drops_by_reason(both[0].unionByName(both[1]))
 
 

@@ -118,11 +118,26 @@ def corpus_summary(page_counts: DataFrame) -> DataFrame:
     )
 
 
-def manifest(page_counts: DataFrame, ingested_at: str, settings: Settings, embedder_name: str, dim: int) -> DataFrame:
+SUMMARY = "max_fetched_at string, url_count bigint, chunk_count bigint, dropped_count bigint"
+
+
+def summary_columns() -> dict:
+    """The aggregates of a summary over chunked pages, to be taken while these are written."""
+    kept = F.size(F.filter("blocks", lambda b: b["reason"].isNull()))
+    return {"max_fetched_at": F.max("fetched_at"), "url_count": F.count("*"), "chunk_count": F.coalesce(F.sum(kept), F.lit(0)),
+            "dropped_count": F.coalesce(F.sum(F.size("blocks") - kept), F.lit(0))}
+
+
+def summary_row(spark: SparkSession, observed: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(observed[n.split()[0]] for n in SUMMARY.split(", "))], SUMMARY)
+
+
+def manifest(summary: DataFrame, ingested_at: str, settings: Settings, embedder_name: str, dim: int) -> DataFrame:
+    """One row from the one-row ``summary`` of the pages."""
     strategy = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in (
         ("target_words", rules.TARGET_WORDS), ("max_words", rules.MAX_WORDS),
         ("min_words", rules.MIN_WORDS), ("overlap_words", rules.OVERLAP_WORDS))])
-    return corpus_summary(page_counts).select(
+    return summary.select(
         F.lit(ingested_at).alias("ingested_at"), "max_fetched_at", "url_count", "chunk_count", "dropped_count",
         F.lit(settings.collection).alias("collection"), F.lit(embedder_name).alias("embedding_model"),
         F.lit(dim).cast("bigint").alias("embedding_dim"), F.lit(settings.collection_path).alias("collection_path"),

@@ -10,7 +10,9 @@ from lanternfold.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 SAMPLE = ("htm6_card_sections", "htm10_pairs", "chk6_overlap_blocks", "chk12_chunks", "vec6_rerank", "vec8_nearest",
-          "grd8_detect", "grd9_scrub", "gen1_strip_urls", "gen10_gates", "orc1_answers", "snk7_dump_blocks", "agg7_short_runs")
+          "grd8_detect", "grd9_scrub", "gen1_strip_urls", "gen10_gates", "orc1_answers", "snk7_dump_blocks", "src7_collection_scan",
+          "snk3_upsert", "snk6_population", "snk11_guards", "snk8_manifest", "vec8_pruned", "agg1_drop_reasons", "agg7_short_runs")
+NO_SQL = {"vec8_opened"}  # how much of an index was opened
 
 
 def plain(value):
@@ -18,7 +20,7 @@ def plain(value):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) == set(ORACLES) and len(QUERIES) == 100
+    assert set(ORACLES) | NO_SQL == set(QUERIES) and not NO_SQL & set(ORACLES)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not present")

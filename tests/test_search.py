@@ -41,6 +41,53 @@ def test_top_k_is_exact_whatever_the_grid_with_copies(spark, settings):
     assert got == brute(np.array(qs), np.array(cs), 5)
 
 
+def clusters(n, dim, seed, groups=12):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, dim))
+    vectors = middle[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, dim))
+    vectors[:5] = 0  # texts without words
+    return vectors.astype(np.float32)
+
+
+@pytest.mark.parametrize("cell", [10, 40, 10_000])
+def test_pruned_search_equals_the_exhaustive_one_and_opens_few_balls(spark, cell):
+    qs, cs = clusters(60, 24, 3), np.concatenate([clusters(800, 24, 3), np.repeat(clusters(1, 24, 3) + 1, 300, axis=0)]).astype(np.float32)
+    rng = np.random.default_rng(1)
+    schemes = ["en", "fr", "none"]
+    hits = rng.choice([0, 0, 0, 1, 2, 3], (len(cs), 3))
+    of = rng.integers(0, 3, len(cs))
+    asked = [(i, v.tolist(), [s for s in schemes[:2] if rng.random() < 0.3], [t for t in range(3) if rng.random() < 0.3]) for i, v in enumerate(qs)]
+    stored = [(f"c{i:05d}", v.tolist(), schemes[of[i]], hits[i].tolist()) for i, v in enumerate(cs)]
+    q = spark.createDataFrame(asked, "question_id bigint, embedding array<float>, schemes array<string>, topics array<int>")
+    c = spark.createDataFrame(stored, "id string, embedding array<float>, scheme string, topic_hits array<tinyint>").repartition(3)
+    boost = {0: 0.0, 1: 0.30, 2: 0.55, 3: 0.12}
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    near = np.round(1 - unit(qs.astype(float)) @ unit(cs.astype(float)).T, 9)
+    want = {}
+    for i, _, wanted, raised in asked:
+        rows = []
+        for j in range(len(cs)):
+            first = next((hits[j][t] for t in raised if hits[j][t]), 0)
+            rows.append((round(near[i, j] - (0.35 if schemes[of[j]] in wanted else 0) - boost[first], 9), near[i, j], f"c{j:05d}"))
+        want[i] = [r[2] for r in sorted(rows)[:5]]
+    search = se.run_search(q, c, 5, Settings(cell_chunks=cell, cell_questions=16))
+    got = {}
+    for r in sorted(se._best(search.found, 5).collect(), key=lambda r: (r.question_id, r.rank)):
+        got.setdefault(r.question_id, []).append(r.id)
+    assert got == want
+    seen = se.opened(search).agg(F.sum("opened"), F.sum("balls")).first()
+    assert seen[0] <= {10: 0.5, 40: 0.9, 10_000: 1}[cell] * seen[1]
+
+
+def test_tasks_of_a_search_are_those_of_a_shuffle(spark):
+    qs, cs = clusters(200, 8, 1), clusters(2000, 8, 2)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "question_id bigint, embedding array<float>")
+    c = spark.createDataFrame([(f"c{i:05d}", v.tolist()) for i, v in enumerate(cs)], "id string, embedding array<float>")
+    found = se.run_search(q, c, 3, Settings(cell_chunks=20, cell_questions=10)).found
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
+
+
 TEXTS = {
     "ter": ("How to start", "How to start\nThe Total Expense Ration: 0.77%", "hdfc-flexi-cap"),
     "term": ("Terms", "Terms\nlong term alternative navigate later", "hdfc-flexi-cap"),

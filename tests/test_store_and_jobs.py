@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanternfold.operators import chunks as ch
 from lanternfold.operators import diagnostics as dg
 from lanternfold.operators import embed as em
 from lanternfold.operators import generate as gn
+from lanternfold.operators import rerank as rr
 from lanternfold.plans import answer as an
 from lanternfold.plans import ingest as ig
 from lanternfold.rules import EMPTY_CORPUS, FUNDS, NOT_IN_PAGES
@@ -130,7 +132,7 @@ def test_lists_are_complete_whatever_their_length(spark, tmp_path):
         F.col("id").alias("page_no"), F.concat(F.lit("u"), "id").alias("url"), F.lit(STAMP).alias("fetched_at"),
         F.when(F.col("id") < 60, 0).otherwise(2).alias("chunks"), F.lit(1).alias("dropped"))
     assert rp.write_thin_pages(counts, str(tmp_path / "thin")) == 60
-    facts = rp.manifest(counts, STAMP, Settings(), "e", 4)
+    facts = rp.manifest(rp.corpus_summary(counts), STAMP, Settings(), "e", 4)
     rp.write_manifest(counts, facts, str(tmp_path / "manifest"))
     assert rp.read_manifest(spark, str(tmp_path / "manifest"))["url_count"] == 1100
     assert rp.manifest_urls(spark, str(tmp_path / "manifest")).count() == 1100
@@ -171,9 +173,9 @@ def test_upsert_versions_and_latest(spark, tmp_path):
     assert store.upsert(first) == 2 and store.upsert(second) == 3 and store.upsert(second) == 3
     assert {r.id: r.v for r in store.read().collect()} == {"a": 1, "b": 2, "c": 2} and store.version() == 3
     # A write that was never committed is not seen, and is what a vacuum removes.
-    first.write.parquet(str(tmp_path / "c" / "data-lost"))
+    first.write.parquet(str(tmp_path / "c" / "_part=lost"))
     assert store.version() == 3 and {r.id for r in store.read().collect()} == {"a", "b", "c"}
-    assert "data-lost" in store.vacuum() and {r.id: r.v for r in store.read().collect()} == {"a": 1, "b": 2, "c": 2}
+    assert "_part=lost" in store.vacuum() and {r.id: r.v for r in store.read().collect()} == {"a": 1, "b": 2, "c": 2}
     store.reset()
     assert not store.is_populated()
     many = spark.range(3000).select((F.col("id") % 3 % 2).alias("k"), F.col("id").alias("v"), F.lit("x").alias("w"))
@@ -184,7 +186,8 @@ def test_unreadable_store_and_manifest(spark, tmp_path):
     (tmp_path / "c" / "_commits").mkdir(parents=True)
     schema = T.StructType().add("id", "string").json()
     (tmp_path / "c" / "_commits" / "v4.json").write_text(
-        json.dumps({"version": 4, "rows": 1, "buckets": {"0": "data-x"}, "made_with": {}, "schema": schema}))
+        json.dumps({"version": 4, "rows": 1, "parts": [{"name": "x", "bytes": 1, "gone": []}], "dead": [], "level": 0, "split": 0,
+                    "made_with": {}, "schema": schema}))
     status = cl.Collection(spark, str(tmp_path / "c")).status()
     assert not status["populated"] and "AnalysisException" in status["error"]
     assert rp.read_manifest(spark, str(tmp_path / "none")) is None
@@ -192,31 +195,167 @@ def test_unreadable_store_and_manifest(spark, tmp_path):
     assert rp.read_manifest(spark, str(tmp_path / "bad")) is None
 
 
-def test_incoming_copies_and_touched_buckets(spark, tmp_path):
+def test_incoming_copies(spark, tmp_path):
     store = cl.Collection(spark, str(tmp_path / "c"))
     twice = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "id string, v int")
     assert store.upsert(twice) == 2
-    before = store._log()["buckets"]
     assert store.upsert(spark.createDataFrame([("a", 5), ("a", 4)], "id string, v int")) == 2
     assert {r.id: r.v for r in store.read().collect()} == {"a": 5, "b": 1}
-    after = store._log()["buckets"]
-    assert len(before) == 2 and sum(before[b] == after[b] for b in before) == 1  # the other bucket's files stay
     merged = cl.upsert(twice, twice).collect()
     assert sorted((r.id, r.v) for r in merged) == [("a", 2), ("b", 1)]
 
 
+def _files(path):
+    return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_one_row_upsert_writes_one_small_file_and_marks(spark, tmp_path):
+    store = cl.Collection(spark, str(tmp_path / "c"), bucket_bytes=8000)
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    assert store.replace(rows) == 2000
+    log = store._log()
+    buckets = (1 << log["level"]) + log["split"]
+    assert buckets >= 10  # by the bytes
+    store.bucket_bytes = 1 << 20  # small files take more than their rows did together: no split just now
+    before = set(_files(tmp_path / "c"))
+    assert store.upsert(spark.createDataFrame([("k7", "new")], "id string, v string")) == 2000
+    written = [f for f in _files(tmp_path / "c") if f not in before]
+    assert len(written) == 2 and before <= set(_files(tmp_path / "c"))  # the row and the word of marks; nothing was rewritten
+    assert sum("dead-" in f for f in written) == 1 and all(os.path.getsize(f) < 3000 for f in written)
+    got = {r.id: r.v for r in store.read().collect()}
+    assert len(got) == 2000 and got["k7"] == "new"
+    assert store.status() == {"populated": True, "count": 2000, "error": None}
+
+
+def test_buckets_split_with_the_bytes_and_lose_no_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cl, "PARTS", 4)
+    monkeypatch.setattr(cl, "NAMED", 3)
+    store = cl.Collection(spark, str(tmp_path / "c"), bucket_bytes=3000)
+    want, sizes = {}, []
+    for step in range(9):
+        low, high = step * 60, step * 60 + 200 * (step % 3 == 0) + 80
+        rows = spark.range(low, high).select(F.col("id").cast("string").alias("id"), F.sha2((F.col("id") + step).cast("string"), 256).alias("v"))
+        want |= {r.id: r.v for r in rows.collect()}
+        assert store.upsert(rows) == len(want)
+        log = store._log()
+        sizes.append((1 << log["level"]) + log["split"])
+        assert {r.id: r.v for r in store.read().collect()} == want
+        assert len(log["parts"]) <= 6 and log["rows"] == store.read().count()
+    assert sizes == sorted(sizes) and sizes[-1] > sizes[0]
+    store.vacuum()
+    assert {r.id: r.v for r in store.read().collect()} == want
+
+
+@pytest.mark.parametrize("level, split, larger", [(0, 0, 5), (1, 1, 9), (2, 3, 8), (3, 0, 40)])
+def test_growth_moves_only_rows_of_divided_buckets(spark, level, split, larger):
+    before = (1 << level) + split
+    after = before + larger
+    new = cl.directory(after)
+    moved = {cl._parent(b, level, split) for b in range(before, after)}
+    found = spark.range(3000).select(cl.bucket_of(F.col("id"), level, split).alias("a"), cl.bucket_of(F.col("id"), *new).alias("b")).collect()
+    assert {r.a for r in found} == set(range(before)) and max(r.b for r in found) < after
+    assert all(r.a == r.b or r.a in moved for r in found)
+
+
+def test_columns_may_be_added_but_not_changed(spark, tmp_path):
+    store = cl.Collection(spark, str(tmp_path / "c"))
+    store.replace(spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"))
+    store.upsert(spark.createDataFrame([("b", 2, "x")], "id string, v int, w string"))
+    assert {tuple(r) for r in store.read().collect()} == {("a", 1, None), ("b", 2, "x")}
+    with pytest.raises(ValueError, match="column v"):
+        store.upsert(spark.createDataFrame([("c", "2")], "id string, v string"))
+
+
+def test_rows_of_another_maker_are_refused(spark, tmp_path):
+    store = cl.Collection(spark, str(tmp_path / "c"))
+    rows = spark.createDataFrame([("a", 1)], "id string, v int")
+    store.upsert(rows, {"embedder": "hash"})
+    with pytest.raises(cl.OtherMakerError, match="extended"):
+        store.upsert(rows, {"embedder": "other"})
+    assert store.read({"embedder": "hash"}).count() == 1
+    store.replace(rows, {"embedder": "other"})
+    assert store.read({"embedder": "other"}).count() == 1
+    store.replace(rows)
+    with pytest.raises(cl.OtherMakerError, match="does not say"):
+        store.upsert(rows, {"embedder": "hash"})
+
+
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     one, two = (cl.Collection(spark, str(tmp_path / "c")) for _ in range(2))
     rows = spark.createDataFrame([("a", 1)], "id string, v int")
     one.replace(rows)
     log = two._log()
     one.upsert(spark.createDataFrame([("b", 2)], "id string, v int"))
-    folder, found = two._write(rows)
     with pytest.raises(cl.ConcurrentWriteError):
-        two._commit(log, {b: folder for b in found}, rows.schema.json(), None)
+        two._commit(log)
     assert {r.id for r in one.read().collect()} == {"a", "b"}
 
 
+def test_features_of_old_and_new_rows(spark, settings):
+    """Rows upserted with another pack's features leave nulls in the old ones; these are made anew."""
+    other = replace(FUNDS, topic_phrases={**FUNDS.topic_phrases, "nav": ("nav", "value")})
+    assert other.fingerprint != FUNDS.fingerprint
+    ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP)
+    more = spark.createDataFrame([(5, FUNDS.approved_urls[2], CARD.replace("NIFTY 500", "NIFTY 100"))], "page_no bigint, url string, html string")
+    store = cl.Collection(spark, settings.collection_path)
+    rows = em.embed(rr.with_chunk_features(ch.kept_chunks(ig.page_chunks(more, STAMP, other)), other), "text", em.choose_embedder(settings))
+    before = store.status()["count"]
+    assert store.upsert(rows, an.embedder_of(em.choose_embedder(settings))) > before
+    qs = spark.createDataFrame([(1, "What is the NAV and exit load?")], "question_id bigint, question string")
+    for pack in (FUNDS, other):
+        assert an.answer(qs, settings=settings, pack=pack).first().debug.chunks
+
+
+def test_a_rebuild_encodes_changed_texts_only(spark, settings):
+    first = ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP)
+    assert first["encoded_count"] == first["chunk_count"] == 4
+    again = ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP, reingest=True)
+    assert again["encoded_count"] == 0 and again["chunk_count"] == 4
+    changed = ig.ingest(spark, page_rows(spark, (HUB.replace("Every", "Each"), CARD)), settings=settings, fetched_at=STAMP, reingest=True)
+    assert changed["encoded_count"] == 1 and changed["chunk_count"] == 4
+    rows = cl.Collection(spark, settings.collection_path).read().collect()
+    fresh = {r.id: r.embedding for r in em.embed(spark.createDataFrame([(r.id, r.text) for r in rows], "id string, text string"), "text",
+                                               em.choose_embedder(settings)).collect()}
+    assert {r.id: r.embedding for r in rows} == fresh
+    other = Settings(data_dir=settings.data_dir, embedding_dim=64)
+    assert ig.ingest(spark, page_rows(spark), settings=other, fetched_at=STAMP, reingest=True)["encoded_count"] == 4
+
+
+class SlowEmbedder(em.HashingEmbedder):
+    def encode(self, text):
+        @F.pandas_udf("array<float>")
+        def wait(texts):
+            import time
+
+            time.sleep(60)
+            return texts
+
+        return wait(text)
+
+
+def test_a_stage_past_the_limit_is_stopped_and_the_old_version_stays(spark, settings):
+    import time
+
+    ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP)
+    store = cl.Collection(spark, settings.collection_path)
+    before = (store.version(), sorted(r.id for r in store.read().collect()))
+    late = replace(settings, ingest_deadline_seconds=8)
+    began = time.monotonic()
+    with pytest.raises(ig.IngestTimeout, match="exceeded 8s while embedding chunks"):
+        ig.ingest(spark, page_rows(spark, (HUB,)), settings=late, fetched_at=STAMP, reingest=True, embedder=SlowEmbedder(128, name="slow"))
+    assert time.monotonic() - began < 40
+    assert (store.version(), sorted(r.id for r in store.read().collect())) == before
+    assert spark.range(5).count() == 5  # later jobs run
+
+
+def test_pages_without_address(spark, settings):
+    rows = [(0, None, HUB), (1, FUNDS.approved_urls[1], CARD)]
+    for repeats in ([], [(2, FUNDS.approved_urls[1], CARD)]):
+        staged = ig.page_chunks(spark.createDataFrame(rows + repeats, "page_no bigint, url string, html string"), STAMP)
+        kept, fewer = ig.newest_pages(staged.drop("text"))
+        assert fewer == bool(repeats) and {r.url for r in kept.collect()} == {None, FUNDS.approved_urls[1]}
+
+
 def test_collection_is_bound_to_its_embedder(spark, settings):
     ig.ingest(spark, page_rows(spark), settings=settings, fetched_at=STAMP, embedder=em.HashingEmbedder(128))
     qs = spark.createDataFrame([(1, "What is the NAV?")], "question_id bigint, question string")
