@@ -123,15 +123,13 @@ def debug_chunks(hits: Column) -> Column:
 # --- models ---
 
 
-class ModelUnavailableError(RuntimeError):
-    """The model could not be reached. There is no answer from anywhere else."""
-
-
 class AnswerModel(Protocol):
     name: str
 
     def complete(self, question: Column, context: Column, hits: Column) -> Column:
-        """Completion per row; rows with a NULL question must not be sent."""
+        """Completion per row, a string or a struct of text and error; rows with a NULL question must not be sent.
+
+        A model may have ``complete_rows(rows, question, context, out)`` instead, which adds that column."""
 
 
 @dataclass(frozen=True)
@@ -150,7 +148,8 @@ class ExtractiveModel:
 class CallableModel:
     """Any ``call(system_prompt, user_prompt, temperature=0, max_tokens=300) -> str``.
 
-    Runs inside the tasks, one call per question that passed the gates.
+    Runs inside the tasks, one call per question that passed the gates. A call that fails leaves its
+    error with its own question. A task that is repeated calls again; ``LedgerModel`` does not.
     """
 
     call: Callable[..., str]
@@ -160,20 +159,21 @@ class CallableModel:
     def complete(self, question: Column, context: Column, hits: Column) -> Column:
         call, system_prompt = self.call, self.system_prompt or rules.SYSTEM_PROMPT
 
-        @F.pandas_udf(T.StringType())
-        def ask(questions: pd.Series, contexts: pd.Series) -> pd.Series:
-            answers = []
+        @F.pandas_udf("text string, error string")
+        def ask(questions: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+            texts, errors = [], []
             for q, c in zip(questions, contexts):
-                if q is None:
-                    answers.append(None)
-                    continue
-                try:
-                    # Fixed value: the frame of the user prompt.
-                    text = call(system_prompt, f"CONTEXT:\n{c}\n\nQUESTION: {q}", temperature=0, max_tokens=300)
-                except Exception as exc:
-                    raise ModelUnavailableError(f"model request failed: {exc}") from exc
-                answers.append(text if text and text.strip() else "")
-            return pd.Series(answers, dtype=object)
+                text = error = None
+                if q is not None:
+                    try:
+                        # Fixed value: the frame of the user prompt.
+                        text = call(system_prompt, f"CONTEXT:\n{c}\n\nQUESTION: {q}", temperature=0, max_tokens=300)
+                        text = text if text and text.strip() else ""
+                    except Exception as exc:
+                        error = f"{type(exc).__name__}: {exc}"
+                texts.append(text)
+                errors.append(error)
+            return pd.DataFrame({"text": texts, "error": errors}, dtype=object)
 
         # A call costs money. Declared so, no filter or projection above repeats it.
         return ask.asNondeterministic()(question, context)
@@ -182,7 +182,7 @@ class CallableModel:
 def _debug(**fields: Column) -> Column:
     """The one debug struct all response shapes share; absent parts are NULL."""
     shape = {
-        "intent": "string", "pii_types": "array<string>", "reason": "string", "model": "string",
+        "intent": "string", "error": "string", "pii_types": "array<string>", "reason": "string", "model": "string",
         "best_distance": "double", "ungrounded_numbers": "array<string>",
         "chunks": "array<struct<url:string,heading:string,scheme:string,fetched_at:string,"
                   "distance:double,rank_note:string>>",
@@ -193,8 +193,8 @@ def _debug(**fields: Column) -> Column:
 def respond(rows: DataFrame, model: AnswerModel, pack: RulePack = FUNDS,
             manifest_stamp: str | None = None) -> DataFrame:
     """``question_id, question, hits`` -> response rows. Gates: confidence, empty
-    completion, decline, figures that the retrieved text does not hold."""
-    if isinstance(model, CallableModel) and model.system_prompt is None:
+    completion, decline, figures that the retrieved text does not hold. A failed call is a response that says so."""
+    if getattr(model, "system_prompt", "") is None:
         model = replace(model, system_prompt=pack.system_prompt)
     hits = F.coalesce(F.col("hits"), F.array().cast(rows.schema["hits"].dataType))
     staged = (
@@ -203,29 +203,38 @@ def respond(rows: DataFrame, model: AnswerModel, pack: RulePack = FUNDS,
         .withColumn("_context", context_block(F.col("hits")))
         .withColumn("_prompt", F.when(~F.col("_low"), F.col("question")))
     )
-    staged = staged.withColumn("_raw", model.complete(F.col("_prompt"), F.col("_context"), F.col("hits")))
+    if hasattr(model, "complete_rows"):
+        staged = model.complete_rows(staged, "_prompt", "_context", "_raw")
+    else:
+        staged = staged.withColumn("_raw", model.complete(F.col("_prompt"), F.col("_context"), F.col("hits")))
+    if isinstance(staged.schema["_raw"].dataType, T.StructType):
+        staged = staged.withColumn("_error", F.col("_raw.error")).withColumn("_raw", F.col("_raw.text"))
+    else:
+        staged = staged.withColumn("_error", F.lit(None).cast("string"))
     found = F.array_join(F.transform("hits", lambda h: h["text"]), " ")
     staged = (
         staged.withColumn("_answer", postprocess(F.coalesce("_raw", F.lit(""))))
         .withColumn("_orphans", ungrounded_numbers(F.col("_answer"), found))
         .withColumn("_gate",
-                    F.when(F.col("_low") | (F.col("_answer") == ""), F.lit("low_confidence"))
+                    F.when(F.col("_error").isNotNull(), F.lit("model_unavailable"))
+                    .when(F.col("_low") | (F.col("_answer") == ""), F.lit("low_confidence"))
                     .when(is_decline(F.col("_answer")), F.lit("model_declined"))
                     .when(F.size("_orphans") > 0, F.lit("ungrounded_number")))
     )
     gate = F.col("_gate")
-    absent = gate.isin("low_confidence", "ungrounded_number")
+    failed = F.coalesce(gate == "model_unavailable", F.lit(False))
+    absent = gate.isin("low_confidence", "ungrounded_number", "model_unavailable")
     declined = F.coalesce(gate == "model_declined", F.lit(False))
     absent = F.coalesce(absent, F.lit(False))
     stamp = F.coalesce(F.lit(manifest_stamp or None), F.get("hits", F.lit(0))["fetched_at"])
     return staged.select(
         "question_id",
-        F.when(absent, F.lit(pack.not_in_pages)).otherwise(F.col("_answer")).alias("answer"),
+        F.when(failed, F.lit(rules.MODEL_UNAVAILABLE)).when(absent, F.lit(pack.not_in_pages)).otherwise(F.col("_answer")).alias("answer"),
         F.when(declined, F.lit(pack.default_url)).otherwise(best_url(F.col("hits"), pack)).alias("citation_url"),
         F.when(declined, F.lit("")).otherwise(last_updated(stamp)).alias("last_updated_from_sources"),
         absent.alias("refused"),
         _debug(
-            reason=gate,
+            reason=gate, error=F.col("_error"),
             model=F.when(~absent, F.lit(model.name)),
             best_distance=F.when(absent, F.round(F.coalesce(best_distance(F.col("hits")), F.lit(0.0)), 4)),
             ungrounded_numbers=F.when(F.coalesce(gate == "ungrounded_number", F.lit(False)), F.col("_orphans")),

@@ -206,6 +206,7 @@ OUT_OF_SCOPE_MESSAGE = (
     "approved list of HDFC Mutual Fund schemes here."
 )
 NOT_IN_PAGES = "The ingested HDFC Mutual Fund pages do not contain this information."
+MODEL_UNAVAILABLE = "No answer could be made just now. Please ask again later."
 EMPTY_CORPUS = "The corpus has not been ingested yet. Run: python -m lanternfold ingest"
 LAST_UPDATED_LABEL = "Last updated from sources: "
 NO_CONTEXT = "(no context retrieved)"
