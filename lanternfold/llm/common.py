@@ -14,7 +14,7 @@ from lanternfold.session import release, stage
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-__all__ = ["LOWER", "UPPER", "WordEncoder", "ascii_lower", "release", "stage", "table"]
+__all__ = ["LOWER", "UPPER", "WordEncoder", "ascii_lower", "release", "row_of", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def row_of(df: DataFrame, columns=None):
+    """The row as one column ``row``, so that no helper column can clash with a name of the input."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns or df.columns]).alias("row")
+
+
 # How a word-level tokenizer file cuts text before it encodes the pieces.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # The same cut for lower-cased Latin-1 text.

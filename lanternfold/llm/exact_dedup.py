@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import ascii_lower, release, stage
+from lanternfold.llm.common import release, row_of, stage
 
 FIRST = 24  # bytes of the first digit after the length
 WIDER = 8  # each next digit is this many times as long
@@ -58,7 +58,7 @@ def split_equal(texts: list[bytes], at: int = 0, width: int = FIRST) -> list[lis
     return done
 
 
-_MEMBERS = "doc_id long, rep long, keep long, n long, sha string, text binary"
+_MEMBERS = "doc_id long, rep long, keep long, n long, sha string, text binary, number long"
 _LINKS = "rep long, top long, keep long, n long, text binary"
 
 
@@ -67,10 +67,10 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _collapse(docs: DataFrame) -> DataFrame:
-    """Every row with ``rep``, a number of its representative; the representative's own row
+    """Every row (doc_id, text, number) with ``rep``, a number of its representative; the representative's own row
     also has its id (``keep``), the number of copies it stands for and the text."""
-    names = ["doc_id", "rep", "keep", "n", "sha", "text"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["doc_id", "rep", "keep", "n", "sha", "text", "number"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
 
     def run(batches):
         at = TaskContext.get().partitionId() << 33
@@ -78,18 +78,19 @@ def _collapse(docs: DataFrame) -> DataFrame:
             ids = [LEAST if i is None else i for i in batch.column(0).to_pylist()]
             given = batch.column(0).to_pylist()
             texts = [(t or b"").lower() for t in batch.column(1).to_pylist()]  # bytes: A-Z only
+            numbers = batch.column(2).to_pylist()
             rows = []
             for members in split_equal(texts):
                 text = texts[members[0]]
                 sha = hashlib.sha256(text).hexdigest()
                 best = max(members, key=lambda i: (ids[i], i))
-                rows += [(given[i], at, None, None, sha, None) for i in members if i != best]
-                rows.append((given[best], at, ids[best], len(members), sha, text))
+                rows += [(given[i], at, None, None, sha, None, numbers[i]) for i in members if i != best]
+                rows.append((given[best], at, ids[best], len(members), sha, text, numbers[best]))
                 at += 1
             if rows:
                 yield _batch(rows, names, types)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, _MEMBERS)
+    return docs.mapInArrow(run, _MEMBERS)
 
 
 def _merge(cells: DataFrame) -> DataFrame:
@@ -127,12 +128,21 @@ def _merge(cells: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, _LINKS)
 
 
+def _given(docs: DataFrame, number) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), number.alias("number"))
+
+
 def duplicates(docs: DataFrame, share: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row.
 
     Jobs run while the rounds are set up; the result reads staged tables. ``share``
     replaces the bytes that a task may get.
     """
+    return _numbered(_given(docs, F.lit(None).cast("long")), share).drop("number")
+
+
+def _numbered(docs: DataFrame, share: int | None = None) -> DataFrame:
+    """The same for rows (doc_id, text, number), with the number of each."""
     spark = docs.sparkSession
 
     def digits(frame: DataFrame, width: int) -> DataFrame:
@@ -169,19 +179,19 @@ def duplicates(docs: DataFrame, share: int | None = None) -> DataFrame:
         width *= WIDER
         rows = digits(found.where("text IS NOT NULL").select(F.col("top").alias("rep"), "keep", "n", "text"), width)
     # what is left is narrow: the texts are not needed any more
-    narrow = stage(members.select("doc_id", "rep", "sha", "n"), "radix-members")
+    narrow = stage(members.select("doc_id", "rep", "sha", "n", "number"), "radix-members")
     release(members)
     groups = links.join(settled.withColumnRenamed("n", "group_size").withColumnRenamed("keep", "best"), "top")
     keep = F.when(F.col("best") != LEAST, F.col("best"))
     return narrow.join(groups, "rep").select(
         "doc_id", keep.alias("keep_id"), "group_size",
-        (F.col("n").isNotNull() & (F.col("rep") == F.col("top"))).alias("kept"), F.col("sha").alias("text_sha256"))
+        (F.col("n").isNotNull() & (F.col("rep") == F.col("top"))).alias("kept"), F.col("sha").alias("text_sha256"), "number")
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; of rows alike in id and text one."""
-    digest = F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
-    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__digest", digest)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """The documents that stay, with their columns, whatever their names; of rows alike in id and text one.
+    Rows are numbered in a staged table, and the numbers of those that stay choose from it."""
+    rows = stage(docs.select(row_of(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    given = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "number")
+    kept = _numbered(_given(given, F.col("number"))).where("kept").select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")

@@ -8,13 +8,15 @@ A document's tokens are its distinct runs of five words, as 64-bit hashes. Docum
    a group is a leader with documents linked to it. So a
    group is connected from the start, whatever its size. Buckets that are more than a
    task's share of the bytes (fewer than there are partitions) are dealt to several tasks.
-2. Matrix. Two linked documents differ in at most a fifth of the tokens of either, hence
-   share one of the first fifth (plus one) under any common order of tokens. The matrix has
-   these first tokens of all members, united by group. In the order used, tokens that
+2. Matrix. Linked documents of m and M tokens share 4/9 (m + M) of them. Under any common order
+   of tokens the first one they share then is within the first m - 4/9 (m + M) + 1 of the one and
+   M - 4/9 (m + M) + 1 of the other: a fifth plus one at most, a ninth plus one for equal sizes. The matrix has these first
+   tokens of all members, united by group, each with its least place. In the order used, tokens that
    many documents have come late, so that passages shared by many do not pair them. How
    many is looked up in bitmaps of fixed size; a false hit only moves a token.
-3. Bounds. Pairs of groups whose sizes allow a link, and that share as many tokens of the
-   matrix as a link implies, are looked at: leaders first. Linked leaders connect their groups. As Jaccard distance obeys
+3. Bounds. Pairs of groups whose sizes allow a link, and that share a token placed early enough in both
+   for these sizes, are looked at: leaders first. So documents of one family that differ from each other too much
+   do not meet for the tokens of the family, which come after their own. Linked leaders connect their groups. As Jaccard distance obeys
    the triangle inequality, leaders further apart than both groups' radii and the allowed
    distance together exclude every link.
 4. Opening. Other pairs of groups, unless connected by then, are opened: the smaller group's
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import release, stage
+from lanternfold.llm.common import release, row_of, stage
 from lanternfold.llm.components import components
 
 WORDS = 5
@@ -260,7 +262,7 @@ def lead(sets: list[np.ndarray]) -> list[tuple[int, float]]:
 
 
 _GROUPED = ("doc_id long, n long, digest long, grp long, distance double, leads boolean, radius double, "
-            "least_n long, most_n long, first array<long>")
+            "least_n long, most_n long, first array<long>, place array<int>")
 
 
 def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int | None) -> DataFrame:
@@ -297,16 +299,19 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
             for i, (j, _) in enumerate(leaders):
                 groups.setdefault(j, []).append(i)
             for j, inside in groups.items():
-                first = np.unique(np.concatenate([_first_tokens(sets[i], bitmap.value) for i in inside]))
+                firsts = [_first_tokens(sets[i], bitmap.value) for i in inside]
+                places = np.concatenate([np.arange(len(f)) for f in firsts])
+                order = np.argsort(places, kind="stable")
+                first, where = np.unique(np.concatenate(firsts)[order], return_index=True)
                 whole = (max(leaders[i][1] for i in inside), min(len(sets[i]) for i in inside),
-                         max(len(sets[i]) for i in inside), first.view(np.int64))
+                         max(len(sets[i]) for i in inside), first.view(np.int64), places[order][where].astype(np.int32))
                 rows.extend((members[i][0], len(sets[i]), _digest(sets[i]), at, leaders[i][1], i == j,
-                             *(whole if i == j else (None, None, None, None))) for i in inside)
+                             *(whole if i == j else (None,) * 5)) for i in inside)
                 at += 1
 
         def out():
             columns = [list(c) for c in zip(*rows, strict=True)]
-            types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             rows.clear()
             names = [f.split()[0] for f in _GROUPED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -328,32 +333,48 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
     return stage(dealt.mapInArrow(cluster, _GROUPED), "groups")
 
 
-_PAIR = "ga long, gb long, shared long, least_a long, most_a long, least_b long, most_b long"
+_PAIR = "ga long, gb long"
 
 
-def _pairs(batches):
-    """Pairs of groups, the smaller number first, from rows that come ordered by token and group:
-    how many tokens they share here, and their sizes. Sizes that rule a link out are left out."""
-    rest = [np.zeros(0, np.int64)] * 4
+def latest(most: np.ndarray, least_other: np.ndarray) -> np.ndarray:
+    """The last place, from 0, that the first shared token can have in a set of at most ``most`` tokens that is
+    linked with one of at least ``least_other``."""
+    return np.minimum((5 * most - 4 * least_other) // 9, most - -(-8 * most // 10))
+
 
-    def made(token, grp, least, most):
+def _pairs(batches):
+    """Pairs of groups, the smaller number first, from rows (token, grp, place, least_n, most_n) that come ordered by
+    token and group. Pairs that sizes or places rule out are left out; the others may come more than once."""
+    rest = [np.zeros(0, np.int64)] * 5
+
+    def made(columns):
+        token, least = columns[0], columns[3]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        smallest = np.minimum.reduceat(least, starts)[np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))]
+        early = columns[2] <= latest(columns[4], smallest)  # else too late for any partner here
+        token, grp, place, least, most = (c[early] for c in columns)
+        if not len(token):
+            return
         ends = np.flatnonzero(np.concatenate([token[1:] != token[:-1], [True]])) + 1
         starts = np.concatenate([[0], ends[:-1]])
         lengths = ends - starts
         for k in np.unique(lengths[lengths > 1]).tolist():
             of = starts[lengths == k]
             for i in range(1, k):  # each member with the one i places further on
-                for at in range(0, len(of), max(1, (1 << 18) // (k - i))):
-                    x = (of[at : at + max(1, (1 << 18) // (k - i)), None] + np.arange(k - i)[None, :]).reshape(-1)
+                step = max(1, (1 << 18) // (k - i))
+                for at in range(0, len(of), step):
+                    x = (of[at : at + step, None] + np.arange(k - i)[None, :]).reshape(-1)
                     y = x + i
-                    x, y = (v[(10 * most[x] >= 8 * least[y]) & (10 * most[y] >= 8 * least[x]) & (grp[x] != grp[y])] for v in (x, y))
-                    if len(x):
-                        yield np.stack([grp[x], grp[y], least[x], most[x], least[y], most[y]])
+                    fits = (10 * most[x] >= 8 * least[y]) & (10 * most[y] >= 8 * least[x]) & (grp[x] != grp[y])
+                    x, y = x[fits], y[fits]
+                    fits = (place[x] <= latest(most[x], least[y])) & (place[y] <= latest(most[y], least[x]))
+                    if fits.any():
+                        yield np.stack([grp[x[fits]], grp[y[fits]]])
 
     def out(columns):
         seen: list[np.ndarray] = []
         size = 0
-        for some in made(*columns):
+        for some in made(columns):
             seen.append(some)
             size += some.shape[1]
             if size > 1 << 19:
@@ -365,12 +386,11 @@ def _pairs(batches):
     def batch_of(seen):
         found = np.concatenate(seen, axis=1)
         found = found[:, np.lexsort((found[1], found[0]))]
-        new = np.flatnonzero(np.concatenate([[True], (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])]))
-        columns = [found[0, new], found[1, new], np.diff(np.append(new, found.shape[1])), *found[2:, new]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in _PAIR.split(", ")])
+        new = np.concatenate([[True], (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found[:, new]], names=["ga", "gb"])
 
     for batch in batches:
-        columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        columns = [np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, batch.columns, strict=True)]
         token = columns[0]
         if not len(token):
             continue
@@ -412,18 +432,14 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY,
     task may get. Jobs run in here; the result is a staged table, all others are removed."""
     outline = stage(_outline(docs, bits), "outline")
     grouped = _grouped(docs, outline, _bitmap(outline, bits, many), share)
-    leaders = grouped.where("leads").select("grp", "doc_id", "digest", "radius", "least_n", "most_n", "first")
+    leaders = grouped.where("leads").select("grp", "doc_id", "digest", "radius", "least_n", "most_n", "first", "place")
 
     # groups that share a token of the matrix
-    matrix = leaders.select(F.explode("first").alias("token"), "grp", "least_n", "most_n")
+    each = F.explode(F.arrays_zip("first", "place"))
+    matrix = leaders.select(each.alias("at"), "grp", "least_n", "most_n").select(
+        F.col("at.first").alias("token"), "grp", F.col("at.place").alias("place"), "least_n", "most_n")
     ordered = matrix.repartition("token").sortWithinPartitions("token", "grp")
-    met = ordered.mapInArrow(_pairs, _PAIR).groupBy("ga", "gb").agg(
-        F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("least_a", "most_a", "least_b", "most_b")])
-    # Two linked sets of m <= M tokens share 4/9 (m + M). Those beyond the first tokens of the one whose
-    # first tokens end earlier are at most 0.8 M; so first tokens share 4/9 (m + M) - 4/5 M at least.
-    enough = F.expr("45 * shared >= least(20 * least_a - 16 * least(most_b, least_a * 5 div 4),"
-                    " 20 * least_b - 16 * least(most_a, least_b * 5 div 4))")
-    pairs = stage(met.where(enough).select("ga", "gb"), "pairs")
+    pairs = stage(ordered.mapInArrow(_pairs, _PAIR).distinct(), "pairs")
 
     # leaders
     heads = leaders.select("grp", "doc_id", "digest", "radius")
@@ -471,27 +487,32 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY,
             "home", F.lit(None).cast("long").alias("guest"), "doc_id", "digest")
         coming = visits.join(members, (F.col("guest") == F.col("grp")) & (F.col("distance") >= F.col("least"))).select(
             "home", "guest", "doc_id", "digest")
-        opened = stage(at_home.unionByName(coming).distinct(), "opened")
-        tables += [visits, opened]
-        sets = _with_text(opened, _only(docs, opened), "doc_id", "digest", "text").select("home", "guest", "text")
+        # a home that many come to is copied for each part of its guests
+        coming = stage(coming.distinct(), "coming")
+        parts = coming.groupBy("home").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+        at_home = at_home.distinct().join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        guests = coming.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts")).cast("int"))
+        opened = stage(at_home.unionByName(guests).drop("parts"), "opened")
+        tables += [visits, coming, opened]
+        sets = _with_text(opened, _only(docs, opened), "doc_id", "digest", "text").select("home", "part", "guest", "text")
 
         def search(batches):
             shingler, home, inside, met = Shingler(), None, [], set()
             for batch in batches:
                 out = []
-                tokens = shingler.sets(batch.column(2).to_pylist())
-                for at, guest, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens, strict=True):
-                    if at != home:
-                        home, inside, met = at, [], set()
+                tokens = shingler.sets(batch.column(3).to_pylist())
+                for at, part, guest, found in zip(*[c.to_pylist() for c in batch.columns[:3]], tokens, strict=True):
+                    if (at, part) != home:
+                        home, inside, met = (at, part), [], set()
                     if guest is None:
                         inside.append(found)
                     elif guest not in met and any(
                             10 * len(x) >= 8 * len(found) and 10 * len(found) >= 8 * len(x) and linked(found, x)[0] for x in inside):
                         met.add(guest)
-                        out.append((home, guest))
+                        out.append((at, guest))
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        ordered = sets.repartition("home").sortWithinPartitions("home", F.col("guest").asc_nulls_first())
+        ordered = sets.repartition("home", "part").sortWithinPartitions("home", "part", F.col("guest").asc_nulls_first())
         more = stage(ordered.mapInArrow(search, "a long, b long"), "more")
         tables.append(more)
         labels = components(links.unionByName(more))
@@ -509,9 +530,9 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY,
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns.
+    """One document of each component, the one with the smallest id, with its columns, whatever their names.
     Documents that share an id stay together; those without an id all stay."""
-    lowest = near_duplicates(docs.where("doc_id IS NOT NULL")).where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(lowest, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    lowest = near_duplicates(docs.where("doc_id IS NOT NULL")).where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
+    row = docs.select(row_of(docs))
+    kept = row.join(lowest, F.col("row.doc_id").cast("long") == F.col("component_id"), "left_semi")
+    return kept.unionByName(row.where("row.doc_id IS NULL")).select("row.*")

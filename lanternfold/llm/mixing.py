@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import stage
+from lanternfold.llm.common import row_of, stage
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
@@ -119,10 +119,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix reads it."""
-    times = mix(docs, **options).groupBy("doc_id", "row", "source").agg(F.count("*").alias("times"))
-    keyed = docs.withColumn("__row", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    joined = keyed.alias("d").join(times.alias("t"), (
-        F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & (F.col("d.__row") == F.col("t.row"))
-        & F.col("d.source").cast("string").eqNullSafe(F.col("t.source"))))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.times"))).alias("__time")).drop("__row", "__time")
+    """The documents themselves, each as often as the mix reads it, with their columns, whatever their names.
+    A task writes whole blocks, each in its order, so that who reads the files one after another reads the mix."""
+    read = mix(docs, **options).select("doc_id", F.col("row").alias("digest"), "source", "block", "position")
+    rows = docs.select(row_of(docs), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    joined = rows.alias("d").join(read.alias("t"), (
+        F.col("d.row.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & (F.col("d.digest") == F.col("t.digest"))
+        & F.col("d.row.source").cast("string").eqNullSafe(F.col("t.source")))).select("d.row", "t.block", "t.position")
+    return joined.repartition("block").sortWithinPartitions("block", "position").select("row.*")

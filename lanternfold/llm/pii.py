@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternfold.functions.arrays import let
+
 LEAST_SCORE = 0.7
 BEFORE, AFTER = 40, 20  # characters of context
 PHONE_WORDS = r"\b(?:phone|tel|telephone|telefon|téléphone|teléfono|call|mobile|fax|cell)\b"
@@ -110,41 +112,101 @@ KINDS = (
 ORDER = ("email", "ip", "card", "phone", "iban", "ssn")
 
 _SPAN = "array<struct<start:int,end:int,text:string>>"
+_FOUND = "array<struct<start:int,place:int,end:int,kind:string,score:double,base:boolean>>"
+
+
+def running(values: Column) -> Column:
+    """Sums of an array's numbers before each place. A fold that grows an array copies it at each step, so
+    sums are taken over runs of about a root of the length, and within each run."""
+    def sums(some: Column, base: Column) -> Column:
+        zero = F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(some, zero, lambda s, v: F.struct((s["at"] + v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
+                           lambda s: s["out"])
+
+    def cut(v: Column) -> Column:
+        step = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        starts = F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), step)
+        runs = F.transform(starts, lambda i: F.slice(v, i + 1, step))
+
+        def whole(parts: Column) -> Column:
+            totals = F.transform(parts, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + x))
+            return let(sums(totals, F.lit(0)), lambda bases: F.flatten(F.transform(parts, lambda r, i: sums(r, F.get(bases, i)))))
+
+        return let(runs, whole)
+
+    return let(values, cut)
 
 
 def matches(text: Column, kind: Kind) -> Column:
     """Start, end and text of a pattern's matches, in order."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
+    def placed(found: Column, gaps: Column) -> Column:
+        steps = F.transform(found, lambda hit, i: F.length(F.get(gaps, i)) + F.length(hit))
+        return let(running(steps), lambda before: F.transform(found, lambda hit, i: let(
+            F.get(before, i) + F.length(F.get(gaps, i)),
+            lambda start: F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("text")))))
 
-    spans = F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), start, add, lambda s: s["spans"])
-    nothing = F.array().cast(_SPAN)
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    spans = let(found, lambda hits: F.when(
+        F.size(hits) > 0, let(F.split(text, kind.pattern, -1), lambda gaps: placed(hits, gaps))).otherwise(F.array().cast(_SPAN)))
     may = F.contains(text, F.lit(kind.hint)) if kind.hint else F.lit(True)
-    return F.when(may, F.when(F.size(found) > 0, spans).otherwise(nothing)).otherwise(nothing)
+    return F.when(may, spans).otherwise(F.array().cast(_SPAN))
 
 
 def _scored(text: Column, spans: Column, kind: Kind) -> Column:
     """Confirmed spans with their scores."""
-    def score(span: Column) -> Column:
-        near = F.substring(text, F.greatest(span["start"] + 1 - BEFORE, F.lit(1)),
-                           span["end"] - F.greatest(span["start"] - BEFORE, F.lit(0)) + AFTER)
+    def score(span: Column, wide: Column) -> Column:
+        first = F.greatest(span["start"] - BEFORE, F.lit(0))
+        near = F.decode(F.substring(wide, 4 * first + 1, 4 * (span["end"] - first + AFTER)), "UTF-32")
         points = F.lit(kind.score + (0.3 if kind.sure else 0.0)) + F.when(
             F.lower(near).rlike(kind.words), 0.2).otherwise(0.0)
         return F.struct(
             span["start"].alias("start"), F.lit(ORDER.index(kind.name)).alias("place"), span["end"].alias("end"),
             F.lit(kind.name).alias("kind"), F.least(points, F.lit(1.0)).alias("score"), F.lit(kind.base).alias("base"))
 
-    scored = F.transform(F.filter(spans, lambda s: kind.check(s["text"])), score)
+    # four bytes a character, so that a context is cut out at its place without a walk through the text
+    sure = F.filter(spans, lambda s: kind.check(s["text"]))
+    scored = let(sure, lambda some: F.when(F.size(some) > 0, let(
+        F.encode(text, "UTF-32"), lambda wide: F.transform(some, lambda s: score(s, wide)))).otherwise(F.array().cast(_FOUND)))
     return scored if kind.base else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
 
+STRETCH = 512  # characters
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others. Both come by start. The others are dealt to stretches of text;
+    a span is compared with those of the stretches it touches."""
+    def looked_up(taken: Column) -> Column:
+        def stretch(at: Column) -> Column:
+            return F.floor(at / STRETCH).cast("int")
+
+        each = F.flatten(F.transform(taken, lambda o: F.transform(
+            F.sequence(stretch(o["start"]), stretch(o["end"] - 1)),
+            lambda b: F.struct(b.alias("b"), o["start"].alias("start"), o["end"].alias("end")))))
+
+        def by_stretch(places: Column) -> Column:
+            # places come by stretch; where a stretch's own begin is where the number before differs
+            firsts = F.filter(F.transform(places, lambda p, i: F.when(
+                (i == 0) | (F.get(places, i - 1)["b"] != p["b"]), F.struct(p["b"].alias("b"), i.alias("i")))), lambda x: x.isNotNull())
+
+            def table(heads: Column) -> Column:
+                ends = F.transform(heads, lambda h, j: F.coalesce(F.get(heads, j + 1)["i"], F.size(places)))
+                held = F.transform(heads, lambda h, j: F.slice(places, h["i"] + 1, F.get(ends, j) - h["i"]))
+                return F.map_from_arrays(F.transform(heads, lambda h: h["b"]), held)
+
+            def free(known: Column) -> Column:
+                return F.filter(spans, lambda s: ~F.exists(
+                    F.sequence(stretch(s["start"]), stretch(s["end"] - 1)), lambda b: F.exists(
+                        F.coalesce(F.element_at(known, b), F.array().cast("array<struct<b:int,start:int,end:int>>")),
+                        lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
+
+            return let(firsts, lambda heads: let(table(heads), free))
+
+        return let(F.array_sort(each), by_stretch)
+
+    return let(others, lambda taken: F.when(F.size(taken) > 0, looked_up(taken)).otherwise(spans))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and ``found``: start, place (of the kind), end, kind, score and base of each span,
     by start and kind. Added spans never overlap one of their kind that came before."""
@@ -157,8 +219,8 @@ def find(docs: DataFrame) -> DataFrame:
         if kind.base:
             continue
         step = step.withColumn("found", found)
-        found = F.concat("found", F.filter(f"s{i}", lambda s: ~F.exists("found", lambda o: (
-            (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"])))))  # noqa: B023
+        found = F.concat("found", F.when(F.size(f"s{i}") > 0, _apart(F.col(f"s{i}"), F.filter(
+            "found", lambda o: o["kind"] == kind.name))).otherwise(F.array().cast(_FOUND)))  # noqa: B023
     return step.select("doc_id", F.array_sort(found).alias("found"))
 
 

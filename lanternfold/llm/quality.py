@@ -2,7 +2,7 @@
 follow-the-regularised-leader updates.
 
 A text's features are its words and pairs of neighbouring words, once by their letters
-(A-Z lower-cased) and once by their shape (kinds of characters in order, runs shortened) and once by
+(A-Z lower-cased) and once by their shape (kinds of characters of the whole word in order, runs shortened) and once by
 whether a pair is one word twice, hashed to ``2**bits`` slots. A slot's value is its count over the square root of all
 counts, so a score is one sparse dot product: the sum of the weights at the text's slots.
 
@@ -27,6 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lanternfold.llm.common import row_of
 
 BITS = 18
 MOST = 20_000
@@ -43,7 +46,7 @@ _SHIFT = np.uint64(29)
 
 def _shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c
         if out[-2:] != [kind, kind]:
             out.append(kind)
@@ -136,29 +139,30 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MOST,
 
 
 def score(docs: DataFrame, model: np.ndarray, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """The columns of ``keep`` and the score (0 to 1) of every row."""
+    """The columns of ``keep``, whatever their names, and the score (0 to 1) of every row."""
     weights = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
     bits = len(model).bit_length() - 1
-    given = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    given = docs.select(row_of(docs, keep), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         features, w = Features(bits), weights.value
         for batch in batches:
             found = []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(1).to_pylist():
                 slots = features.slots(text or "")
                 found.append(float(w[slots].sum(dtype=np.float64)) / np.sqrt(len(slots)))
             scores = 1 / (1 + np.exp(-np.clip(np.array(found, np.float64), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-    return given.mapInArrow(run, ", ".join([*fields, f"{out} double"]))
+    schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, schema).select("row.*", F.col("score").alias(out))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
+    """The documents that the classifier does not reject, with their columns, whatever their names."""
     model = fit(docs, labels.where(~held_out()), **options)
-    return score(docs, model, tuple(docs.columns), "__score").where(F.col("__score") >= CUT).drop("__score")
+    whole = docs.select(row_of(docs), "text")
+    return score(whole, model, ("row",)).where(F.col("score") >= CUT).select("row.*")
 
 
 def held_out(doc_id="doc_id"):

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,52 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 60: 60}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_family_whose_members_differ_too_much_from_each_other(spark):
+    """3,000 near copies of one text, each with words of its own: most pairs share half their tokens and are not
+    linked, some are. Every link counts, and pairs do not grow with the square of the family."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    kept = np.zeros((3000, 146), np.float32)
+    docs, own = [], []
+    for d in range(3000):
+        words = list(base)
+        for i in rng.sample(range(150), rng.choice([2, 3, 4, 5, 6, 7, 8])):
+            words[i] = f"d{d}w{i}"
+        kept[d] = [all(words[i + j][0] == "b" for j in range(5)) for i in range(146)]
+        own.append(146 - kept[d].sum())
+        docs.append((d, " ".join(words)))
+    both = kept @ kept.T
+    linked = 100 * both >= 80 * (292 - both)
+    label = np.arange(3000)
+    while True:  # the least id that is reachable
+        new = np.where(linked, label[None, :], 3000).min(axis=1)
+        new = np.minimum(label, new)
+        if (new == label).all():
+            break
+        label = new
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame, many=3).collect()}
+    assert found == {d: (146, int(label[d])) for d in range(3000)}
+    assert 1 < len(set(label.tolist())) < 3000
+
+
+@pytest.mark.parametrize("m", [1, 2, 5, 9, 10, 37, 146, 1000])
+def test_latest_places_miss_no_link(m):
+    """Two linked sets have their first shared token within the places allowed, for every pair of sizes."""
+    for n in range(-(-8 * m // 10), 10 * m // 8 + 1):
+        shared = -(-4 * (m + n) // 9)
+        while 100 * shared < 80 * (m + n - shared):
+            shared += 1
+        if shared > min(m, n):
+            continue
+        for a, b in ((m, n), (n, m)):  # all that is not shared comes first
+            assert a - shared <= jaccard.latest(np.array([a]), np.array([b]))[0] < jaccard.needed(a)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, "x", 2), (2, "a b c d e f", 3, "y", 4), (None, None, 5, "z", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __id long, `a.b` string, component_id long")
+    kept = jaccard.representatives(frame)
+    assert kept.columns == frame.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
