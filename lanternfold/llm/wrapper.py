@@ -6,13 +6,16 @@ matching. Nodes of the pattern are slots; so are the paths of tags and labels of
 which the pattern grows by what its page lacks. A content that a slot has on most of the host's
 pages, or one of few that it has in turn, is template; any other content of the slot is
 kept. Pages that agree in nearly all of their text count as one, so neither copies nor near
-copies of a page make anything look constant.
+copies of a page make anything look constant; texts of a few words that most pages of the host share
+do not count for that, so that menus do not make near copies of short stories. A page is aligned
+once: what it holds is kept, and which of it is template follows by a join.
 
 A page's text is what its content slots and unaligned nodes hold, within its article elements
 where they hold two thirds of it, else within main where that holds text and no less than the
 articles, else anywhere; without what names itself as menu, header, footer,
 sidebar, notice, advert, form, script, style or comments, by its element or by a whole token
-of its class, id or role. Such a token never cuts the page, its body, main, headings, or what
+of its class, id or role; of an article's header the headings stay, and a paragraph of an article goes only
+for tokens that name an advert, a comment or the like. Such a token never cuts the page, its body, main, headings, or what
 holds most of the page's text: on most of the host's pages that have a node of that path,
 or, where they are few, on the page itself if no article or main stands beside it. Blocks are the texts between
 block elements, in page order: character references decoded, white space turned into one
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfold.llm.common import stage
+from lanternfold.llm.common import release, stage
 
 USUAL = 6_000  # characters of html; the page nearest to it is the host's pattern
 FEW_PAGES, MOST = 5, 0.5  # a content is constant from so many pages on, on this share of the host's
@@ -46,12 +49,14 @@ IN_TURN, VALUES = 20, 0.1  # or in a slot with so many pages and at most this ma
 RECURS = 0.01  # if it is on 1 / VALUES pages and on this share of the host's
 ARTICLE_PAGES, ARTICLE_MOST = 20, 0.8  # within an article
 SCOPE = 2 / 3  # share of a page's varying text in its articles from which on nothing else is its text
+FEW_WORDS = 12  # a shorter text that most pages of a host share does not make them near copies
 BANDS, PICKS = 8, 12  # pages with one equal band count as one: likely from nine tenths of their text on
-DEEP = 150  # levels that matching() counts unless told otherwise; pages are aligned at every level
 
 _TOKEN = re.compile(
-    r"[^<]+|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<", re.S)
+    # possessive: a tag that does not end is told in one pass over what is left of the page
+    r"[^<]++|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<", re.S)
+_BEGUN = re.compile(r"<[a-zA-Z/!?]")
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noscript xmp".split())
@@ -72,6 +77,11 @@ _OUT_WORDS = frozenset(
     "complementary contentinfo".split())
 
 
+# In an article's paragraph these say what it is about, not what it is.
+_IN_ARTICLE = frozenset("header footer search form login signup alert menu navigation notice notices sharing social related".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Node:
     __slots__ = ("tag", "label", "out", "marked", "children", "nodes", "own")
 
@@ -86,8 +96,14 @@ def parse(html: str) -> Node:
     """The tree of a page; tags left open end where their parents or the next block does."""
     root = Node("#root")
     stack = [root]
+    articles: list[tuple[int, Node]] = []  # open ones, with their depth
     at, size = 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends behind it
     while at < size:
+        if at >= last:
+            unfinished = _BEGUN.search(html, at)
+            stack[-1].children.append(html[at : unfinished.start()] if unfinished else html[at:])
+            break
         m = _TOKEN.match(html, at)
         at = m.end()
         name = m.group(2) or m.group(5)
@@ -99,7 +115,7 @@ def parse(html: str) -> Node:
         tag = name.lower()
         if m.group(1) or m.group(4):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
+                if stack[i].tag.lstrip("#") == tag:
                     del stack[i:]
                     break
             continue
@@ -118,7 +134,10 @@ def parse(html: str) -> Node:
                 break
         attributes = m.group(3) or m.group(6) or ""
         marks = " ".join(v.strip("\"'") for v in _CLASS.findall(attributes)).lower() if "=" in attributes else ""
-        marked = bool(marks) and tag not in _NEVER_MARKED and not _OUT_WORDS.isdisjoint(marks.split())
+        while articles and (len(stack) <= articles[-1][0] or stack[articles[-1][0]] is not articles[-1][1]):
+            articles.pop()
+        told = _OUT_WORDS.intersection(marks.split()) if marks else ()
+        marked = bool(told) and tag not in _NEVER_MARKED and not (tag == "p" and articles and told <= _IN_ARTICLE)
         node = Node(tag, marks, tag in _OUT_TAGS, marked)
         stack[-1].children.append(node)
         stack[-1].nodes.append(node)
@@ -129,6 +148,10 @@ def parse(html: str) -> Node:
             at = html.find(">", stop) + 1 if end else size
             at = at or size
         elif tag not in _VOID and not attributes.endswith("/"):
+            if tag == "article":
+                articles.append((len(stack), node))
+            elif tag == "header" and articles:
+                node.tag = "#header"  # of an article: its headings are text
             stack.append(node)
     return root
 
@@ -153,14 +176,13 @@ class _Shapes:
         self.sizes: list[int] = []
         self.scores: dict[tuple[int, int], int] = {}
 
-    def of(self, root: Node, deep: int | None = None) -> dict[int, int]:
-        """Numbers of the nodes of a tree by their identity, without levels below ``deep``."""
-        out, order = {}, [(root, 0)]
-        for node, depth in order:
-            if deep is None or depth < deep:
-                order.extend((c, depth + 1) for c in node.nodes)
-        for node, depth in reversed(order):
-            below = tuple(out[id(c)] for c in node.nodes) if deep is None or depth < deep else ()
+    def of(self, root: Node) -> dict[int, int]:
+        """Numbers of the nodes of a tree by their identity."""
+        out, order = {}, [root]
+        for node in order:
+            order.extend(node.nodes)
+        for node in reversed(order):
+            below = tuple(out[id(c)] for c in node.nodes)
             kind = (node.tag, node.label)
             number = self.known.setdefault((kind, below), len(self.sizes))
             if number == len(self.sizes):
@@ -268,11 +290,11 @@ def ends(xs, ys) -> tuple[int, int]:
     return head, tail
 
 
-def matching(a: Node, b: Node, deep: int | None = DEEP, known: tuple[_Shapes, dict[int, int]] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching of two trees down to a level (None: all of them): the number of matched nodes and their pairs.
+def matching(a: Node, b: Node, known: tuple[_Shapes, dict[int, int]] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching of two trees: the number of matched nodes and their pairs.
     ``known`` has shapes and their numbers of the first tree."""
     shapes = known[0] if known else _Shapes()
-    first, second = known[1] if known else shapes.of(a, deep), shapes.of(b, deep)
+    first, second = known[1] if known else shapes.of(a), shapes.of(b)
     score = shapes.score(first[id(a)], second[id(b)])
     if not score:
         return 0, []
@@ -281,9 +303,9 @@ def matching(a: Node, b: Node, deep: int | None = DEEP, known: tuple[_Shapes, di
         a, b = todo.pop()
         out.append((a, b))
         xs, ys = a.nodes, b.nodes
-        mine, other = [first.get(id(x)) for x in xs], [second.get(id(y)) for y in ys]
-        if not xs or not ys or mine[0] is None or other[0] is None:
+        if not xs or not ys:
             continue
+        mine, other = [first[id(x)] for x in xs], [second[id(y)] for y in ys]
         head, tail = ends(mine, other)
         todo += zip(xs[:head], ys[:head], strict=True)
         todo += zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)
@@ -293,7 +315,7 @@ def matching(a: Node, b: Node, deep: int | None = DEEP, known: tuple[_Shapes, di
 
 def aligned(pattern: Node, page: Node, known: tuple[_Shapes, dict[int, int]] | None = None) -> list[tuple[Node, Node]]:
     """Pairs of nodes of the pattern and of the page."""
-    return matching(pattern, page, None, known)[1]
+    return matching(pattern, page, known)[1]
 
 
 def slots(pattern: Node) -> dict[int, int]:
@@ -404,6 +426,9 @@ def main_text(page: Node, template: set[int], known: dict[int, bool] | None = No
         at = todo.pop()
         if at is None:
             close()
+        elif not isinstance(at, str) and at.tag == "#header":
+            close()
+            todo.extend(reversed(headings(at, cut)))
         elif isinstance(at, str):
             run.append(at)
         elif at.out or id(at) in cut:
@@ -422,6 +447,20 @@ def main_text(page: Node, template: set[int], known: dict[int, bool] | None = No
     return "\n\n".join(blocks)
 
 
+def headings(node: Node, cut: set[int]) -> list[Node]:
+    """The headings below a node, without what is out or cut, in page order."""
+    found, todo = [], list(reversed(node.nodes))
+    while todo:
+        at = todo.pop()
+        if at.out or id(at) in cut:
+            continue
+        if at.tag in _HEADINGS:
+            found.append(at)
+        else:
+            todo.extend(reversed(at.nodes))
+    return found
+
+
 def _articles(page: Node, cut: set[int]) -> set[int]:
     """Identities of nodes within an article of a page, or its main element if it has none."""
     out, todo = set(), _elements(page, "article", cut) or _elements(page, "main", cut)
@@ -450,7 +489,8 @@ def _dealt(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     share = max(1, (chosen.agg(F.sum("n")).first()[0] or 0) // partitions)
     large = chosen.where(F.col("n") > share).select("host", F.ceil(F.col("n") / share).cast("long").alias("parts"))
     dealt = hosted.join(F.broadcast(large), "host", "left").withColumn(  # fewer rows than partitions
-        "part", F.coalesce(F.pmod(F.xxhash64("page_id", F.length("html")), F.col("parts")), F.lit(0))).drop("parts")
+        "part", F.coalesce(F.pmod(F.xxhash64("page_id", F.length("html")), F.col("parts")), F.lit(0))).drop("parts").withColumn(
+        "page", F.xxhash64("html", F.length("html")))
     copies = chosen.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / share)).cast("long")).select(
         "host", "pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return dealt, copies
@@ -481,36 +521,48 @@ def _signed(value: int) -> int:
     return value - (1 << 63)
 
 
-def bands(texts: list[str]) -> list[int]:
-    """Weighted min-hashes of a set of texts in bands; a text weighs the root of its length."""
-    weights = {xxhash.xxh64_intdigest(t): len(t) ** 0.5 for t in texts}
-    if not weights:
+def weighed(texts: list[str]) -> tuple[list[int], list[float]]:
+    """Prints of a set of texts and their weights: the root of the length, negative for texts of a few words."""
+    out = {_signed(xxhash.xxh64_intdigest(t)): len(t) ** 0.5 * (1 if t.count(" ") >= FEW_WORDS - 1 else -1) for t in texts}
+    return list(out), list(out.values())
+
+
+def bands(prints: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Weighted min-hashes of a set of prints in bands."""
+    if not len(prints):
         return []
-    prints = np.array(list(weights), np.uint64)
+    prints = prints.astype(np.int64).view(np.uint64) + np.uint64(1 << 63)
     mixed = prints[:, None] ^ _SEEDS
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-    draws = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / np.array(list(weights.values()))[:, None]
+    draws = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[:, None]
     picks = prints[draws.argmin(axis=0)].reshape(BANDS, PICKS)
     return [_signed(xxhash.xxh64_intdigest(row.tobytes())) for row in picks]
 
 
-def contents(tree: Node, numbers: dict[int, int], shapes, page: Node, cut: set[int]) -> list[tuple[Node, int, bool, int]]:
-    """Nodes of a page with text of their own: place (path, and slot if aligned), whether it is within an article,
-    place and content."""
-    inner, at, out = _articles(page, cut), paths(page), []
-    slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page, shapes)}
-    todo = [page]
+def holders(page: Node) -> list[Node]:
+    """The nodes with text of their own, in a fixed order."""
+    out, todo = [], [page]
     while todo:
         node = todo.pop()
         todo.extend(node.nodes)
-        if text := own_text(node):
-            within = id(node) in inner
-            places = [f"path {at[id(node)]} {within}"]
-            if id(node) in slot_of:
-                places.append(f"{slot_of[id(node)]} {within}")
-            for place in map(xxhash.xxh64_intdigest, places):
-                out.append((node, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
+        if own_text(node):
+            out.append(node)
+    return out
+
+
+def contents(tree: Node, numbers: dict[int, int], shapes, page: Node, cut: set[int]) -> list[tuple[int, int, bool, int]]:
+    """Nodes of a page with text of their own, by their number among ``holders``: place (path, and slot if aligned), whether it
+    is within an article, place and content."""
+    inner, at, out = _articles(page, cut), paths(page), []
+    slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page, shapes)}
+    for number, node in enumerate(holders(page)):
+        within = id(node) in inner
+        places = [f"path {at[id(node)]} {within}"]
+        if id(node) in slot_of:
+            places.append(f"{slot_of[id(node)]} {within}")
+        for place in map(xxhash.xxh64_intdigest, places):
+            out.append((number, _signed(place), within, _signed(xxhash.xxh64_intdigest(own_text(node), place))))
     return out
 
 
@@ -527,44 +579,71 @@ def _texts(page: Node, cut: set[int]) -> list[str]:
 
 
 def _told_apart(seen: DataFrame) -> DataFrame:
-    """host, page and label: one label for pages that share a band."""
-    pages = seen.select("host", "page", "bands").dropDuplicates(["host", "page"])
-    each = pages.select("host", "page", F.posexplode("bands").alias("band", "value"))
+    """host, page and label: one label for pages that share a band. Bands are of a page's texts without those
+    of a few words that most pages of the host share: menus and the like make no near copies, however short the stories."""
+    pages = seen.select("host", "part", "page", "prints", "weights").dropDuplicates(["host", "page"])
+    sizes = pages.groupBy("host").agg(F.count("*").alias("all"))
+    short = F.filter(F.arrays_zip("prints", "weights"), lambda x: x["weights"] < 0)
+    counts = pages.select("host", F.explode(short).alias("x")).groupBy("host", F.col("x.prints").alias("print")).agg(F.count("*").alias("n"))
+    shared = counts.where(F.col("n") >= FEW_PAGES).join(sizes, "host").where(F.col("n") >= MOST * F.col("all"))
+    common = shared.groupBy("host").agg(F.collect_list("print").alias("common"))  # of a page's texts twice as many at most
+    parts = seen.select("host", "part").distinct().join(common, "host")
+
+    def run(batches):
+        of, gone = None, None
+        for batch in batches:
+            out = []
+            for host, part, prints, weights, common in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
+                if (host, part) != of:
+                    of, gone = (host, part), common.values.to_numpy() if common.is_valid else np.zeros(0, np.int64)
+                prints, weights = prints.values.to_numpy(), weights.values.to_numpy()
+                kept = ~np.isin(prints, gone)
+                out.append(bands(prints[kept], np.abs(weights[kept])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["host", "page", "bands"])
+
+    banded = stage(pages.join(parts, ["host", "part"], "left").select("host", "part", "page", "prints", "weights", "common").mapInArrow(
+        run, "host string, page long, bands array<long>"), "bands")
+    each = banded.select("host", "page", F.posexplode("bands").alias("band", "value"))
     shared = each.groupBy("host", "band", "value").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
     joined = each.join(shared.drop("n"), ["host", "band", "value"]).groupBy("host", "page").agg(F.min("first").alias("first"))
-    return pages.select("host", "page").join(joined, ["host", "page"], "left").select(
+    return banded.select("host", "page").join(joined, ["host", "page"], "left").select(
         "host", "page", F.coalesce("first", "page").alias("label"))
 
 
-def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
-    """host, template, the places and contents that are constant, and voted, by path whether its marked nodes hold most."""
-    fields = {"host": pa.string(), "page": pa.int64(), "bands": pa.list_(pa.int64()), "places": pa.list_(pa.int64()),
-              "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "most": pa.list_(pa.bool_())}
+def read_pages(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
+    """What every page has: prints of its texts, places and contents of its nodes, marked nodes. Each page is aligned once."""
+    fields = {"host": pa.string(), "part": pa.int64(), "page": pa.int64(), "prints": pa.list_(pa.int64()), "weights": pa.list_(pa.float32()),
+              "nodes": pa.list_(pa.int32()), "places": pa.list_(pa.int64()), "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64()),
+              "marks": pa.list_(pa.int64()), "most": pa.list_(pa.bool_())}
 
     def read(batches):
         known = _Patterns()
         for batch in batches:
             rows = []
-            for host, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for host, part, number, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 page = parse(html)
                 marked = marks(page)
                 cut = cuts(page, None, marked)
                 found = contents(*known.of(pattern), page, cut)
                 at = paths(page) if marked else {}
-                rows.append((host, _signed(xxhash.xxh64_intdigest(html)), bands(_texts(page, cut)), [f[1] for f in found],
+                rows.append((host, part, number, *weighed(_texts(page, cut)), [f[0] for f in found], [f[1] for f in found],
                              [f[2] for f in found], [f[3] for f in found],
                              [_signed(at[id(node)]) for node, _ in marked], [most for _, most in marked]))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
 
-    paired = dealt.join(patterns, ["host", "part"]).select("host", "pattern", "html")
-    seen = stage(paired.mapInArrow(
-        read, "host string, page long, bands array<long>, places array<long>, inner array<boolean>, keys array<long>, "
-              "marks array<long>, most array<boolean>"), "seen")
+    paired = dealt.join(patterns, ["host", "part"]).select("host", "part", "page", "pattern", "html")
+    return stage(paired.mapInArrow(
+        read, "host string, part long, page long, prints array<long>, weights array<float>, nodes array<int>, places array<long>, "
+              "inner array<boolean>, keys array<long>, marks array<long>, most array<boolean>"), "seen")
+
+
+def induce(seen: DataFrame) -> DataFrame:
+    """host, template, the places and contents that are constant, and voted, by path whether its marked nodes hold most."""
     labels = stage(_told_apart(seen), "labels")
     all_pages = labels.groupBy("host").agg(F.count_distinct("label").alias("all"))
-    labelled = seen.drop("bands").join(labels, ["host", "page"])
+    labelled = seen.select("host", "page", "places", "inner", "keys", "marks", "most").join(labels, ["host", "page"])
     rows = labelled.select("host", "label", F.explode(F.arrays_zip("places", "inner", "keys")).alias("at"))
     counts = rows.groupBy("host", F.col("at.places").alias("place"), F.col("at.inner").alias("within"), F.col("at.keys").alias("key")).agg(
         F.count_distinct("label").alias("most"))
@@ -584,26 +663,45 @@ def induce(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
     return template.join(voted, "host", "full_outer")
 
 
+def _dropped(seen: DataFrame, templates: DataFrame) -> DataFrame:
+    """host, page and gone, the numbers of the nodes whose content is template: of pages that have some."""
+    parts = seen.select("host", "part").distinct().join(templates.where("template IS NOT NULL").select("host", "template"), "host")
+
+    def run(batches):
+        of, template = None, None
+        for batch in batches:
+            out = []
+            for host, part, nodes, keys, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[3:], strict=True):
+                if (host, part) != of:
+                    of, template = (host, part), gone.values.to_numpy()
+                out.append(np.unique(nodes.values.to_numpy()[np.isin(keys.values.to_numpy(), template)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["host", "page", "gone"])
+
+    pages = seen.select("host", "part", "page", "nodes", "keys").dropDuplicates(["host", "page"])
+    joined = pages.join(parts, ["host", "part"]).select("host", "part", "page", "nodes", "keys", "template")
+    return joined.mapInArrow(run, "host string, page long, gone array<int>").where("size(gone) > 0")
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     dealt, patterns = _dealt(pages)
-    templates = stage(induce(dealt, patterns), "templates")
+    seen = read_pages(dealt, patterns)
+    templates = stage(induce(seen), "templates")
+    gone = stage(_dropped(seen, templates), "gone")
+    release(seen)
 
     def read(batches):
-        known, template, voted, of = _Patterns(), set(), {}, None
+        of, voted = None, {}
         for batch in batches:
             texts = []
-            for host, html, pattern, gone, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+            for host, html, numbers, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
                 if of != host:
-                    template, voted, of = set(gone or ()), {k + (1 << 63): v for k, v in votes or ()}, host
+                    voted, of = {k + (1 << 63): v for k, v in votes or ()}, host
                 page = parse(html)
-                marked, found = marks(page), set()
-                if template:
-                    held = contents(*known.of(pattern), page, cuts(page, None, marked))
-                    found = {id(n) for n, _, _, key in held if key in template}
-                texts.append(main_text(page, found, voted, marked))
+                held = holders(page) if numbers else ()
+                texts.append(main_text(page, {id(held[i]) for i in numbers or ()}, voted))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    patterns = patterns.join(templates, "host", "left")
-    paired = dealt.join(patterns, ["host", "part"]).select("page_id", "url", "host", "html", "pattern", "template", "voted")
-    return paired.mapInArrow(read, "page_id long, url string, text string")
+    votes = templates.where("voted IS NOT NULL").select("host", "voted").join(patterns.select("host", "part"), "host").drop("pattern")
+    told = dealt.join(gone, ["host", "page"], "left").join(votes, ["host", "part"], "left")
+    return told.select("page_id", "url", "host", "html", "gone", "voted").mapInArrow(read, "page_id long, url string, text string")
