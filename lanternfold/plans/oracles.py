@@ -717,3 +717,18 @@ O["agg12_contract"] = f"""{ANSWERS} SELECT count(*) AS answers,
     count(*) FILTER (NOT refused AND coalesce(reason, '') <> 'model_declined' AND last_updated_from_sources = '') AS no_date,
     count(*) FILTER (reason = 'model_declined' AND citation_url <> {q(FUNDS.default_url)}) AS decline_cites_chunk,
     count(*) FILTER (refused AND contains(answer, 'Last updated from sources:')) AS dated_refusal FROM responses"""
+
+# pairs of neighbouring words, joined with the table of phrases
+O["grd10_rule_table"] = f"""WITH r AS (
+    SELECT DISTINCT source AS rule, lower(p) AS p FROM (SELECT source, regexp_extract(text, '^([a-zA-Z]+ [a-zA-Z]+)(?:[^{W}]|$)', 1) AS p FROM documents) WHERE p <> ''),
+    w AS (SELECT doc_id, regexp_extract_all(lower(text), '[{W}]+') AS ws, regexp_extract_all(lower(text), '[^{W}]+') AS gaps,
+        CAST(regexp_matches(text, '^[^{W}]') AS INT) AS shift FROM documents),
+    e AS (SELECT doc_id, ws, gaps, shift, unnest(range(1, len(ws))) AS i FROM w),
+    b AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS p FROM e WHERE regexp_matches(gaps[i + shift], '^[{S}-]+$'))
+    SELECT DISTINCT doc_id, rule FROM b JOIN r USING (p)"""
+O["vec2_phrase_table"] = web("""SELECT DISTINCT id, rule FROM (
+    SELECT id, ws[i] AS a, ws[i + 1] AS b FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM (
+        SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM chunk))) x
+    JOIN (SELECT item_id::VARCHAR AS rule, string_split(p, ' ') AS q FROM (
+        SELECT item_id, regexp_extract(lower(text), '^[a-z]+ ([a-z]+ [a-z]+)[^a-z0-9]', 1) AS p FROM benchmark) WHERE p <> '') y
+    ON a = q[1] AND (b = q[2] OR b = q[2] || 's')""")

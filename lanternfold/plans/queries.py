@@ -21,6 +21,7 @@ from lanternfold.operators import facts as fc
 from lanternfold.operators import generate as gn
 from lanternfold.operators import guardrails as gr
 from lanternfold.operators import rerank as rr
+from lanternfold.operators import rule_table as rt
 from lanternfold.operators import search as se
 from lanternfold.operators import sections as sc
 from lanternfold.plans import corpora as co
@@ -605,6 +606,22 @@ def _(spark, sf):
     return co.documents(spark, sf).select("doc_id", gr.names_any(F.col("text"), names).alias("named"))
 
 
+@query("grd10_rule_table")
+def _(spark, sf):
+    """Every document against all names of a table: the first two words of each document, by source."""
+    docs = co.documents(spark, sf)
+    names = docs.select(F.col("source").alias("rule"), F.regexp_extract("text", r"\A([a-zA-Z]+ [a-zA-Z]+)\b", 1).alias("phrase")).where("phrase <> ''")
+    return rt.matches(docs, "doc_id", "text", names)
+
+
+@query("vec2_phrase_table")
+def _(spark, sf):
+    """Every chunk of the pages against a phrase of each benchmark item, its second and third word."""
+    phrases = co.table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("rule"), F.regexp_extract(F.lower("text"), r"\A[a-z]+ ([a-z]+ [a-z]+)[^a-z0-9]", 1).alias("phrase")).where("phrase <> ''")
+    return rt.matches(collection(spark, sf), "id", "text", phrases, "phrase")
+
+
 @query("grd11_performance")
 def _(spark, sf):
     return co.questions(spark, sf).select("question_id", gr.is_performance(F.col("question")).alias("performance"))

@@ -1,11 +1,15 @@
 """Screening on sentences of our own: separators, digits of other scripts, overlaps, precedence."""
 
 import itertools
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanternfold.functions import text as tx
 from lanternfold.operators import guardrails as g
+from lanternfold.operators import rule_table as rt
 from lanternfold.rules import FUNDS
 
 DEVANAGARI, ARABIC, WIDE = "०१२३४५६७८९", "٠١٢٣٤٥٦٧٨٩", "０１２３４５６７８９"
@@ -110,3 +114,36 @@ def test_checksum(values):
     for digits in (DEVANAGARI, ARABIC, WIDE):
         assert values(g.checksum_valid, [other_script(s, digits) for s in samples[:50]]) == _valid(samples[:50])
     assert values(lambda c: F.coalesce(g.checksum_valid(c), F.lit(False)), ["", "12", "abcdefghijkl"]) == [False] * 3
+
+
+def _odd_texts():
+    rng = random.Random(4)
+    pieces = ["HDFC", "hdfc", "Flexi", "flexi-cap", "Cap", "cap", "Fund", " ", "-", " - ", "\n", "ſbi", "SBI", "İ", "é", "É", "x", "caps", ".", "_", "K", "K"]
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(600)] + ["", "flexi - cap", "flexi cap fund"]
+
+
+def test_rule_table_gives_the_rows_of_the_alternations(spark, values):
+    names = ["flexi cap", "SBI", "é", "hdfc flexi-cap fund", "cap", "K", "x.", "fund"]
+    texts = _odd_texts()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "key int, text string")
+    table = spark.createDataFrame([(n, n) for n in names] + [("none", None), (None, "cap")], "rule string, phrase string")
+    for shard_bytes in (1 << 20, 10):
+        found = {(r.key, r.rule) for r in rt.matches(rows, "key", "text", table, "name", shard_bytes).collect()}
+        for name in names:
+            assert [(i, name) in found for i in range(len(texts))] == values(lambda c: g.names_any(c, [name]), texts), name
+        assert not any(k == -1 for k, _ in found)
+    phrases = ["flexi cap", "cap", "hdfc", "fund x", "--"]
+    table = spark.createDataFrame([(n, n) for n in phrases], "rule string, phrase string")
+    found = {(r.key, r.rule) for r in rt.matches(rows, "key", "text", table, "phrase").collect()}
+    for phrase in phrases:
+        assert [(i, phrase) in found for i in range(len(texts))] == values(lambda c: tx.has_phrase(tx.phrase_text(c), (phrase,)), texts), phrase
+
+
+def test_fifty_thousand_names_in_one_pass(spark):
+    table = spark.range(50_000).select(F.col("id").cast("string").alias("rule"), F.concat(F.lit("Scheme "), "id", F.lit(" plan")).alias("phrase"))
+    texts = spark.range(2000).select(F.col("id").alias("key"), F.concat(F.lit("about scheme-"), F.col("id") * 25, F.lit("  PLAN and scheme 7 plans")).alias("text"))
+    began = time.monotonic()
+    found = rt.matches(texts, "key", "text", table)
+    assert {(r.key, r.rule) for r in found.collect()} == {(i, str(i * 25)) for i in range(2000)}
+    assert time.monotonic() - began < 60
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
