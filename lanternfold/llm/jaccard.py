@@ -14,8 +14,9 @@ A document's tokens are its distinct runs of five words, as 64-bit hashes. Docum
    tokens of all members, united by group, each with its least place. In the order used, tokens that
    many documents have come late, so that passages shared by many do not pair them. How
    many is looked up in bitmaps of fixed size; a false hit only moves a token.
-3. Bounds. Pairs of groups whose sizes allow a link, and that share a token placed early enough in both
-   for these sizes, are looked at: leaders first. So documents of one family that differ from each other too much
+3. Bounds. Pairs of groups whose sizes allow a link, that share a token placed early enough in both
+   for these sizes, and the sketches of whose leaders differ in no more bits than leaders of linked groups
+   in tokens, are looked at: leaders first. So documents of one family that differ from each other too much
    do not meet for the tokens of the family, which come after their own. Linked leaders connect their groups. As Jaccard distance obeys
    the triangle inequality, leaders further apart than both groups' radii and the allowed
    distance together exclude every link.
@@ -46,8 +47,10 @@ MANY, LEVELS = 10, 5  # tokens come later the more documents have them: above 10
 COUNTED = 0.45  # share of a document's tokens that is counted: those that may move up as well
 BITS = 26  # of the bitmap's size; about the logarithm of the number of first tokens
 BUCKETS = 10  # bits of the slot by which counting is dealt out
+MOST_BITS = 28  # of the bitmap that tells which tokens several groups have
 CELL = 400  # documents of a bucket compared with one another at a time
 FAR = 0.2 + 1e-9
+MICRO = 1_000_000  # radii of the matrix are in millionths, rounded up
 AT_ONCE = 1 << 20  # bytes hashed together
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
@@ -147,11 +150,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def _blocks(tokens: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+    """Buckets of bitmap slots, and the slots of the tokens in each."""
+    inner = bits - BUCKETS
+    slots = np.sort(tokens >> np.uint64(64 - bits))
+    ends = np.searchsorted(slots >> np.uint64(inner), np.arange((1 << BUCKETS) + 1, dtype=np.uint64))
+    inside = (slots & np.uint64((1 << inner) - 1)).astype(np.uint16 if inner <= 16 else np.uint32)
+    full = np.flatnonzero(np.diff(ends)).tolist()
+    return full, [inside[ends[i] : ends[i + 1]].tobytes() for i in full]
+
+
 def _outline(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of two kinds. Of documents: doc_id, n and bytes. Of batches: bucket and block, the
     bitmap slots of the documents' lower tokens, a bucket's together."""
-    inner = bits - BUCKETS
-    kind = np.uint16 if inner <= 16 else np.uint32
     names = ["doc_id", "n", "bytes", "bucket", "block"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -164,23 +175,18 @@ def _outline(docs: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([len(t or b"") for t in texts], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-            slots = np.sort(np.concatenate([np.zeros(0, np.uint64), *[s[: int(COUNTED * len(s)) + 1] for s in sets]]) >> np.uint64(64 - bits))
-            ends = np.searchsorted(slots >> np.uint64(inner), np.arange((1 << BUCKETS) + 1, dtype=np.uint64))
-            inside = (slots & np.uint64((1 << inner) - 1)).astype(kind)
-            full = np.flatnonzero(np.diff(ends)).tolist()
-            blocks = [inside[ends[i] : ends[i + 1]].tobytes() for i in full]
+            full, blocks = _blocks(np.concatenate([np.zeros(0, np.uint64), *[s[: int(COUNTED * len(s)) + 1] for s in sets]]), bits)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(full), t) for t in types[:3]], pa.array(full, pa.int32()),
                                               pa.array(blocks, pa.binary())], names=names)
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, bytes long, bucket int, block binary")
 
 
-def _bitmap(outline: DataFrame, bits: int, many: int) -> np.ndarray:
-    """For each level the bits of slots that more documents have: 2**bits of them, whatever the
+def _bitmap(outline: DataFrame, bits: int, bounds: list[int]) -> np.ndarray:
+    """For each bound the bits of slots that have more tokens: 2**bits of them, whatever the
     input. A task counts one bucket after another, in as many counters as a bucket has slots."""
     inner = bits - BUCKETS
     kind = np.uint16 if inner <= 16 else np.uint32
-    bounds = [many * 10**level for level in range(LEVELS)]
 
     def count(batches):
         at, counts = None, None
@@ -192,18 +198,18 @@ def _bitmap(outline: DataFrame, bits: int, many: int) -> np.ndarray:
         for batch in batches:
             for bucket, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if bucket != at:
-                    if at is not None and (counts > many).any():
+                    if at is not None and (counts > bounds[0]).any():
                         yield done()
                     at, counts = bucket, np.zeros(1 << inner, np.int64)
                 counts += np.bincount(np.frombuffer(block, kind), minlength=1 << inner)
-        if at is not None and (counts > many).any():
+        if at is not None and (counts > bounds[0]).any():
             yield done()
 
     blocks = outline.where("bucket IS NOT NULL").select("bucket", "block").repartition("bucket").sortWithinPartitions("bucket")
-    out = np.zeros((LEVELS, 1 << BUCKETS, 1 << (inner - 6)), np.uint64)
+    out = np.zeros((len(bounds), 1 << BUCKETS, 1 << (inner - 6)), np.uint64)
     for row in blocks.mapInArrow(count, "bucket int, bits binary").toPandas().itertuples():
-        out[:, row.bucket] = np.frombuffer(row.bits, np.uint64).reshape(LEVELS, -1)
-    return out.reshape(LEVELS, -1)
+        out[:, row.bucket] = np.frombuffer(row.bits, np.uint64).reshape(len(bounds), -1)
+    return out.reshape(len(bounds), -1)
 
 
 def _levels(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -228,6 +234,13 @@ def _first_tokens(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(late, kind="stable")[: needed(len(tokens))]]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """128 bits: whether a set has an odd number of tokens in each of 128 classes. A token that only one of two
+    sets has changes one bit, so sketches differ in no more bits than sets in tokens."""
+    odd = np.bincount((tokens & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def lead(sets: list[np.ndarray]) -> list[tuple[int, float]]:
     """For each set the position of its leader and the distance to it.
 
@@ -262,7 +275,7 @@ def lead(sets: list[np.ndarray]) -> list[tuple[int, float]]:
 
 
 _GROUPED = ("doc_id long, n long, digest long, grp long, distance double, leads boolean, radius double, "
-            "least_n long, most_n long, first array<long>, place array<int>")
+            "least_n long, most_n long, first array<long>, place array<int>, sketch binary")
 
 
 def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int | None) -> DataFrame:
@@ -304,14 +317,14 @@ def _grouped(docs: DataFrame, outline: DataFrame, common: np.ndarray, share: int
                 order = np.argsort(places, kind="stable")
                 first, where = np.unique(np.concatenate(firsts)[order], return_index=True)
                 whole = (max(leaders[i][1] for i in inside), min(len(sets[i]) for i in inside),
-                         max(len(sets[i]) for i in inside), first.view(np.int64), places[order][where].astype(np.int32))
+                         max(len(sets[i]) for i in inside), first.view(np.int64), places[order][where].astype(np.int32), sketch(sets[j]))
                 rows.extend((members[i][0], len(sets[i]), _digest(sets[i]), at, leaders[i][1], i == j,
-                             *(whole if i == j else (None,) * 5)) for i in inside)
+                             *(whole if i == j else (None,) * 6)) for i in inside)
                 at += 1
 
         def out():
             columns = [list(c) for c in zip(*rows, strict=True)]
-            types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             rows.clear()
             names = [f.split()[0] for f in _GROUPED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -343,16 +356,16 @@ def latest(most: np.ndarray, least_other: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches):
-    """Pairs of groups, the smaller number first, from rows (token, grp, place, least_n, most_n) that come ordered by
-    token and group. Pairs that sizes or places rule out are left out; the others may come more than once."""
-    rest = [np.zeros(0, np.int64)] * 5
+    """Pairs of groups, the smaller number first, from rows that come ordered by token and group. Pairs that
+    sizes, places or the sketches of their leaders rule out are left out; the others may come more than once."""
+    rest = [np.zeros(0, np.int64)] * 7 + [np.zeros((0, 2), np.uint64)]
 
     def made(columns):
         token, least = columns[0], columns[3]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         smallest = np.minimum.reduceat(least, starts)[np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))]
         early = columns[2] <= latest(columns[4], smallest)  # else too late for any partner here
-        token, grp, place, least, most = (c[early] for c in columns)
+        token, grp, place, least, most, n, radius, sketches = (c[early] for c in columns)
         if not len(token):
             return
         ends = np.flatnonzero(np.concatenate([token[1:] != token[:-1], [True]])) + 1
@@ -368,6 +381,11 @@ def _pairs(batches):
                     fits = (10 * most[x] >= 8 * least[y]) & (10 * most[y] >= 8 * least[x]) & (grp[x] != grp[y])
                     x, y = x[fits], y[fits]
                     fits = (place[x] <= latest(most[x], least[y])) & (place[y] <= latest(most[y], least[x]))
+                    x, y = x[fits], y[fits]
+                    differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+                    # leaders of linked documents are at most so far apart, and sets as far apart differ in so many tokens
+                    far = np.minimum(1.0, (radius[x] + radius[y]) / MICRO + FAR)
+                    fits = differ <= far * (n[x] + n[y]) / (2 - far) + 1e-6
                     if fits.any():
                         yield np.stack([grp[x[fits]], grp[y[fits]]])
 
@@ -390,7 +408,9 @@ def _pairs(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found[:, new]], names=["ga", "gb"])
 
     for batch in batches:
-        columns = [np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, batch.columns, strict=True)]
+        given = [c.to_numpy().astype(np.int64) for c in batch.columns[:7]]
+        given.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, 2))
+        columns = [np.concatenate([r, c]) for r, c in zip(rest, given, strict=True)]
         token = columns[0]
         if not len(token):
             continue
@@ -401,6 +421,36 @@ def _pairs(batches):
         yield from out(rest)
 
 
+def _matrix(leaders: DataFrame) -> DataFrame:
+    """Tokens of the matrix that may be in several groups, with what bounds need of the group. A bitmap of
+    slots with several tokens tells; it has four to eight slots for each token, ``MOST_BITS`` at most (a fuller
+    one drops fewer rows and changes nothing else)."""
+    held = leaders.agg(F.sum(F.size("first"))).first()[0] or 0
+    bits = min(MOST_BITS, max(BUCKETS + 10, int(held).bit_length() + 2))
+
+    def slots(batches):
+        for batch in batches:
+            full, blocks = _blocks(_mixed(batch.column(0).flatten().to_numpy().view(np.uint64)), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    several = leaders.sparkSession.sparkContext.broadcast(_bitmap(leaders.select("first").mapInArrow(slots, "bucket int, block binary"), bits, [1]))
+    names = ["token", "place", "grp", "least_n", "most_n", "n", "radius", "sketch"]
+
+    def rows(batches):
+        for batch in batches:
+            first, ends = batch.column(0), batch.column(0).offsets.to_numpy()
+            tokens, places = first.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            kept = _levels(_mixed(tokens.view(np.uint64)), several.value) > 0
+            of = pa.array(of[kept])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[kept]), pa.array(places[kept]), *[c.take(of) for c in batch.columns[2:]]], names=names)
+
+    given = leaders.select("first", "place", "grp", "least_n", "most_n", "n", F.ceil(F.col("radius") * MICRO).cast("long").alias("radius"), "sketch")
+    made = given.mapInArrow(rows, "token long, place int, grp long, least_n long, most_n long, n long, radius long, sketch binary")
+    return made.select("token", "grp", "place", "least_n", "most_n", "n", "radius", "sketch")
+
+
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, digest and text of the documents whose ids ``wanted`` has (few others slip in)."""
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << BITS))
@@ -431,15 +481,12 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY,
     """doc_id, n_shingles and component_id of every row. ``share`` replaces the bytes that a
     task may get. Jobs run in here; the result is a staged table, all others are removed."""
     outline = stage(_outline(docs, bits), "outline")
-    grouped = _grouped(docs, outline, _bitmap(outline, bits, many), share)
-    leaders = grouped.where("leads").select("grp", "doc_id", "digest", "radius", "least_n", "most_n", "first", "place")
-
-    # groups that share a token of the matrix
-    each = F.explode(F.arrays_zip("first", "place"))
-    matrix = leaders.select(each.alias("at"), "grp", "least_n", "most_n").select(
-        F.col("at.first").alias("token"), "grp", F.col("at.place").alias("place"), "least_n", "most_n")
-    ordered = matrix.repartition("token").sortWithinPartitions("token", "grp")
-    pairs = stage(ordered.mapInArrow(_pairs, _PAIR).distinct(), "pairs")
+    grouped = _grouped(docs, outline, _bitmap(outline, bits, [many * 10**level for level in range(LEVELS)]), share)
+    leaders = grouped.where("leads").select(
+        "grp", "doc_id", "digest", "n", "radius", "least_n", "most_n", "first", "place", "sketch")
+
+    # groups that share a token of the matrix; most tokens of the matrix are in one group and are dropped first
+    pairs = stage(_matrix(leaders).repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_pairs, _PAIR).distinct(), "pairs")
 
     # leaders
     heads = leaders.select("grp", "doc_id", "digest", "radius")
