@@ -140,7 +140,8 @@ def has_long_run(text: Column, phone: Column, groups: Column) -> Column:
 
 
 @per_session
-def _pii_types(text: str) -> Column:
+def pii_types(text: str) -> Column:
+    """The kinds of personal data in a text column, in a fixed order."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def kinds(phone: Column, groups: Column) -> Column:
@@ -165,7 +166,7 @@ def detect_pii(df: DataFrame, text: str, out: str = "pii_types") -> DataFrame:
 
     The span work is skipped for texts that hold fewer than ten digits.
     """
-    return df.withColumn(out, _pii_types(text))
+    return df.withColumn(out, pii_types(text))
 
 
 def _kind(name: str, found: Column) -> Column:

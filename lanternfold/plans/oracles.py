@@ -732,3 +732,6 @@ O["vec2_phrase_table"] = web("""SELECT DISTINCT id, rule FROM (
     JOIN (SELECT item_id::VARCHAR AS rule, string_split(p, ' ') AS q FROM (
         SELECT item_id, regexp_extract(lower(text), '^[a-z]+ ([a-z]+ [a-z]+)[^a-z0-9]', 1) AS p FROM benchmark) WHERE p <> '') y
     ON a = q[1] AND (b = q[2] OR b = q[2] || 's')""")
+for _name, _same in (("grd8_sql", "grd8_detect"), ("grd9_sql", "grd9_scrub"), ("gen1_sql", "gen1_strip_urls"),
+                     ("vec2_sql", "vec2_phrases"), ("htm1_sql", "htm1_noise_tags")):
+    O[_name] = O[_same]

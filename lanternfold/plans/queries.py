@@ -27,6 +27,7 @@ from lanternfold.operators import sections as sc
 from lanternfold.plans import corpora as co
 from lanternfold.plans.answer import answer_from, embedder_of, screen
 from lanternfold.plans.ingest import staged_counts
+from lanternfold.plans.sql import register
 from lanternfold.rules import FUNDS
 from lanternfold.session import shared_folder, stage
 from lanternfold.settings import Settings
@@ -829,3 +830,41 @@ def _(spark, sf):
     rows = answer_from(co.questions(spark, sf), collection(spark, sf), pack=co.SAMPLE, settings=SETTINGS,
                        embedder=EMBEDDER, manifest_stamp=co.LATER)
     return dg.contract_report(rows, co.SAMPLE)
+
+
+# --- the same in SQL ---
+
+
+def _in_sql(spark, text: str, **tables: DataFrame) -> DataFrame:
+    register(spark)
+    return spark.sql(text, **tables)
+
+
+@query("grd8_sql")
+def _(spark, sf):
+    return _in_sql(spark, "SELECT key, array_join(lf_pii_types(text), '|') AS pii_types FROM {texts}", texts=co.screened_texts(spark, sf))
+
+
+@query("grd9_sql")
+def _(spark, sf):
+    return _in_sql(spark, "SELECT key, md5(lf_scrub_pii(text)) AS digest FROM {texts}", texts=co.screened_texts(spark, sf))
+
+
+@query("gen1_sql")
+def _(spark, sf):
+    return _in_sql(spark, "SELECT question_id, lf_strip_urls(completion) AS clean FROM {rows}", rows=co.completions(spark, sf))
+
+
+@query("vec2_sql")
+def _(spark, sf):
+    return _in_sql(spark, """
+        SELECT doc_id, lf_has_phrase(text, 'of the') AS of_the,
+               lf_has_phrase(text, 'ter') OR lf_has_phrase(text, 'nav') OR lf_has_phrase(text, 'que') AS short_words,
+               lf_has_phrase(text, 'de la') OR lf_has_phrase(text, 'est') OR lf_has_phrase(text, 'ention') AS mixed
+        FROM {docs}""", docs=co.documents(spark, sf))
+
+
+@query("htm1_sql")
+def _(spark, sf):
+    return _in_sql(spark, "SELECT page_no, line_no, line FROM lf_page_lines(TABLE(SELECT page_no, html FROM {pages}) PARTITION BY page_no)",
+                   pages=co.table(spark, sf, "pages").select(F.col("page_id").cast("bigint").alias("page_no"), "html"))
