@@ -117,3 +117,27 @@ def block_top_k(block: QuestionBlock, chunks: pa.RecordBatch | pa.Table, k: int,
         [pa.array(c.tolist() if f.name == "id" else c, f.type) for c, f in zip(columns, CANDIDATE_SCHEMA)],
         schema=CANDIDATE_SCHEMA,
     )]
+
+
+BOOST_SCHEMA = pa.schema([("scheme_hit", pa.bool_()), ("topic", pa.int32()), ("level", pa.int32()), ("pairs", pa.int64())])
+
+
+def boost_counts(questions: pa.Table, chunks: pa.Table) -> pa.Table:
+    """How many pairs of these questions and chunks (rows stand for ``n`` of them) get which boost."""
+    weights = chunks.column("n").to_numpy()
+    schemes = np.asarray(chunks.column("scheme").to_pylist(), dtype=object)
+    hits = np.asarray(chunks.column("topic_hits").to_pylist(), dtype=np.int64).reshape(len(weights), -1)
+    totals: dict[tuple[bool, int, int], int] = {}
+    for wanted, raised, n in zip(*[questions.column(c).to_pylist() for c in ("schemes", "topics", "n")]):
+        topic, level = np.full(len(weights), -1), np.zeros(len(weights), np.int64)
+        for t in raised:
+            new = (level == 0) & (hits[:, t] != 0)
+            topic[new], level[new] = t, hits[new, t]
+        in_scheme = np.isin(schemes, list(wanted)) if wanted else np.zeros(len(weights), bool)
+        kinds, of = np.unique(np.stack([in_scheme, topic, level]), axis=1, return_inverse=True)
+        counts = np.zeros(kinds.shape[1], np.int64)
+        np.add.at(counts, of.reshape(-1), weights)
+        for kind, count in zip(kinds.T.tolist(), counts.tolist()):
+            key = (bool(kind[0]), kind[1], kind[2])
+            totals[key] = totals.get(key, 0) + count * n
+    return pa.Table.from_pylist([dict(zip(BOOST_SCHEMA.names, (*k, n))) for k, n in totals.items()], schema=BOOST_SCHEMA)

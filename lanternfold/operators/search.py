@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfold.functions.kernel import CANDIDATE_SCHEMA, QuestionBlock, block_top_k
+from lanternfold.functions.kernel import CANDIDATE_SCHEMA, QuestionBlock, block_top_k, boost_counts
 from lanternfold.operators import balls as bl
 from lanternfold.operators import rerank
-from lanternfold.rules import FUNDS, RulePack
+from lanternfold.rules import FUNDS, SCHEME_BOOST, RulePack
 from lanternfold.session import stage
 from lanternfold.settings import Settings
 
@@ -124,6 +124,31 @@ def retrieve(questions: DataFrame, collection: DataFrame, k: int | None = None,
     return texts.join(winners.drop("scheme_hit", "topic", "level"), "id")
 
 
+def boost_report(questions: DataFrame, collection: DataFrame, pack: RulePack = FUNDS, settings: Settings | None = None) -> DataFrame:
+    """``rank_note, n, boost``: which boosts all pairs of questions and chunks get, and how many pairs each.
+
+    Questions and chunks are counted by their features first; only distinct features meet, cell by
+    cell, and a cell gives counts, never pairs."""
+    settings = settings or Settings()
+    asked = rerank.with_question_features(questions.filter(rerank.strip(F.col("question")) != ""), "question", pack)
+    q = stage(asked.groupBy("schemes", "topics").agg(F.count("*").alias("n")), "question-features")
+    held = rerank.with_chunk_features(collection, pack).withColumnRenamed(rerank.feature_column(pack), "topic_hits")
+    c = held.groupBy("scheme", "topic_hits").agg(F.count("*").alias("n"))
+    cols, rows = max(1, math.ceil(q.count() / settings.cell_questions)), int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_row, of_col = (F.pmod(F.xxhash64(*names), F.lit(n)) for names, n in ((("scheme", "topic_hits"), rows), (("schemes", "topics"), cols)))
+    left = c.withColumn("_row", of_row).withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
+    right = q.withColumn("_col", of_col).withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+
+    def cell(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
+        return boost_counts(question_table, chunk_table)
+
+    found = left.groupBy("_row", "_col").cogroup(right.groupBy("_row", "_col")).applyInArrow(
+        cell, "scheme_hit boolean, topic int, level int, pairs bigint")
+    note = rerank.rank_note(F.col("scheme_hit"), F.col("topic"), F.col("level"), pack)
+    boost = F.when(F.col("scheme_hit"), F.lit(SCHEME_BOOST)).otherwise(F.lit(0.0)) + rerank.hit_boost(F.col("level"))
+    return found.groupBy(note.alias("rank_note")).agg(F.sum("pairs").alias("n"), F.round(F.max(boost), 4).alias("boost")).where("n > 0")
+
+
 def with_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cosine distance of two vector columns of the same row, in the JVM."""
     from lanternfold.operators.embed import dot

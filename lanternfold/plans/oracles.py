@@ -631,7 +631,9 @@ O["vec8_pruned"] = web(f""", {vectors('chunk', 'id', 'text', 'cv')}, pair AS (SE
     FROM chunk a JOIN cv va ON va.k = a.id CROSS JOIN cv b WHERE a.chunk_index = 0)
     SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY d, id) AS INT) AS rank, id, round(d, 5) + 0 AS distance
     FROM pair QUALIFY rank <= 5""")
-O["vec7_boost"] = retrieval("SELECT rank_note, count(*) AS n, round(max(distance - score), 4) AS boost FROM hit GROUP BY rank_note")
+O["vec7_boost"] = retrieval("""SELECT concat_ws('+', CASE WHEN scheme_hit THEN 'scheme' END,
+    CASE WHEN level > 0 THEN (['heading', 'fact', 'text'])[level] || ':' || ("""+TOPIC_LIST+""")[topic + 1] END) AS rank_note,
+    count(*) AS n, round(max(distance - score), 4) AS boost FROM scored GROUP BY 1""")
 O["vec9_blank_questions"] = retrieval("SELECT question_id, n AS chunks FROM gathered")
 O["vec10_context"] = retrieval(f"SELECT question_id, md5(coalesce(context, {q(rules.NO_CONTEXT)})) AS digest FROM gathered")
 O["vec11_citation"] = retrieval(f"SELECT question_id, {CITATION} AS url FROM gathered")

@@ -506,8 +506,8 @@ def _(spark, sf):
 
 @query("vec7_boost")
 def _(spark, sf):
-    return retrieved(spark, sf, 0).groupBy("rank_note").agg(
-        F.count("*").alias("n"), F.round(F.max(F.col("distance") - F.col("score")), 4).alias("boost"))
+    """All pairs of questions and chunks, not the winners only."""
+    return se.boost_report(co.questions(spark, sf), collection(spark, sf), co.SAMPLE, SETTINGS)
 
 
 def _gathered(spark, sf) -> DataFrame:
