@@ -162,19 +162,26 @@ class Collection:
             rows = rows.join(self._dead(log), _PLACE, "left").where(~F.coalesce(marked, F.lit(False))).drop("_bits")
         return rows
 
-    def _read(self, log: dict) -> DataFrame:
+    def _read(self, log: dict, ids: list[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(log["schema"]))
         if not log["parts"]:
             return self.spark.createDataFrame([], schema)
-        return self._live(log).select(*[f"`{f.name}`" for f in schema.fields])
-
-    def read(self, made_with: dict | None = None) -> DataFrame:
-        """All rows; an error if ``made_with`` disagrees with what they were made with."""
+        buckets = None
+        if ids is not None:
+            wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
+            found = wanted.select(bucket_of(F.col("id"), log["level"], log["split"])).distinct().limit(NAMED + 1).collect()
+            buckets = [r[0] for r in found] if len(found) <= NAMED else None
+        rows = self._live(log, buckets).select(*[f"`{f.name}`" for f in schema.fields])
+        return rows if ids is None else rows.join(wanted.distinct(), "id", "left_semi")
+
+    def read(self, made_with: dict | None = None, ids: list[str] | None = None) -> DataFrame:
+        """All rows, or those of the listed ids (from their buckets only); an error if ``made_with`` disagrees with
+        what they were made with."""
         log = self._log()
         if log["version"] == 0:
             raise CorpusEmptyError()
         self._same_maker(log, made_with, "read")
-        return self._read(log)
+        return self._read(log, ids)
 
     @staticmethod
     def _same_maker(log: dict, made_with: dict | None, doing: str) -> None:

@@ -9,9 +9,9 @@ from lanternfold.functions.text import slug, strip, word_count
 from lanternfold.operators.generate import is_approved
 from lanternfold.operators.sections import fetch_columns
 from lanternfold.rules import FUNDS, RulePack
+from lanternfold.sources.collection import Collection
 
 RULE = "-" * 60  # separates a raw dump's header from its body
-DUMP_BUCKETS = 256
 
 
 class CorpusFetchError(RuntimeError):
@@ -77,14 +77,9 @@ def raw_dump(documents: DataFrame) -> DataFrame:
         slug(F.col("url")).alias("slug"), F.concat(header, F.lit("\n\n"), text, F.lit("\n")).alias("value"))
 
 
-def _dump_bucket(name):
-    return F.pmod(F.xxhash64(name), F.lit(DUMP_BUCKETS)).cast("int")
-
-
-def write_raw_dump(documents: DataFrame, path: str) -> None:
-    """Bucketed by the page's slug, so that a reader of one page opens one folder of a fixed number."""
-    dumped = raw_dump(documents).withColumn("bucket", _dump_bucket(F.col("slug")))
-    dumped.repartition("bucket").sortWithinPartitions("slug").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_raw_dump(documents: DataFrame, path: str) -> int:
+    """A collection of texts by the page's slug, in buckets that follow its size; the number of pages."""
+    return Collection(documents.sparkSession, path).replace(raw_dump(documents).withColumnRenamed("slug", "id"))
 
 
 def raw_body(value):
@@ -94,8 +89,5 @@ def raw_body(value):
 
 def read_raw_dump(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:
     """All pages, or the named ones (their buckets only)."""
-    dumped = spark.read.schema("slug string, value string, bucket int").parquet(path)
-    if slugs is not None:
-        wanted = spark.createDataFrame([(s,) for s in slugs], "slug string").select(_dump_bucket(F.col("slug"))).distinct()
-        dumped = dumped.filter(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("slug").isin(slugs))
-    return dumped.select("slug", raw_body(F.col("value")).alias("body"))
+    dumped = Collection(spark, path).read(ids=slugs)
+    return dumped.select(F.col("id").alias("slug"), raw_body(F.col("value")).alias("body"))

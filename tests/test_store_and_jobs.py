@@ -161,6 +161,20 @@ def test_raw_dump_round_trip(spark, tmp_path):
     got = {r.slug: r.body for r in pg.read_raw_dump(spark, str(tmp_path / "raw")).collect()}
     want = {r.slug: r.text for r in docs.select(pg.slug(F.col("url")).alias("slug"), "text").collect()}
     assert got == want
+    name = sorted(want)[0]
+    one = pg.read_raw_dump(spark, str(tmp_path / "raw"), [name, "none"])
+    assert [(r.slug, r.body) for r in one.collect()] == [(name, want[name])]
+    pg.write_raw_dump(docs.limit(1), str(tmp_path / "raw"))
+    assert pg.read_raw_dump(spark, str(tmp_path / "raw")).count() == 1
+
+
+def test_a_lookup_opens_the_buckets_of_its_ids(spark, tmp_path):
+    store = cl.Collection(spark, str(tmp_path / "c"), bucket_bytes=2000)
+    store.replace(spark.range(3000).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    found = store.read(ids=["7", "8", "nine"])
+    assert {r.id for r in found.collect()} == {"7", "8"}
+    files = {r.f for r in found.select(F.input_file_name().alias("f")).collect()}
+    assert len(files) <= 2
 
 
 def test_upsert_versions_and_latest(spark, tmp_path):
