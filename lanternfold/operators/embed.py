@@ -82,6 +82,70 @@ class HashingEmbedder:
         return pool(hash_tokens(text, dim, self.max_length))
 
 
+def length_groups(lengths: np.ndarray, batch: int) -> list[np.ndarray]:
+    """Rows in groups of at most ``batch``, shortest first, so that rows padded to the longest of their
+    group are padded little, whatever the order they came in."""
+    order = np.argsort(lengths, kind="stable")
+    return [order[i : i + batch] for i in range(0, len(order), batch)]
+
+
+def padding_share(lengths: np.ndarray, groups: list[np.ndarray]) -> float:
+    """The share of all positions that is padding when each group is as wide as its longest row."""
+    cells = sum(len(g) * int(lengths[g].max()) for g in groups)
+    return 1 - float(lengths.sum()) / cells if cells else 0.0
+
+
+def _tokenizer(path: str, max_length: int | None):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_padding()
+    if max_length is None:
+        found.no_truncation()
+    else:
+        found.enable_truncation(max_length=max_length)
+    return found
+
+
+@dataclass(frozen=True)
+class PieceEmbedder:
+    """Word pieces of a public tokenizer file within the window, as hashed signed one-hot vectors, mean-pooled.
+
+    Needs the tokenizer file on every node, and no model."""
+
+    tokenizer: str
+    dim: int = 384
+    max_length: int = 256
+    name: str = "word-pieces"
+
+    def window(self, text: Column) -> Column:
+        """``struct<tokens, ids>``: how many ids the whole text has, and those that the embedder looks at."""
+        path, max_length = self.tokenizer, self.max_length
+
+        @F.pandas_udf("tokens int, ids array<int>")
+        def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            tokenizer = _tokenizer(path, None)
+            for texts in parts:
+                found = [e.ids for e in tokenizer.encode_batch(list(texts.fillna("")), add_special_tokens=False)]
+                yield pd.DataFrame({"tokens": [len(i) for i in found], "ids": [i[:max_length] for i in found]})
+
+        return cut(text)
+
+    def encode(self, text: Column) -> Column:
+        dim = self.dim
+
+        @F.pandas_udf(VECTOR)
+        def pool(windows: pd.DataFrame) -> pd.Series:
+            sizes = windows["ids"].str.len().to_numpy(np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *windows["ids"]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            place, sign = (flat >> np.uint64(20)) % np.uint64(dim), 1.0 - 2.0 * (flat >> np.uint64(63)).astype(float)
+            cell = np.repeat(np.arange(len(sizes)), sizes) * dim + place.astype(np.int64)
+            total = np.bincount(cell, weights=sign, minlength=len(sizes) * dim).reshape(len(sizes), dim)
+            return pd.Series(list(unit_rows(total / np.maximum(sizes, 1)[:, None]).astype(np.float32)))
+
+        return pool(self.window(text))
+
+
 @dataclass(frozen=True)
 class OnnxEmbedder:
     """Sentence encoder from ``minilm.onnx`` and ``tokenizer.json`` in a folder every node sees.
@@ -102,27 +166,29 @@ class OnnxEmbedder:
         @F.pandas_udf(VECTOR)
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import onnxruntime as ort
-            from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(os.path.join(models_dir, "tokenizer.json"))
-            tokenizer.enable_padding()
-            tokenizer.enable_truncation(max_length=max_length)
+            tokenizer = _tokenizer(os.path.join(models_dir, "tokenizer.json"), max_length)
             options = ort.SessionOptions()
             options.intra_op_num_threads = 1
             options.inter_op_num_threads = 1
             session = ort.InferenceSession(
                 os.path.join(models_dir, "minilm.onnx"), options, providers=["CPUExecutionProvider"])
             for texts in parts:
-                vectors: list[np.ndarray] = []
-                for start in range(0, len(texts), batch):
-                    encoded = tokenizer.encode_batch(list(texts.iloc[start:start + batch].fillna("")))
-                    ids = np.array([e.ids for e in encoded], dtype=np.int64)
-                    mask = np.array([e.attention_mask for e in encoded], dtype=np.int64)
+                encoded = tokenizer.encode_batch(list(texts.fillna("")))
+                lengths = np.array([len(e.ids) for e in encoded], np.int64)
+                vectors: list = [None] * len(encoded)
+                for rows in length_groups(lengths, batch):
+                    ids = np.zeros((len(rows), max(1, int(lengths[rows].max()))), np.int64)
+                    mask = np.zeros_like(ids)
+                    for i, row in enumerate(rows):
+                        ids[i, : lengths[row]] = encoded[row].ids
+                        mask[i, : lengths[row]] = 1
                     hidden = session.run(None, {"input_ids": ids, "attention_mask": mask})[0]
                     pooled = unit_rows(mean_pool(hidden, mask))
                     if pooled.shape[1] != dim:
                         raise ValueError(f"model gives {pooled.shape[1]} dimensions, expected {dim}")
-                    vectors.extend(pooled.astype(np.float32))
+                    for row, vector in zip(rows.tolist(), pooled.astype(np.float32)):
+                        vectors[row] = vector
                 yield pd.Series(vectors)
 
         return run(text)

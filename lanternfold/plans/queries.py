@@ -366,6 +366,19 @@ def _(spark, sf):
                        F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"))
 
 
+@query("emb1_piece_window")
+def _(spark, sf):
+    """The word pieces that the embedder of a tokenizer file looks at, and the norm of its vector."""
+    import public_tokenizers
+
+    embedder = em.PieceEmbedder(public_tokenizers.path("word_bpe_49k.json"), EMBEDDER.dim, SETTINGS.max_sequence_length)
+    docs = co.documents(spark, sf).select("doc_id", "text", embedder.window(F.col("text")).alias("w"))
+    vectors = em.embed(docs, "text", embedder)
+    return vectors.select("doc_id", F.col("w.tokens").alias("tokens"), F.size("w.ids").alias("kept"),
+                          F.aggregate("w.ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                          F.round(em.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+
+
 @query("emb2_mean_pool")
 def _(spark, sf):
     pooled = em.pool_rows(co.table(spark, sf, "embeddings"), "label", "embedding")

@@ -15,7 +15,7 @@ SAMPLE = ("htm6_card_sections", "htm10_pairs", "chk6_overlap_blocks", "chk12_chu
           "grd8_detect", "grd9_scrub", "gen1_strip_urls", "gen10_gates", "orc1_answers", "snk7_dump_blocks", "src7_collection_scan",
           "snk3_upsert", "snk6_population", "snk11_guards", "snk8_manifest", "vec8_pruned", "agg1_drop_reasons",
           "grd10_rule_table", "vec2_phrase_table", "grd8_sql", "grd9_sql", "gen1_sql", "vec2_sql", "htm1_sql", "agg7_short_runs")
-NO_SQL = {"vec8_opened"}  # how much of an index was opened
+NO_SQL = {"vec8_opened", "emb1_piece_window"}  # how much of an index was opened; ids of a tokenizer
 
 
 def plain(value):

@@ -245,3 +245,29 @@ def test_sentence_encoder_end_to_end(spark, tmp_path):
     pair = spark.createDataFrame([(0, "alpha beta gamma"), (1, "alpha beta")], "i int, t string")
     cut = {r.i: r.embedding for r in em.embed(pair, "t", short).collect()}
     assert cut[0] == cut[1]
+
+
+def test_window_of_word_pieces(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Expense ratio of the fund", "", None, "antidisestablishmentarianism " * 50, "日本 été", "Expense ratio of the fund"]
+    embedder = em.PieceEmbedder(path, dim=64, max_length=20)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    whole = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = {r.i: r.w for r in df.select("i", embedder.window(F.col("t")).alias("w")).collect()}
+    assert all(got[i].tokens == len(ids) and got[i].ids == ids[:20] for i, ids in enumerate(whole))
+    vectors = {r.i: r.embedding for r in em.embed(df, "t", embedder).collect()}
+    assert vectors[0] == vectors[5] and sum(x * x for x in vectors[3]) == pytest.approx(1, abs=1e-3)
+    assert not any(vectors[1]) and not any(vectors[2])
+
+
+def test_rows_are_grouped_by_length():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 257, 1000)
+    groups = em.length_groups(lengths, 32)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(1000)) and max(map(len, groups)) == 32
+    as_they_come = [np.arange(i, min(1000, i + 32)) for i in range(0, 1000, 32)]
+    assert em.padding_share(lengths, groups) < 0.05 < 0.4 < em.padding_share(lengths, as_they_come)
+    assert em.length_groups(np.zeros(0, np.int64), 4) == [] and em.padding_share(np.zeros(0, np.int64), []) == 0
