@@ -47,7 +47,7 @@ MANY, LEVELS = 10, 5  # tokens come later the more documents have them: above 10
 COUNTED = 0.45  # share of a document's tokens that is counted: those that may move up as well
 BITS = 26  # of the bitmap's size; about the logarithm of the number of first tokens
 BUCKETS = 10  # bits of the slot by which counting is dealt out
-MOST_BITS = 28  # of the bitmap that tells which tokens several groups have
+MOST_BITS = 27  # of the bitmap that tells which tokens several groups have
 CELL = 400  # documents of a bucket compared with one another at a time
 FAR = 0.2 + 1e-9
 MICRO = 1_000_000  # radii of the matrix are in millionths, rounded up
@@ -423,10 +423,10 @@ def _pairs(batches):
 
 def _matrix(leaders: DataFrame) -> DataFrame:
     """Tokens of the matrix that may be in several groups, with what bounds need of the group. A bitmap of
-    slots with several tokens tells; it has four to eight slots for each token, ``MOST_BITS`` at most (a fuller
+    slots with several tokens tells; it has two to four slots for each token, ``MOST_BITS`` at most (a fuller
     one drops fewer rows and changes nothing else)."""
     held = leaders.agg(F.sum(F.size("first"))).first()[0] or 0
-    bits = min(MOST_BITS, max(BUCKETS + 10, int(held).bit_length() + 2))
+    bits = min(MOST_BITS, max(BUCKETS + 10, int(held).bit_length() + 1))
 
     def slots(batches):
         for batch in batches:
