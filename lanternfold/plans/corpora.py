@@ -113,7 +113,7 @@ def card_pages(spark: SparkSession, sf: str) -> DataFrame:
         " follows an index with a small number of parts, priced at ", s("p_retailprice"),
         " and reviewed each quarter by the board.</p><h4>", s("p_type"), "</h4><p>short ", s("p_name"),
         "</p><!-- end --><footer>", s("p_name"), "</footer></body></html>")
-    return table(spark, sf, "part").select(
+    return dealt(spark, sf, "part").select(
         F.col("p_partkey").alias("page_no"),
         _html("https://cards.example.com/", s("p_partkey"), "/").alias("url"), html.alias("html"))
 
