@@ -124,6 +124,8 @@ BOOST_SCHEMA = pa.schema([("scheme_hit", pa.bool_()), ("topic", pa.int32()), ("l
 
 def boost_counts(questions: pa.Table, chunks: pa.Table) -> pa.Table:
     """How many pairs of these questions and chunks (rows stand for ``n`` of them) get which boost."""
+    if not questions.num_rows or not chunks.num_rows:  # a cell that only one side has rows for
+        return BOOST_SCHEMA.empty_table()
     weights = chunks.column("n").to_numpy()
     schemes = np.asarray(chunks.column("scheme").to_pylist(), dtype=object)
     hits = np.asarray(chunks.column("topic_hits").to_pylist(), dtype=np.int64).reshape(len(weights), -1)

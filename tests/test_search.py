@@ -115,6 +115,19 @@ def test_boosts_and_notes(spark):
     assert got[3].topics == [] and got[3].schemes == []
 
 
+def test_boost_report_with_more_cells_than_features(spark):
+    chunks = spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, heading string, text string, scheme string")
+    qs = spark.createDataFrame([(1, "What is the expense ratio of HDFC Flexi Cap Fund?"), (2, " ")], "question_id bigint, question string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        assert se.boost_report(qs.limit(0), chunks).count() == 0 and se.boost_report(qs, chunks.limit(0)).count() == 0
+        got = {r.rank_note: (r.n, r.boost) for r in se.boost_report(qs, chunks).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert got == {"scheme+fact:ter": (1, 0.9), "scheme": (1, 0.35), "": (3, 0.0)}
+
+
 def test_rerank_promotes_and_never_filters(spark):
     embedder = em.HashingEmbedder(64)
     chunks = spark.createDataFrame(
