@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lanternfold.rules import FACT_BOOST, HEADING_BOOST, SCHEME_BOOST, TEXT_BOOST
 
@@ -27,94 +28,195 @@ CANDIDATE_SCHEMA = pa.schema([
 
 @dataclass
 class QuestionBlock:
+    """``vectors`` as given; ``worst``: no row that scores above it is wanted."""
+
     ids: np.ndarray
     vectors: np.ndarray
     schemes: list[tuple[str, ...]] = field(default_factory=list)
     topics: list[tuple[int, ...]] = field(default_factory=list)
+    worst: np.ndarray | None = None
+    scheme_bits: np.ndarray | None = None
+    topic_bits: np.ndarray | None = None
 
     @classmethod
     def from_arrow(cls, table: pa.Table) -> "QuestionBlock":
-        n = table.num_rows
+        n, names = table.num_rows, table.column_names
         plain = [()] * n
+        worst = table.column("worst").to_numpy().astype(np.float64) if "worst" in names else np.full(n, np.inf)
         return cls(
             table.column("question_id").to_numpy(),
-            _matrix(table.column("embedding"), n),
-            [tuple(x) for x in table.column("schemes").to_pylist()] if "schemes" in table.column_names else plain,
-            [tuple(x) for x in table.column("topics").to_pylist()] if "topics" in table.column_names else plain,
+            _rows(table.column("embedding"), n),
+            [tuple(x) for x in table.column("schemes").to_pylist()] if "schemes" in names else plain,
+            [tuple(x) for x in table.column("topics").to_pylist()] if "topics" in names else plain,
+            np.where(np.isnan(worst), np.inf, worst),
+            *[table.column(b).to_numpy() if b in names else None for b in ("scheme_bits", "topic_bits")],
         )
 
 
-def _matrix(column, n: int) -> np.ndarray:
-    """Arrow list column -> unit rows in double precision."""
+def _rows(column, n: int) -> np.ndarray:
+    """Arrow list column -> its rows, in the precision they have."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(n, -1) if n else flat.reshape(0, 0)
-    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+
+
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+
+
+def _unit(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.divide(rows, length[:, None], out=np.zeros(rows.shape), where=length[:, None] > 0)
+
+
+def _matrix(column, n: int) -> np.ndarray:
+    """Arrow list column -> unit rows in double precision."""
+    rows = _rows(column, n)
+    return _unit(rows, _lengths(rows))
+
+
+def _beyond_copies(rows: np.ndarray, kind: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """False for rows that k equal rows with lesser ids are before: none of these is among k best."""
+    n = len(rows)
+    words = np.ascontiguousarray(rows).view(np.uint32).reshape(n, -1)
+    odd = np.random.default_rng(1).integers(1, 1 << 62, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    key = kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, TILE):
+        key[at : at + TILE] += (words[at : at + TILE] * odd).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((place, key))
+    follows = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    same = np.zeros(n, bool)
+    for at in range(0, len(follows), TILE):
+        some = follows[at : at + TILE]
+        one, other = order[some], order[some - 1]
+        same[some] = (kind[one] == kind[other]) & (words[one] == words[other]).all(axis=1)
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    keep = np.empty(n, bool)
+    keep[order] = np.arange(n) - start < k
+    return keep
+
+
+def _kinds(chunks: pa.Table) -> tuple[list, np.ndarray | None, np.ndarray]:
+    """Schemes and hits of the distinct kinds of rows, and the kind of each row."""
+    n, names = chunks.num_rows, chunks.column_names
+    parts, schemes, hits = [np.zeros((n, 1), np.int64)], [None], None
+    if "scheme" in names:
+        coded = chunks.column("scheme").combine_chunks().dictionary_encode(null_encoding="encode")
+        schemes = coded.dictionary.to_pylist()
+        parts[0] = coded.indices.to_numpy().astype(np.int64)[:, None]
+    if "topic_hits" in names:
+        parts.append(_rows(chunks.column("topic_hits"), n).astype(np.int64))
+    distinct, kind = np.unique(np.hstack(parts), axis=0, return_inverse=True)
+    if "topic_hits" in names:
+        hits = distinct[:, 1:]
+    return [schemes[i] for i in distinct[:, 0]], hits, kind.reshape(-1)
+
+
+TILE, ROWS = 2048, 512  # chunks and questions of one matrix product
 
 
-def block_top_k(block: QuestionBlock, chunks: pa.RecordBatch | pa.Table, k: int,
-                rows_at_once: int = 256) -> list[pa.RecordBatch]:
-    """The k best chunks of this batch for every question of the block."""
+def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> list[pa.RecordBatch]:
+    """The k best chunks of this table for every question of the block, none above its ``worst``.
+
+    Pairs are scored in single precision, tile by tile; those that may be among a question's k best so far
+    are scored anew in double precision. With ``balls`` a question passes by tiles of balls that hold nothing for it.
+    """
     n = chunks.num_rows
     if n == 0 or len(block.ids) == 0:
         return []
-    names = chunks.schema.names
-    ids = np.asarray(chunks.column("id").to_pylist())
-    vectors = _matrix(chunks.column("embedding"), n)
-    if vectors.shape[1] != block.vectors.shape[1]:
-        raise ValueError(f"question width {block.vectors.shape[1]}, chunk width {vectors.shape[1]}")
-    schemes = np.asarray(chunks.column("scheme").to_pylist(), dtype=object) if "scheme" in names else None
-    hits = None
-    if "topic_hits" in names:
-        hits = np.asarray(chunks.column("topic_hits").to_pylist(), dtype=np.int8).reshape(n, -1)
+    ids = chunks.column("id").combine_chunks()
+    place = np.empty(n, np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+    raw = _rows(chunks.column("embedding"), n)
+    if raw.shape[1] != block.vectors.shape[1]:
+        raise ValueError(f"question width {block.vectors.shape[1]}, chunk width {raw.shape[1]}")
+    schemes, hits, kind = _kinds(chunks)
+    ball = chunks.column("ball").to_numpy() if balls is not None else np.zeros(n, np.int32)
+    line = np.argsort(balls.along)[ball] if balls is not None else ball
+    order = np.lexsort((place, line))
+    order = order[_beyond_copies(raw, kind, place, k)[order]]
+    n, width = len(order), raw.shape[1]
+    length, asked_length = _lengths(raw), _lengths(block.vectors)
+    slack = (width + 8) * 2.5e-7  # of sums in single precision
+    near = np.empty((n, width + 1), np.float32)
+    for at in range(0, n, TILE):
+        some = order[at : at + TILE]
+        near[at : at + TILE, :width] = _unit(raw[some], length[some])
+    kind, ball = kind[order], ball[order]
+    tiles = [(at, min(n, at + TILE)) for at in range(0, n, TILE)]
+    if balls is not None:
+        held, first = np.unique(line[order], return_index=True)
+        held = balls.along[held]
+        spans = [(np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "left")) for a, b in tiles]
+
+    def exact(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distances of pairs."""
+        out = np.empty(len(q))
+        for s in range(0, len(q), 8 * TILE):
+            a, b = q[s : s + 8 * TILE], order[at[s : s + 8 * TILE]]
+            dot = np.einsum("ij,ij->i", block.vectors[a], raw[b], dtype=np.float64)
+            norm = asked_length[a] * length[b]
+            out[s : s + 8 * TILE] = np.divide(dot, norm, out=np.zeros(len(a)), where=norm > 0)
+        return np.round(1.0 - out, DECIMALS)
+
     boost_of = np.zeros(4)
     for level, boost in HIT_BOOST.items():
         boost_of[level] = boost
-    scheme_cache: dict[tuple, np.ndarray] = {}
-    topic_cache: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-
-    def scheme_rows(wanted: tuple) -> np.ndarray:
-        if wanted not in scheme_cache:
-            scheme_cache[wanted] = (np.isin(schemes, list(wanted)) if wanted and schemes is not None
-                                    else np.zeros(n, dtype=bool))
-        return scheme_cache[wanted]
-
-    def topic_rows(wanted: tuple) -> tuple[np.ndarray, np.ndarray]:
-        if wanted not in topic_cache:
-            topic = np.full(n, -1, dtype=np.int32)
-            level = np.zeros(n, dtype=np.int32)
-            for t in wanted if hits is not None else ():
-                new = (level == 0) & (hits[:, t] != 0)
-                topic[new] = t
-                level[new] = hits[new, t]
-            topic_cache[wanted] = (topic, level)
-        return topic_cache[wanted]
-
-    alike: dict[tuple, list[int]] = {}  # questions with equal boosts share a score matrix
+    alike: dict[tuple, list[int]] = {}  # questions with equal boosts share matrix products
     for q, key in enumerate(zip(block.schemes, block.topics)):
         alike.setdefault(key, []).append(q)
     picked: list[tuple] = []
     for (wanted, raised), members in alike.items():
-        in_scheme = scheme_rows(wanted)
-        topic, level = topic_rows(raised)
-        boost = boost_of[level] + SCHEME_BOOST * in_scheme
-        for start in range(0, len(members), rows_at_once):
-            some = np.array(members[start:start + rows_at_once])
-            distance = np.round(1.0 - block.vectors[some] @ vectors.T, DECIMALS)
-            score = np.round(distance - boost, DECIMALS)
-            cut = np.partition(score, k - 1, axis=1)[:, k - 1:k] if n > k else np.full((len(some), 1), np.inf)
-            row, at = np.nonzero(score <= cut)
-            order = np.lexsort((ids[at], distance[row, at], score[row, at], row))
-            row, at = row[order], at[order]
-            best = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, at = row[best], at[best]
-            picked.append((block.ids[some][row], ids[at], distance[row, at], score[row, at],
-                           in_scheme[at], topic[at], level[at]))
+        in_scheme = np.array([s in wanted for s in schemes])
+        topic, level = np.full(len(schemes), -1, np.int32), np.zeros(len(schemes), np.int32)
+        for t in raised if hits is not None else ():
+            new = (level == 0) & (hits[:, t] != 0)
+            topic[new], level[new] = t, hits[new, t]
+        boost = (boost_of[level] + SCHEME_BOOST * in_scheme)[kind]
+        near[:, width] = boost
+        for start in range(0, len(members), ROWS):
+            some = np.array(members[start : start + ROWS])
+            vectors = np.ones((len(some), width + 1), np.float32)
+            vectors[:, :width] = _unit(block.vectors[some], asked_length[some])
+            cut = block.worst[some].copy()
+            best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64))  # row, at, distance, score
+            if balls is not None:
+                low = balls.lowest(vectors[:, :width], block.scheme_bits[some], block.topic_bits[some], held)
+            for tile, (a, b) in enumerate(tiles):
+                rows = np.arange(len(some))
+                if balls is not None:
+                    rows = np.flatnonzero(low[:, slice(*spans[tile])].min(axis=1) <= cut)
+                    if not len(rows):
+                        continue
+                scores = (vectors if len(rows) == len(some) else vectors[rows]) @ near[a:b].T  # 1 - score
+                least = (1.0 - slack - cut[rows]).astype(np.float32)
+                up = np.flatnonzero(scores.max(axis=1) >= least)
+                if not len(up):
+                    continue
+                rows, scores, least = rows[up], scores[up], least[up]
+                hit = scores >= least[:, None]
+                many = np.flatnonzero(hit.sum(axis=1) > 4 * k)
+                if len(many) and b - a > k:
+                    kth = np.partition(scores[many], b - a - k, axis=1)[:, b - a - k]
+                    hit[many] = scores[many] >= np.maximum(least[many], kth - np.float32(2 * slack))[:, None]
+                r, at = np.nonzero(hit)
+                r, at = rows[r], at + a
+                distance = exact(some[r], at)
+                score = np.round(distance - boost[at], DECIMALS)
+                fits = score <= cut[r]
+                best = tuple(np.concatenate([x, y[fits]]) for x, y in zip(best, (r, at, distance, score)))
+                by = np.lexsort((place[order[best[1]]], best[2], best[3], best[0]))
+                row = best[0][by]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                best = tuple(x[by[rank < k]] for x in best)
+                last = rank == k - 1
+                cut[row[last]] = np.minimum(cut[row[last]], best[3][rank[rank < k] == k - 1])
+            row, at, distance, score = best
+            picked.append((block.ids[some][row], order[at], distance, score,
+                           in_scheme[kind[at]], topic[kind[at]], level[kind[at]]))
     columns = [np.concatenate(c) for c in zip(*picked)]
     return [pa.RecordBatch.from_arrays(
-        [pa.array(c.tolist() if f.name == "id" else c, f.type) for c, f in zip(columns, CANDIDATE_SCHEMA)],
+        [ids.take(pa.array(c)).cast(f.type) if f.name == "id" else pa.array(c, f.type) for c, f in zip(columns, CANDIDATE_SCHEMA)],
         schema=CANDIDATE_SCHEMA,
     )]
 

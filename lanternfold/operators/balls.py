@@ -66,7 +66,8 @@ def question_bits(questions: DataFrame) -> DataFrame:
 
 @dataclass
 class Balls:
-    """``members``: the chunks with their ``ball``. The rest has one entry per ball."""
+    """``members``: the chunks with their ``ball``. The rest has one entry per ball; ``along`` lists the
+    balls so that near ones are neighbours."""
 
     members: DataFrame
     centres: np.ndarray
@@ -74,13 +75,37 @@ class Balls:
     rows: np.ndarray
     scheme_bits: np.ndarray
     topic_bits: np.ndarray
-
-    def lowest(self, vectors: np.ndarray, schemes: np.ndarray, topics: np.ndarray) -> np.ndarray:
-        """Question x ball: no member scores lower than this."""
-        near = 1.0 - vectors @ self.centres.T - self.radius
-        boost = SCHEME_BOOST * ((schemes[:, None] & self.scheme_bits) != 0)
-        boost = boost + max(HIT_BOOST.values()) * ((topics[:, None] & self.topic_bits) != 0)
-        return near - boost - SLACK
+    along: np.ndarray
+
+    def lowest(self, vectors: np.ndarray, schemes: np.ndarray, topics: np.ndarray, of=slice(None)) -> np.ndarray:
+        """Question x ball (those that ``of`` names): no member scores lower than this."""
+        out = vectors @ self.centres[of].T
+        np.subtract(1.0 - SLACK - self.radius[of], out, out=out)
+        out -= SCHEME_BOOST * ((schemes[:, None] & self.scheme_bits[of]) != 0)
+        out -= max(HIT_BOOST.values()) * ((topics[:, None] & self.topic_bits[of]) != 0)
+        return out
+
+    def shared(self) -> tuple[np.ndarray, ...]:
+        """What tasks need to know: ``Balls(None, *shared)``. Arrays only, as executors may lack the package."""
+        return self.centres, self.radius, self.rows, self.scheme_bits, self.topic_bits, self.along
+
+    def groups(self, rows: int) -> np.ndarray:
+        """A group for each ball: neighbours, of so many rows together where no ball alone has more."""
+        out, group, held = np.zeros(len(self.rows), np.int64), 0, 0
+        for ball in self.along:
+            if held and held + self.rows[ball] > rows:
+                group, held = group + 1, 0
+            out[ball], held = group, held + self.rows[ball]
+        return out
+
+
+def _along(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order in which each is followed by the nearest of those that are left."""
+    out, left = [0], np.ones(len(centres), bool)
+    for _ in range(1, len(centres)):
+        left[out[-1]] = False
+        out.append(int(np.where(left, centres @ centres[out[-1]], -np.inf).argmax()))
+    return np.array(out)
 
 
 def partition(chunks: DataFrame, n: int, rows_per_ball: int) -> Balls:
@@ -88,7 +113,7 @@ def partition(chunks: DataFrame, n: int, rows_per_ball: int) -> Balls:
     count = min(CENTRES, max(1, math.ceil(n / rows_per_ball)))
     if count == 1:  # one ball with everything in it
         zero = np.zeros(1, np.int64)
-        return Balls(chunks.withColumn("ball", F.lit(0)), np.zeros((1, 1)), np.full(1, np.inf), np.full(1, n), zero, zero)
+        return Balls(chunks.withColumn("ball", F.lit(0)), np.zeros((1, 1)), np.full(1, np.inf), np.full(1, n), zero, zero, zero)
     sample = chunks.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
     centres = _matrix(sample.column("embedding"), sample.num_rows)
     if len(centres) < count:
@@ -117,41 +142,80 @@ def partition(chunks: DataFrame, n: int, rows_per_ball: int) -> Balls:
     out = [np.zeros(count), np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)]
     for into, name in zip(out, ("radius", "rows", "scheme_bits", "topic_bits"), strict=True):
         into[of] = stats.column(name).to_numpy()
-    return Balls(members.drop("apart"), centres, *out)
+    return Balls(members.drop("apart"), centres, *out, _along(centres))
 
 
-def visits(balls: Balls, asked: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
-    """``question_id, ball``. Without ``known`` each question's most promising balls with k rows
-    together; with ``known`` (question_id, worst: its k-th best score, null if it has fewer) all others that
-    may hold a better or an equal row."""
-    probe = known is None
-    if not probe:
-        asked = asked.join(known, "question_id", "left")
-    rows = question_bits(asked).select("question_id", "embedding", "scheme_bits", "topic_bits", *([] if probe else ["worst"]))
+def _bounds(balls: Balls, asked: DataFrame, schema: str, pick) -> DataFrame:
+    """``pick(bounds of some questions, those balls' numbers, their k-th best scores so far)`` gives the places of
+    the rows that come out and a column for them, ``schema``."""
+    worst = ["worst"] if "worst" in asked.columns else []
+    rows = question_bits(asked).select("question_id", "embedding", "scheme_bits", "topic_bits", *worst)
     spark: SparkSession = rows.sparkSession
-    sent = spark.sparkContext.broadcast(Balls(None, balls.centres, balls.radius, balls.rows, balls.scheme_bits, balls.topic_bits))
+    sent = spark.sparkContext.broadcast(balls.shared())
 
     def run(batches):
-        b = sent.value
-        held = np.flatnonzero(b.rows)
+        b = Balls(None, *sent.value)
+        held = b.along[b.rows[b.along] > 0]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
                 vectors = _matrix(some.column(1), some.num_rows)
                 if vectors.shape[1] != b.centres.shape[1]:
                     raise ValueError(f"question width {vectors.shape[1]}, chunk width {b.centres.shape[1]}")
-                bound = b.lowest(vectors, some.column(2).to_numpy(), some.column(3).to_numpy())[:, held]
-                order = np.argsort(bound, axis=1, kind="stable")
-                sizes = b.rows[held][order]
-                first = np.cumsum(sizes, axis=1) - sizes < k  # in the order of bounds
-                if probe:
-                    wanted = first
-                else:
-                    worst = some.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
-                    worst[np.isnan(worst)] = np.inf
-                    wanted = ~first & (np.take_along_axis(bound, order, axis=1) <= worst[:, None])
-                q, place = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(q)), pa.array(held[order[q, place]].astype(np.int32))], names=["question_id", "ball"])
-
-    return rows.mapInArrow(run, f"question_id {rows.schema['question_id'].dataType.simpleString()}, ball int")
+                most = some.column(4).to_numpy(zero_copy_only=False).astype(np.float64) if worst else np.full(some.num_rows, np.nan)
+                most[np.isnan(most)] = np.inf
+                q, made = pick(b.lowest(vectors, some.column(2).to_numpy(), some.column(3).to_numpy(), held), held, most)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(q)), pa.array(made)], names=["question_id", "made"])
+
+    kind = rows.schema["question_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"question_id {kind}, made {schema.split()[1]}").withColumnRenamed("made", schema.split()[0])
+
+
+def _promising(bound: np.ndarray, held: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """True for each question's most promising balls, which have k rows together; of equal ones the first by number."""
+    by = np.argsort(held)
+    left, sizes, lines = bound[:, by], rows[held[by]], np.arange(len(bound))
+    out, had = np.zeros(bound.shape, bool), np.zeros(len(bound), np.int64)
+    for _ in range(min(k, len(held))):  # each has a row at least
+        lines = lines[had[lines] < k]
+        if not len(lines):
+            break
+        best = left[lines].argmin(axis=1)
+        out[lines, by[best]], left[lines, best] = True, np.inf
+        had[lines] += sizes[best]
+    return out
+
+
+def first_visits(balls: Balls, asked: DataFrame, k: int) -> DataFrame:
+    """``question_id, home``: each question's most promising balls, with k rows together."""
+    sizes = balls.rows
+
+    def pick(bound, held, most):
+        q, place = np.nonzero(_promising(bound, held, sizes, k))
+        return q, held[place].astype(np.int64)
+
+    return _bounds(balls, asked, "home bigint", pick)
+
+
+def group_visits(balls: Balls, asked: DataFrame, groups: np.ndarray) -> DataFrame:
+    """``question_id, home``: the groups with a ball that may hold a row not above ``worst``, the k-th best
+    score so far (null: fewer rows are known)."""
+
+    def pick(bound, held, most):
+        of = groups[held]  # ascending, as groups are neighbours along the balls
+        names, starts = np.unique(of, return_index=True)
+        q, place = np.nonzero(np.minimum.reduceat(bound, starts, axis=1) <= most[:, None])
+        return q, names[place]
+
+    return _bounds(balls, asked, "home bigint", pick)
+
+
+def opened(balls: Balls, asked: DataFrame, k: int) -> DataFrame:
+    """``question_id, opened``: how many balls are among the most promising ones or may hold a row not above ``worst``."""
+    sizes = balls.rows
+
+    def pick(bound, held, most):
+        wanted = _promising(bound, held, sizes, k) | (bound <= most[:, None])
+        return np.arange(len(bound)), wanted.sum(axis=1).astype(np.int64)
+
+    return _bounds(balls, asked, "opened bigint", pick)

@@ -1,10 +1,10 @@
 """Exact cosine top-k over the whole collection.
 
-Chunks lie in balls (``balls``); a question opens its most promising balls first, then those
-that may still hold one of its k best rows, and no others. A small collection is one ball. What is opened is
-dealt to cells, each a bounded number of questions against a bounded part of one ball: one matrix
-product per cell. The number of tasks is that of any shuffle. What leaves a
-cell is k narrow rows per question. They are merged in two levels, so the last one sees
+Chunks lie in balls (``balls``); a question opens its most promising balls first, which bounds its k-th best
+score, then those that may hold a row within that bound, and no others. A small collection is one ball. What is
+opened is dealt to cells, each a bounded number of questions against a bounded number of rows of neighbouring
+balls, so that a question's vector goes to as few cells as tasks can hold. The number of tasks is that of any
+shuffle. What leaves a cell is at most k narrow rows per question. They are merged in two levels, so the last one sees
 k rows for each of a fixed number of shares, however many cells there were. Texts are
 joined to the final winners.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,30 +35,51 @@ def _feature_columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
-def _cells(asked: DataFrame, balls: bl.Balls, visits: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """The k best chunks of each question in each part of the balls it visits."""
+@dataclass
+class Grid:
+    """How many questions and rows one task takes: as many as the settings allow, fewer where a small
+    search would be a few tasks only."""
+
+    questions: int
+    rows: int
+
+    @classmethod
+    def of(cls, questions: int, rows: int, settings: Settings) -> "Grid":
+        return cls(min(settings.cell_questions, max(1024, math.ceil(questions / 8))),
+                   max(settings.cell_chunks, min(settings.task_chunks, max(4096, math.ceil(rows / 16)))))
+
+
+def _cells(asked: DataFrame, balls: bl.Balls, homes: np.ndarray, visits: DataFrame, k: int, grid: Grid) -> DataFrame:
+    """The k best chunks of each question in each part of the homes it visits; ``homes`` has that of each ball."""
     spark = asked.sparkSession
-    sizes = {r.ball: r.n for r in visits.groupBy("ball").agg(F.count("*").alias("n")).collect()}  # a row per ball, CENTRES at most
-    plan = [(int(b), math.ceil(n / settings.cell_questions), math.ceil(max(1, int(balls.rows[b])) / settings.cell_chunks)) for b, n in sizes.items()]
-    parts = F.broadcast(spark.createDataFrame(plan, "ball int, _cols int, _rows int"))
-    left = (balls.members.join(parts, "ball").withColumn("_row", F.pmod(F.xxhash64("id"), F.col("_rows")))
-            .withColumn("_col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1))))
-    right = (asked.join(visits.join(parts, "ball"), "question_id").withColumn("_col", F.pmod(F.xxhash64("question_id"), F.col("_cols")))
-             .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1))))
+    held = np.bincount(homes, balls.rows)
+    sizes = {r.home: r.n for r in visits.groupBy("home").agg(F.count("*").alias("n")).collect()}  # a row per ball or group, CENTRES at most
+    plan = [(int(h), math.ceil(n / grid.questions), math.ceil(max(1, int(held[h])) / grid.rows)) for h, n in sizes.items()]
+    parts = F.broadcast(spark.createDataFrame(plan, "home bigint, _cols bigint, _rows bigint"))
+    several = len(balls.rows) > 1
+    members, bits = balls.members.withColumn("home", F.lit(0).cast("long")), []
+    if several:
+        of = F.broadcast(spark.createDataFrame(list(enumerate(homes.tolist())), "ball int, home bigint"))
+        members, asked, bits = balls.members.join(of, "ball"), bl.question_bits(asked), ["scheme_bits", "topic_bits"]
+    left = (members.join(parts, "home").withColumn("_row", F.pmod(F.xxhash64("id"), F.col("_rows")))
+            .withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cols") - 1))))
+    right = (asked.join(visits.join(parts, "home"), "question_id").withColumn("_col", F.pmod(F.xxhash64("question_id"), F.col("_cols")))
+             .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))))
+    sent, made = spark.sparkContext.broadcast(balls.shared()), bl.Balls
 
     def cell(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
-        found = block_top_k(QuestionBlock.from_arrow(question_table), chunk_table, k)
+        found = block_top_k(QuestionBlock.from_arrow(question_table), chunk_table, k, made(None, *sent.value) if several else None)
         return pa.Table.from_batches(found, schema=CANDIDATE_SCHEMA)
 
-    keys = ("ball", "_row", "_col")
-    left, right = (side.drop("_rows", "_cols").select(*[F.col(n).cast("long").alias(n) if n in keys else F.col(n) for n in side.columns if n not in ("_rows", "_cols")])
-                   for side in (left, right))
+    keys = ("home", "_row", "_col")
+    left = left.select(*keys, *_feature_columns(left, ("ball", "id", "embedding", "scheme", "topic_hits")))
+    right = right.select(*keys, *_feature_columns(right, ("question_id", "embedding", "schemes", "topics", "worst")), *bits)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE)
 
 
 @dataclass
 class Search:
-    """Questions against a collection that lies in balls. ``opened`` has the (question_id, ball) pairs."""
+    """Questions against a collection that lies in balls. ``opened`` has how many balls a question (``question_id``) opens."""
 
     balls: bl.Balls
     found: DataFrame
@@ -69,19 +91,22 @@ def run_search(questions: DataFrame, chunks: DataFrame, k: int, settings: Settin
 
     The questions' vectors are staged: every step reads them. ``balls`` made earlier spare the partition.
     """
-    q = stage(questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics"))), "asked")
+    q = stage(questions.select(*_feature_columns(questions, ("question_id", "embedding", "schemes", "topics"))), "asked", n=F.count("*"))
     if balls is None:
         c = chunks.select(*_feature_columns(chunks, ("id", "embedding", "scheme", "topic_hits")))
         balls = bl.partition(c, c.count(), settings.cell_chunks)
+    grid = Grid.of(q.observed["n"], int(balls.rows.sum()), settings)
     if len(balls.rows) == 1:
-        first = q.select("question_id", F.lit(0).alias("ball"))
-        return Search(balls, _cells(q, balls, first, k, settings), first)
-    first = stage(bl.visits(balls, q, k), "first-visits")
-    found = stage(_cells(q, balls, first, k, settings), "first-found")
-    ranked = _best(found, k).groupBy("question_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
+        first = q.select("question_id", F.lit(0).cast("long").alias("home"))
+        return Search(balls, _cells(q, balls, np.zeros(1, np.int64), first, k, grid), q.select("question_id", F.lit(1).cast("long").alias("opened")))
+    first = stage(bl.first_visits(balls, q, k), "first-visits")
+    found = _best(_cells(q, balls, np.arange(len(balls.rows)), first, k, grid), k)
+    ranked = found.groupBy("question_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
     known = ranked.select("question_id", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
-    more = stage(bl.visits(balls, q, k, known), "more-visits")
-    return Search(balls, found.unionByName(_cells(q, balls, more, k, settings)), first.unionByName(more))
+    bounded = stage(q.join(known, "question_id", "left"), "bounded")
+    groups = balls.groups(grid.rows)
+    more = stage(bl.group_visits(balls, bounded, groups), "group-visits")
+    return Search(balls, _cells(bounded, balls, groups, more, k, grid), bl.opened(balls, bounded, k))
 
 
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
@@ -91,7 +116,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings |
 
 def opened(search: Search) -> DataFrame:
     """``question_id, opened, balls``: how many of the balls a question had to open."""
-    return search.opened.groupBy("question_id").agg(F.count("*").alias("opened")).withColumn(
+    return search.opened.groupBy("question_id").agg(F.sum("opened").alias("opened")).withColumn(
         "balls", F.lit(int((search.balls.rows > 0).sum())))
 
 

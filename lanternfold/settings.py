@@ -22,9 +22,10 @@ class Settings:
     http_timeout: int = 30
     http_attempts: int = 3
     ingest_deadline_seconds: int = 0  # 0: none; set where someone waits for the build
-    # Questions and chunks of one search task.
-    cell_questions: int = 1024
+    # Questions of one search task, chunks of a ball, and chunks of one task (whole balls).
+    cell_questions: int = 32_768
     cell_chunks: int = 16_384
+    task_chunks: int = 65_536
 
     @property
     def collection_path(self) -> str:

@@ -2,9 +2,11 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lanternfold.functions.kernel import QuestionBlock, block_top_k
 from lanternfold.operators import embed as em
 from lanternfold.operators import rerank as rr
 from lanternfold.operators import search as se
@@ -88,6 +90,57 @@ def test_tasks_of_a_search_are_those_of_a_shuffle(spark):
     assert "REPARTITION_BY_NUM" not in plan
 
 
+def test_a_question_goes_to_few_cells_however_small_the_balls_are(spark):
+    qs, cs = clusters(150, 8, 1), np.concatenate([clusters(1500, 8, 2), np.repeat(clusters(6, 8, 2)[5:], 1500, axis=0)])
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "question_id bigint, embedding array<float>")
+    c = spark.createDataFrame([(f"c{i:05d}", v.tolist()) for i, v in enumerate(cs)], "id string, embedding array<float>").repartition(3)
+    search = se.run_search(q, c, 3, Settings(cell_chunks=8, task_chunks=1000))
+    assert len(search.balls.rows) > 300
+    # A cell gives at most three rows a question: 3,000 rows in parts of 1,000 and one ball with half of them.
+    assert search.found.groupBy("question_id").count().agg(F.max("count")).first()[0] <= 3 * 6
+    got = {}
+    for r in sorted(se._best(search.found, 3).collect(), key=lambda r: (r.question_id, r.rank)):
+        got.setdefault(r.question_id, []).append(r.id)
+    alone = {}
+    for r in sorted(se.top_k(q, c, 3, Settings()).collect(), key=lambda r: (r.question_id, r.rank)):
+        alone.setdefault(r.question_id, []).append(r.id)
+    assert got == alone
+
+
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+def test_a_block_is_scored_as_in_double_precision(kind):
+    rng = np.random.default_rng(5)
+    cs = rng.normal(size=(5000, 16)).astype(kind)
+    cs[1000:3000] = cs[7]  # copies
+    cs[3000:3100] = cs[3100:3200] * (1 + 1e-6 * rng.normal(size=(100, 16))).astype(kind)  # close to each other
+    cs[-3:] = 0
+    qs = np.concatenate([cs[[7, 3150, 4999]], rng.normal(size=(40, 16)).astype(kind)])
+    ids = rng.permutation(5000)
+    schemes, topics, hits = rng.integers(0, 3, 5000), [[0, 1], [1], []] * 15, rng.choice([0, 0, 0, 1, 2, 3], (5000, 2))
+    schemes[1000:3000], hits[1000:3000] = 1, 0
+    chunks = pa.table({"id": [f"c{i:05d}" for i in ids], "embedding": pa.array(cs.tolist(), pa.list_(pa.from_numpy_dtype(kind))),
+                       "scheme": [("a", "b", None)[s] for s in schemes], "topic_hits": pa.array(hits.tolist(), pa.list_(pa.int8()))})
+    unit = lambda m: m / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-300)
+    distance = np.round(1 - unit(qs) @ unit(cs).T, 9)
+    boost = np.array([0, 0.30, 0.55, 0.12])
+    score = np.empty_like(distance)
+    for i in range(len(qs)):
+        first = np.zeros(5000, int)
+        for t in topics[i]:
+            first = np.where(first == 0, hits[:, t], first)
+        score[i] = np.round(distance[i] - boost[first] - 0.35 * (schemes == 0), 9)
+    for worst in (np.inf, 0.4):
+        block = QuestionBlock(np.arange(len(qs)), qs, [("a", "x")] * len(qs), [tuple(t) for t in topics[:len(qs)]], np.full(len(qs), worst))
+        found = {}
+        for r in block_top_k(block, chunks, 6)[0].to_pylist():
+            found.setdefault(r["question_id"], []).append((r["score"], r["distance"], r["id"]))
+        for i in range(len(qs)):
+            want = sorted((s, d, f"c{j:05d}") for s, d, j in zip(score[i], distance[i], ids) if s <= worst)[:6]
+            got = sorted(found.get(i, []))
+            assert [x[2] for x in got] == [x[2] for x in want]
+            assert np.allclose([x[:2] for x in got], [x[:2] for x in want], atol=2e-9)
+
+
 TEXTS = {
     "ter": ("How to start", "How to start\nThe Total Expense Ration: 0.77%", "hdfc-flexi-cap"),
     "term": ("Terms", "Terms\nlong term alternative navigate later", "hdfc-flexi-cap"),
