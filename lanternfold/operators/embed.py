@@ -107,6 +107,23 @@ def _tokenizer(path: str, max_length: int | None):
     return found
 
 
+SHARE_CHARS = 1 << 18  # of the texts encoded at a time: an encoding takes a hundred times its text
+
+
+def _shares(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts of a batch in their order, at most so many characters together unless one text has more."""
+    some, held = [], 0
+    for text in texts:
+        text = "" if text is None or text is pd.NA or text != text else text
+        if some and held + len(text) > SHARE_CHARS:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text)
+    if some:
+        yield some
+
+
 @dataclass(frozen=True)
 class PieceEmbedder:
     """Word pieces of a public tokenizer file within the window, as hashed signed one-hot vectors, mean-pooled.
@@ -126,8 +143,12 @@ class PieceEmbedder:
         def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             tokenizer = _tokenizer(path, None)
             for texts in parts:
-                found = [e.ids for e in tokenizer.encode_batch(list(texts.fillna("")), add_special_tokens=False)]
-                yield pd.DataFrame({"tokens": [len(i) for i in found], "ids": [i[:max_length] for i in found]})
+                tokens, ids = np.zeros(len(texts), np.int32), []
+                for some in _shares(texts):
+                    for found in tokenizer.encode_batch(some, add_special_tokens=False):
+                        tokens[len(ids)] = len(found)
+                        ids.append(np.array(found.ids[:max_length], np.int32))
+                yield pd.DataFrame({"tokens": tokens, "ids": pd.Series(ids, dtype=object)})
 
         return cut(text)
 
@@ -136,12 +157,16 @@ class PieceEmbedder:
 
         @F.pandas_udf(VECTOR)
         def pool(windows: pd.DataFrame) -> pd.Series:
-            sizes = windows["ids"].str.len().to_numpy(np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *windows["ids"]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            place, sign = (flat >> np.uint64(20)) % np.uint64(dim), 1.0 - 2.0 * (flat >> np.uint64(63)).astype(float)
-            cell = np.repeat(np.arange(len(sizes)), sizes) * dim + place.astype(np.int64)
-            total = np.bincount(cell, weights=sign, minlength=len(sizes) * dim).reshape(len(sizes), dim)
-            return pd.Series(list(unit_rows(total / np.maximum(sizes, 1)[:, None]).astype(np.float32)))
+            vectors = []
+            for start in range(0, len(windows), 512):
+                ids = windows["ids"].iloc[start : start + 512]
+                sizes = ids.str.len().to_numpy(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                place, sign = (flat >> np.uint64(20)) % np.uint64(dim), 1.0 - 2.0 * (flat >> np.uint64(63)).astype(float)
+                cell = np.repeat(np.arange(len(sizes)), sizes) * dim + place.astype(np.int64)
+                total = np.bincount(cell, weights=sign, minlength=len(sizes) * dim).reshape(len(sizes), dim)
+                vectors.extend(unit_rows(total / np.maximum(sizes, 1)[:, None]).astype(np.float32))
+            return pd.Series(vectors, dtype=object)
 
         return pool(self.window(text))
 

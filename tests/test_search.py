@@ -2,6 +2,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -337,3 +338,11 @@ def test_rows_are_grouped_by_length():
     as_they_come = [np.arange(i, min(1000, i + 32)) for i in range(0, 1000, 32)]
     assert em.padding_share(lengths, groups) < 0.05 < 0.4 < em.padding_share(lengths, as_they_come)
     assert em.length_groups(np.zeros(0, np.int64), 4) == [] and em.padding_share(np.zeros(0, np.int64), []) == 0
+
+
+def test_texts_are_encoded_a_bounded_share_at_a_time():
+    texts = pd.Series(["a" * 100_000] * 7 + [None, "", "b" * 1_000_000, "c"], dtype=object)
+    shares = list(em._shares(texts))
+    assert [t for some in shares for t in some] == ["" if t is None else t for t in texts]
+    assert all(len(some) == 1 or sum(map(len, some)) <= em.SHARE_CHARS for some in shares)
+    assert list(em._shares(texts[:0])) == []
