@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lanternfold.functions.automaton import Automaton
 
 SHARD_BYTES = 16 << 20  # of phrases sent to all tasks at a time
+ROWS = 256  # texts, or phrases, that a task holds as Python objects
 
 
 def matches(texts: DataFrame, key: str, text: str, rules: DataFrame, style: str = "name", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -29,16 +30,22 @@ def matches(texts: DataFrame, key: str, text: str, rules: DataFrame, style: str
     out = None
     for shard in range(shards):
         part = table.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard)
-        pairs = [(r.rule, r.phrase) for r in part.toLocalIterator()]  # shard_bytes of them, about
-        sent = spark.sparkContext.broadcast(pairs)
+        sink = pa.BufferOutputStream()
+        held_rows = part.toArrow()  # shard_bytes of them, about
+        with pa.ipc.new_stream(sink, held_rows.schema) as stream:
+            stream.write_table(held_rows)
+        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
         def run(batches, sent=sent):
-            automaton = Automaton(sent.value, style)
+            automaton = Automaton((pair for part in pa.ipc.open_stream(sent.value) for at in range(0, part.num_rows, ROWS)
+                                   for pair in zip(*[c.to_pylist() for c in part.slice(at, ROWS).columns])), style)
             for batch in batches:
-                found = [automaton.rules_in(t) for t in batch.column(1).to_pylist()]
-                of = pa.array([i for i, rules in enumerate(found) for _ in rules], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), pa.array([r for rules in found for r in rules], pa.string())], names=["key", "rule"])
+                for at in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(at, ROWS)
+                    found = [automaton.rules_in(t.as_py()) for t in some.column(1)]
+                    of = pa.array([i for i, rules in enumerate(found) for _ in rules], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(of), pa.array([r for rules in found for r in rules], pa.string())], names=["key", "rule"])
 
         made = rows.mapInArrow(run, f"key {kind.simpleString()}, rule string")
         out = made if out is None else out.unionByName(made)

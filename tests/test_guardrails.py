@@ -3,11 +3,13 @@
 import itertools
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanternfold.functions import text as tx
+from lanternfold.functions.automaton import Automaton
 from lanternfold.operators import guardrails as g
 from lanternfold.operators import rule_table as rt
 from lanternfold.rules import FUNDS
@@ -147,3 +149,12 @@ def test_fifty_thousand_names_in_one_pass(spark):
     assert {(r.key, r.rule) for r in found.collect()} == {(i, str(i * 25)) for i in range(2000)}
     assert time.monotonic() - began < 60
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_an_automaton_keeps_no_copy_of_its_rules():
+    tracemalloc.start()
+    made = Automaton((pair for i in range(50_000) for pair in ((f"r{i % 20}", f"name of {i}"), (f"r{i % 7}", f"name of {i}"))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    assert made.rules_in("a Name-of  41 and the name of 7x") == ["r1", "r6"]
