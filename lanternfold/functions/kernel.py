@@ -99,27 +99,37 @@ def _beyond_copies(rows: np.ndarray, kind: np.ndarray, place: np.ndarray, k: int
 def _kinds(chunks: pa.Table) -> tuple[list, np.ndarray | None, np.ndarray]:
     """Schemes and hits of the distinct kinds of rows, and the kind of each row."""
     n, names = chunks.num_rows, chunks.column_names
-    parts, schemes, hits = [np.zeros((n, 1), np.int64)], [None], None
+    code, schemes, hits = np.zeros(n, np.int64), [None], None
     if "scheme" in names:
         coded = chunks.column("scheme").combine_chunks().dictionary_encode(null_encoding="encode")
         schemes = coded.dictionary.to_pylist()
-        parts[0] = coded.indices.to_numpy().astype(np.int64)[:, None]
+        code = coded.indices.to_numpy().astype(np.int64)
+    of_scheme = code
     if "topic_hits" in names:
-        parts.append(_rows(chunks.column("topic_hits"), n).astype(np.int64))
-    distinct, kind = np.unique(np.hstack(parts), axis=0, return_inverse=True)
-    if "topic_hits" in names:
-        hits = distinct[:, 1:]
-    return [schemes[i] for i in distinct[:, 0]], hits, kind.reshape(-1)
+        hits = _rows(chunks.column("topic_hits"), n)
+        for column in hits.T:  # codes stay small, however many topics there are
+            values, place = np.unique(column, return_inverse=True)
+            code = code * len(values) + place
+            if len(values) > 1 and code.max() > 1 << 48:
+                code = np.unique(code, return_inverse=True)[1].reshape(-1)
+    _, first, kind = np.unique(code, return_index=True, return_inverse=True)
+    return [schemes[i] for i in of_scheme[first]], hits if hits is None else hits[first].astype(np.int64), kind.reshape(-1)
 
 
 TILE, ROWS = 2048, 512  # chunks and questions of one matrix product
 
 
+def _similar(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return vectors @ rows.T
+
+
 def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> list[pa.RecordBatch]:
     """The k best chunks of this table for every question of the block, none above its ``worst``.
 
-    Pairs are scored in single precision, tile by tile; those that may be among a question's k best so far
-    are scored anew in double precision. With ``balls`` a question passes by tiles of balls that hold nothing for it.
+    Rows of one kind, which get the same boost, lie together. A question meets the kinds it boosts most first and passes by
+    those whose boost is too small for any distance, with ``balls`` also by tiles of balls that hold nothing for it. Pairs
+    are scored in single precision, tile by tile; those that may be among a question's k best so far are scored anew in
+    double precision.
     """
     n = chunks.num_rows
     if n == 0 or len(block.ids) == 0:
@@ -133,21 +143,22 @@ def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> l
     schemes, hits, kind = _kinds(chunks)
     ball = chunks.column("ball").to_numpy() if balls is not None else np.zeros(n, np.int32)
     line = np.argsort(balls.along)[ball] if balls is not None else ball
-    order = np.lexsort((place, line))
+    order = np.lexsort((place, line, kind))
     order = order[_beyond_copies(raw, kind, place, k)[order]]
     n, width = len(order), raw.shape[1]
     length, asked_length = _lengths(raw), _lengths(block.vectors)
     slack = (width + 8) * 2.5e-7  # of sums in single precision
-    near = np.empty((n, width + 1), np.float32)
+    near = np.empty((n, width), np.float32)
     for at in range(0, n, TILE):
         some = order[at : at + TILE]
-        near[at : at + TILE, :width] = _unit(raw[some], length[some])
-    kind, ball = kind[order], ball[order]
-    tiles = [(at, min(n, at + TILE)) for at in range(0, n, TILE)]
+        near[at : at + TILE] = _unit(raw[some], length[some])
+    kind = kind[order]
+    starts = np.append(np.flatnonzero(np.diff(kind, prepend=-1)), n)
+    tiles = [[(at, min(end, at + TILE)) for at in range(start, end, TILE)] for start, end in zip(starts, starts[1:])]
+    of_kind = dict(zip(kind[starts[:-1]].tolist(), tiles))
     if balls is not None:
-        held, first = np.unique(line[order], return_index=True)
+        held, line = np.unique(line[order], return_inverse=True)
         held = balls.along[held]
-        spans = [(np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "left")) for a, b in tiles]
 
     def exact(q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distances of pairs."""
@@ -162,34 +173,40 @@ def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> l
     boost_of = np.zeros(4)
     for level, boost in HIT_BOOST.items():
         boost_of[level] = boost
-    alike: dict[tuple, list[int]] = {}  # questions with equal boosts share matrix products
-    for q, key in enumerate(zip(block.schemes, block.topics)):
-        alike.setdefault(key, []).append(q)
-    picked: list[tuple] = []
-    for (wanted, raised), members in alike.items():
-        in_scheme = np.array([s in wanted for s in schemes])
-        topic, level = np.full(len(schemes), -1, np.int32), np.zeros(len(schemes), np.int32)
+    alike: dict[tuple, int] = {}  # questions with equal boosts
+    of = np.array([alike.setdefault(key, len(alike)) for key in zip(block.schemes, block.topics)])
+    shape = len(alike), len(schemes)
+    in_scheme, topic, level = np.zeros(shape, bool), np.full(shape, -1, np.int32), np.zeros(shape, np.int32)
+    for (wanted, raised), i in alike.items():
+        in_scheme[i] = [s in wanted for s in schemes]
         for t in raised if hits is not None else ():
-            new = (level == 0) & (hits[:, t] != 0)
-            topic[new], level[new] = t, hits[new, t]
-        boost = (boost_of[level] + SCHEME_BOOST * in_scheme)[kind]
-        near[:, width] = boost
-        for start in range(0, len(members), ROWS):
-            some = np.array(members[start : start + ROWS])
-            vectors = np.ones((len(some), width + 1), np.float32)
-            vectors[:, :width] = _unit(block.vectors[some], asked_length[some])
-            cut = block.worst[some].copy()
-            best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64))  # row, at, distance, score
-            if balls is not None:
-                low = balls.lowest(vectors[:, :width], block.scheme_bits[some], block.topic_bits[some], held)
-            for tile, (a, b) in enumerate(tiles):
-                rows = np.arange(len(some))
-                if balls is not None:
-                    rows = np.flatnonzero(low[:, slice(*spans[tile])].min(axis=1) <= cut)
-                    if not len(rows):
-                        continue
-                scores = (vectors if len(rows) == len(some) else vectors[rows]) @ near[a:b].T  # 1 - score
-                least = (1.0 - slack - cut[rows]).astype(np.float32)
+            new = (level[i] == 0) & (hits[:, t] != 0)
+            topic[i, new], level[i, new] = t, hits[new, t]
+    boosts = boost_of[level] + SCHEME_BOOST * in_scheme
+    like = np.empty(len(alike), np.int64)  # those with similar boosts share matrix products
+    like[np.lexsort(boosts.T)] = np.arange(len(alike))
+    by_boost = np.argsort(like[of], kind="stable")
+    picked: list[tuple] = []
+    for start in range(0, len(of), ROWS):
+        some = by_boost[start : start + ROWS]
+        boost = boosts[of[some]]
+        vectors = _unit(block.vectors[some], asked_length[some]).astype(np.float32)
+        cut = block.worst[some].copy()
+        best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64))  # row, at, distance, score
+        if balls is not None:
+            none = np.zeros(len(some), np.int64)
+            low = balls.lowest(vectors, none, none, held)
+        for which in sorted(of_kind, key=lambda c: -boost[:, c].max()):
+            more = boost[:, which]
+            for a, b in of_kind[which]:
+                fits = -slack - more <= cut  # no distance is below 0
+                if balls is not None and fits.any():
+                    fits &= low[:, line[a] : line[b - 1] + 1].min(axis=1) - more <= cut
+                rows = np.flatnonzero(fits)
+                if not len(rows):
+                    continue
+                scores = _similar(vectors if len(rows) == len(some) else vectors[rows], near[a:b])  # 1 - distance
+                least = (1.0 - slack - cut[rows] - more[rows]).astype(np.float32)
                 up = np.flatnonzero(scores.max(axis=1) >= least)
                 if not len(up):
                     continue
@@ -202,7 +219,7 @@ def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> l
                 r, at = np.nonzero(hit)
                 r, at = rows[r], at + a
                 distance = exact(some[r], at)
-                score = np.round(distance - boost[at], DECIMALS)
+                score = np.round(distance - more[r], DECIMALS)
                 fits = score <= cut[r]
                 best = tuple(np.concatenate([x, y[fits]]) for x, y in zip(best, (r, at, distance, score)))
                 by = np.lexsort((place[order[best[1]]], best[2], best[3], best[0]))
@@ -211,9 +228,9 @@ def block_top_k(block: QuestionBlock, chunks: pa.Table, k: int, balls=None) -> l
                 best = tuple(x[by[rank < k]] for x in best)
                 last = rank == k - 1
                 cut[row[last]] = np.minimum(cut[row[last]], best[3][rank[rank < k] == k - 1])
-            row, at, distance, score = best
-            picked.append((block.ids[some][row], order[at], distance, score,
-                           in_scheme[kind[at]], topic[kind[at]], level[kind[at]]))
+        row, at, distance, score = best
+        pair = of[some[row]], kind[at]
+        picked.append((block.ids[some][row], order[at], distance, score, in_scheme[pair], topic[pair], level[pair]))
     columns = [np.concatenate(c) for c in zip(*picked)]
     return [pa.RecordBatch.from_arrays(
         [ids.take(pa.array(c)).cast(f.type) if f.name == "id" else pa.array(c, f.type) for c, f in zip(columns, CANDIDATE_SCHEMA)],
