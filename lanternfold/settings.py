@@ -23,9 +23,9 @@ class Settings:
     http_attempts: int = 3
     ingest_deadline_seconds: int = 0  # 0: none; set where someone waits for the build
     # Questions of one search task, chunks of a ball, and chunks of one task (whole balls).
-    cell_questions: int = 32_768
+    cell_questions: int = 98_304
     cell_chunks: int = 16_384
-    task_chunks: int = 65_536
+    task_chunks: int = 131_072
 
     @property
     def collection_path(self) -> str:
