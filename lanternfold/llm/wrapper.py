@@ -31,7 +31,9 @@ constant contents, each of them on at least a hundredth of its pages.
 
 from __future__ import annotations
 
+import gc
 import re
+from contextlib import contextmanager
 from html import unescape
 from math import isqrt
 
@@ -92,6 +94,47 @@ class Node:
         self.own: str | None = None  # text, once asked for
 
 
+@contextmanager
+def _uncollected():
+    """Trees have no cycles: a search for some among their nodes, every few hundred of them, finds nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class _Remembered(dict):
+    """What a function tells of a bounded number of keys. Tasks begin with none."""
+
+    MOST = 16_384
+
+    def __init__(self, tell):
+        super().__init__()
+        self.tell = tell
+
+    def __missing__(self, key):
+        if len(self) >= self.MOST:
+            self.clear()
+        told = self[key] = self.tell(key)
+        return told
+
+    def __reduce__(self):
+        return _Remembered, (self.tell,)
+
+
+def _named(attributes: str) -> tuple[str, frozenset[str]]:
+    """Class, id and role in lower case, and the words of them that name something else than text."""
+    marks = " ".join(v.strip("\"'") for v in _CLASS.findall(attributes)).lower()
+    return marks, _OUT_WORDS.intersection(marks.split())
+
+
+_SHORT = 200  # characters of attributes that are remembered
+_NAMED = _Remembered(_named)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; tags left open end where their parents or the next block does."""
     root = Node("#root")
@@ -104,16 +147,25 @@ def parse(html: str) -> Node:
             unfinished = _BEGUN.search(html, at)
             stack[-1].children.append(html[at : unfinished.start()] if unfinished else html[at:])
             break
+        if html[at] != "<":
+            stop = html.find("<", at)
+            stop = size if stop < 0 else stop
+            stack[-1].children.append(html[at:stop])
+            at = stop
+            continue
         m = _TOKEN.match(html, at)
         at = m.end()
-        name = m.group(2) or m.group(5)
+        closing, name, attributes, late_closing, late_name, late_attributes = m.groups()
+        name = name or late_name
         if not name:
-            text = m.group()
-            if text[0] != "<" or text == "<":
-                stack[-1].children.append(text)
+            if m.group() == "<":
+                stack[-1].children.append("<")
             continue
         tag = name.lower()
-        if m.group(1) or m.group(4):
+        if closing or late_closing:
+            if stack[-1].tag == tag:
+                stack.pop()
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag.lstrip("#") == tag:
                     del stack[i:]
@@ -132,11 +184,13 @@ def parse(html: str) -> Node:
                 break
             if stack[i].tag in _HOLDS:
                 break
-        attributes = m.group(3) or m.group(6) or ""
-        marks = " ".join(v.strip("\"'") for v in _CLASS.findall(attributes)).lower() if "=" in attributes else ""
+        attributes = attributes or late_attributes or ""
+        if "=" not in attributes:
+            marks, told = "", ()
+        else:
+            marks, told = _NAMED[attributes] if len(attributes) <= _SHORT else _named(attributes)
         while articles and (len(stack) <= articles[-1][0] or stack[articles[-1][0]] is not articles[-1][1]):
             articles.pop()
-        told = _OUT_WORDS.intersection(marks.split()) if marks else ()
         marked = bool(told) and tag not in _NEVER_MARKED and not (tag == "p" and articles and told <= _IN_ARTICLE)
         node = Node(tag, marks, tag in _OUT_TAGS, marked)
         stack[-1].children.append(node)
@@ -159,7 +213,10 @@ def parse(html: str) -> Node:
 def own_text(node: Node) -> str:
     """A node's text without that of nodes below it, white space made one space."""
     if node.own is None:
-        node.own = " ".join(unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
+        if len(node.children) == len(node.nodes):
+            node.own = ""
+        else:
+            node.own = " ".join(unescape(" ".join([c for c in node.children if isinstance(c, str)])).split())
     return node.own
 
 
@@ -218,9 +275,13 @@ class _Shapes:
                 todo.extend(missing)
                 continue
             same = sum(self.sizes[a] for a in xs[:head]) + sum(self.sizes[a] for a in xs[len(xs) - tail :])
-            for row in self._rows(*middle):
-                pass
-            self.scores[x, y] = 1 + same + int(row[-1])
+            if len(middle[0]) * len(middle[1]) <= self.FEW:
+                best = self._few_best(*middle)
+            else:
+                for row in self._rows(*middle):
+                    pass
+                best = int(row[-1])
+            self.scores[x, y] = 1 + same + best
         return self.gain(x, y)
 
     def _gains(self, ys):
@@ -254,10 +315,44 @@ class _Shapes:
                 row = self._next(row, gains(x))
                 yield row
 
+    FEW = 64  # pairs of two short lists, whose table is made at once
+
+    def _few_best(self, xs, ys) -> int:
+        row = [0] * (len(ys) + 1)
+        for x in xs:
+            above, row = row, [0]
+            for j, y in enumerate(ys):
+                row.append(max(row[j], above[j + 1], above[j] + self.gain(x, y)))
+        return row[-1]
+
+    def _few(self, xs, ys) -> list[tuple[int, int]]:
+        gains = [[self.gain(x, y) for y in ys] for x in xs]
+        rows = [[0] * (len(ys) + 1)]
+        for of in gains:
+            above, row = rows[-1], [0]
+            for j, gain in enumerate(of):
+                row.append(max(row[j], above[j + 1], above[j] + gain))
+            rows.append(row)
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            gain = gains[i - 1][j - 1]
+            if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
     def pairs(self, xs, ys) -> list[tuple[int, int]]:
         """Places in two lists of trees that a best matching pairs. Some rows of the table are kept, the others made again."""
         if not len(xs) or not len(ys):
             return []
+        if len(xs) == len(ys) == 1:
+            return [(0, 0)] if self.gain(xs[0], ys[0]) else []
+        if len(xs) * len(ys) <= self.FEW:
+            return self._few(xs, ys)
         step, gains = max(64, isqrt(len(xs)) + 1), self._gains(ys)
         kept = [row for i, row in enumerate(self._rows(xs, ys)) if i % step == 0]
         out, i, j = [], len(xs), len(ys)
@@ -305,11 +400,15 @@ def matching(a: Node, b: Node, known: tuple[_Shapes, dict[int, int]] | None = No
         xs, ys = a.nodes, b.nodes
         if not xs or not ys:
             continue
+        if first[id(a)] == second[id(b)]:
+            todo += zip(xs, ys, strict=True)
+            continue
         mine, other = [first[id(x)] for x in xs], [second[id(y)] for y in ys]
         head, tail = ends(mine, other)
         todo += zip(xs[:head], ys[:head], strict=True)
         todo += zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)
-        todo += [(xs[head + i], ys[head + j]) for i, j in shapes.pairs(mine[head : len(xs) - tail], other[head : len(ys) - tail])]
+        if head + tail < min(len(xs), len(ys)):
+            todo += [(xs[head + i], ys[head + j]) for i, j in shapes.pairs(mine[head : len(xs) - tail], other[head : len(ys) - tail])]
     return score, out
 
 
@@ -331,11 +430,14 @@ def slots(pattern: Node) -> dict[int, int]:
 def paths(page: Node) -> dict[int, int]:
     """Number of the path of tags and labels from the root to each node, by the node's identity."""
     out, todo = {id(page): 0}, [page]
+    digest = xxhash.xxh64_intdigest
     while todo:
         node = todo.pop()
-        for below in node.nodes:
-            out[id(below)] = xxhash.xxh64_intdigest(f"{below.tag} {below.label}", out[id(node)])
-        todo.extend(node.nodes)
+        if node.nodes:
+            above = out[id(node)]
+            for below in node.nodes:
+                out[id(below)] = digest(f"{below.tag} {below.label}", above)
+            todo.extend(node.nodes)
     return out
 
 
@@ -551,18 +653,22 @@ def holders(page: Node) -> list[Node]:
     return out
 
 
-def contents(tree: Node, numbers: dict[int, int], shapes, page: Node, cut: set[int]) -> list[tuple[int, int, bool, int]]:
+_PLACES = _Remembered(xxhash.xxh64_intdigest)  # numbers of places
+
+
+def contents(tree: Node, numbers: dict[int, int], shapes, page: Node, cut: set[int], at: dict[int, int]) -> list[tuple[int, int, bool, int]]:
     """Nodes of a page with text of their own, by their number among ``holders``: place (path, and slot if aligned), whether it
-    is within an article, place and content."""
-    inner, at, out = _articles(page, cut), paths(page), []
+    is within an article, place and content. ``at`` has the paths of the page's nodes."""
+    inner, out = _articles(page, cut), []
     slot_of = {id(node): numbers[id(slot)] for slot, node in aligned(tree, page, shapes)}
     for number, node in enumerate(holders(page)):
-        within = id(node) in inner
-        places = [f"path {at[id(node)]} {within}"]
-        if id(node) in slot_of:
-            places.append(f"{slot_of[id(node)]} {within}")
-        for place in map(xxhash.xxh64_intdigest, places):
-            out.append((number, _signed(place), within, _signed(xxhash.xxh64_intdigest(own_text(node), place))))
+        known, text = id(node), node.own
+        within = known in inner
+        place = _PLACES[f"path {at[known]} {within}"]
+        out.append((number, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
+        if known in slot_of:
+            place = _PLACES[f"{slot_of[known]} {within}"]
+            out.append((number, _signed(place), within, _signed(xxhash.xxh64_intdigest(text, place))))
     return out
 
 
@@ -578,6 +684,13 @@ def _texts(page: Node, cut: set[int]) -> list[str]:
     return out
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has; sorted once for all pages of a host, where ``np.isin`` sorts for each."""
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values if len(ordered) else np.zeros(len(values), bool)
+
+
 def _told_apart(seen: DataFrame) -> DataFrame:
     """host, page and label: one label for pages that share a band. Bands are of a page's texts without those
     of a few words that most pages of the host share: menus and the like make no near copies, however short the stories."""
@@ -595,9 +708,9 @@ def _told_apart(seen: DataFrame) -> DataFrame:
             out = []
             for host, part, prints, weights, common in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
                 if (host, part) != of:
-                    of, gone = (host, part), common.values.to_numpy() if common.is_valid else np.zeros(0, np.int64)
+                    of, gone = (host, part), np.sort(common.values.to_numpy()) if common.is_valid else np.zeros(0, np.int64)
                 prints, weights = prints.values.to_numpy(), weights.values.to_numpy()
-                kept = ~np.isin(prints, gone)
+                kept = ~_among(prints, gone)
                 out.append(bands(prints[kept], np.abs(weights[kept])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["host", "page", "bands"])
 
@@ -616,19 +729,20 @@ def read_pages(dealt: DataFrame, patterns: DataFrame) -> DataFrame:
               "nodes": pa.list_(pa.int32()), "places": pa.list_(pa.int64()), "inner": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64()),
               "marks": pa.list_(pa.int64()), "most": pa.list_(pa.bool_())}
 
+    def row(known, host, part, number, pattern, html):
+        page = parse(html)
+        marked = marks(page)
+        cut = cuts(page, None, marked)
+        at = paths(page)
+        found = contents(*known.of(pattern), page, cut, at)
+        return (host, part, number, *weighed(_texts(page, cut)), *(zip(*found, strict=True) if found else ((),) * 4),
+                [_signed(at[id(node)]) for node, _ in marked], [most for _, most in marked])
+
     def read(batches):
         known = _Patterns()
         for batch in batches:
-            rows = []
-            for host, part, number, pattern, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                page = parse(html)
-                marked = marks(page)
-                cut = cuts(page, None, marked)
-                found = contents(*known.of(pattern), page, cut)
-                at = paths(page) if marked else {}
-                rows.append((host, part, number, *weighed(_texts(page, cut)), [f[0] for f in found], [f[1] for f in found],
-                             [f[2] for f in found], [f[3] for f in found],
-                             [_signed(at[id(node)]) for node, _ in marked], [most for _, most in marked]))
+            with _uncollected():
+                rows = [row(known, *values) for values in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
@@ -673,8 +787,8 @@ def _dropped(seen: DataFrame, templates: DataFrame) -> DataFrame:
             out = []
             for host, part, nodes, keys, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[3:], strict=True):
                 if (host, part) != of:
-                    of, template = (host, part), gone.values.to_numpy()
-                out.append(np.unique(nodes.values.to_numpy()[np.isin(keys.values.to_numpy(), template)]))
+                    of, template = (host, part), np.sort(gone.values.to_numpy())
+                out.append(np.unique(nodes.values.to_numpy()[_among(keys.values.to_numpy(), template)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["host", "page", "gone"])
 
     pages = seen.select("host", "part", "page", "nodes", "keys").dropDuplicates(["host", "page"])
@@ -694,12 +808,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
         of, voted = None, {}
         for batch in batches:
             texts = []
-            for host, html, numbers, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
-                if of != host:
-                    voted, of = {k + (1 << 63): v for k, v in votes or ()}, host
-                page = parse(html)
-                held = holders(page) if numbers else ()
-                texts.append(main_text(page, {id(held[i]) for i in numbers or ()}, voted))
+            with _uncollected():
+                for host, html, numbers, votes in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True):
+                    if of != host:
+                        voted, of = {k + (1 << 63): v for k, v in votes or ()}, host
+                    page = parse(html)
+                    held = holders(page) if numbers else ()
+                    texts.append(main_text(page, {id(held[i]) for i in numbers or ()}, voted))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     votes = templates.where("voted IS NOT NULL").select("host", "voted").join(patterns.select("host", "part"), "host").drop("pattern")

@@ -398,3 +398,38 @@ def test_induction_equals_counting_by_hand(spark):
     found = _main_texts(spark, pages)
     # two contents that several slots have in turn may go as well (VALUES); what is a page's own never does
     assert all(set(e.split("\n\n")) - {f"Constant {k} of all" for k in kept} <= set(f.split("\n\n")) <= set(e.split("\n\n")) for e, f in zip(expected, found, strict=True))
+
+
+def test_short_lists_of_trees_pair_as_long_ones_do(monkeypatch):
+    rng = random.Random(9)
+    pages = ["".join(rng.choice(["<p>t</p>", "<i>t</i>", "<div><p>a</p><i>b</i></div>", "<div><i>b</i></div>"]) for _ in range(rng.randrange(9)))
+             for _ in range(60)]
+
+    def places(shorts):
+        monkeypatch.setattr(wrapper._Shapes, "FEW", shorts)
+        out = []
+        for a, b in zip(map(wrapper.parse, pages), map(wrapper.parse, pages[1:])):
+            one, other = wrapper.slots(a), wrapper.slots(b)
+            out.append(sorted((one[id(x)], other[id(y)]) for x, y in wrapper.aligned(a, b)))
+        return out
+
+    assert places(64) == places(0)
+
+
+def test_equal_attributes_of_tags_are_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(wrapper, "_NAMED", wrapper._Remembered(lambda a: read.append(a) or wrapper._named(a)))
+    page = wrapper.parse("<body>" + "<p class='Story Advert'>x</p><p id=a>y</p>" * 500 + "</body>")
+    assert read == [" class='Story Advert'", " id=a"]
+    assert [(n.label, n.marked) for n in page.nodes[0].nodes[:2]] == [("story advert", True), ("a", False)]
+    wrapper._NAMED.MOST = 2
+    wrapper.parse("".join(f"<p id={i}>x</p>" for i in range(9)))
+    assert len(wrapper._NAMED) <= 2
+
+
+def test_values_among_sorted_ones():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 50):
+        values, others = rng.integers(-40, 40, 90), rng.integers(-30, 30, size)
+        assert (wrapper._among(values, np.sort(others)) == np.isin(values, others)).all()
+    assert not len(wrapper._among(np.zeros(0, np.int64), np.arange(3)))
