@@ -800,6 +800,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     dealt, patterns = _dealt(pages)
     seen = read_pages(dealt, patterns)
+    # The pages are shuffled again below. Spark removes the files of the first shuffle when the driver has collected what names them.
+    pages.sparkSession._jvm.System.gc()
     templates = stage(induce(seen), "templates")
     gone = stage(_dropped(seen, templates), "gone")
     release(seen)
