@@ -27,6 +27,8 @@ from lanternfold.session import stage
 from lanternfold.settings import Settings
 
 SHARES = 256  # of the first merge
+HEAVY = 1 << 25  # pairs of an average cell, some quarter of a second
+CELL_TASKS, MOST_TASKS = 4, 4096  # tasks for each heavy cell, so that few tasks get several, and for all of them
 CANDIDATE = ("question_id bigint, id string, distance double, score double, "
              "scheme_hit boolean, topic int, level int")
 
@@ -65,6 +67,7 @@ def _cells(asked: DataFrame, balls: bl.Balls, homes: np.ndarray, visits: DataFra
             .withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cols") - 1))))
     right = (asked.join(visits.join(parts, "home"), "question_id").withColumn("_col", F.pmod(F.xxhash64("question_id"), F.col("_cols")))
              .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))))
+    cells, pairs = sum(cols * rows for _, cols, rows in plan), sum(n * int(held[h]) for h, n in sizes.items())
     sent, made = spark.sparkContext.broadcast(balls.shared()), bl.Balls
 
     def cell(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
@@ -74,6 +77,9 @@ def _cells(asked: DataFrame, balls: bl.Balls, homes: np.ndarray, visits: DataFra
     keys = ("home", "_row", "_col")
     left = left.select(*keys, *_feature_columns(left, ("ball", "id", "embedding", "scheme", "topic_hits")))
     right = right.select(*keys, *_feature_columns(right, ("question_id", "embedding", "schemes", "topics", "worst")), *bits)
+    if cells > 1 and pairs >= HEAVY * cells:  # a cell's work is not that of its bytes, by which tasks would be made of several cells
+        tasks = min(CELL_TASKS * cells, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, CANDIDATE)
 
 

@@ -45,6 +45,16 @@ def test_top_k_is_exact_whatever_the_grid_with_copies(spark, settings):
     assert got == brute(np.array(qs), np.array(cs), 5)
 
 
+def test_heavy_cells_of_few_bytes_are_tasks_of_their_own(spark):
+    vector = F.array(*[F.randn(seed).cast("float") for seed in range(4)]).alias("embedding")
+    q = spark.range(32_768).select(F.col("id").alias("question_id"), vector)
+    c = spark.range(8_192).select(F.format_string("c%05d", "id").alias("id"), vector)
+    found = se.run_search(q, c, 2, Settings()).found  # six cells
+    by_task = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in by_task) == 2 * 32_768
+    assert len(by_task) >= 4
+
+
 def clusters(n, dim, seed, groups=12):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(groups, dim))
