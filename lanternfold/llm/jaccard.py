@@ -13,7 +13,9 @@ A document's tokens are its distinct runs of five words, as 64-bit hashes. Docum
    M - 4/9 (m + M) + 1 of the other: a fifth plus one at most, a ninth plus one for equal sizes. The matrix has these first
    tokens of all members, united by group, each with its least place. In the order used, tokens that
    many documents have come late, so that passages shared by many do not pair them. How
-   many is looked up in bitmaps of fixed size; a false hit only moves a token.
+   many is looked up in bitmaps of fixed size; a false hit only moves a token. Many are at least more than
+   tokens of few documents add up to where they share a slot. The matrix is read in slices of the
+   tokens, so that a bitmap of fixed size tells those of several groups however many tokens there are.
 3. Bounds. Pairs of groups whose sizes allow a link, that share a token placed early enough in both
    for these sizes, and the sketches of whose leaders differ in no more bits than leaders of linked groups
    in tokens, are looked at: leaders first. So documents of one family that differ from each other too much
@@ -33,6 +35,8 @@ table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,7 +51,7 @@ MANY, LEVELS = 10, 5  # tokens come later the more documents have them: above 10
 COUNTED = 0.45  # share of a document's tokens that is counted: those that may move up as well
 BITS = 26  # of the bitmap's size; about the logarithm of the number of first tokens
 BUCKETS = 10  # bits of the slot by which counting is dealt out
-MOST_BITS = 27  # of the bitmap that tells which tokens several groups have
+MOST_BITS = 27  # of the bitmap that tells which tokens of a slice of the matrix several groups have
 CELL = 400  # documents of a bucket compared with one another at a time
 FAR = 0.2 + 1e-9
 MICRO = 1_000_000  # radii of the matrix are in millionths, rounded up
@@ -182,6 +186,13 @@ def _outline(docs: DataFrame, bits: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, bytes long, bucket int, block binary")
 
 
+def _bounds(many: int, counted: int, bits: int) -> list[int]:
+    """From how many documents on a token is of each level: more than the other tokens that ``counted`` ones
+    put into a slot of a bitmap, all but few times, else most tokens of a large corpus would be of the same level."""
+    load = counted / (1 << bits)
+    return [max(many * 10**level, int(load + 4 * load**0.5)) for level in range(LEVELS)]
+
+
 def _bitmap(outline: DataFrame, bits: int, bounds: list[int]) -> np.ndarray:
     """For each bound the bits of slots that have more tokens: 2**bits of them, whatever the
     input. A task counts one bucket after another, in as many counters as a bucket has slots."""
@@ -421,16 +432,20 @@ def _pairs(batches):
         yield from out(rest)
 
 
-def _matrix(leaders: DataFrame) -> DataFrame:
-    """Tokens of the matrix that may be in several groups, with what bounds need of the group. A bitmap of
-    slots with several tokens tells; it has two to four slots for each token, ``MOST_BITS`` at most (a fuller
-    one drops fewer rows and changes nothing else)."""
-    held = leaders.agg(F.sum(F.size("first"))).first()[0] or 0
-    bits = min(MOST_BITS, max(BUCKETS + 10, int(held).bit_length() + 1))
+def _matrix(leaders: DataFrame, part: int, parts: int, held: int) -> DataFrame:
+    """Tokens of a slice of the matrix that may be in several groups, with what bounds need of the group. A bitmap of
+    slots with several tokens tells; it has two to four slots for each of the ``held`` tokens, of all slices, as long as
+    a slice has no more than half of 2**``MOST_BITS`` (a fuller one drops fewer rows and changes nothing else)."""
+    bits = min(MOST_BITS, max(BUCKETS + 10, (held // parts).bit_length() + 1))
+
+    def sliced(tokens):
+        mixed = _mixed(tokens.view(np.uint64))
+        return mixed, mixed % np.uint64(parts) == part  # of the low bits, as slots are of the high ones
 
     def slots(batches):
         for batch in batches:
-            full, blocks = _blocks(_mixed(batch.column(0).flatten().to_numpy().view(np.uint64)), bits)
+            mixed, inside = sliced(batch.column(0).flatten().to_numpy())
+            full, blocks = _blocks(mixed[inside], bits)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     several = leaders.sparkSession.sparkContext.broadcast(_bitmap(leaders.select("first").mapInArrow(slots, "bucket int, block binary"), bits, [1]))
@@ -441,7 +456,8 @@ def _matrix(leaders: DataFrame) -> DataFrame:
             first, ends = batch.column(0), batch.column(0).offsets.to_numpy()
             tokens, places = first.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
             of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            kept = _levels(_mixed(tokens.view(np.uint64)), several.value) > 0
+            mixed, kept = sliced(tokens)
+            kept[kept] = _levels(mixed[kept], several.value) > 0
             of = pa.array(of[kept])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[kept]), pa.array(places[kept]), *[c.take(of) for c in batch.columns[2:]]], names=names)
@@ -451,6 +467,23 @@ def _matrix(leaders: DataFrame) -> DataFrame:
     return made.select("token", "grp", "place", "least_n", "most_n", "n", "radius", "sketch")
 
 
+def _met(leaders: DataFrame, spent) -> DataFrame:
+    """Pairs of groups that share a token of the matrix, from one slice after another. Most tokens are in one group and
+    are dropped first. The files of a slice's shuffle go before the next one's."""
+    held = leaders.agg(F.sum(F.size("first"))).first()[0] or 0
+    parts = max(1, -(-held // (1 << (MOST_BITS - 1))))
+    found = []
+    for part in range(parts):
+        spent()
+        dealt = _matrix(leaders, part, parts, held).repartition("token").sortWithinPartitions("token", "grp")
+        found.append(stage(dealt.mapInArrow(_pairs, _PAIR).distinct(), "pairs"))
+    if parts == 1:
+        return found[0]
+    pairs = stage(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    release(*found)
+    return pairs
+
+
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, digest and text of the documents whose ids ``wanted`` has (few others slip in)."""
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << BITS))
@@ -480,18 +513,22 @@ def _with_text(rows: DataFrame, texts: DataFrame, doc: str, digest: str, out: st
 def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row. ``share`` replaces the bytes that a
     task may get. Jobs run in here; the result is a staged table, all others are removed."""
-    outline = stage(_outline(docs, bits), "outline")
-    grouped = _grouped(docs, outline, _bitmap(outline, bits, [many * 10**level for level in range(LEVELS)]), share)
+    spent = docs.sparkSession._jvm.System.gc  # Spark removes the files of shuffles when the driver has collected what names them
+    width = 2 if bits - BUCKETS <= 16 else 4  # bytes of a slot in a block
+    outline = stage(_outline(docs, bits), "outline", slots=F.sum(F.octet_length("block")))
+    common = _bitmap(outline, bits, _bounds(many, (outline.observed["slots"] or 0) // width, bits))
+    spent()
+    grouped = _grouped(docs, outline, common, share)
     leaders = grouped.where("leads").select(
         "grp", "doc_id", "digest", "n", "radius", "least_n", "most_n", "first", "place", "sketch")
 
-    # groups that share a token of the matrix; most tokens of the matrix are in one group and are dropped first
-    pairs = stage(_matrix(leaders).repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_pairs, _PAIR).distinct(), "pairs")
+    pairs = _met(leaders, spent)
 
     # leaders
     heads = leaders.select("grp", "doc_id", "digest", "radius")
     asked = pairs.select(F.col("ga").alias("grp")).unionByName(pairs.select(F.col("gb").alias("grp"))).distinct()
     heads = stage(heads.join(asked, "grp"), "heads")
+    spent()
     texts = stage(_only(docs, heads), "texts")
     with_text = _with_text(heads, texts, "doc_id", "digest", "text").select("grp", "radius", "text")
     sides = [with_text.select(F.col("grp").alias(f"g{s}"), F.col("radius").alias(f"r{s}"), F.col("text").alias(f"t{s}")) for s in "ab"]
@@ -519,6 +556,7 @@ def near_duplicates(docs: DataFrame, share: int | None = None, many: int = MANY,
         named = labels.select(F.col("node").alias(f"g{side}"), F.col("label").alias(f"l{side}"))
         unsure = unsure.join(named, f"g{side}", "left")
     unsure = stage(unsure.where("coalesce(la, ga) <> coalesce(lb, gb)").select("ga", "gb", "ra", "rb", "apart"), "unsure")
+    spent()
     if not unsure.isEmpty():
         # The larger group stays, whole and once; of the other the members that may hold a link come to it.
         held = grouped.groupBy("grp").agg(F.count("*").alias("held"))

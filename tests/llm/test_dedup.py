@@ -218,3 +218,30 @@ def test_representatives_keep_columns_of_any_name(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, __id long, `a.b` string, component_id long")
     kept = jaccard.representatives(frame)
     assert kept.columns == frame.columns and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
+
+
+def test_bitmaps_smaller_than_the_corpus_tell_tokens_apart(spark, monkeypatch):
+    """360 texts of own words and 40 near copies of some. The bitmaps have fewer slots than there are tokens: still few tokens
+    count as common, few of those that one group has only go to the matrix, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BUCKETS", 4)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 14)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(304))) for i in range(360)]
+    rows += [(1000 + i, rows[i][1] + f" end{i}") for i in range(40)]
+    maps, dealt, bitmap, matrix = [], [], jaccard._bitmap, jaccard._matrix
+
+    def bitmaps(*args):
+        maps.append(bitmap(*args))
+        return maps[-1]
+
+    def rows_of(*args):
+        made = matrix(*args)
+        dealt.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "_bitmap", bitmaps)
+    monkeypatch.setattr(jaccard, "_matrix", rows_of)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, many=2, bits=14).collect()}
+    assert found == {**{i: (300, i) for i in range(360)}, **{1000 + i: (301, i) for i in range(40)}}
+    assert np.bitwise_count(maps[0][0]).sum() < 0.1 * (1 << 14)  # slots of common tokens
+    assert sum(dealt) < 0.4 * 360 * jaccard.needed(300)
