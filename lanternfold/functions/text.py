@@ -119,7 +119,9 @@ def has_phrase(prepared: Column, phrases) -> Column:
         tokens = re.findall(r"[a-z0-9]+", phrase.lower())
         if tokens:
             needle = " " + " ".join(tokens)
-            found = found | F.contains(prepared, F.lit(needle + " ")) | F.contains(prepared, F.lit(needle + "s "))
+            # most phrases are nowhere in a text, which one search tells
+            found = found | (F.contains(prepared, F.lit(needle)) & (
+                F.contains(prepared, F.lit(needle + " ")) | F.contains(prepared, F.lit(needle + "s "))))
     return found
 
 

@@ -2,12 +2,14 @@
 
 An embedder turns a text column into ``array<float>``. The default one needs no
 model files: each word is a signed one-hot vector picked by its hash, the words
-are mean-pooled and the result is scaled to unit length. Hashing happens in the
-JVM; the scatter-add and the scaling are one numpy call per Arrow batch.
+are mean-pooled and the result is scaled to unit length. Words are found in the
+JVM; each distinct one of an Arrow batch is hashed once, the scatter-add and the scaling are
+one numpy call.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +17,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,17 +47,29 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def hash_tokens(text: Column, dim: int, window: int | None = None) -> Column:
-    """``array<int>``: position of each word's one-hot vector, negative for sign -1 (1-based).
-    With a window, words beyond it are left out."""
+def words(text: Column, window: int | None = None) -> Column:
+    """``array<string>``: the lower-cased words of a text. With a window, words beyond it are left out."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return tokens if window is None else F.slice(tokens, 1, window)
+
+
+def hash_tokens(text: Column, dim: int, window: int | None = None) -> Column:
+    """``array<int>``: position of each word's one-hot vector, negative for sign -1 (1-based)."""
 
     def code(token: Column) -> Column:
         hashed = F.conv(F.substr(F.md5(token), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
         place = (hashed % dim + 1).cast("int")
         return F.when(F.floor(hashed / dim) % 2 == 0, place).otherwise(-place)
 
-    return F.transform(tokens if window is None else F.slice(tokens, 1, window), code)
+    return F.transform(words(text, window), code)
+
+
+def _cells(tokens: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position (0-based) and sign of each word, as ``hash_tokens`` has them."""
+    coded = tokens.dictionary_encode()
+    hashed = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in coded.dictionary.to_pylist()], np.int64)
+    at = coded.indices.to_numpy()
+    return (hashed % dim)[at], (1 - 2 * (hashed // dim % 2))[at]
 
 
 @dataclass(frozen=True)
@@ -67,19 +83,17 @@ class HashingEmbedder:
     def encode(self, text: Column) -> Column:
         dim = self.dim
 
-        @F.pandas_udf(VECTOR)
-        def pool(codes: pd.Series) -> pd.Series:
-            sizes = np.fromiter((0 if c is None else len(c) for c in codes), dtype=np.int64)
-            n = len(sizes)
-            if sizes.sum() == 0:
-                return pd.Series([np.zeros(dim, dtype=np.float32)] * n)
-            flat = np.concatenate([c for c in codes if c is not None and len(c)]).astype(np.int64)
-            cell = np.repeat(np.arange(n), sizes) * dim + np.abs(flat) - 1
-            total = np.bincount(cell, weights=np.sign(flat), minlength=n * dim).reshape(n, dim)
+        @F.arrow_udf(VECTOR)
+        def pool(tokens: pa.Array) -> pa.Array:
+            n = len(tokens)
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+            place, sign = _cells(tokens.flatten(), dim)
+            total = np.bincount(np.repeat(np.arange(n), sizes) * dim + place, weights=sign, minlength=n * dim).reshape(n, dim)
             mean = total / np.maximum(sizes, 1)[:, None]
-            return pd.Series(list(unit_rows(mean).astype(np.float32)))
+            flat = pa.array(unit_rows(mean).astype(np.float32).reshape(-1))
+            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), flat)
 
-        return pool(hash_tokens(text, dim, self.max_length))
+        return pool(words(text, self.max_length))
 
 
 def length_groups(lengths: np.ndarray, batch: int) -> list[np.ndarray]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from dataclasses import replace
 
@@ -396,3 +397,20 @@ def test_texts_are_encoded_a_bounded_share_at_a_time():
     assert [t for some in shares for t in some] == ["" if t is None else t for t in texts]
     assert all(len(some) == 1 or sum(map(len, some)) <= em.SHARE_CHARS for some in shares)
     assert list(em._shares(texts[:0])) == []
+
+
+def test_words_are_hashed_once_a_batch(spark, monkeypatch):
+    """Vectors are those of ``hash_tokens``; of a batch each distinct word is hashed once."""
+    texts = [None, "", "?!", "the The THE", "Ärger İstanbul ß ǅ straße 12３ a_b", "one two " * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    found = rows.select("t", em.hash_tokens(F.col("t"), 16, 256).alias("codes"), em.HashingEmbedder(16, max_length=256).encode(F.col("t")).alias("v"))
+    for r in found.collect():
+        total = np.zeros(16)
+        for code in r.codes or ():
+            total[abs(code) - 1] += np.sign(code)
+        length = np.sqrt((total * total).sum())
+        assert np.allclose(r.v, total / length if length else total, atol=1e-6), r.t
+    hashed, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda x: hashed.append(x) or md5(x))
+    place, sign = em._cells(pa.array(["a", "b", "a"] * 1000), 16)
+    assert len(place) == len(sign) == 3000 and sorted(hashed) == [b"a", b"b"]
